@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing
+from . import bpe, packing, sql, topk, warc
 from .common import new_path, read_table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -41,5 +41,24 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op4_pack_tokens": op4_pack_tokens, "op6_byte_bpe": op6_byte_bpe}
-ORACLES: dict[str, str] = {}
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back, revisits resolved."""
+    out = new_path(spark, "warc")
+    warc.write_archives(read_table(spark, sf_dir, "pages"), out)
+    rows = warc.resolve(warc.read_records(spark, out))
+    return rows.select(
+        F.col("page").cast("long").alias("page_id"),
+        "payload_bytes",
+        F.col("digest").alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best candidates of every hundredth vector against all vectors."""
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+QUERIES = {"op4_pack_tokens": op4_pack_tokens, "op6_byte_bpe": op6_byte_bpe, "op7_warc_revisits": op7_warc_revisits, "op9_exact_top_k": op9_exact_top_k}
+ORACLES: dict[str, str] = {"op7_warc_revisits": sql.OP7, "op9_exact_top_k": sql.OP9}
