@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, sql, topk, warc
+from . import bpe, decontaminate, packing, sql, topk, warc
 from .common import new_path, read_table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -55,10 +55,23 @@ def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark words in every document."""
+    found = decontaminate.find_hits(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        decontaminate.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
+    )
+
+
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best candidates of every hundredth vector against all vectors."""
     return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
-QUERIES = {"op4_pack_tokens": op4_pack_tokens, "op6_byte_bpe": op6_byte_bpe, "op7_warc_revisits": op7_warc_revisits, "op9_exact_top_k": op9_exact_top_k}
-ORACLES: dict[str, str] = {"op7_warc_revisits": sql.OP7, "op9_exact_top_k": sql.OP9}
+QUERIES = {"op4_pack_tokens": op4_pack_tokens, "op6_byte_bpe": op6_byte_bpe, "op7_warc_revisits": op7_warc_revisits, "op8_decontaminate": op8_decontaminate, "op9_exact_top_k": op9_exact_top_k}
+ORACLES: dict[str, str] = {"op7_warc_revisits": sql.OP7, "op8_decontaminate": sql.OP8, "op9_exact_top_k": sql.OP9}
