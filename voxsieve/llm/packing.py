@@ -1,5 +1,7 @@
 """Token-id output: documents packed into fixed-length rows and written as binary matrices.
 
+The operator takes its ids from a library's coder, as its work is the packing; the package's own coder is in bpe.py.
+
 Each task encodes its own rows and packs them pool by pool, so nothing is shuffled and memory is bounded by the pool. In a
 pool, documents longer than a row are split without loss, then the pieces are placed best-fit-decreasing: a segment tree
 over the free space finds the fullest row that still takes a piece. Each pool becomes one .npz file with the id matrix, the
@@ -12,23 +14,39 @@ table gives no file. Ties among pieces of equal length keep the order of the row
 
 from __future__ import annotations
 
+import base64
 import io
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import coder
 from .common import as_text, bounded_batches, quoted
 
 ROW_TOKENS, POOL_TOKENS = 2048, 4 << 20
 
 
+#: Fixed value: the public pattern that splits text before the merges.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+_CODERS: dict[str, tiktoken.Encoding] = {}
+
+
+def rank_coder(path: str) -> tiktoken.Encoding:
+    """The library's coder of a file of ranks, built once per Python worker."""
+    if path not in _CODERS:
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        _CODERS[path] = tiktoken.Encoding("ranks", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+    return _CODERS[path]
+
+
 class FreeSpace:
     """A segment tree over 0..capacity that counts the rows with just so much free space."""
 
@@ -99,15 +117,15 @@ def pack_pool(texts_ids: list[np.ndarray], capacity: int, dtype: str, pad: int)
 
 
 def write_packed(docs: DataFrame, vocabulary: str, out: str, row_tokens: int = ROW_TOKENS, pool_tokens: int = POOL_TOKENS, pad: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode, pack and write; returns one row per file (file, n_rows, n_tokens), to be written or counted once."""
+    """Encode with a file of ranks, pack and write; returns one row per file (file, n_rows, n_tokens), to be written or counted once."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(quoted(id_col).alias("id"), as_text(text_col).alias("text"))
     if not isinstance(rows.schema["id"].dataType, T.IntegralType):
         rows = rows.withColumn("id", F.col("id").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = coder(vocabulary)
-        dtype = "<u2" if len(bpe.bytes_of) <= 1 << 16 else "<u4"
+        bpe = rank_coder(vocabulary)
+        dtype = "<u2" if bpe.n_vocab <= 1 << 16 else "<u4"
         store, base = pafs.FileSystem.from_uri(out)
         store.create_dir(base, recursive=True)
         task = TaskContext.get()
@@ -129,7 +147,7 @@ def write_packed(docs: DataFrame, vocabulary: str, out: str, row_tokens: int = R
 
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = bpe.encode(text)
+                ids = np.array(bpe.encode_ordinary(text), np.uint32)
                 if len(ids):
                     state["ids"].append(i)
                     state["of"].append(ids)

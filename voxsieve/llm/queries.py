@@ -10,12 +10,13 @@ from . import bpe, decontaminate, packing, sql, topk, warc
 from .common import new_path, read_table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op4_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packed rows of all documents, as read back from the files written."""
     out = new_path(spark, "packed")
-    packing.write_packed(read_table(spark, sf_dir, "documents"), VOCABULARY, out).agg(F.sum("n_rows")).collect()
+    packing.write_packed(read_table(spark, sf_dir, "documents"), RANKS, out).agg(F.sum("n_rows")).collect()
     rows = packing.read_packed(spark, out)
     return rows.select(
         "file",
