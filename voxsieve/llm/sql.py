@@ -1,5 +1,21 @@
 """DuckDB SQL for the queries that SQL can express, over the same tables."""
 
+OP3 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS (
+  SELECT r, doc_id, s, array_to_string(w[s : s + 49], ' ') AS k FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM d)
+), least AS (SELECT k, min(doc_id) AS first_id, max(doc_id) AS last_id FROM win GROUP BY k HAVING min(doc_id) < max(doc_id)
+), gone AS (
+  SELECT DISTINCT r, unnest(range(s, s + 50)) AS p FROM win JOIN least USING (k) WHERE first_id < doc_id
+), word AS (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d
+), kept AS (
+  SELECT r, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM word ANTI JOIN gone USING (r, p) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
 OP7 = """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages
