@@ -2,17 +2,33 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, packing, simhash, sql, substring, topk, warc
-from .common import new_path, read_table
+from . import bpe, decontaminate, packing, pii, quality, simhash, sql, substring, topk, toxicity, warc
+from .common import fold, new_path, read_table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+#: Score from which a document's quality is good.
+KEPT_QUALITY = 0.7
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: the base spans as counts and digest, and all spans."""
+    docs = read_table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.fit(docs))
+    kinds = F.array(*[F.lit(k) for k in pii.KINDS])
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["base"])
+    of_base = F.transform(base, lambda s: s["kind"])
+    counts = [F.size(F.array_remove(of_base, F.lit(k))).cast("long") for k in range(len(pii.KINDS))]
+    counts = [(F.size(of_base) - n).cast("long").alias(f"n_{name}") for n, name in zip(counts, pii.KINDS, strict=True)]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(text(base).cast("binary"), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its fingerprint and the smallest id of its near-duplicates."""
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
@@ -43,6 +59,14 @@ def op4_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learnt from four fifths of the labels."""
+    docs = read_table(spark, sf_dir, "documents")
+    machine = toxicity.fit(docs, read_table(spark, sf_dir, "labels"), fold("id", 5) != 0)
+    scored = toxicity.score(docs, machine)
+    return scored.select(F.col("id").alias("doc_id"), (fold("id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.col("word").alias("strongest_word"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again, as digests."""
     coded = bpe.decode(bpe.encode(read_table(spark, sf_dir, "documents"), VOCABULARY), VOCABULARY)
@@ -86,5 +110,13 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op3_substring_dedup": op3_substring_dedup, "op4_pack_tokens": op4_pack_tokens, "op6_byte_bpe": op6_byte_bpe, "op7_warc_revisits": op7_warc_revisits, "op8_decontaminate": op8_decontaminate, "op9_exact_top_k": op9_exact_top_k}
+def op10_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality, voted by three quarters of the labels."""
+    docs = read_table(spark, sf_dir, "documents")
+    voters = quality.fit(docs, read_table(spark, sf_dir, "labels"), fold("id", 4) != 2)
+    scored = quality.score(docs, voters)
+    return scored.select(F.col("id").alias("doc_id"), (fold("id", 4) == 2).alias("held_out"), "score", (F.col("score") >= KEPT_QUALITY).cast("int").alias("predicted"))
+
+
+QUERIES = {"op1_pii": op1_pii, "op2_simhash": op2_simhash, "op3_substring_dedup": op3_substring_dedup, "op4_pack_tokens": op4_pack_tokens, "op5_toxicity": op5_toxicity, "op6_byte_bpe": op6_byte_bpe, "op7_warc_revisits": op7_warc_revisits, "op8_decontaminate": op8_decontaminate, "op9_exact_top_k": op9_exact_top_k, "op10_quality_votes": op10_quality_votes, "pipeline": corpus_pipeline.run}
 ORACLES: dict[str, str] = {"op3_substring_dedup": sql.OP3, "op7_warc_revisits": sql.OP7, "op8_decontaminate": sql.OP8, "op9_exact_top_k": sql.OP9}
