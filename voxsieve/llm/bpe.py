@@ -13,7 +13,6 @@ from __future__ import annotations
 import json
 import sys
 import unicodedata
-from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -27,8 +26,9 @@ from .common import as_text, bounded_batches, quoted
 #: Fixed value: the public pattern that splits text before the merges.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Cached words and chunks per Python worker; beyond it the caches start anew, which changes speed only.
-CACHE_ENTRIES = 600_000
+#: Cached chunks per Python worker and generation. A full generation becomes the old one, which the new one refills from as
+#: its entries are used; this changes speed only.
+CACHE_ENTRIES = 400_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -53,11 +53,20 @@ class ByteBpe:
         self.plain = {i for i in vocab.values() if i not in set(self.special.values())}
         for text, i in self.special.items():
             self.bytes_of[i] = text.encode()
+        self.length = [len(b) for b in self.bytes_of]
+        self.offsets = np.concatenate([[0], np.cumsum(self.length)]).astype(np.int64)
+        self.blob = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.path, self.spec, self.ready = path, spec, False
+
+    def prepare(self) -> None:
+        """Build what encoding needs; decoding does without."""
+        vocab, merges, size = self.spec["model"]["vocab"], self.spec["model"]["merges"], len(self.bytes_of)
+        self.ready, self.spec = True, None
         id_of = {self.bytes_of[i]: i for i in self.plain}
         # pairs that merge, with the merged token as its own rank; halves of each token under the merges
         self.merged: dict[tuple[int, int], int] = {}
         self.halves = [(i, i) for i in range(size)]
-        for merge in spec["model"]["merges"]:
+        for merge in merges:
             a, b = merge.split(" ") if isinstance(merge, str) else merge
             left, right = vocab[a], vocab[b]
             both = vocab[a + b]
@@ -65,7 +74,7 @@ class ByteBpe:
                 self.merged[left, right] = both
                 if self.halves[both] == (both, both):
                     self.halves[both] = (left, right)
-        self.length = [len(b) for b in self.bytes_of]
+        self.packed = [i.to_bytes(4, "little") for i in range(size)]
         # the longest token that is a proper prefix of a token, or -1
         self.shorter = [-1] * size
         self.automaton = ahocorasick.Automaton()
@@ -74,14 +83,12 @@ class ByteBpe:
             self.shorter[i] = next((id_of[token[:n]] for n in range(len(token) - 1, 0, -1) if token[:n] in id_of), -1)
         self.automaton.make_automaton()
         self.compatible: dict[tuple[int, int], bool] = {}
-        self.offsets = np.concatenate([[0], np.cumsum(self.length)]).astype(np.int64)
-        self.blob = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.words = regex.compile(WORDS)
         self.stops = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.settled: set[str] = set()  # characters that this Python's Unicode tables know
-        self.path, self.library = path, None
-        self.word_cache: dict[str, bytes] = {}
-        self.chunk_cache: dict[str, bytes] = {}
+        self.library = None
+        self.cache: dict[str, bytes] = {}  # ids of a space with what follows it, by what follows
+        self.old_cache: dict[str, bytes] = {}
 
     def pair_stands(self, left: int, right: int) -> bool:
         """Whether merging the bytes of left and right leaves exactly these two tokens."""
@@ -108,50 +115,68 @@ class ByteBpe:
                 bound, right = right + 1, inner_right
 
     def encode_word(self, word: bytes) -> list[int]:
-        n = len(word)
-        longest = [-1] * n
-        length = self.length
-        for end, token in self.automaton.iter(word.decode("latin-1")):
-            longest[end - length[token] + 1] = token
+        if not self.ready:
+            self.prepare()
+        letters = word.decode("latin-1")
+        # the longest tokens one after the other are right if all neighbours are compatible
+        greedy = [token for _, token in self.automaton.iter_long(letters)]
+        known = self.compatible
+        for pair in zip(greedy, greedy[1:]):  # noqa: B905
+            if not (known[pair] if pair in known else self.pair_stands(*pair)):
+                break
+        else:
+            return greedy
+        n, length, shorter, longest_at = len(word), self.length, self.shorter, self.automaton.iter_long
         usable = bytearray(b"\1") * (n + 1)
         out: list[int] = []
-        at, token = 0, longest[0] if n else -1
+        at, token, last = 0, greedy[0] if n else -1, -1
         while at < n:
-            last = out[-1] if out else -1
             while token >= 0:
-                if usable[at + length[token]] and (last < 0 or self.pair_stands(last, token)):
-                    break
-                token = self.shorter[token]
+                if usable[at + length[token]]:
+                    if last < 0:
+                        break
+                    pair = (last, token)
+                    if known[pair] if pair in known else self.pair_stands(last, token):
+                        break
+                token = shorter[token]
             if token >= 0:
                 out.append(token)
                 at += length[token]
-                token = longest[at] if at < n else -1
+                last = token
+                token = next(longest_at(letters, at))[1] if at < n else -1
             elif out:
                 usable[at] = 0
                 token = out.pop()
                 at -= length[token]
+                last = out[-1] if out else -1
             else:
                 raise ValueError("the vocabulary lacks a byte of the text")
         return out
 
     def _pack(self, ids: list[int]) -> bytes:
-        packed = array("I", ids)
-        if sys.byteorder == "big":
-            packed.byteswap()
-        return packed.tobytes()
+        packed = self.packed
+        return b"".join([packed[i] for i in ids])
 
     def _span(self, words: list[str]) -> bytes:
-        cache, out = self.word_cache, []
-        for w in words:
-            got = cache.get(w)
-            if got is None:
-                got = self._pack(self.encode_word(w.encode("utf-8", "surrogatepass")))
-                if len(w) <= 64:
-                    if len(cache) >= CACHE_ENTRIES:
-                        cache.clear()
-                    cache[w] = got
-            out.append(got)
-        return b"".join(out)
+        """Ids of words one by one; a word after one space shares the entry of the chunk that it makes up alone."""
+        return b"".join([self._chunk(w[1:], w) if w[0] == " " and len(w) > 1 else self._word(w) for w in words])
+
+    def _word(self, word: str) -> bytes:
+        return self._pack(self.encode_word(word.encode("utf-8", "surrogatepass")))
+
+    def _chunk(self, part: str, chunk: str) -> bytes:
+        """Ids of a chunk: a space and then part, which neither begins nor ends with a space."""
+        ids = self.cache.get(part) or self.old_cache.get(part)
+        if ids is None:
+            if part.isalpha() or len(words := self.words.findall(chunk)) == 1:
+                ids = self._word(chunk)
+            else:
+                ids = self._span(words)
+        if len(part) <= 64:
+            if len(self.cache) >= CACHE_ENTRIES:
+                self.old_cache, self.cache = self.cache, {}
+            self.cache[part] = ids
+        return ids
 
     def _strange(self, text: str) -> bool:
         """Whether a character is newer than this Python's Unicode tables, so that other libraries may class it otherwise."""
@@ -175,8 +200,7 @@ class ByteBpe:
         one by one and kept in a cache. Chunks at other spaces are joined to what follows until the end is a non-space.
         """
         parts = text.split(" ")
-        cache = self.chunk_cache
-        got = list(map(cache.get, parts))
+        got = list(map(self.cache.get, parts))
         got[0] = None
         k, n, out = 0, len(parts), []
         while k < n:
@@ -185,14 +209,8 @@ class ByteBpe:
                 k += 1
                 continue
             part = parts[k]
-            chunk = part if k == 0 else " " + part
-            if part and not part[-1].isspace():
-                ids = self._span(self.words.findall(chunk))
-                if k and not part[0].isspace() and len(part) <= 64:
-                    if len(cache) >= CACHE_ENTRIES:
-                        cache.clear()
-                    cache[part] = ids
-                out.append(ids)
+            if k and part and not part[-1].isspace() and not part[0].isspace():
+                out.append(self._chunk(part, " " + part))
                 k += 1
                 continue
             j = k
@@ -207,6 +225,8 @@ class ByteBpe:
         """The ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
+        if not self.ready:
+            self.prepare()
         stretch = (lambda t: self._span(self._library_words(t))) if not text.isascii() and self._strange(text) else self._stretch
         if self.stops is None or not any(s in text for s in self.special):
             return stretch(text)
