@@ -1,4 +1,227 @@
-"""Named queries and their SQL counterparts."""
+"""Named queries over the given tables, and the SQL that says the same.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+The events table is read as a field of 10 x 10 x 10 cells, one timestep for every 1000 rows, orders as a second variable.
+Figures are rounded to six digits on both sides, as engines add floats in different orders.
+"""
+
+from __future__ import annotations
+
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import GridConfig
+from ..functions import geometry as g
+from ..operators import autoconf, importance, recon, sampling, stats, temporal
+from ..sources import names, tables
+from ..streaming import reuse
+from . import sql
+
+#: Large regions for sampling; small ones and few bins where regions shall often be alike.
+GRID = GridConfig((10, 10, 10), (5, 5, 5), ratio=0.1, num_bins=20, lifetime=(0.0, 200.0), portable_hash=True)
+FINE = replace(GRID, block_dims=(5, 2, 1), num_bins=3, ratio=0.3, error_threshold=60.0)
+
+
+def _field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.events_field(spark, sf_dir, GRID.cells)
+
+
+def _r(c: str) -> F.Column:
+    return F.round(F.col(c), 6).alias(c)
+
+
+def cell_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gid = F.col("gid")
+    x, y, z = g.xyz(gid, GRID)
+    block, local = g.block_id(gid, GRID), g.local_id(gid, GRID)
+    return _field(spark, sf_dir).select("t", "gid", x.cast("int").alias("x"), y.cast("int").alias("y"), z.cast("int").alias("z"), block.alias("block_id"), local.alias("local_id"), g.global_id(block, local, GRID).alias("back"))
+
+
+def block_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return temporal.in_block(_field(spark, sf_dir), 3, GRID).select("t", "gid", g.local_id(F.col("gid"), GRID).alias("local_id"), "value")
+
+
+def timestep_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.value_range(_field(spark, sf_dir))
+
+
+def orders_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.value_range(tables.orders_field(spark, sf_dir, GRID.cells))
+
+
+def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.histogram(_field(spark, sf_dir), GRID)
+
+
+def embeddings_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.histogram(tables.embeddings_field(spark, sf_dir), GRID)
+
+
+def block_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stats.block_histogram(_field(spark, sf_dir), GRID)
+    return found.select("t", "block_id", F.posexplode("hist").alias("bin", "n"))
+
+
+def bin_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.bin_order(stats.histogram(_field(spark, sf_dir), GRID))
+
+
+def acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.acceptance(stats.histogram(_field(spark, sf_dir), GRID), GRID).select("t", "bin", "n", "k", _r("p"))
+
+
+def importance_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.importance_sample(_field(spark, sf_dir), GRID)
+
+
+def sample_counts_per_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    field = _field(spark, sf_dir)
+    return sampling.samples_per_block(field, sampling.importance_sample(field, GRID), GRID)
+
+
+def block_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return temporal.block_rmse(sampling.judged(_field(spark, sf_dir), FINE)).select("t", "block_id", "n_reference", _r("rmse"))
+
+
+def reuse_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return temporal.reuse_by_histogram(_field(spark, sf_dir), FINE).select("t", "block_id", "reused")
+
+
+def stream_reuse_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same decisions from a stream over the events file."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = reuse.field_stream(spark, sf_dir, "events.parquet", schema)
+    field = tables.numbered_rows(events, "event_id", "value", GRID.cells)
+    return reuse.run_available(reuse.reuse_stream(field, FINE), "reuse").select("t", "block_id", "reused")
+
+
+def reuse_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return temporal.reuse_by_error(sampling.judged(_field(spark, sf_dir), FINE), FINE).select("t", "block_id", "reused")
+
+
+def temporal_error_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return temporal.temporal_error_sample(_field(spark, sf_dir), FINE)[0].select("t", "gid", "block_id", "value")
+
+
+def fill_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return temporal.temporal_histogram_sample(_field(spark, sf_dir), FINE)[0]
+
+
+def coalesced_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples, blocks = temporal.temporal_histogram_sample(_field(spark, sf_dir), FINE, with_fill=False)
+    return temporal.coalesced(samples, blocks).select("t", "gid", "block_id", "value")
+
+
+def blocks_reused_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return temporal.reuse_counts(temporal.temporal_histogram_sample(_field(spark, sf_dir), FINE, with_fill=False)[1])
+
+
+def _rebuilt(spark: SparkSession, sf_dir: str, k: int = 1) -> DataFrame:
+    field = _field(spark, sf_dir)
+    samples = sampling.importance_sample(field, GRID)
+    return recon.nn_reconstruct(field, samples, GRID) if k == 1 else recon.knn_reconstruct(field, samples, GRID)
+
+
+def nn_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rebuilt(spark, sf_dir).select("t", "gid", "rebuilt")
+
+
+def knn3_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rebuilt(spark, sf_dir, 3).select("t", "gid", _r("rebuilt"))
+
+
+def _quality(pairs: DataFrame) -> DataFrame:
+    found = stats.paired_quality(pairs, F.col("value"), F.col("rebuilt"))
+    return found.select("t", "n", *map(_r, ("max_diff", "avg_diff", "rmse", "psnr", "snr")))
+
+
+def quality_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sample, rebuild, assess."""
+    return _quality(_rebuilt(spark, sf_dir))
+
+
+def quality_two_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field against another on the cells both have."""
+    field, other = _field(spark, sf_dir), tables.orders_field(spark, sf_dir, GRID.cells)
+    found = stats.quality(field, other)
+    return found.select("t", "n", *map(_r, ("max_diff", "avg_diff", "rmse", "psnr", "snr")))
+
+
+def _roi(field: DataFrame) -> DataFrame:
+    """A box for each timestep that moves and shrinks with it."""
+    t = F.col("t")
+    edges = {"x0": t % 3, "x1": 10 - t % 4, "y0": t % 2, "y1": F.lit(9), "z0": F.lit(1), "z1": 4 + t % 6}
+    return field.select("t").distinct().select("t", *[c.cast("int").alias(n) for n, c in edges.items()])
+
+
+def quality_roi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quality(stats.roi_cells(_rebuilt(spark, sf_dir), _roi(_field(spark, sf_dir)), GRID))
+
+
+def range_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stats.range_statistics(_rebuilt(spark, sf_dir), F.col("value"), F.col("rebuilt"))
+    return found.select("t", *map(_r, found.columns[1:]))
+
+
+def error_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return autoconf.error_threshold(_field(spark, sf_dir))
+
+
+def bin_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = autoconf.bin_widths(_field(spark, sf_dir))
+    return found.select("t", "n", *map(_r, ("sd", "span", "scott", "doane", "sturges")), "scott_bins", "doane_bins", "sturges_bins")
+
+
+def config_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return autoconf.auto_bins(_field(spark, sf_dir), GRID).select("num_bins", _r("psnr"))
+
+
+def candidate_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over the grid that orders fill: ten by twenty by as far as they go."""
+    wide = GridConfig((10, 20, 1), (1, 1, 1))
+    cells = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.lit(0).alias("t"), F.col("o_orderkey").alias("gid"))
+    return autoconf.candidate_regions(autoconf.grid_extent(cells, wide))
+
+
+def boundary_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    field = _field(spark, sf_dir)
+    return recon.with_corners(sampling.importance_sample(field, GRID), field, GRID)
+
+
+def filename_timesteps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File names as a run over the field would write them, back to timesteps in order."""
+    times = _field(spark, sf_dir).select((F.col("t") * 7 % 1000).alias("t")).distinct()
+    path = F.when(F.col("t") % 5 == 3, F.concat(F.lit("/run/notes_"), F.col("t"))).otherwise(F.concat(F.lit("/run/Pf"), F.col("t"), F.lit(".bin")))
+    return names.timestep_index(times.select(path.alias("path")), r"Pf([0-9]+).bin")
+
+
+def sample_union_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of two ratios together, each cell once."""
+    field = _field(spark, sf_dir)
+    low, high = sampling.importance_sample(field, GRID), sampling.importance_sample(field, replace(GRID, ratio=0.2))
+    both = low.select("t", "gid", "value").unionByName(high.select("t", "gid", "value"))
+    return both.groupBy("t", "gid").agg(F.min("value").alias("value"), F.count("*").alias("times"))
+
+
+def stats_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's figures by timestep, with means over all timesteps as t = -1."""
+    field = _field(spark, sf_dir)
+    samples, blocks = temporal.temporal_histogram_sample(field, FINE, with_fill=False)
+    effective = temporal.coalesced(samples, blocks)
+    pairs = recon.nn_reconstruct(field, effective, FINE)
+    rows = stats.paired_quality(pairs, F.col("value"), F.col("rebuilt")).join(temporal.reuse_counts(blocks), "t").select("t", "blocks_reused", "n_samples", "max_diff", "avg_diff", "psnr", "snr").cache()
+    whole = rows.agg(F.lit(-1).alias("t"), *[F.avg(c).alias(c) for c in rows.columns[1:]])
+    figures = rows.select("t", *[F.col(c).cast("double").alias(c) for c in rows.columns[1:]])
+    return figures.unionByName(whole).select("t", *map(_r, rows.columns[1:]))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        cell_geometry, block_extract, timestep_range, orders_range, histogram, embeddings_histogram, block_histogram, bin_order, acceptance, importance_sample, sample_counts_per_block, block_rmse,
+        reuse_histogram, stream_reuse_histogram, reuse_error, temporal_error_samples, fill_samples, coalesced_samples, blocks_reused_stats, nn_reconstruct, knn3_reconstruct, quality_metrics, quality_two_variables, quality_roi,
+        range_statistics, error_threshold, bin_widths, config_bins, candidate_regions, boundary_corners, filename_timesteps, sample_union_dedup, stats_report,
+    )
+}
+ORACLES = sql.ORACLES

@@ -1 +1 @@
-
+"""Reuse decisions over arriving timesteps."""
