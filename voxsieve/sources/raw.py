@@ -199,7 +199,7 @@ def read_samples(spark: SparkSession, folder: str, cfg: GridConfig) -> tuple[Dat
 
 def read_roi(spark: SparkSession, path: str) -> DataFrame:
     """(t, x0, x1, y0, y1, z0, z1) from lines of six numbers, whatever stands around them; line k is timestep k."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split(F.regexp_replace("value", "\r", ""), "\n")).alias("t", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\r", ""), "\n")).alias("t", "line"))
     numbers = F.transform(F.split(F.regexp_replace("line", "[^0-9,]", ""), ","), lambda x: x.cast("int"))
     return lines.where(F.col("line").rlike("[0-9]")).select("t", *[numbers[k].alias(n) for k, n in enumerate(("x0", "x1", "y0", "y1", "z0", "z1"))])
 

@@ -1,8 +1,8 @@
 """Histogram reuse as a stateful stream: the same decisions as the batch window, made when a region's timestep is complete.
 
 State of a region: its last complete timestep, that one's histogram and whether it reused, and the counts of timesteps that
-are still arriving. Cells of a timestep no later than the last complete one are late and dropped. Timesteps complete in order;
-one that is complete before an earlier one waits for it.
+are still arriving. Cells of a timestep no later than the last complete one are late and dropped. A complete timestep waits for
+earlier ones that have begun to arrive; a timestep of which nothing has come is a gap, after which nothing is reused.
 """
 
 from __future__ import annotations
