@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from voxsieve.config import PRESETS, GridConfig
 from voxsieve.functions import geometry as g
 from voxsieve.operators import autoconf, importance, recon, sampling, stats, temporal
+from voxsieve.plans import lifecycle
 from voxsieve.sources import names, raw, shared, tables
 from voxsieve.streaming import reuse
 
@@ -327,3 +328,23 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_tables(spark, data_dir):
     assert tables.events_field(spark, data_dir, 1000).agg(F.max("gid")).first()[0] == 999
     assert tables.embeddings_field(spark, data_dir).count() == 64 * spark.read.parquet(f"{data_dir}/embeddings.parquet").count()
+
+
+def test_methods_and_views(spark):
+    cfg = replace(GRID, ratio=0.4, error_threshold=0.6)
+    field = field_of(spark, near_steps(3))
+    for number, name in ((1, "importance"), (5, "histogram_reuse_filled"), (9, "error_reuse_filled")):
+        assert lifecycle.NUMBERED[number] == name
+    for method in ("importance", 4, "error_reuse"):
+        rows = lifecycle.assess(field, cfg, method, nearest=3).orderBy("t").collect()
+        assert [r.t for r in rows] == [0, 1, 2] and all(r.n == cfg.cells for r in rows)
+    samples, blocks = lifecycle.sample(field, cfg, "importance")
+    lifecycle.register_views(field, samples, blocks, lifecycle.rebuild(field, samples, blocks, cfg))
+    assert spark.sql("select count(*) from recon join field using (t, gid) left anti join samples using (t, gid)").first()[0] == 3 * cfg.cells - samples.count()
+
+
+def test_spacing(spark):
+    at = tuple(F.lit(v) for v in (3, 4, 5))
+    there = g.physical(at, (0.5, 2.0, 10.0))
+    row = spark.range(1).select(*there, *g.logical(there, (0.5, 2.0, 10.0))).first()
+    assert tuple(row) == (1.5, 8.0, 50.0, 3, 4, 5)

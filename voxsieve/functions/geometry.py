@@ -70,3 +70,13 @@ def uniform(stage: str, t: Column, gid: Column, cfg: GridConfig) -> Column:
         return F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
     mixed = F.xxhash64(F.lit(stage), t, gid, F.lit(cfg.seed))
     return F.shiftrightunsigned(mixed, 11).cast("double") / F.lit(float(1 << 53))
+
+
+def physical(at: tuple[Column, Column, Column], spacing: tuple[float, float, float]) -> tuple[Column, ...]:
+    """Coordinates in the data's units from coordinates in cells."""
+    return tuple(c * F.lit(float(s)) for c, s in zip(at, spacing, strict=True))
+
+
+def logical(at: tuple[Column, Column, Column], spacing: tuple[float, float, float]) -> tuple[Column, ...]:
+    """Coordinates in cells from coordinates in the data's units."""
+    return tuple(F.round(c / F.lit(float(s))).cast("long") for c, s in zip(at, spacing, strict=True))

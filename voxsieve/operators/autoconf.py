@@ -43,24 +43,29 @@ def bin_widths(field: DataFrame, textbook: bool = False) -> DataFrame:
     return widths.select("*", bins("scott").alias("scott_bins"), bins("doane").alias("doane_bins"), bins("sturges").alias("sturges_bins"))
 
 
-def auto_bins(field: DataFrame, cfg: GridConfig) -> DataFrame:
-    """(num_bins, psnr): of Scott's and Doane's numbers of bins the one that rebuilds the first timestep best; Scott's at once
-    for regions of one cell. Each candidate is a whole sampling and reconstruction of that timestep."""
+def bins_sweep(field: DataFrame, cfg: GridConfig) -> DataFrame:
+    """(num_bins, psnr, place) for Scott's and Doane's numbers of bins: how well each rebuilds the first timestep; Scott's alone,
+    untried, for regions of one cell. Each candidate is a whole sampling and reconstruction of that timestep."""
     first = field.agg(F.min("t")).first()[0]
     start = field.where(F.col("t") == first)
     widths = bin_widths(start).select("scott_bins", "doane_bins").first()
-    spark = field.sparkSession
+    spark, shape = field.sparkSession, "num_bins int, psnr double, place int"
     if widths is None:
-        return spark.createDataFrame([], "num_bins int, psnr double")
+        return spark.createDataFrame([], shape)
     if cfg.block_dims == (1, 1, 1):
-        return spark.createDataFrame([(widths.scott_bins, None)], "num_bins int, psnr double")
-    tried = None
+        return spark.createDataFrame([(widths.scott_bins, None, 0)], shape)
+    tried = spark.createDataFrame([], shape)
     for place, bins in enumerate(dict.fromkeys(widths)):
         own = replace(cfg, num_bins=bins)
         rebuilt = nn_reconstruct(start, importance_sample(start, own), own)
-        row = paired_quality(rebuilt, F.col("value"), F.col("rebuilt")).select(F.lit(bins).alias("num_bins"), "psnr", F.lit(-place).alias("place"))
-        tried = row if tried is None else tried.unionByName(row)
-    return tried.orderBy(F.col("psnr").desc(), F.col("place").desc()).limit(1).select("num_bins", "psnr")
+        row = paired_quality(rebuilt, F.col("value"), F.col("rebuilt")).select(F.lit(bins).alias("num_bins"), "psnr", F.lit(place).alias("place"))
+        tried = tried.unionByName(row)
+    return tried
+
+
+def auto_bins(field: DataFrame, cfg: GridConfig) -> DataFrame:
+    """(num_bins, psnr): the best of the sweep, the first of equals."""
+    return bins_sweep(field, cfg).orderBy(F.col("psnr").desc(), "place").limit(1).select("num_bins", "psnr")
 
 
 def error_threshold(field: DataFrame, share: float = 0.75) -> DataFrame:

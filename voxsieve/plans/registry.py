@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from ..config import GridConfig
 from ..functions import geometry as g
 from ..operators import autoconf, importance, recon, sampling, stats, temporal
-from ..sources import names, tables
+from ..sources import names, shared, tables
 from ..streaming import reuse
-from . import sql
+from . import lifecycle, sql
 
 #: Large regions for sampling; small ones and few bins where regions shall often be alike.
 GRID = GridConfig((10, 10, 10), (5, 5, 5), ratio=0.1, num_bins=20, lifetime=(0.0, 200.0), portable_hash=True)
@@ -177,6 +177,26 @@ def config_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return autoconf.auto_bins(_field(spark, sf_dir), GRID).select("num_bins", _r("psnr"))
 
 
+def bins_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return autoconf.bins_sweep(_field(spark, sf_dir), GRID).select("num_bins", _r("psnr"), "place")
+
+
+def snr_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The signal-to-noise ratio of each timestep's file, over all cells and over the region of interest."""
+    field = _field(spark, sf_dir)
+    found = lifecycle.snr_report(_rebuilt(spark, sf_dir), _roi(field), GRID, "Pf{t}.bin")
+    return found.select("t", "filename", _r("snr"), _r("snr_roi"))
+
+
+def method_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What three of the methods keep and how well they rebuild, by timestep."""
+    field, out = _field(spark, sf_dir), None
+    for method in ("importance", "histogram_reuse", "error_reuse"):
+        rows = lifecycle.assess(field, FINE, method).select("t", F.lit(method).alias("method"), "blocks_reused", "n_samples", *map(_r, ("max_diff", "avg_diff", "psnr")))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def candidate_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over the grid that orders fill: ten by twenty by as far as they go."""
     wide = GridConfig((10, 20, 1), (1, 1, 1))
@@ -205,15 +225,17 @@ def sample_union_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stats_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The report's figures by timestep, with means over all timesteps as t = -1."""
+    """The report's figures by timestep, with means over all timesteps as t = -1 and deviations as t = -2."""
     field = _field(spark, sf_dir)
     samples, blocks = temporal.temporal_histogram_sample(field, FINE, with_fill=False)
     effective = temporal.coalesced(samples, blocks)
     pairs = recon.nn_reconstruct(field, effective, FINE)
-    rows = stats.paired_quality(pairs, F.col("value"), F.col("rebuilt")).join(temporal.reuse_counts(blocks), "t").select("t", "blocks_reused", "n_samples", "max_diff", "avg_diff", "psnr", "snr").cache()
+    rows = stats.paired_quality(pairs, F.col("value"), F.col("rebuilt")).join(temporal.reuse_counts(blocks), "t").select("t", "blocks_reused", "n_samples", "max_diff", "avg_diff", "psnr", "snr")
+    rows = shared.written(rows, "report")
     whole = rows.agg(F.lit(-1).alias("t"), *[F.avg(c).alias(c) for c in rows.columns[1:]])
+    spread = rows.agg(F.lit(-2).alias("t"), *[F.stddev_pop(c).alias(c) for c in rows.columns[1:]])
     figures = rows.select("t", *[F.col(c).cast("double").alias(c) for c in rows.columns[1:]])
-    return figures.unionByName(whole).select("t", *map(_r, rows.columns[1:]))
+    return figures.unionByName(whole).unionByName(spread).select("t", *map(_r, rows.columns[1:]))
 
 
 QUERIES = {
@@ -221,7 +243,7 @@ QUERIES = {
     for f in (
         cell_geometry, block_extract, timestep_range, orders_range, histogram, embeddings_histogram, block_histogram, bin_order, acceptance, importance_sample, sample_counts_per_block, block_rmse,
         reuse_histogram, stream_reuse_histogram, reuse_error, temporal_error_samples, fill_samples, coalesced_samples, blocks_reused_stats, nn_reconstruct, knn3_reconstruct, quality_metrics, quality_two_variables, quality_roi,
-        range_statistics, error_threshold, bin_widths, config_bins, candidate_regions, boundary_corners, filename_timesteps, sample_union_dedup, stats_report,
+        range_statistics, error_threshold, bin_widths, bins_sweep, config_bins, snr_report, method_figures, candidate_regions, boundary_corners, filename_timesteps, sample_union_dedup, stats_report,
     )
 }
 ORACLES = sql.ORACLES

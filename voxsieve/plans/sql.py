@@ -125,6 +125,28 @@ WIDTHS = """moment AS (
 )"""
 
 
+HEAD = "head AS (SELECT * FROM field WHERE t = 0), choice AS (SELECT (ceil(span / scott) + 1)::INTEGER AS s, (ceil(span / doane) + 1)::INTEGER AS d FROM width WHERE t = 0)"
+INSIDE = "inside AS (SELECT * FROM rebuilt WHERE gid % 10 >= t % 3 AND gid % 10 < 10 - t % 4 AND (gid // 10) % 10 >= t % 2 AND (gid // 10) % 10 < 9 AND gid // 100 >= 1 AND gid // 100 < 4 + t % 6)"
+
+
+def method_of(name: str, flags: str) -> tuple[str, ...]:
+    """Own and effective samples, counts and quality of a method, given the table of its reuse flags."""
+    return (
+        f"own_{name} AS (SELECT t, gid, block_id, value FROM sample JOIN {flags} USING (t, block_id) WHERE NOT reused)",
+        EFFECTIVE.replace("effective", f"effective_{name}").replace("own", f"own_{name}").replace("flags", flags),
+        COUNTS.replace("counts", f"counts_{name}").replace("FROM own", f"FROM own_{name}").replace("flags", flags),
+        rebuilt_of(f"effective_{name}", f"rebuilt_{name}"),
+        f"quality_{name} AS (" + QUALITY.format(pairs=f"rebuilt_{name}") + ")",
+    )
+
+
+METHOD_PARTS = (
+    ("never AS (SELECT t, block_id, false AS reused FROM flags)", *method_of("importance", "never")),
+    method_of("histogram_reuse", "flags"),
+    (ERRORS, ERROR_MAY.replace("may AS", "may_e AS"), PARITY.replace("flags", "flags_e").replace("FROM may", "FROM may_e").replace("run AS (", "run_e AS (").replace("FROM run", "FROM run_e"), *method_of("error_reuse", "flags_e")),
+)
+
+
 def tried(bins_from: str, place: int) -> str:
     """Sampling and rebuilding the first timestep with a number of bins that is itself a result."""
     n = f"(SELECT {bins_from} FROM choice)"
@@ -180,11 +202,14 @@ ORACLES = {
   GROUP BY t, gid)""",
     "quality_metrics": start(*SAMPLED, rebuilt_of()) + QUALITY.format(pairs="rebuilt"),
     "quality_two_variables": start("pair AS (SELECT t, gid, value, o_totalprice AS rebuilt FROM field JOIN orders ON t = o_orderkey // 1000 AND gid = o_orderkey % 1000)") + QUALITY.format(pairs="pair"),
-    "quality_roi": start(*SAMPLED, rebuilt_of(), "inside AS (SELECT * FROM rebuilt WHERE gid % 10 >= t % 3 AND gid % 10 < 10 - t % 4 AND (gid // 10) % 10 >= t % 2 AND (gid // 10) % 10 < 9 AND gid // 100 >= 1 AND gid // 100 < 4 + t % 6)") + QUALITY.format(pairs="inside"),
+    "quality_roi": start(*SAMPLED, rebuilt_of(), INSIDE) + QUALITY.format(pairs="inside"),
     "range_statistics": start(*SAMPLED, rebuilt_of()) + "SELECT t, " + ", ".join(f"round({f}({c}), 6) AS {name}_{n}" for name, c in (("raw", "value"), ("sampled", "rebuilt")) for n, f in (("min", "min"), ("max", "max"), ("mean", "avg"), ("sd", "stddev_pop"))) + " FROM rebuilt GROUP BY t",
     "error_threshold": start("pair AS (SELECT abs(b.value - a.value) AS gap FROM field a JOIN field b USING (gid) WHERE a.t = 0 AND b.t = 1), ordered AS (SELECT gap, row_number() OVER (ORDER BY gap) - 1 AS r, count(*) OVER () AS n FROM pair)") + "SELECT max(gap) AS value FROM ordered WHERE r = trunc(n * 0.75)::BIGINT",
     "bin_widths": start(WIDTHS) + "SELECT t, n, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("sd", "span", "scott", "doane", "sturges")) + ", " + ", ".join(f"(ceil(span / {c}) + 1)::INTEGER AS {c}_bins" for c in ("scott", "doane", "sturges")) + " FROM width",
-    "config_bins": start(WIDTHS, "head AS (SELECT * FROM field WHERE t = 0), choice AS (SELECT (ceil(span / scott) + 1)::INTEGER AS s, (ceil(span / doane) + 1)::INTEGER AS d FROM width WHERE t = 0)", tried("s", 0), tried("d", 1)) + "SELECT num_bins, psnr FROM (SELECT * FROM score_0 UNION ALL SELECT * FROM score_1) ORDER BY psnr DESC, place DESC LIMIT 1",
+    "config_bins": start(WIDTHS, HEAD, tried("s", 0), tried("d", 1)) + "SELECT num_bins, psnr FROM (SELECT * FROM score_0 UNION ALL SELECT * FROM score_1) ORDER BY psnr DESC, place DESC LIMIT 1",
+    "bins_sweep": start(WIDTHS, HEAD, tried("s", 0), tried("d", 1)) + "SELECT num_bins, psnr, (-place)::INTEGER AS place FROM (SELECT * FROM score_0 UNION ALL SELECT * FROM score_1)",
+    "snr_report": start(*SAMPLED, rebuilt_of(), INSIDE, "a AS (" + QUALITY.format(pairs="rebuilt") + "), b AS (" + QUALITY.format(pairs="inside") + ")") + "SELECT t, 'Pf' || t || '.bin' AS filename, a.snr, b.snr AS snr_roi FROM a LEFT JOIN b USING (t)",
+    "method_figures": start(*FINE_SAMPLED, FINE_HIST, PARITY, *[part for m in METHOD_PARTS for part in m]) + " UNION ALL ".join(f"SELECT t, '{m}' AS method, blocks_reused, n_samples, max_diff, avg_diff, psnr FROM quality_{m} JOIN counts_{m} USING (t)" for m in ("importance", "histogram_reuse", "error_reuse")),
     "candidate_regions": """
 WITH extent AS (SELECT max(o_orderkey % 10)::INTEGER + 1 AS xd, max(o_orderkey // 10 % 20)::INTEGER + 1 AS yd, max(o_orderkey // 200)::INTEGER + 1 AS zd FROM orders
 ), size AS (
@@ -200,5 +225,5 @@ SELECT (row_number() OVER (ORDER BY bx, by_, bz) - 1)::INTEGER AS place, bx::INT
 ) WHERE timestep IS NOT NULL""",
     "sample_union_dedup": start(*SAMPLED, "hist_b AS (SELECT * FROM hist), binned_b AS (SELECT * FROM binned)", acceptance_of(0.2, "_b"), sample_of(GRID_BLOCK, "_b")) + "SELECT t, gid, min(value) AS value, count(*) AS times FROM (SELECT t, gid, value FROM sample UNION ALL SELECT t, gid, value FROM sample_b) GROUP BY t, gid",
     "stats_report": start(*HISTOGRAM_SAMPLES, EFFECTIVE, COUNTS, rebuilt_of("effective"), "quality AS (" + QUALITY.format(pairs="rebuilt").replace("round(", "(").replace(", 6)", ")") + "), report AS (SELECT t, blocks_reused, n_samples, max_diff, avg_diff, psnr, snr FROM quality JOIN counts USING (t))")
-    + "SELECT t, " + ", ".join(f"round({c}::DOUBLE, 6) AS {c}" for c in ("blocks_reused", "n_samples", "max_diff", "avg_diff", "psnr", "snr")) + " FROM report UNION ALL SELECT -1, " + ", ".join(f"round(avg({c}), 6)" for c in ("blocks_reused", "n_samples", "max_diff", "avg_diff", "psnr", "snr")) + " FROM report",
+    + "SELECT t, " + ", ".join(f"round({c}::DOUBLE, 6) AS {c}" for c in ("blocks_reused", "n_samples", "max_diff", "avg_diff", "psnr", "snr")) + " FROM report UNION ALL SELECT -1, " + ", ".join(f"round(avg({c}), 6)" for c in ("blocks_reused", "n_samples", "max_diff", "avg_diff", "psnr", "snr")) + " FROM report UNION ALL SELECT -2, " + ", ".join(f"round(stddev_pop({c}), 6)" for c in ("blocks_reused", "n_samples", "max_diff", "avg_diff", "psnr", "snr")) + " FROM report",
 }
