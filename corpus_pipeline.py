@@ -20,23 +20,12 @@ from voxsieve.llm.common import fold, read_table, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 KEPT_QUALITY = 0.7
-ROW = "__voxsieve_row"
-
-
-def _keep(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """The rows of docs, a table, whose row numbers are in judged. Row numbers follow the table's files, so nothing else has to match."""
-    return docs.withColumn(ROW, F.monotonically_increasing_id()).join(judged.select(F.col("id").alias(ROW)), ROW, "left_semi").drop(ROW)
-
-
-def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn(ROW, F.monotonically_increasing_id())
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the quality classifier rejects."""
     voters = quality.fit(docs, read_table(spark, sf_dir, "labels"), fold("id", 4) != 2)
-    scored, _ = written(quality.score(_numbered(docs), voters, id_col=ROW), "quality")
-    return _keep(docs, scored.where(F.col("score") >= KEPT_QUALITY))
+    return quality.keep(docs, voters, KEPT_QUALITY)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +35,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that hold much of the benchmark."""
-    hits = decontaminate.find_hits(_numbered(docs), read_table(spark, sf_dir, "benchmark"), id_col=ROW)
-    hits, _ = written(hits.select("id", decontaminate.contaminated(F.col("n_hit"), F.col("n_words")).alias("bad")), "contaminated")
-    return _keep(docs, hits.where("not bad"))
+    return decontaminate.remove_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

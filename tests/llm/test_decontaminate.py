@@ -49,7 +49,7 @@ def test_brute_force_with_odd_rows(spark):
     text = lambda n, v: " ".join(rng.choice("abcdefgh"[:v]) for _ in range(n))
     items = [(k, text(rng.randint(1, 40), 3)) for k in range(8)] + [(8, None), (9, ""), (None, text(20, 2)), (3, text(30, 2)), (11, "z! Y,x"), (12, "é日 7")]
     docs = [(k, text(rng.randint(0, 120), 3)) for k in range(60)] + [(60, None), (61, "..."), (None, items[0][1]), (5, "q Z y X"), (5, "q Z y X"), (62, "É é日 7 é日\u00007"), (63, "w " * 30000 + items[3][1])]
-    frame = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, id string").repartition(3)
+    frame = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, id string").repartition(3).checkpoint()
     bench = spark.createDataFrame(items, "item_id long, text string")
     key = lambda r: (r[0] is None, r[0] or 0, r[1:])
     want = sorted(brute(docs, items), key=key)
@@ -60,7 +60,10 @@ def test_brute_force_with_odd_rows(spark):
             for m in r.matches:
                 own = words_of(next(t for i, t in docs if i == r.id and len(words_of(t)) == r.n_words))
                 assert m.item is None or any(words_of(t)[m.item_word : m.item_word + m.n_words] == own[m.word : m.word + m.n_words] for i, t in items if str(i) == m.item)
+        clean = sorted((r.doc_id or -1, len(words_of(r.text))) for r in decontaminate.remove_contaminated(frame, bench, slice_bytes=bound).collect())
+        assert clean == sorted((i or -1, n) for i, n, hit, _ in want if not (hit and 20 * hit >= n))
     assert decontaminate.find_hits(frame.limit(0), bench).collect() == []
+    assert decontaminate.remove_contaminated(frame.limit(0), bench).columns == frame.columns
     assert {r.n_hit for r in decontaminate.find_hits(frame, bench.limit(0)).collect()} == {0}
 
 

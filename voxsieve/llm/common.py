@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,3 +67,9 @@ def quoted(name: str) -> Column:
 def as_text(column: str) -> Column:
     """A text column with nulls read as the empty text."""
     return F.coalesce(quoted(column).cast("string"), F.lit(""))
+
+
+def through(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """Rows passed whole through run, which keeps, changes or drops them but not their columns. No shuffle."""
+    numbered = rows.select(*[quoted(c).alias(f"c{k}") for k, c in enumerate(rows.columns)])
+    return numbered.mapInArrow(run, numbered.schema).select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(rows.columns)])

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, bounded_batches, quoted, written
+from .common import as_text, bounded_batches, quoted, through, written
 from .words import ALPHANUMERIC, LOWER, Words
 
 WINDOW = 13
@@ -183,24 +183,23 @@ def longest_matches(words: Words, bench: Benchmark, at: np.ndarray, window: np.n
     return np.stack([document, at[first] - words.first[document], bench.item[window[order][first]], offset[first], length], 1) if len(at) else np.empty((0, 5), np.int64)
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array, list[bytes]]]:
-    """Rows, ids and texts of one shard after another."""
+def _shards(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[pa.Table, list[bytes]]]:
+    """One shard after another: its rows, and their texts as bytes."""
     held, texts, size = [], [], 0
-    gather = lambda: (*(pa.concat_arrays([b.column(k) for b in held]) for k in (0, 1)), texts)
     for batch in batches:
         begin = 0
-        for k, text in enumerate(batch.column(2).to_pylist()):
-            raw = text.encode()
+        for k, text in enumerate(batch.column(text_at).to_pylist()):
+            raw = (text or "").encode()
             texts.append(raw)
             size += len(raw)
             if size >= SHARD_BYTES:
                 held.append(batch.slice(begin, k + 1 - begin))
-                yield gather()
+                yield pa.Table.from_batches(held), texts
                 held, texts, size, begin = [], [], 0, k + 1
         if begin < len(batch):
             held.append(batch.slice(begin))
     if texts:
-        yield gather()
+        yield pa.Table.from_batches(held), texts
 
 
 def _slices(items: DataFrame, window: int, slice_bytes: int) -> tuple[int, Iterator[Benchmark]]:
@@ -229,12 +228,12 @@ def _search(rows: DataFrame, bench: Benchmark) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench = shared.value
-        for row, ids, texts in _shards(batches):
+        for table, texts in _shards(batches, 2):
             words = Words(texts, ALPHANUMERIC, LOWER)
             at, size, window = occurrences(words, bench)
             starts, ends, items, matches = _by_document(words, bench, at, size, window)
             longs = pa.list_(pa.int64())
-            columns = [row, ids, pa.array(np.diff(words.first), pa.int64()), pa.array(starts, longs), pa.array(ends, longs), pa.array(items, pa.list_(pa.string())), pa.array(matches, pa.list_(match))]
+            columns = [*(table.column(k).combine_chunks() for k in (0, 1)), pa.array(np.diff(words.first), pa.int64()), pa.array(starts, longs), pa.array(ends, longs), pa.array(items, pa.list_(pa.string())), pa.array(matches, pa.list_(match))]
             yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "n_words", "starts", "ends", "items", "matches"])
 
     return rows.mapInArrow(run, f"row long, id {id_type}, n_words long, starts array<long>, ends array<long>, items array<string>, matches array<{MATCH}>")
@@ -272,10 +271,15 @@ def _merged(spans: Column) -> Column:
     return F.aggregate(spans, F.expr("cast(array() as array<struct<starts:bigint,ends:bigint>>)"), add)
 
 
+def _hit_words(words: Words, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which words of the shard lie in an occurrence."""
+    cover = np.bincount(at, minlength=len(words) + 1) - np.bincount(at + size, minlength=len(words) + 1)
+    return np.cumsum(cover)[:-1] > 0
+
+
 def _by_document(words: Words, bench: Benchmark, at: np.ndarray, size: np.ndarray, window: np.ndarray) -> tuple[list, list, list, list]:
     """Merged spans of hit words, the items found and the longest matches, for each text of the shard."""
-    cover = np.bincount(at, minlength=len(words) + 1) - np.bincount(at + size, minlength=len(words) + 1)
-    hit = np.cumsum(cover)[:-1] > 0
+    hit = _hit_words(words, at, size)
     n = len(words.first) - 1
     starts, ends, items, matches = ([[] for _ in range(n)] for _ in range(4))
     name = lambda k: bench.names[k] if k >= 0 else None
@@ -292,3 +296,29 @@ def _by_document(words: Words, bench: Benchmark, at: np.ndarray, size: np.ndarra
 def contaminated(n_hit: Column, n_words: Column) -> Column:
     """Whether the hit words are at least a twentieth of all."""
     return (n_hit > 0) & (20 * n_hit >= n_words)
+
+
+def remove_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """docs without the contaminated rows. Rows pass through one step with the benchmark at hand and aren't shuffled, unless the
+    benchmark comes in several slices, whose hits must be put together first; docs must then read alike each time, as a table does.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    n, slices = _slices(items.select(quoted(item_id_col).cast("string").alias("id"), as_text(item_text_col).alias("text")), window, slice_bytes)
+    if n > 1:
+        row = F.monotonically_increasing_id()
+        hits = find_hits(docs.withColumn("__row", row), items, window, "__row", text_col, item_id_col, item_text_col, slice_bytes)
+        clean, _ = written(hits.where(~contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("id").alias("__row")), "clean")
+        return docs.withColumn("__row", row).join(clean, "__row", "left_semi").drop("__row")
+    shared, text_at = spark.sparkContext.broadcast(next(slices)), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, texts in _shards(batches, text_at):
+            words = Words(texts, ALPHANUMERIC, LOWER)
+            at, size, _ = occurrences(words, shared.value)
+            hits = np.concatenate([[0], np.cumsum(_hit_words(words, at, size))])[words.first]
+            n_hit, n_words = np.diff(hits), np.diff(words.first)
+            bad = (n_hit > 0) & (20 * n_hit >= n_words)
+            yield from table.filter(pa.array(~bad)).to_batches(max_chunksize=1000)
+
+    return through(docs, run)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, bounded_batches, quoted
+from .common import as_text, bounded_batches, quoted, through
 
 #: Labelled rows that vote, taken by hash, and the characters up to which a text may be one of them.
 FIT_ROWS, FIT_CHARS = 4000, 30_000
@@ -168,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, teaches: Column, id_col: str = "doc_
 
 
 def score(docs: DataFrame, voters: Voters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with a column score; the score of every text. No shuffle."""
+    """(id, score): the score of every text. No shuffle."""
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(quoted(id_col).alias("id"), as_text(text_col).alias("text"))
@@ -181,3 +181,17 @@ def score(docs: DataFrame, voters: Voters, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["id", "score"])
 
     return rows.mapInArrow(run, f"id {id_type}, score double")
+
+
+def keep(docs: DataFrame, voters: Voters, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose texts score at least so much. No shuffle."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    shared, at = spark.sparkContext.broadcast(voters), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = shared.value.vote([t or "" for t in batch.column(at).to_pylist()])
+            yield batch.filter(pa.array(scores >= least))
+
+    return through(docs, run)
