@@ -35,8 +35,8 @@ from .words import NOT_SPACE, Words, window_hashes
 
 LENGTH = 50
 #: Bytes of text in a chunk, but for a single longer document.
-CHUNK_BYTES = 32 << 20
-SECOND_BASE = np.uint64(0xA24BAED4963EE407)
+CHUNK_BYTES = 12 << 20
+SECOND_BASE = 0xA24BAED4963EE407
 
 
 def difference_cover(period: int) -> list[int]:
@@ -144,10 +144,10 @@ def _open(ids: pa.Array, texts: list[bytes]) -> Chunk:
 
 
 def _told(at: str, chunk: int, columns: list[str]) -> list[np.ndarray]:
-    """A chunk's part of a table written by chunk."""
-    store, base = pafs.FileSystem.from_uri(f"{at}/chunk={chunk}")
+    """A chunk's rows of a table written by partition, of which row groups of other chunks are passed over."""
+    store, base = pafs.FileSystem.from_uri(f"{at}/part={chunk >> 24}")
     found = store.get_file_info(pafs.FileSelector(base, allow_not_found=True))
-    parts = [pq.read_table(f.path, filesystem=store, columns=columns, partitioning=None) for f in found if f.path.endswith(".parquet")]
+    parts = [pq.read_table(f.path, filesystem=store, columns=columns, filters=[("chunk", "=", chunk)], partitioning=None) for f in found if f.path.endswith(".parquet")]
     if not parts:
         return [np.empty(0, np.int64) for _ in columns]
     table = pa.concat_tables(parts)
@@ -158,9 +158,10 @@ def _batch(columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
 
-def _by_chunk(rows: DataFrame, at: str, *columns: Column | str) -> None:
-    """Write what each chunk is told, one folder a chunk."""
-    rows.select("chunk", *columns).distinct().repartition("chunk").write.partitionBy("chunk").parquet(at)
+def _by_chunk(rows: DataFrame, at: str, *columns: str) -> None:
+    """Write what each chunk is told: a folder for each partition, in order of its chunks, in small row groups."""
+    rows = rows.select(F.shiftright("chunk", 24).alias("part"), "chunk", *columns).distinct()
+    rows.repartition("part").sortWithinPartitions("part", "chunk").write.partitionBy("part").option("parquet.block.size", 1 << 20).parquet(at)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_ODD = 0x9E3779B97F4A7C15
+_INVERSE = pow(_ODD, -1, 1 << 64)
+#: Bytes or values worked on at once.
+BLOCK = 1 << 19
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -16,56 +18,75 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        out = np.full(n + 1, base, np.uint64)
-        out[0] = 1
-        return np.cumprod(out)
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base to the powers 0 up to n, modulo 2 to the 64; kept for the next call."""
+    got = _POWERS.get(base)
+    if got is None or len(got) <= n:
+        got = np.full(n + 1, base, np.uint64)
+        got[0] = 1
+        with np.errstate(over="ignore"):
+            np.cumprod(got, out=got)
+        if n <= 2 * BLOCK:
+            _POWERS[base] = got
+    return got[: n + 1]
 
 
 class Words:
     """Word spans and word hashes of one buffer of bytes that holds several texts.
 
     starts, ends: byte spans of all words; hashes: 64-bit, by polynomial over the bytes; first: for each text the number of
-    its first word, with the word count at the end.
+    its first word, with the word count at the end. The buffer is worked on in blocks, cut where no word is.
     """
 
     def __init__(self, texts: list[bytes], is_word: np.ndarray, fold: np.ndarray | None = None):
-        self.buffer = b"\0".join(texts) + b"\0"  # the separator must not be a word byte
-        data = np.frombuffer(self.buffer, np.uint8)
-        sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-        text_at = np.concatenate([[0], np.cumsum(sizes)])
-        if fold is not None:
-            data = fold[data]
-        word = is_word[data].view(np.int8)
-        word[text_at[1:] - 1] = 0  # a text may hold the separator's byte as a word byte
-        edges = np.flatnonzero(np.diff(word, prepend=0, append=0))
-        self.starts, self.ends = edges[::2], edges[1::2]
-        self.data = data
+        data = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
+        text_at = np.concatenate([[0], np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))])
+        word = (is_word if fold is None else is_word[fold])[data]
+        word[text_at[1:] - 1] = False  # what separates the texts is in no word
+        starts, ends, hashes, at = [], [], [], 0
+        while at < len(data):
+            end = min(len(data), at + BLOCK)
+            gaps = np.flatnonzero(~word[at:end])
+            end = at + int(gaps[-1]) + 1 if len(gaps) else end + int(np.argmin(word[end:])) + 1
+            edges = np.flatnonzero(np.diff(word[at:end].view(np.int8), prepend=0, append=0))
+            own = data[at:end] if fold is None else fold[data[at:end]]
+            a, b = edges[::2], edges[1::2]
+            starts.append(a + at)
+            ends.append(b + at)
+            hashes.append(_hashed(own, a, b))
+            at = end
+        flat = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
+        self.starts, self.ends, self.hashes = flat(starts, np.int64), flat(ends, np.int64), flat(hashes, np.uint64)
         self.first = np.searchsorted(self.starts, text_at)
-        self.hashes = self._hash()
-
-    def _hash(self) -> np.ndarray:
-        # the sum of (byte + 1) * odd^place over a word, divided by odd^start: the same for equal words anywhere
-        with np.errstate(over="ignore"):
-            sums = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers(_ODD, len(self.data))[:-1], out=sums[1:])
-            return mixed((sums[self.ends] - sums[self.starts]) * powers(_INVERSE, len(self.data))[self.starts])
 
     def __len__(self) -> int:
         return len(self.starts)
 
 
-def window_hashes(values: np.ndarray, size: int, base: np.uint64 = np.uint64(0xC2B2AE3D27D4EB4F)) -> np.ndarray:
+def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The sum of (byte + 1) * odd^place over each word, divided by odd^start: the same for equal words anywhere."""
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_ODD, len(data))[:-1], out=sums[1:])
+        return mixed((sums[ends] - sums[starts]) * powers(_INVERSE, len(data))[starts])
+
+
+def window_hashes(values: np.ndarray, size: int, base: int = 0xC2B2AE3D27D4EB4F) -> np.ndarray:
     """A 64-bit hash of every run of so many values; run k starts at value k."""
-    n = len(values) - size + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    inverse = np.uint64(pow(int(base), -1, 1 << 64))
+    total = max(0, len(values) - size + 1)
+    out = np.empty(total, np.uint64)
+    inverse = pow(base, -1, 1 << 64)
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(mixed(values) * powers(base, len(values))[:-1], out=sums[1:])
-        return mixed((sums[size:] - sums[:-size]) * powers(inverse, n)[:-1])
+        for at in range(0, total, BLOCK):
+            part = values[at : at + BLOCK + size - 1]
+            n = len(part) - size + 1
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(mixed(part) * powers(base, len(part))[:-1], out=sums[1:])
+            out[at : at + n] = mixed((sums[size:] - sums[:-size]) * powers(inverse, n)[:-1])
+    return out
 
 
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
