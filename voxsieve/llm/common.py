@@ -69,6 +69,18 @@ def as_text(column: str) -> Column:
     return F.coalesce(quoted(column).cast("string"), F.lit(""))
 
 
+def hash_sample(rows: DataFrame, keys: list[Column], size: int) -> DataFrame:
+    """The first so many rows by a hash of the keys.
+
+    Rows are thinned by the hash before they are ordered, so that not every task sends so many rows to the driver.
+    """
+    h = F.xxhash64(*keys)
+    thin = rows.count() // (3 * size)
+    if thin > 1:
+        rows = rows.where(F.pmod(h, F.lit(thin)) == 0)
+    return rows.orderBy(F.xxhash64(F.lit(1), h), *keys).limit(size)
+
+
 def through(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
     """Rows passed whole through run, which keeps, changes or drops them but not their columns. No shuffle."""
     numbered = rows.select(*[quoted(c).alias(f"c{k}") for k, c in enumerate(rows.columns)])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, bounded_batches, quoted
+from .common import as_text, bounded_batches, hash_sample, quoted
 
 KINDS = ["email", "ip", "card", "phone"]
 #: Documents and characters of each that the field may be fitted on; atoms that a segment may have; characters of context.
@@ -378,10 +378,10 @@ def _outside(text: str, a: int, b: int, spans: list[tuple[int, int, int]]) -> It
     yield text[a:b]
 
 
-def fit(docs: DataFrame, text_col: str = "text", rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> SemiCrf:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> SemiCrf:
     """Train on the first so many documents by hash that hold a digit or an at-sign and aren't longer than so many characters."""
-    texts = docs.select(as_text(text_col).alias("text")).where((F.length("text") <= chars) & F.col("text").rlike("[0-9@]"))
-    return train([r.text for r in texts.orderBy(F.xxhash64("text"), "text").limit(rows).collect()])
+    texts = docs.select(quoted(id_col).alias("id"), as_text(text_col).alias("text")).where((F.length("text") <= chars) & F.col("text").rlike("[0-9@]"))
+    return train([r.text for r in hash_sample(texts, [F.col("id"), F.col("text")], rows).collect()])
 
 
 SPANS = "array<struct<kind:int,start:int,end:int,base:boolean>>"

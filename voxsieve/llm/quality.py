@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, bounded_batches, quoted, through
+from .common import as_text, bounded_batches, hash_sample, quoted, through
 
 #: Labelled rows that vote, taken by hash, and the characters up to which a text may be one of them.
 FIT_ROWS, FIT_CHARS = 4000, 30_000
@@ -158,11 +158,11 @@ def train(texts: list[str], labels: list[int]) -> Voters:
 
 def fit(docs: DataFrame, labels: DataFrame, teaches: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> Voters:
     """Fit on a bounded sample: of the label rows that teach (a condition on the column id) the first so many by hash, with
-    texts of so many characters at most."""
+    texts of so many characters at most. Rows that repeat an id count once, with the first of their texts in order."""
     marks = labels.select(quoted(id_col).alias("id"), quoted(label_col).cast("int").alias("y")).where("id is not null and y is not null").where(teaches)
-    marks = marks.orderBy(F.xxhash64("id"), "y").limit(rows)
+    marks = hash_sample(marks, [F.col("id"), F.col("y")], rows)
     texts = docs.select(quoted(id_col).alias("id"), as_text(text_col).alias("text")).where(F.length("text") <= chars)
-    got = texts.join(F.broadcast(marks), "id").select("id", "text", "y", F.xxhash64("id").alias("h")).collect()
+    got = texts.join(F.broadcast(marks), "id").groupBy("id", "y").agg(F.min("text").alias("text")).withColumn("h", F.xxhash64("id")).collect()
     got.sort(key=lambda r: (r.h, r.y, r.text))
     return train([r.text for r in got], [int(r.y > 0) for r in got])
 
