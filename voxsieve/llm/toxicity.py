@@ -4,7 +4,7 @@ The kernel compares two words by the letter triples that they share in order, wi
 of the stretch it spans, so an insult with inserted characters still resembles the plain one. Words of labelled sentences are
 mapped by their kernel values with the landmarks (Nyström), and a linear machine with squared hinge loss is trained on them
 as multiple-instance learning: in a toxic text only the word most like an insult must be one. As the machine is linear in
-the triples, it is applied as one table of triple weights. A text's score is a logistic function of its three highest words.
+the triples, it is applied as one table of triple weights. A text's score is a logistic function of how many words are that toxic, and of how many there are.
 
 Defined results: null and empty texts hold no word and get the score of a text without any toxic word. Any text is scored
 whole; words longer than PIECE letters are scored in overlapping pieces. Repeated rows score alike. Rows of labels without a
@@ -153,14 +153,15 @@ class Machine:
         return sigmoid(summaries @ self.link)
 
 
-#: What a missing word counts as; no word counts as less.
-FLOOR = -3.0
+#: Word values around which insults are counted, the count up to which more make no difference, and the number of words that a
+#: short text counts as having.
+LEVELS, MOST, SHORT = (0.3, 0.6, 0.85), 4.0, 8
 
 
 def summary(values: np.ndarray) -> list[float]:
-    """A text's three highest words, the logarithm of its number of words, and 1."""
-    top = np.sort(np.maximum(values, FLOOR))[::-1][:3]
-    return [*top, *[FLOOR] * (3 - len(top)), math.log1p(len(values)), 1.0]
+    """Soft counts of a text's words above each level, the logarithm of its number of words, and 1."""
+    counts = [min(MOST, float(sigmoid(10 * (values - level)).sum())) for level in LEVELS]
+    return [*counts, math.log1p(max(len(values), SHORT)), 1.0]
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
