@@ -18,6 +18,9 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +41,17 @@ _KINDS: dict[str, str] = {}
 
 def shape(word: str) -> str:
     """Letters as a or A, digits as 0, other signs themselves; runs are shortened."""
+    if len(word) <= 64 and word.isalpha():  # most words
+        if word.islower():
+            return "a"
+        if word[0].isupper() and word[1:].islower():
+            return "Aa"
     for c in set(word).difference(_KINDS):
         _KINDS[c] = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
     return _RUNS.sub(r"\1", "".join(map(_KINDS.__getitem__, word[:64])) + ("~" if len(word) > 64 else ""))
 
 
+@lru_cache(10_000)
 def _term(name: str) -> int:
     return xxhash.xxh32_intdigest(name.encode("utf-8", "surrogatepass"), 7) % TERMS
 
@@ -64,21 +73,25 @@ def _level(share: float) -> int:
     return min(9, int(10 * share))
 
 
-def terms(text: str) -> Counter:
-    """Counts of hashed terms of a text."""
+def terms(text: str) -> np.ndarray:
+    """Counts of the hashed terms of a text."""
     words = text.split()
     if not words:
-        return Counter({_term("no words"): 1})
+        out = np.zeros(TERMS)
+        out[_term("no words")] = 1
+        return out
     counts = Counter(words)
-    out: Counter = Counter()
-    for w, n in counts.items():
-        for t in _of_word(w):
-            out[t] += n
-    n = len(words)
-    again = sum(a == b for a, b in zip(words, words[1:], strict=False))
+    numbers = np.fromiter(chain.from_iterable(map(_of_word, counts)), np.int64, 3 * len(counts))
+    out = np.bincount(numbers, np.repeat(np.fromiter(counts.values(), float, len(counts)), 3), TERMS)
+    n, after = len(words), words[1:]
     lines = text.split("\n")
-    pairs = len(set(zip(words, words[1:], strict=False)))
-    facts = {"word again": again / n, "words differ": len(counts) / n, "pairs differ": (pairs + 1) / n, "lines differ": len(set(lines)) / len(lines), "top word": max(counts.values()) / n}
+    facts = {
+        "word again": sum(map(eq, words, after)) / n,
+        "words differ": len(counts) / n,
+        "pairs differ": (len(set(zip(words, after, strict=False))) + 1) / n,
+        "lines differ": len(set(lines)) / len(lines),
+        "top word": max(counts.values()) / n,
+    }
     for name, share in facts.items():
         out[_term(f"{name} {_level(share)}")] += max(4, n // 4)
     out[_term(f"size {int(math.log2(n))}")] += max(2, n // 16)
@@ -87,10 +100,7 @@ def terms(text: str) -> Counter:
 
 def matrix(texts: Iterable[str]) -> np.ndarray:
     """Damped shares of the terms, text by term."""
-    counted = [terms(t) for t in texts]
-    out = np.zeros((len(counted), TERMS), np.float32)
-    for row, c in enumerate(counted):
-        out[row, list(c)] = list(c.values())
+    out = np.array([terms(t) for t in texts], np.float32).reshape(-1, TERMS)
     return np.log1p(100 * out / np.maximum(1, out.sum(1, keepdims=True)))
 
 
