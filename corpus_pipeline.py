@@ -4,7 +4,7 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the las
 returns token ids. Each stage works on all documents that the stage before it kept.
 
 Defined results: null texts count as empty. Documents whose quality score is under 0.7 go; of near-duplicates (fingerprints of three-word
-shingles, two bits) the one with the smallest id stays, a row without an id only if its group has none with one; documents of which a
+shingles within two bits, or sets of five-word shingles with a similarity of 0.8 or more, linked on and on) the one with the smallest id stays, a row without an id only if its group has none with one; documents of which a
 twentieth or more are benchmark words go; personal data are replaced by their kind in brackets, with n_chars counted anew;
 the rest is encoded. Empty tables pass through. Repeated rows are near-duplicates of each other.
 """
@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxsieve.llm import bpe, decontaminate, pii, quality, simhash
+from voxsieve.llm import bpe, decontaminate, pii, quality, resemblance
 from voxsieve.llm.common import fold, read_table, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -30,7 +30,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return simhash.keep_first(docs)
+    return resemblance.keep_first(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
