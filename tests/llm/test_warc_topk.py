@@ -34,6 +34,15 @@ def test_warc_round_trip_of_odd_pages(spark, tmp_path):
     assert warc.resolve(warc.read_records(spark, out + "0")).collect() == []
 
 
+def test_payloads_that_end_like_a_separator(spark, tmp_path):
+    pages = [(k, f"u{k}", html) for k, html in enumerate(["WARC/1.1", "x\r\n\r\nWARC/1.1", "plain", "\r\n\r\nWARC/1.1\r\n\r\nWARC/1.1", "WARC/1.1\r\n\r\nWARC/1.1\r\ny", "z\r\n\r\nWARC/1.1\r\n\r\n", "last\r\n\r\nWARC/1.1"])]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    out = f"file://{tmp_path}/w"
+    warc.write_archives(frame, out)
+    got = warc.read_records(spark, out, with_payload=True).collect()
+    assert sorted((int(r.page), r.url, bytes(r.payload).decode()) for r in got) == pages
+
+
 def test_top_k_query_matches_sql(spark, data_dir):
     same_rows(queries.op9_exact_top_k(spark, data_dir), data_dir, sql.OP9)
 

@@ -107,11 +107,14 @@ def read_records(spark: SparkSession, out: str, with_payload: bool = False) -> D
         for batch in batches:
             for chunk in batch.column(0).to_pylist():
                 held = held + between + chunk if held else chunk.removeprefix(first)
-                head, _, rest = held.partition(b"\r\n\r\n")
-                fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n") if ": " in line)
-                if len(rest) >= (n := int(fields.get("Content-Length", 0))):
+                while held:
+                    head, _, rest = held.partition(b"\r\n\r\n")
+                    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n") if ": " in line)
+                    if len(rest) < (n := int(fields.get("Content-Length", 0))):
+                        break
                     yield fields, rest[:n]
-                    held = b""
+                    # a payload's end that looks like a separator's start hides the true one: the next record is in the same chunk
+                    held = rest[n + len(between) :] if rest.startswith(between, n) else b""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
