@@ -184,3 +184,9 @@ def test_fold_is_crc32_of_the_text(spark):
     rows = spark.range(50).select("id", fold("id", 5).alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 5 for r in rows)
     assert spark.range(1).select(F.lit(None).cast("long").alias("id")).select(fold("id", 5).alias("f")).first().f == 0
+
+
+def test_spelled_out_words_with_marks_are_found():
+    for text in ("you i. d. i. o. t. of a man", "you i. d. i. o. t. of no man", "You I, D, I, O, T, of a b", "you i d i o t"):
+        assert "idiot" in toxicity.units(text), text
+    assert "aaa" in toxicity.units("a a a") and toxicity.units("i. d. no i") == {"i", "d", "no"}

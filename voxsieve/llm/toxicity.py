@@ -52,16 +52,23 @@ def _code(c: str) -> int:
 def units(text: str) -> set[str]:
     """The distinct words of a text, lower-cased and without marks at their ends; spaced-out letters make one word."""
     raw = text.lower().split()
-    distinct = set(raw)
-    out = {w if w.isalnum() else _EDGES.sub("", w) for w in distinct}
+    out, letters = set(), {}
+    for w in set(raw):
+        if w.isalnum():
+            out.add(w)
+            one = w
+        else:
+            out.add(_EDGES.sub("", w))
+            one = w if len(w) == 1 else w.strip(".,;:!?\"'()*-_")
+        if len(one) == 1 and one.isalnum():
+            letters[w] = one
     out.discard("")
-    if sum(len(w) == 1 for w in distinct) > 1:
+    if letters:
         run: list[str] = []
         for w in [*raw, "  "]:
-            w = w if len(w) == 1 else w.strip(".,;:!?\"'()*-_")
-            if len(w) == 1 and w.isalnum():
-                run.append(w)
-            else:
+            if w in letters:
+                run.append(letters[w])
+            elif run:
                 if len(run) > 2:
                     out.add("".join(run))
                 run = []
