@@ -190,3 +190,11 @@ def test_spelled_out_words_with_marks_are_found():
     for text in ("you i. d. i. o. t. of a man", "you i. d. i. o. t. of no man", "You I, D, I, O, T, of a b", "you i d i o t"):
         assert "idiot" in toxicity.units(text), text
     assert "aaa" in toxicity.units("a a a") and toxicity.units("i. d. no i") == {"i", "d", "no"}
+
+
+def test_long_words_have_shapes_to_their_end():
+    known = quality.terms("a" * 300)
+    for odd in ("a" * 150 + "0-" * 50 + "a" * 50, "a" * 200 + "$" * 40 + "a" * 60, "a" * 290 + "#" * 8 + "aa"):
+        assert (quality.terms(odd) != known).any()
+    assert (quality.terms("a" * 1000) != known).any()
+    assert abs(quality.terms("aB" * 160).sum() - (5 + quality.terms("aB").sum() - 1)) < 1e-9

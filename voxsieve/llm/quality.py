@@ -34,6 +34,8 @@ from .common import as_text, bounded_batches, hash_sample, quoted, through
 FIT_ROWS, FIT_CHARS = 4000, 30_000
 #: Hashed terms, latent dimensions, voting neighbours, and the power of the cosine that is a neighbour's weight.
 TERMS, LATENT, NEIGHBOURS, POWER = 4096, 48, 25, 8
+#: Characters up to which a word has one shape; longer words have one for every piece of so many.
+PIECE = 64
 
 _RUNS = re.compile(r"(.)\1+")
 _KINDS: dict[str, str] = {}
@@ -41,14 +43,14 @@ _KINDS: dict[str, str] = {}
 
 def shape(word: str) -> str:
     """Letters as a or A, digits as 0, other signs themselves; runs are shortened."""
-    if len(word) <= 64 and word.isalpha():  # most words
+    if word.isalpha():  # most words
         if word.islower():
             return "a"
         if word[0].isupper() and word[1:].islower():
             return "Aa"
     for c in set(word).difference(_KINDS):
         _KINDS[c] = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
-    return _RUNS.sub(r"\1", "".join(map(_KINDS.__getitem__, word[:64])) + ("~" if len(word) > 64 else ""))
+    return _RUNS.sub(r"\1", "".join(map(_KINDS.__getitem__, word)))
 
 
 @lru_cache(10_000)
@@ -64,11 +66,14 @@ def _of_word(word: str) -> tuple[int, int, int]:
     if got is None:
         if len(_WORD_TERMS) > 300_000:
             _WORD_TERMS.clear()
-        length = min(len(word), 20)
-        got = _WORD_TERMS[word] = (_term("shape " + shape(word)), _term("tail " + shape(word[-2:])), _term(f"length {length}"))
+        got = _WORD_TERMS[word] = (_term("shape " + shape(word)), *_ends(word))
     return got
 
 
+def _ends(word: str) -> tuple[int, int]:
+    return _term("tail " + shape(word[-2:])), _term(f"length {min(len(word), 20)}")
+
+
 def _level(share: float) -> int:
     return min(9, int(10 * share))
 
@@ -81,8 +86,15 @@ def terms(text: str) -> np.ndarray:
         out[_term("no words")] = 1
         return out
     counts = Counter(words)
-    numbers = np.fromiter(chain.from_iterable(map(_of_word, counts)), np.int64, 3 * len(counts))
-    out = np.bincount(numbers, np.repeat(np.fromiter(counts.values(), float, len(counts)), 3), TERMS)
+    short = {w: k for w, k in counts.items() if len(w) <= PIECE} if max(map(len, counts)) > PIECE else counts
+    numbers = np.fromiter(chain.from_iterable(map(_of_word, short)), np.int64, 3 * len(short))
+    out = np.bincount(numbers, np.repeat(np.fromiter(short.values(), float, len(short)), 3), TERMS).astype(float)
+    for w in counts.keys() - short.keys() if len(short) < len(counts) else ():
+        for at in range(0, len(w), PIECE):
+            piece = w[at : at + PIECE]
+            out[_term(f"shape {shape(piece)}~")] += counts[w] * len(piece) / PIECE
+        for term in _ends(w):
+            out[term] += counts[w]
     n, after = len(words), words[1:]
     lines = text.split("\n")
     facts = {
