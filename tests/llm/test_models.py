@@ -198,3 +198,14 @@ def test_long_words_have_shapes_to_their_end():
         assert (quality.terms(odd) != known).any()
     assert (quality.terms("a" * 1000) != known).any()
     assert abs(quality.terms("aB" * 160).sum() - (5 + quality.terms("aB").sum() - 1)) < 1e-9
+
+
+def test_repeated_label_rows_take_no_place_in_the_sample(spark):
+    docs = spark.createDataFrame([(k, f"text {k} " * (k + 1)) for k in range(5)], "doc_id long, text string")
+    marks = spark.createDataFrame([(k, k % 2) for k in range(5) for _ in range(1 if k else 60)], "doc_id long, quality int").withColumn("toxic", F.col("quality"))
+    assert len(quality.fit(docs, marks, F.lit(True), rows=5).labels) == 5
+    seen = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(toxicity, "train", lambda texts, labels: seen.extend(labels))
+        toxicity.fit(docs, marks, F.lit(True), rows=5)
+    assert sorted(seen) == [0, 0, 0, 1, 1]

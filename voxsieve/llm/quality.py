@@ -180,8 +180,9 @@ def train(texts: list[str], labels: list[int]) -> Voters:
 
 def fit(docs: DataFrame, labels: DataFrame, teaches: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> Voters:
     """Fit on a bounded sample: of the label rows that teach (a condition on the column id) the first so many by hash, with
-    texts of so many characters at most. Rows that repeat an id count once, with the first of their texts in order."""
-    marks = labels.select(quoted(id_col).alias("id"), quoted(label_col).cast("int").alias("y")).where("id is not null and y is not null").where(teaches)
+    texts of so many characters at most. Label rows that repeat count once, before
+    the sample is taken; rows that repeat an id count once, with the first of their texts in order."""
+    marks = labels.select(quoted(id_col).alias("id"), quoted(label_col).cast("int").alias("y")).where("id is not null and y is not null").where(teaches).distinct()
     marks = hash_sample(marks, [F.col("id"), F.col("y")], rows)
     texts = docs.select(quoted(id_col).alias("id"), as_text(text_col).alias("text")).where(F.length("text") <= chars)
     got = texts.join(F.broadcast(marks), "id").groupBy("id", "y").agg(F.min("text").alias("text")).withColumn("h", F.xxhash64("id")).collect()
