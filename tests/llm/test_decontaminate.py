@@ -40,8 +40,10 @@ def test_query_matches_sql(spark, data_dir):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=60))
 def test_suffix_array(text):
-    order = decontaminate.suffix_array(np.array(text, np.int64)).tolist() if text else []
-    assert order == sorted(range(len(text)), key=lambda k: text[k:])
+    for depth in (1, 5, 64):
+        order = decontaminate.suffix_array(np.array(text, np.int64), 1, depth).tolist() if text else []
+        assert sorted(order) == list(range(len(text)))
+        assert [text[k : k + depth] for k in order] == sorted(text[k : k + depth] for k in range(len(text)))
 
 
 def test_brute_force_with_odd_rows(spark):
@@ -67,6 +69,27 @@ def test_brute_force_with_odd_rows(spark):
     assert {r.n_hit for r in decontaminate.find_hits(frame, bench.limit(0)).collect()} == {0}
 
 
+def test_words_that_polynomial_hashes_confuse(spark):
+    """Swapped letters along the parity of set bits: equal under any odd base modulo a power of two."""
+    a = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
+    b = a.translate(str.maketrans("ab", "ba"))
+    head = " ".join(f"w{k}" for k in range(12))
+    docs, items = [(1, f"{head} {a}"), (2, f"{head} {b}")], [("x", f"{head} {b}")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = decontaminate.find_hits(frame, spark.createDataFrame(items, "item_id string, text string")).collect()
+    assert sorted((r.id, r.n_words, r.n_hit, r["items"]) for r in got) == [(1, 13, 0, []), (2, 13, 13, ["x"])]
+
+
+def test_many_slices_read_documents_once(spark):
+    rng = random.Random(1)
+    items = [(k, " ".join(rng.choices("abcdefghijklmnopq", k=40))) for k in range(300)]
+    docs = [(k, " ".join(rng.choices("abcdefghijklmnopq", k=30)) + " " + items[k * 7 % 300][1][: 2 * rng.randint(5, 40)]) for k in range(60)]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.find_hits(frame, bench, slice_bytes=700)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.id, r.n_words, r.n_hit, r["items"]) for r in found.collect()) == brute(docs, items)
+
+
 class _Row:
     """items is also a method of rows."""
 

@@ -2,14 +2,17 @@
 
 import random
 import re
+import uuid
 
+import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.llm.oracle import same_rows
-from voxsieve.llm import queries, simhash, sql, substring
+from voxsieve.llm import queries, simhash, sql, substring, words
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -140,3 +143,46 @@ def test_small_windows_use_a_greedy_cover(spark):
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3).checkpoint()
     got = sorted((r.id, r.n_words, r.n_removed, r.kept) for r in substring.remove_repeats(frame, length=7).select("id", "n_words", "n_removed", F.col("kept")).collect())
     assert got == plain_removal(docs, 7)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*"ab \t\n\0", "  ", "a" * 7, "b" * 8, "ab" * 12, "ab" * 13, "é", "a\0", "x" * 700_000]), max_size=9).map("".join), max_size=5))
+def test_equal_hashes_are_equal_words(texts):
+    raw = [t.encode() for t in texts]
+    found = words.Words(raw)
+    every = [w for t in raw for w in t.split()]
+    assert found.first.tolist() == np.cumsum([0, *(len(t.split()) for t in raw)]).tolist()
+    for k in (0, 1):
+        number = {}
+        assert len(every) == len(found) and all(number.setdefault(w, h) == h for w, h in zip(every, found.hashes[:, k].tolist(), strict=True))
+        assert len(set(number.values())) == len(number)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 2), max_size=40), st.integers(1, 30))
+def test_equal_window_hashes_are_equal_windows(values, size):
+    hashes = words.window_hashes(np.array(values, np.uint64), size).tolist()
+    windows = [tuple(values[k : k + size]) for k in range(len(values) - size + 1)]
+    assert len(hashes) == len(windows) and len(set(hashes)) == len(set(windows)) == len(set(zip(hashes, windows, strict=True)))
+
+
+def swapped_pair(n=2048):
+    """Two words that a polynomial hash with an odd base modulo a power of two can't tell apart."""
+    a = "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    head = " ".join(f"w{k}" for k in range(49))
+    a, b = swapped_pair()
+    rows = [(1, f"{head} {a}"), (2, f"{head} {b}"), (3, f"{head} {b}"), (4, " ".join("r" + swapped_pair(64)[0])), (5, " ".join("r" + swapped_pair(64)[1]))]
+    got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.id, r.n_words, r.n_removed, r.kept) for r in got) == plain_removal(rows, 50)
+    assert [r.n_removed for r in sorted(got)][:3] == [0, 0, 50]
+
+
+def test_rows_that_move_are_an_error(spark, tmp_path):
+    """A plan that gives other rows when it is read again."""
+    rows = spark.range(400, numPartitions=2).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("same words "), 40), F.udf(lambda: uuid.uuid4().hex).asNondeterministic()()).alias("text"))
+    with pytest.raises(Exception, match="read differently"):
+        substring.remove_repeats(rows).collect()

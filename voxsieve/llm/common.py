@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,9 +22,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches stay small whatever the length of a text."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Arrow batches stay small whatever the length of a text. The session's own limits are lowered to these, never raised."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        own = spark.conf.get(f"spark.sql.execution.arrow.{key}")
+        if not own.isdigit() or not 0 < int(own) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,8 +40,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Lists of the intermediate paths made in each open scratch() block.
+_OPEN: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/voxsieve-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/voxsieve-{name}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the intermediate tables that were made inside. What is computed from them must be written by then."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            removed(spark, path)
 
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -54,6 +77,19 @@ def removed(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def tell(rows: DataFrame, at: str, *order: str) -> None:
+    """Write what the tasks of a later pass must know: a folder for each value of the column part, in small row groups."""
+    rows.repartition("part").sortWithinPartitions("part", *order).write.partitionBy("part").option("parquet.block.size", 1 << 20).parquet(at)
+
+
+def told(at: str, part: int, columns: list[str], filters: list | None = None) -> pa.Table | None:
+    """One part's rows of what tell() wrote, or none. Row groups that the filters rule out are passed over."""
+    store, base = pafs.FileSystem.from_uri(f"{at}/part={part}")
+    found = store.get_file_info(pafs.FileSelector(base, allow_not_found=True))
+    parts = [pq.read_table(f.path, filesystem=store, columns=columns, filters=filters, partitioning=None) for f in found if f.path.endswith(".parquet")]
+    return pa.concat_tables(parts) if parts else None
+
+
 def fold(column: str, parts: int) -> Column:
     """crc32 of the id's text modulo parts; an absent id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % parts

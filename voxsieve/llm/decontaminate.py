@@ -1,13 +1,15 @@
 """Benchmark decontamination with suffix arrays over the training text.
 
-The documents of a batch form a shard. The shard's suffix array covers the stretches that can hold a match at all: runs of
-words in which every pair of neighbours is also a pair of neighbours in the benchmark. Every suffix of every benchmark item
-is searched in it by bisection, which gives the occurrences of its window; occurrences of successive suffixes at
-successive words make up the longest verbatim matches. Shards are independent, so nothing is shuffled but the final rows when the benchmark comes in
-several slices.
+The documents of a batch form a shard, whose words make one text; the suffix array is over all of it, in order of the words
+from each place on, as deep as a window reaches. Words are numbered by the benchmark's vocabulary (0 for all others, which
+match nothing), so words are compared as they are, not by hashes. The window from every word of every benchmark item is
+searched by bisection, which gives all its occurrences; occurrences of successive windows at successive words make up the
+longest verbatim matches. Shards are independent, so nothing is shuffled.
 
 A window is so many consecutive words of an item; an item with fewer words, but not none, is one window. Words of a document
-inside an occurrence of a window are hit. The benchmark is broadcast in slices of bounded size.
+inside an occurrence of a window are hit. The benchmark lies in the shared folder in slices of bounded text (an item is never
+split), of which a task holds one at a time and goes through all for each of its shards, so documents are read once whatever
+the benchmark's size. Windows are searched in blocks.
 
 Defined results: null and empty texts have no words; a document without words is never contaminated. Repeated documents are
 judged alike and kept apart; repeated items count once by their id; items without an id hit words but aren't listed. With no
@@ -17,160 +19,157 @@ benchmark nothing is hit. Columns besides id and text aren't read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, bounded_batches, quoted, through, written
-from .words import ALPHANUMERIC, LOWER, Words
+from .common import as_text, bounded_batches, new_path, quoted, through
+from .words import ALPHANUMERIC, byte_table
 
 WINDOW = 13
-#: Bytes of benchmark text that one broadcast slice may hold; a larger benchmark takes several passes.
-SLICE_BYTES = 16 << 20
-#: Bytes of document text that make a shard, but for a single longer document.
-SHARD_BYTES = 8 << 20
+#: Bytes of benchmark text in a slice, but for a single longer item.
+SLICE_BYTES = 8 << 20
+#: Bytes of document text that make a shard, but for a single longer document, and windows searched at once.
+SHARD_BYTES, SEARCHED = 8 << 20, 1 << 15
+
+_TABLE = byte_table(ALPHANUMERIC)
 
 
 class Benchmark:
-    """One slice of the benchmark: its words as numbers, its windows and its pairs of neighbours."""
+    """One slice of the benchmark: its vocabulary, its words as numbers, and its windows.
+
+    Windows are numbered over all distinct texts; begin, size, offset and part are a window's first word, number of words, place in
+    its text and text; items_of has the names of the items with each text, None for those without.
+    """
 
     def __init__(self, ids: list[str | None], texts: list[str], window: int):
-        words = Words([t.encode() for t in texts], ALPHANUMERIC, LOWER)
-        self.window = window
-        self.vocabulary = np.unique(words.hashes)
-        numbers = np.searchsorted(self.vocabulary, words.hashes).astype(np.int64) + 1
-        names = sorted({i for i in ids if i is not None})
-        number_of = {i: k for k, i in enumerate(names)}
-        self.names = names
-        begin, size, rest, item, offset, part = [], [], [], [], [], []
-        pairs = []
-        for k, i in enumerate(ids):
-            a, b = int(words.first[k]), int(words.first[k + 1])
-            if a == b:
-                continue
-            w = min(window, b - a)
-            n = b - a - w + 1
-            begin.append(np.arange(a, a + n))
-            size.append(np.full(n, w))
-            rest.append(b - np.arange(a, a + n))
-            offset.append(np.arange(n))
-            part.append(np.full(n, k))
-            item.append(np.full(n, number_of[i] if i is not None else -1))
-            pairs.append(numbers[a : b - 1] * (len(self.vocabulary) + 1) + numbers[a + 1 : b])
-        flat = lambda parts: np.concatenate(parts).astype(np.int64) if parts else np.empty(0, np.int64)
-        begin, self.size, self.rest, self.item, self.offset, self.part = map(flat, (begin, size, rest, item, offset, part))
-        self.pairs = np.unique(flat(pairs))
-        self.shortest = int(self.size.min(initial=window))
-        # the words from each window's start, 0 beyond the item's end
-        numbers = np.concatenate([numbers, np.zeros(1, np.int64)])
-        self.numbers, self.begin = numbers, begin
-
-    def words_from(self, which: np.ndarray, depth: int) -> np.ndarray:
-        """For each of the windows the words from its start, up to so many; 0 beyond the item."""
-        at = self.begin[which][:, None] + np.arange(depth)
-        inside = np.arange(depth) < self.rest[which][:, None]
-        return np.where(inside, self.numbers[np.minimum(at, len(self.numbers) - 1)], 0)
-
-
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Starts of all suffixes in order, by doubling: each round sorts on twice as many words as the last."""
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    n, span = len(text), 1
-    order = np.argsort(rank, kind="stable")
-    while span < n and n > 1:
-        after = np.zeros(n, np.int64)
-        after[: n - span] = rank[span:] + 1
-        key = rank * (n + 1) + after
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        if new[-1] == n - 1:
-            break
-        span *= 2
-    return order
+        named: dict[bytes, set[str | None]] = {}
+        for i, t in zip(ids, texts, strict=True):
+            named.setdefault(b" ".join(t.encode().translate(_TABLE).split()), set()).add(i)
+        named.pop(b"", None)
+        self.items_of = [sorted(n, key=lambda i: (i is None, i or "")) for n in named.values()]
+        self.vocabulary: dict[bytes, int] = {}
+        number, words = self.vocabulary.setdefault, []
+        for t in named:
+            words.append(np.array([number(w, len(self.vocabulary) + 1) for w in t.split()], np.int32))
+        self.bits = max(1, (len(self.vocabulary)).bit_length())
+        #: Words that one 64-bit key holds.
+        self.packed = min(63 // self.bits, window)
+        counts = np.array([len(w) for w in words], np.int64)
+        sizes = np.minimum(window, counts)
+        n = counts - sizes + 1
+        self.part = np.repeat(np.arange(len(words)), n)
+        self.offset = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        self.size = sizes[self.part]
+        self.begin = (np.cumsum(counts) - counts)[self.part] + self.offset
+        self.numbers = np.concatenate([*words, np.zeros(window, np.int32)])
+        self.deepest = int(sizes.max(initial=0))
+
+    def keys(self, which: slice, group: int) -> tuple[np.ndarray, np.ndarray]:
+        """The least and greatest key that the group-th so many words of each of these windows can stand for."""
+        low = np.zeros(len(self.begin[which]), np.int64)
+        high = low.copy()
+        for k in range(group * self.packed, (group + 1) * self.packed):
+            inside = k < self.size[which]
+            word = np.where(inside, self.numbers[self.begin[which] + k], 0)
+            low = (low << self.bits) | word
+            high = (high << self.bits) | np.where(inside, word, (1 << self.bits) - 1)
+        return low, high
 
 
 class Shard:
-    """Stretches of a shard's words that may hold a match, with their suffix array."""
-
-    def __init__(self, words: Words, bench: Benchmark):
-        found = np.searchsorted(bench.vocabulary, words.hashes)
-        found = np.minimum(found, max(0, len(bench.vocabulary) - 1))
-        known = bench.vocabulary[found] == words.hashes if len(bench.vocabulary) else np.zeros(len(words), bool)
-        numbers = np.where(known, found.astype(np.int64) + 1, 0)
-        n = len(numbers)
-        joined = np.zeros(n, bool)  # joined[k]: words k and k + 1 are of one document and neighbours in the benchmark too
-        if n > 1 and len(bench.pairs):
-            pair = numbers[:-1] * (len(bench.vocabulary) + 1) + numbers[1:]
-            at = np.minimum(np.searchsorted(bench.pairs, pair), len(bench.pairs) - 1)
-            joined[:-1] = (bench.pairs[at] == pair) & (numbers[:-1] > 0) & (numbers[1:] > 0)
-            last = words.first[1:][np.diff(words.first) > 0] - 1
-            joined[last] = False
-        # runs: maximal stretches of joined known words
-        begins = np.flatnonzero(known & ~np.concatenate([[False], joined[:-1]])) if n else np.empty(0, np.int64)
-        stops = np.flatnonzero(known & ~joined) if n else np.empty(0, np.int64)
-        lengths = stops - begins + 1
-        keep = lengths >= bench.shortest
-        begins, lengths = begins[keep], lengths[keep]
-        total = int((lengths + 1).sum())
-        # the reduced text: runs one after the other, each closed by a 0, which matches nothing
-        self.text = np.zeros(total, np.int64)
-        self.place = np.full(total, -1, np.int64)
-        at = np.cumsum(lengths + 1) - (lengths + 1)
-        within = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        to, origin = np.repeat(at, lengths) + within, np.repeat(begins, lengths) + within
-        self.text[to] = numbers[origin]
-        self.place[to] = origin
-        self.order = suffix_array(self.text) if total else np.empty(0, np.int64)
-
-    def words_at(self, suffix: np.ndarray, depth: int) -> np.ndarray:
-        at = suffix[:, None] + np.arange(depth)
-        return np.where(at < len(self.text), self.text[np.minimum(at, len(self.text) - 1)], 0)
-
-    def bisect(self, sought: np.ndarray, size: np.ndarray, upper: bool) -> np.ndarray:
-        """For each row of words the first suffix that isn't before it (upper: that is after all it begins), by its first size words."""
-        low, high = np.zeros(len(sought), np.int64), np.full(len(sought), len(self.order))
-        inside = np.arange(sought.shape[1]) < size[:, None]
-        while (open_ := low < high).any():
-            k = np.flatnonzero(open_)
+    """A shard's words as numbers with their suffix array. first: for each text its first word's place; a 0 closes each text."""
+
+    def __init__(self, texts: list[bytes], bench: Benchmark):
+        number = bench.vocabulary.get
+        found, end = [], np.zeros(1, np.int32)
+        counts = np.empty(len(texts), np.int64)
+        for k, t in enumerate(texts):
+            words = t.translate(_TABLE).split()
+            counts[k] = len(words)
+            found += [np.fromiter(map(number, words, repeat(0)), np.int32, len(words)), end]
+        self.counts = counts
+        self.first = np.cumsum(counts + 1) - (counts + 1)
+        text = np.concatenate(found) if found else end
+        # the words from each place on, so many in a key
+        self.key = np.zeros(len(text), np.int64)
+        for k in range(bench.packed):
+            self.key <<= bench.bits
+            self.key[: len(text) - k] |= text[k:]
+        self.order = suffix_array(self.key, bench.packed, bench.deepest)
+        self.sorted = self.key[self.order]
+
+    def search(self, bench: Benchmark, which: slice) -> tuple[np.ndarray, np.ndarray]:
+        """Where in the suffix array each of these windows begins and ends to be what suffixes begin with."""
+        least, most = bench.keys(which, 0)
+        low, high = np.searchsorted(self.sorted, least, "left"), np.searchsorted(self.sorted, most, "right")
+        for group in range(1, -(-bench.deepest // bench.packed)):
+            k = np.flatnonzero((low < high) & (bench.size[which] > group * bench.packed))
+            if not len(k):
+                break
+            least, most = bench.keys(which, group)
+            first = self._bisect(low[k], high[k], least[k], group * bench.packed, False)
+            low[k], high[k] = first, self._bisect(first, high[k], most[k], group * bench.packed, True)
+        return low, high
+
+    def _bisect(self, low: np.ndarray, high: np.ndarray, sought: np.ndarray, ahead: int, beyond: bool) -> np.ndarray:
+        """Between low and high the first suffix whose key so many words ahead isn't less than sought (beyond: is greater)."""
+        low, high = low.copy(), high.copy()
+        while len(k := np.flatnonzero(low < high)):
             middle = (low[k] + high[k]) // 2
-            there = self.words_at(self.order[middle], sought.shape[1])
-            differs = (there != sought[k]) & inside[k]
-            first = differs.argmax(1)
-            some = differs.any(1)
-            rows = np.arange(len(k))
-            before = np.where(some, there[rows, first] < sought[k][rows, first], upper)
+            place = self.order[middle] + ahead
+            there = np.where(place < len(self.key), self.key[np.minimum(place, len(self.key) - 1)], 0)
+            before = there <= sought[k] if beyond else there < sought[k]
             low[k[before]] = middle[before] + 1
             high[k[~before]] = middle[~before]
         return low
 
 
-def occurrences(words: Words, bench: Benchmark) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, size, window) of every occurrence of every window in a shard."""
-    none = np.empty(0, np.int64)
-    if not len(bench.begin) or not len(words):
-        return none, none, none
-    shard = Shard(words, bench)
-    if not len(shard.order):
-        return none, none, none
-    every = np.arange(len(bench.begin))
-    sought = bench.words_from(every, bench.window)
-    low, high = shard.bisect(sought, bench.size, False), shard.bisect(sought, bench.size, True)
-    n = high - low
-    window = np.repeat(every, n)
-    nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    return shard.place[shard.order[np.repeat(low, n) + nth]], bench.size[window], window
+def suffix_array(key: np.ndarray, span: int, depth: int) -> np.ndarray:
+    """Places in order of the words from there on, so many deep at least. key has the order of the first span words.
 
+    By doubling: each round sorts on twice as many words as the last, until all places differ or the depth is reached.
+    """
+    n = len(key)
+    order = np.argsort(key)
+    while span < depth:
+        new = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
+        if new[-1] == n - 1:
+            break
+        rank = np.empty(n, np.int64)
+        rank[order] = new
+        key = rank * (n + 1)
+        key[: max(0, n - span)] += rank[span:] + 1
+        order = np.argsort(key)
+        span *= 2
+    return order
 
-def longest_matches(words: Words, bench: Benchmark, at: np.ndarray, window: np.ndarray) -> np.ndarray:
-    """Rows (document, word, item, item word, length): the maximal verbatim matches that the occurrences make up.
 
-    Occurrences of an item's successive windows at successive words are one longer match.
+def occurrences(shard: Shard, bench: Benchmark) -> tuple[np.ndarray, np.ndarray]:
+    """(place, window) of every occurrence of every window in a shard."""
+    places, windows = [], []
+    for at in range(0, len(bench.begin), SEARCHED):
+        low, high = shard.search(bench, slice(at, at + SEARCHED))
+        n = np.maximum(high - low, 0)
+        nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        places.append(shard.order[np.repeat(low, n) + nth])
+        windows.append(at + np.repeat(np.arange(len(n)), n))
+    flat = lambda parts: np.concatenate(parts).astype(np.int64) if parts else np.empty(0, np.int64)
+    return flat(places), flat(windows)
+
+
+def longest_matches(shard: Shard, bench: Benchmark, at: np.ndarray, window: np.ndarray) -> np.ndarray:
+    """Rows (document, word, benchmark text, its word, length): the maximal verbatim matches that the occurrences make up.
+
+    Occurrences of a text's successive windows at successive words are one longer match.
     """
+    if not len(at):
+        return np.empty((0, 5), np.int64)
     offset, part = bench.offset[window], bench.part[window]
     order = np.lexsort((at, at - offset, part))
     at, offset, part = at[order], offset[order], part[order]
@@ -178,9 +177,16 @@ def longest_matches(words: Words, bench: Benchmark, at: np.ndarray, window: np.n
     opens[1:] = (np.diff(part) != 0) | (np.diff(at - offset) != 0) | (np.diff(at) != 1)
     first = np.flatnonzero(opens)
     last = np.append(first[1:], len(at)) - 1
-    document = np.searchsorted(words.first, at[first], "right") - 1
-    length = at[last] - at[first] + bench.size[window[order][last]] if len(at) else at
-    return np.stack([document, at[first] - words.first[document], bench.item[window[order][first]], offset[first], length], 1) if len(at) else np.empty((0, 5), np.int64)
+    document = np.searchsorted(shard.first, at[first], "right") - 1
+    length = at[last] - at[first] + bench.size[window[order][last]]
+    return np.stack([document, at[first] - shard.first[document], part[first], offset[first], length], 1)
+
+
+def hit_places(shard: Shard, bench: Benchmark, at: np.ndarray, window: np.ndarray) -> np.ndarray:
+    """Which places of the shard lie in an occurrence."""
+    n = len(shard.key) + 1
+    cover = np.bincount(at, minlength=n) - np.bincount(at + bench.size[window], minlength=n)
+    return np.cumsum(cover)[:-1] > 0
 
 
 def _shards(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[pa.Table, list[bytes]]]:
@@ -202,95 +208,75 @@ def _shards(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[p
         yield pa.Table.from_batches(held), texts
 
 
-def _slices(items: DataFrame, window: int, slice_bytes: int) -> tuple[int, Iterator[Benchmark]]:
-    """The benchmark in slices whose text stays near the bound (an item is never split; slices are dealt by hash)."""
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-size // slice_bytes))
-    if parts > 1:
-        items, _ = written(items, "benchmark")
+class Slices:
+    """The benchmark's slices in the shared folder. A Python worker keeps the one that it read last."""
 
-    def each() -> Iterator[Benchmark]:
-        for k in range(parts):
-            got = (items if parts == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == k)).collect()
-            yield Benchmark([r.id for r in got], [r.text for r in got], window)
+    def __init__(self, items: DataFrame, window: int, slice_bytes: int):
+        size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        self.at, self.parts, self.window = new_path(items.sparkSession, "benchmark"), max(1, -(-size // slice_bytes)), window
+        dealt = items.withColumn("slice", F.pmod(F.xxhash64("text"), F.lit(self.parts)))
+        dealt.repartition(self.parts, "slice").write.partitionBy("slice").parquet(self.at)
 
-    return parts, each()
+    def each(self) -> Iterator[Benchmark]:
+        for k in range(self.parts):
+            if _LAST.get("slice") != (self.at, k):
+                _LAST.clear()
+                _LAST.update(slice=(self.at, k), bench=self._load(k))
+            yield _LAST["bench"]
 
+    def _load(self, k: int) -> Benchmark:
+        store, base = pafs.FileSystem.from_uri(f"{self.at}/slice={k}")
+        found = store.get_file_info(pafs.FileSelector(base, allow_not_found=True))
+        tables = [pq.read_table(f.path, filesystem=store, columns=["id", "text"], partitioning=None) for f in found if f.path.endswith(".parquet")]
+        rows = pa.concat_tables(tables).to_pydict() if tables else {"id": [], "text": []}
+        return Benchmark(rows["id"], rows["text"], self.window)
 
-MATCH = "struct<item:string,item_word:bigint,word:bigint,n_words:bigint>"
 
+_LAST: dict = {}
 
-def _search(rows: DataFrame, bench: Benchmark) -> DataFrame:
-    """(row, id, n_words, starts, ends, items, matches) of every document against one slice."""
-    id_type = rows.schema["id"].dataType.simpleString()
-    shared = rows.sparkSession.sparkContext.broadcast(bench)
-    match = pa.struct([("item", pa.string()), ("item_word", pa.int64()), ("word", pa.int64()), ("n_words", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bench = shared.value
-        for table, texts in _shards(batches, 2):
-            words = Words(texts, ALPHANUMERIC, LOWER)
-            at, size, window = occurrences(words, bench)
-            starts, ends, items, matches = _by_document(words, bench, at, size, window)
-            longs = pa.list_(pa.int64())
-            columns = [*(table.column(k).combine_chunks() for k in (0, 1)), pa.array(np.diff(words.first), pa.int64()), pa.array(starts, longs), pa.array(ends, longs), pa.array(items, pa.list_(pa.string())), pa.array(matches, pa.list_(match))]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "n_words", "starts", "ends", "items", "matches"])
+def _slices(items: DataFrame, window: int, item_id_col: str, item_text_col: str, slice_bytes: int) -> Slices:
+    return Slices(items.select(quoted(item_id_col).cast("string").alias("id"), as_text(item_text_col).alias("text")), window, slice_bytes)
 
-    return rows.mapInArrow(run, f"row long, id {id_type}, n_words long, starts array<long>, ends array<long>, items array<string>, matches array<{MATCH}>")
+
+MATCH = "struct<item:string,item_word:bigint,word:bigint,n_words:bigint>"
 
 
 def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """(id, n_words, n_hit, spans, items, matches) for every document.
+    """(id, n_words, n_hit, starts, ends, items, matches) for every document.
 
-    spans are the merged stretches of hit words, items the ids whose windows occur, matches the longest verbatim matches with
-    their places in item and document.
+    starts and ends are the merged stretches of hit words, items the ids whose windows occur, matches the longest verbatim
+    matches with their places in item and document.
     """
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), quoted(id_col).alias("id"), as_text(text_col).alias("text"))
-    n, slices = _slices(items.select(quoted(item_id_col).cast("string").alias("id"), as_text(item_text_col).alias("text")), window, slice_bytes)
-    if n > 1:
-        rows, _ = written(rows, "documents")
-    found = reduce(DataFrame.unionByName, [_search(rows, bench) for bench in slices])
-    spans = F.arrays_zip("starts", "ends")
-    if n > 1:
-        flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
-        found = found.groupBy("row", "id", "n_words").agg(flat("starts"), flat("ends"), flat("items"), flat("matches"))
-        spans = _merged(F.array_sort(spans))
-    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["ends"] - s["starts"])
-    return found.select("id", "n_words", spans.alias("spans"), F.array_sort(F.array_distinct("items")).alias("items"), F.array_sort(F.array_distinct("matches")).alias("matches")).withColumn("n_hit", hit)
-
-
-def _merged(spans: Column) -> Column:
-    """Sorted spans with those that meet or overlap made one."""
-
-    def add(done: Column, s: Column) -> Column:
-        last = F.element_at(done, -1)
-        joined = F.struct(last["starts"].alias("starts"), F.greatest(last["ends"], s["ends"]).alias("ends"))
-        return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["ends"] >= s["starts"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(s)))
-
-    return F.aggregate(spans, F.expr("cast(array() as array<struct<starts:bigint,ends:bigint>>)"), add)
-
-
-def _hit_words(words: Words, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Which words of the shard lie in an occurrence."""
-    cover = np.bincount(at, minlength=len(words) + 1) - np.bincount(at + size, minlength=len(words) + 1)
-    return np.cumsum(cover)[:-1] > 0
-
+    rows = docs.select(quoted(id_col).alias("id"), as_text(text_col).alias("text"))
+    slices = _slices(items, window, item_id_col, item_text_col, slice_bytes)
+    match = pa.struct([("item", pa.string()), ("item_word", pa.int64()), ("word", pa.int64()), ("n_words", pa.int64())])
 
-def _by_document(words: Words, bench: Benchmark, at: np.ndarray, size: np.ndarray, window: np.ndarray) -> tuple[list, list, list, list]:
-    """Merged spans of hit words, the items found and the longest matches, for each text of the shard."""
-    hit = _hit_words(words, at, size)
-    n = len(words.first) - 1
-    starts, ends, items, matches = ([[] for _ in range(n)] for _ in range(4))
-    name = lambda k: bench.names[k] if k >= 0 else None
-    for d, word, item, item_word, length in longest_matches(words, bench, at, window).tolist():
-        matches[d].append({"item": name(item), "item_word": item_word, "word": word, "n_words": length})
-    for d, found in enumerate(matches):
-        if found:
-            edge = np.diff(hit[words.first[d] : words.first[d + 1]].astype(np.int8), prepend=0, append=0)
-            starts[d], ends[d] = np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()
-            items[d] = sorted({m["item"] for m in found if m["item"] is not None})
-    return starts, ends, items, matches
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        longs = pa.list_(pa.int64())
+        for table, texts in _shards(batches, 1):
+            hit = counts = None
+            found: list[dict[tuple, None]] = [{} for _ in texts]
+            for bench in slices.each():
+                shard = Shard(texts, bench)
+                at, windows = occurrences(shard, bench)
+                for d, word, text, item_word, length in longest_matches(shard, bench, at, windows).tolist():
+                    found[d].update(dict.fromkeys((name, item_word, word, length) for name in bench.items_of[text]))
+                own = hit_places(shard, bench, at, windows)
+                hit, counts, first = own if hit is None else hit | own, shard.counts, shard.first
+            starts, ends, names, matches = [], [], [], []
+            for k, rows_of in enumerate(found):
+                edge = np.diff(hit[first[k] : first[k] + counts[k]].astype(np.int8), prepend=0, append=0) if rows_of else np.empty(0, np.int8)
+                starts.append(np.flatnonzero(edge == 1))
+                ends.append(np.flatnonzero(edge == -1))
+                names.append(sorted({m[0] for m in rows_of if m[0] is not None}))
+                matches.append([dict(zip(("item", "item_word", "word", "n_words"), m, strict=True)) for m in sorted(rows_of, key=lambda m: (m[0] is None, m[0] or "", m[1:]))])
+            n_hit = np.diff(np.concatenate([[0], np.cumsum(hit)])[np.append(first, len(hit))])
+            columns = [table.column(0).combine_chunks(), pa.array(counts), pa.array(n_hit, pa.int64()), pa.array(starts, longs), pa.array(ends, longs), pa.array(names, pa.list_(pa.string())), pa.array(matches, pa.list_(match))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n_words", "n_hit", "starts", "ends", "items", "matches"])
+
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_words long, n_hit long, starts array<long>, ends array<long>, items array<string>, matches array<{MATCH}>")
 
 
 def contaminated(n_hit: Column, n_words: Column) -> Column:
@@ -299,26 +285,20 @@ def contaminated(n_hit: Column, n_words: Column) -> Column:
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """docs without the contaminated rows. Rows pass through one step with the benchmark at hand and aren't shuffled, unless the
-    benchmark comes in several slices, whose hits must be put together first; docs must then read alike each time, as a table does.
-    """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    n, slices = _slices(items.select(quoted(item_id_col).cast("string").alias("id"), as_text(item_text_col).alias("text")), window, slice_bytes)
-    if n > 1:
-        row = F.monotonically_increasing_id()
-        hits = find_hits(docs.withColumn("__row", row), items, window, "__row", text_col, item_id_col, item_text_col, slice_bytes)
-        clean, _ = written(hits.where(~contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("id").alias("__row")), "clean")
-        return docs.withColumn("__row", row).join(clean, "__row", "left_semi").drop("__row")
-    shared, text_at = spark.sparkContext.broadcast(next(slices)), docs.columns.index(text_col)
+    """docs without the contaminated rows. No shuffle."""
+    bounded_batches(docs.sparkSession)
+    slices = _slices(items, window, item_id_col, item_text_col, slice_bytes)
+    text_at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, texts in _shards(batches, text_at):
-            words = Words(texts, ALPHANUMERIC, LOWER)
-            at, size, _ = occurrences(words, shared.value)
-            hits = np.concatenate([[0], np.cumsum(_hit_words(words, at, size))])[words.first]
-            n_hit, n_words = np.diff(hits), np.diff(words.first)
-            bad = (n_hit > 0) & (20 * n_hit >= n_words)
+            hit = None
+            for bench in slices.each():
+                shard = Shard(texts, bench)
+                own = hit_places(shard, bench, *occurrences(shard, bench))
+                hit, counts, first = own if hit is None else hit | own, shard.counts, shard.first
+            n_hit = np.diff(np.concatenate([[0], np.cumsum(hit)])[np.append(first, len(hit))])
+            bad = (n_hit > 0) & (20 * n_hit >= counts)
             yield from table.filter(pa.array(~bad)).to_batches(max_chunksize=1000)
 
     return through(docs, run)

@@ -13,7 +13,8 @@ chunk in the shared folder, of which a task reads its own part. A task that runs
 Defined results: null and empty texts have no words and lose none. Windows are judged on the input. A document without an id
 neither loses words nor takes any from others. Rows that repeat an id are one document to each other: they don't take words
 from each other. Windows that repeat inside one document only are kept. Columns besides id and text aren't read. Ids must be
-whole numbers.
+whole numbers. Windows are compared by 128 bits of hashes of their words' 128-bit hashes; only chance could make different
+ones agree. An input whose rows move from one reading to the next raises RuntimeError.
 """
 
 from __future__ import annotations
@@ -23,20 +24,18 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
-import pyarrow.parquet as pq
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_text, bounded_batches, new_path, quoted, removed
-from .words import NOT_SPACE, Words, window_hashes
+from .common import as_text, bounded_batches, new_path, quoted, removed, tell, told
+from .words import Words, window_hashes
 
 LENGTH = 50
 #: Bytes of text in a chunk, but for a single longer document.
-CHUNK_BYTES = 12 << 20
-SECOND_BASE = 0xA24BAED4963EE407
+CHUNK_BYTES = 8 << 20
 
 
 def difference_cover(period: int) -> list[int]:
@@ -66,7 +65,7 @@ class Chunk:
     """Words of a chunk's texts with each word's document and place."""
 
     def __init__(self, ids: np.ndarray, known: np.ndarray, texts: list[bytes]):
-        self.words = Words(texts, NOT_SPACE)
+        self.words = Words(texts)
         counts = np.diff(self.words.first)
         self.text = np.repeat(np.arange(len(texts)), counts)
         self.place = np.arange(len(self.words)) - self.words.first[:-1][self.text] if len(texts) else np.empty(0, np.int64)
@@ -76,17 +75,16 @@ class Chunk:
     def anchors(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """(word, hash) of every anchor."""
         period, cover, size = plan(length)
-        hashes = window_hashes(self.words.hashes, size)
+        hashes = window_hashes(self.words.hashes[:, 0], size)
         at_cover = np.isin(np.arange(period), cover)
         at = np.flatnonzero((self.left[: len(hashes)] >= size) & at_cover[self.place[: len(hashes)] % period] & self.known[: len(hashes)])
         return at, hashes[at].view(np.int64)
 
     def windows(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word, hash, second hash) of every full window."""
-        hashes = window_hashes(self.words.hashes, length)
-        second = window_hashes(self.words.hashes, length, SECOND_BASE)
+        hashes, second = (window_hashes(self.words.hashes[:, k], length) for k in (0, 1))
         at = np.flatnonzero((self.left[: len(hashes)] >= length) & self.known[: len(hashes)])
-        return at, hashes[at].view(np.int64), (second[at] >> np.uint64(33)).astype(np.int32)
+        return at, hashes[at].view(np.int64), second[at].view(np.int64)
 
 
 class Lookup:
@@ -143,29 +141,35 @@ def _open(ids: pa.Array, texts: list[bytes]) -> Chunk:
     return Chunk(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), ids.is_valid().to_numpy(zero_copy_only=False), texts)
 
 
-def _told(at: str, chunk: int, columns: list[str]) -> list[np.ndarray]:
-    """A chunk's rows of a table written by partition, of which row groups of other chunks are passed over."""
-    store, base = pafs.FileSystem.from_uri(f"{at}/part={chunk >> 24}")
-    found = store.get_file_info(pafs.FileSelector(base, allow_not_found=True))
-    parts = [pq.read_table(f.path, filesystem=store, columns=columns, filters=[("chunk", "=", chunk)], partitioning=None) for f in found if f.path.endswith(".parquet")]
-    if not parts:
-        return [np.empty(0, np.int64) for _ in columns]
-    table = pa.concat_tables(parts)
-    return [table[c].to_numpy() for c in columns]
+def _signature(chunk: int, ids: pa.Array, texts: list[bytes]) -> int:
+    """Tells whether a chunk is read again as before."""
+    h = xxhash.xxh3_64(repr((chunk, ids.to_pylist(), [len(t) for t in texts])).encode())
+    for t in texts:
+        h.update(t)
+    return h.intdigest() - (1 << 63)
 
 
-def _batch(columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+def _told(at: str, chunk: int, signature: int, columns: list[str]) -> list[np.ndarray]:
+    """A chunk's rows of what its part was told, its signature put to the test."""
+    table = told(at, chunk >> 24, ["signs", *columns], [("chunk", "=", chunk)])
+    signs = table["signs"].to_numpy() if table is not None else np.empty(0, bool)
+    if [int(x) for x in table["h"].to_numpy()[signs]] != [signature] if len(signs) else True:
+        raise RuntimeError("the documents read differently than before: pass a table, not a plan whose rows move")
+    return [table[c].to_numpy()[~signs] for c in columns]
+
+
+def _batch(columns: list, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
 
 def _by_chunk(rows: DataFrame, at: str, *columns: str) -> None:
     """Write what each chunk is told: a folder for each partition, in order of its chunks, in small row groups."""
-    rows = rows.select(F.shiftright("chunk", 24).alias("part"), "chunk", *columns).distinct()
-    rows.repartition("part").sortWithinPartitions("part", "chunk").write.partitionBy("part").option("parquet.block.size", 1 << 20).parquet(at)
+    tell(rows.select(F.shiftright("chunk", 24).alias("part"), "chunk", F.col("id").isNull().alias("signs"), *columns).distinct(), at, "chunk")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, n_removed, kept, spans): kept are the words that stay, joined by single spaces; spans the stretches removed.
+    """(id, n_words, n_removed, kept, starts, ends): kept are the words that stay, joined by single spaces; starts and ends are
+    the stretches of words removed.
 
     docs must read alike each time, as a table does.
     """
@@ -183,16 +187,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             at, h = c.anchors(length)
             h, lo = _least_and_most([h], c.id[at])
             yield _batch([h, np.full(len(h), chunk), lo], ["h", "chunk", "id"])
+            yield _batch([np.array([_signature(chunk, ids, texts)]), np.array([chunk]), [None]], ["h", "chunk", "id"])
 
     anchors = rows.mapInArrow(find_anchors, "h long, chunk long, id long")
     over = W.partitionBy("h")
-    anchors = anchors.select("h", "chunk", F.min("id").over(over).alias("lo"), F.max("id").over(over).alias("hi")).where("lo < hi")
+    anchors = anchors.select("h", "chunk", "id", F.min("id").over(over).alias("lo"), F.max("id").over(over).alias("hi")).where("lo < hi or id is null").select("h", "chunk", "id")
     _by_chunk(anchors, shared_anchors, "h")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, ids, texts in _chunks(batches):
             c = _open(ids, texts)
-            (known,) = _told(shared_anchors, chunk, ["h"])
+            (known,) = _told(shared_anchors, chunk, _signature(chunk, ids, texts), ["h"])
             at, h = c.anchors(length)
             hit = at[Lookup(np.sort(known)).find(h)[0]]
             # windows that hold a shared anchor start at most so many words before it
@@ -205,17 +210,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             keep = near[at]
             h, v, lo = _least_and_most([h[keep], v[keep]], c.id[at[keep]])
             yield _batch([h, v, np.full(len(h), chunk), lo], ["h", "v", "chunk", "id"])
+            yield _batch([np.array([_signature(chunk, ids, texts)]), np.array([0]), np.array([chunk]), [None]], ["h", "v", "chunk", "id"])
 
-    windows = rows.mapInArrow(extend, "h long, v int, chunk long, id long")
+    windows = rows.mapInArrow(extend, "h long, v long, chunk long, id long")
     over = W.partitionBy("h", "v")
-    windows = windows.select("h", "v", "chunk", "id", F.min("id").over(over).alias("lo")).where("lo < id")
+    windows = windows.select("h", "v", "chunk", "id", F.coalesce(F.min("id").over(over), F.lit(0)).alias("lo")).where("lo < id or id is null")
     _by_chunk(windows, shared_windows, "h", "v", "lo")
     removed(spark, shared_anchors)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, ids, texts in _chunks(batches):
             c = _open(ids, texts)
-            h, v, lo = _told(shared_windows, chunk, ["h", "v", "lo"])
+            h, v, lo = _told(shared_windows, chunk, _signature(chunk, ids, texts), ["h", "v", "lo"])
             gone = _covered(c, length, h, v, lo)
             n_words, n_removed, kept, starts, ends = [], [], [], [], []
             for k, text in enumerate(texts):
