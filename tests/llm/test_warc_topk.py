@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import math
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -34,8 +35,23 @@ def test_warc_round_trip_of_odd_pages(spark, tmp_path):
     assert warc.resolve(warc.read_records(spark, out + "0")).collect() == []
 
 
-def test_payloads_that_end_like_a_separator(spark, tmp_path):
-    pages = [(k, f"u{k}", html) for k, html in enumerate(["WARC/1.1", "x\r\n\r\nWARC/1.1", "plain", "\r\n\r\nWARC/1.1\r\n\r\nWARC/1.1", "WARC/1.1\r\n\r\nWARC/1.1\r\ny", "z\r\n\r\nWARC/1.1\r\n\r\n", "last\r\n\r\nWARC/1.1"])]
+def test_large_archives_keep_every_record(spark, tmp_path):
+    """Payloads that end in every beginning of what stands between records, in files of many read buffers."""
+    between = "\r\n\r\nWARC/1.1\r\n"
+    n = 120_000
+    tail = F.concat(*[F.when(F.col("id") % len(between) == k, F.lit(between[:k])).otherwise(F.lit("")) for k in range(len(between))])
+    frame = spark.range(n, numPartitions=3).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.repeat(F.md5(F.col("id").cast("string").cast("binary")), (F.col("id") % 20 + 5).cast("int")), tail).alias("html"))
+    frame.write.parquet(f"{tmp_path}/pages")
+    frame = spark.read.parquet(f"{tmp_path}/pages")
+    out = f"file://{tmp_path}/w"
+    warc.write_archives(frame, out)
+    got = warc.read_records(spark, out, with_payload=True).withColumn("html", F.col("payload").cast("string"))
+    assert got.agg(F.count("*"), F.countDistinct("record_id"), F.sum("payload_bytes")).first() == (n, n, frame.agg(F.sum(F.octet_length("html"))).first()[0])
+    assert got.join(frame, (got.page == frame.page_id.cast("string")) & got.html.eqNullSafe(frame.html)).count() == n
+
+
+def test_a_payload_of_separators_and_one_long_line(spark, tmp_path):
+    pages = [(1, "u", "\r\n\r\nWARC/1.1\r\n" * 100_000), (2, "u", "x" * 9_000_000), (3, "u", "\n"), (4, "u", "\r"), (5, "u", "\r\n\r")]
     frame = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
     out = f"file://{tmp_path}/w"
     warc.write_archives(frame, out)
@@ -43,6 +59,51 @@ def test_payloads_that_end_like_a_separator(spark, tmp_path):
     assert sorted((int(r.page), r.url, bytes(r.payload).decode()) for r in got) == pages
 
 
+def test_records_that_do_not_end_as_they_say_are_an_error():
+    record = b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    lines = lambda raw: raw.removesuffix(b"\n").split(b"\n")
+    assert [b for _, b in warc.parsed(lines(record + record))] == [b"abc", b"abc"]
+    for bad in (record.replace(b"3", b"2"), record.replace(b"3", b"4"), record[:-4], record + record[:20]):
+        with pytest.raises(ValueError):
+            list(warc.parsed(lines(bad)))
+
+
+def test_page_ids_that_repeat_with_other_payloads(spark, tmp_path):
+    pages = [(1, "u", "aa"), (1, "u", "bbb"), (1, "w", "bbb"), (2, "v", "bbb"), (3, "w", "aa"), (3, "x", "aa"), (3, "x", "c"), (3, "x", "c")]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    frame.write.parquet(f"{tmp_path}/pages")
+    out = f"file://{tmp_path}/w"
+    warc.write_archives(spark.read.parquet(f"{tmp_path}/pages"), out)
+    rows = warc.resolve(warc.read_records(spark, out, with_payload=True)).collect()
+    assert len({r.record_id for r in rows}) == len(pages)
+    first = {h: min(i for i, _, g in pages if g == h) for _, _, h in pages}
+    want = sorted((i, u, h, "response" if i == first[h] else "revisit", None if i == first[h] else str(first[h])) for i, u, h in pages)
+    assert sorted(((int(r.page), r.url, bytes(r.payload).decode(), r.type, r.refers_to) for r in rows), key=repr) == sorted(want, key=repr)
+
+
+def test_payloads_are_not_shuffled(spark, tmp_path):
+    """Shuffled bytes of the headers alone, with broadcasts off."""
+    spark.range(400).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.repeat(F.lit("word "), 4000), (F.col("id") % 150).cast("string")).alias("html")).write.parquet(f"{tmp_path}/pages")
+    pages = spark.read.parquet(f"{tmp_path}/pages")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").alias("page"), "url", F.col("html").cast("binary").alias("payload"))
+        warc.find_originals(rows, f"file://{tmp_path}/told")
+        plan = warc.with_originals(rows, f"file://{tmp_path}/told")._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+        told = spark.read.parquet(f"{tmp_path}/told").where("digest is not null")
+        assert told.where("digest is not null").select("digest").distinct().count() == 150
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_pages_that_move_are_an_error(spark, tmp_path):
+    rows = spark.range(40, numPartitions=2).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.udf(lambda: uuid.uuid4().hex).asNondeterministic()().alias("html"))
+    with pytest.raises(Exception, match="read differently"):
+        warc.write_archives(rows, f"file://{tmp_path}/w")
+
+
 def test_top_k_query_matches_sql(spark, data_dir):
     same_rows(queries.op9_exact_top_k(spark, data_dir), data_dir, sql.OP9)
 
