@@ -110,14 +110,14 @@ def test_top_k_query_matches_sql(spark, data_dir):
 
 @pytest.mark.parametrize("blocks", [(2, 3), (100, 100)])
 def test_top_k_of_odd_vectors(spark, blocks):
-    rows = [(0, [1.0, -2.0]), (100, [0.5]), (200, None), (300, [math.nan, 1.0]), (400, []), (1, [1.0, -2.0]), (2, [1.0, -2.0]), (2, [1.0, -2.0]), (3, [None, 1.0]), (4, [math.inf]), (None, [9.0, 9.0]), (5, [0.0, 0.0]), (0, [3.0, 1.0])]
+    rows = [(0, [1.0, -2.0]), (100, [0.5]), (200, None), (300, [math.nan, 1.0]), (400, []), (1, [1.0, -2.0]), (2, [1.0, -2.0]), (2, [1.0, -2.0]), (3, [None, 1.0]), (4, [math.inf]), (None, [9.0, 9.0]), (5, [0.0, 0.0]), (0, [3.0, 1.0]), (100, [4.0, 7.0]), (100, [0.5]), (600, [-1.0, 0.0]), (600, [-1.0, 0.0])]
     frame = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, score int")
     got = topk.top_k(frame, F.col("vec_id") % 100 == 0, k=4, query_block=blocks[0], candidate_block=blocks[1]).collect()
     sound = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
     want = []
-    for i, v in sound:
+    for n_row, (i, v) in enumerate(sound):
         if i is not None and i % 100 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), j is None, j or 0) for j, w in sound if j != i)
+            scored = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), j is None, j or 0) for n_other, (j, w) in enumerate(sound) if n_other != n_row)
             want += [(i, n + 1, None if gone else j, -s) for n, (s, gone, j) in enumerate(scored[:4])]
     key = lambda t: tuple((x is None, x or 0) for x in t)
     assert sorted((tuple(r) for r in got), key=key) == sorted(want, key=key)

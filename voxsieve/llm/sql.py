@@ -66,7 +66,7 @@ WITH v AS (
 ), s AS (
   SELECT q.r AS q_row, q.vec_id AS query_id, c.vec_id,
          coalesce(list_sum(list_transform(list_zip(q.e, c.e), lambda z: coalesce(z[1], 0) * coalesce(z[2], 0))), 0)::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id IS DISTINCT FROM q.vec_id
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.r <> q.r
 ), k AS (
   SELECT *, row_number() OVER (PARTITION BY q_row ORDER BY score DESC, vec_id NULLS LAST)::INTEGER AS rank FROM s
 )

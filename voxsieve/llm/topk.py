@@ -6,9 +6,9 @@ lets every term scatter its weighted postings into the dense score array of each
 of a tile, and a ranking over the tiles' few survivors merges them. All sums are integers.
 
 Defined results: vectors that are null, or hold a null or non-finite component, take no part; an empty vector has score 0
-with all others, and vectors of unequal length meet on the terms that both have. Candidates with the query's own id are left
-out. Repeated query rows are ranked apart; repeated candidate rows each count. Ties go to the smaller id, nulls last. A score
-beyond 64 bits raises OverflowError.
+with all others, and vectors of unequal length meet on the terms that both have. A query's own row is left out, and that row
+alone: other rows of its id are candidates. Repeated query rows are ranked apart; repeated candidate rows each count. Ties go
+to the smaller id, nulls last. A score beyond 64 bits raises OverflowError.
 """
 
 from __future__ import annotations
@@ -64,27 +64,25 @@ def scores(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
 
 
 def best_of_tile(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best candidates of each query in one tile, all ties at the k-th place included."""
+    """The k best candidates of each query in one tile, of equal scores those of the smaller ids; own is the query's score with itself."""
     if not len(queries) or not len(candidates):
-        return pd.DataFrame({"q_row": [], "q_id": [], "c_id": [], "score": []})
+        return pd.DataFrame({"q_row": [], "q_id": [], "c_id": [], "score": [], "own": []})
     terms = max(queries["v"].map(len).max(), candidates["v"].map(len).max())
     q, c = _matrix(queries["v"], terms), _matrix(candidates["v"], terms)
+    if int(np.abs(q).max(initial=0)) ** 2 * terms >= 1 << 63:
+        raise OverflowError("inner products may exceed 64 bits")
+    own = np.einsum("ij,ij->i", q, q)
     q_ids, c_ids = queries["id"].to_numpy(), candidates["id"].to_numpy()
     order = np.argsort(pd.Series(c_ids).rank(method="first", na_option="bottom").to_numpy())  # by id, so that the first of equals is the smaller
     c, c_ids = c[order], c_ids[order]
-    step, found = max(1, TILE_CELLS // len(c)), []
+    step, take, found = max(1, TILE_CELLS // len(c)), min(k, len(c)), []
     for at in range(0, len(q), step):
         total = scores(q[at : at + step], c)
         for row, line in enumerate(total):
-            own = q_ids[at + row]
-            mine = np.flatnonzero(c_ids == own) if not pd.isna(own) else np.empty(0, int)
-            take = min(k + len(mine), len(line))
             least = np.partition(line, len(line) - take)[len(line) - take]
-            above = np.flatnonzero(line > least)
-            level = np.flatnonzero(line == least)
-            keep = np.setdiff1d(np.concatenate([above, level[: k + len(mine)]]), mine)
-            keep = keep[np.lexsort((keep, -line[keep]))][:k]
-            found.append(pd.DataFrame({"q_row": queries["row"].iloc[at + row], "q_id": own, "c_id": c_ids[keep], "score": line[keep].astype(np.int64)}))
+            above, level = np.flatnonzero(line > least), np.flatnonzero(line == least)
+            keep = np.concatenate([above, level[: take - len(above)]])
+            found.append(pd.DataFrame({"q_row": queries["row"].iloc[at + row], "q_id": q_ids[at + row], "c_id": c_ids[keep], "score": line[keep].astype(np.int64), "own": own[at + row]}))
     return pd.concat(found)
 
 
@@ -101,6 +99,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     queries = deal(rows.where("asks"), q_blocks).select("row", "id", "v", F.col("block").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("cb"))
     candidates = deal(rows, c_blocks).select("id", "v", F.col("block").alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
     id_type = rows.schema["id"].dataType.simpleString()
-    tiles = queries.groupBy("qb", "cb").cogroup(candidates.groupBy("qb", "cb")).applyInPandas(lambda q, c: best_of_tile(q, c, k), f"q_row long, q_id {id_type}, c_id {id_type}, score long")
+    tiles = queries.groupBy("qb", "cb").cogroup(candidates.groupBy("qb", "cb")).applyInPandas(lambda q, c: best_of_tile(q, c, k + 1), f"q_row long, q_id {id_type}, c_id {id_type}, score long, own long")
     best = W.partitionBy("q_row").orderBy(F.col("score").desc(), F.col("c_id").asc_nulls_last())
-    return tiles.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(F.col("q_id").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("c_id").alias("vec_id"), "score")
+    ranked = tiles.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k + 1)
+    # the query's own row is one with its id and its score with itself; which one of several makes no difference to the result
+    itself = F.when(F.col("c_id").eqNullSafe(F.col("q_id")) & (F.col("score") == F.col("own")), F.col("rank"))
+    ranked = ranked.withColumn("itself", F.coalesce(F.min(itself).over(W.partitionBy("q_row")), F.lit(k + 1)))
+    kept = ranked.where(F.col("rank") != F.col("itself")).withColumn("rank", F.col("rank") - (F.col("rank") > F.col("itself")).cast("int"))
+    return kept.select(F.col("q_id").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("c_id").alias("vec_id"), "score")
