@@ -6,7 +6,8 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.llm.test_decontaminate import brute
-from tests.llm.test_duplicates import plain_components, plain_print
+from tests.llm.test_duplicates import plain_print
+from tests.llm.test_resemblance import plain_links, roots
 from voxsieve.llm import pii, quality
 from voxsieve.llm.common import fold
 
@@ -17,8 +18,12 @@ def test_run_matches_a_plain_version(spark, data_dir):
     docs = [(r.doc_id, r.text or "") for r in frame.collect()]
     scores = voters.vote([t for _, t in docs])
     docs = [d for d, s in zip(docs, scores, strict=True) if s >= 0.7]
-    groups = plain_components([(i, plain_print(t)) for i, t in docs])
-    docs = [d for d, c in zip(docs, groups, strict=True) if d[0] == c]
+    prints = [plain_print(t) for _, t in docs]
+    near = [(a, b) for b in range(len(docs)) for a in range(b) if bin(prints[a] ^ prints[b]).count("1") <= 2]
+    groups = {}
+    for (i, _), g in zip(docs, roots(len(docs), near + plain_links([t for _, t in docs])), strict=True):
+        groups.setdefault(g, []).append(i)
+    docs = [d for d in docs if d[0] in {min(g) for g in groups.values()}]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{data_dir}/benchmark.parquet").collect()]
     docs = [d for d, (_, n, hit, _) in zip(docs, brute(docs, items), strict=True) if not (hit and 20 * hit >= n)]
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))

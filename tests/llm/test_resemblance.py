@@ -3,6 +3,10 @@
 import random
 
 import corpus_pipeline
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from tests.llm.test_duplicates import LOWER, plain_print
 from voxsieve.llm import resemblance
 
@@ -48,10 +52,10 @@ def test_links_connect_what_is_similar(spark, monkeypatch):
     frame = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
     want = roots(len(texts), plain_links(texts))
     assert len(set(want)) < len(texts)
-    for joined, often in ((1000, 1000), (4, 3), (1, 2)):
+    for joined in (1000, 2):
         monkeypatch.setattr(resemblance, "JOINED", joined)
-        monkeypatch.setattr(resemblance, "FREQUENT", often)
         monkeypatch.setattr(resemblance, "MET", 1)
+        monkeypatch.setattr(resemblance, "TILE", 3)
         assert roots(len(texts), [(r.a, r.b) for r in resemblance.links(frame).collect()]) == want
 
 
@@ -70,3 +74,29 @@ def test_stage_drops_edited_copies(spark, data_dir, tmp_path):
     got = corpus_pipeline.near_dedup(spark, frame, data_dir)
     assert got.columns == frame.columns
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in got.collect()) == want
+
+
+def test_recall_of_the_blocks_by_similarity():
+    """How many pairs of each similarity share a block and lie within the distance, the verification left aside."""
+    rng = np.random.default_rng(5)
+    for share, least in ((0.8, 0.998), (0.85, 0.999), (0.9, 1.0)):
+        found, tries = 0, 1000
+        for _ in range(tries):
+            n = int(rng.integers(40, 400))
+            both = int(round(2 * n * share / (1 + share)))
+            every = rng.integers(0, 1 << 63, 2 * n - both, dtype=np.int64).astype(np.uint64)
+            low = [resemblance.mixed(resemblance.minima(s)) for s in (every[:n], every[n - both :])]
+            bits = int(((low[0] ^ low[1]) & np.uint64(1)).sum())
+            blocks = np.all([low[0][r :: resemblance.ROWS] == low[1][r :: resemblance.ROWS] for r in range(resemblance.ROWS)], axis=0)
+            found += bits <= resemblance.DISTANCE and bool(blocks.any())
+        assert found >= least * tries, (share, found)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="abCD \n", max_size=40), max_size=6))
+def test_sets_are_of_five_words(texts):
+    sets = list(resemblance.shingle_sets(texts))
+    assert [len(s) for s in sets] == [len(plain_set(t)) for t in texts]
+    for a, s in zip(texts, sets, strict=True):
+        for b, t in zip(texts, sets, strict=True):
+            assert len(np.intersect1d(s, t)) == len(plain_set(a) & plain_set(b))

@@ -7,7 +7,9 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -121,3 +123,51 @@ def through(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     """Rows passed whole through run, which keeps, changes or drops them but not their columns. No shuffle."""
     numbered = rows.select(*[quoted(c).alias(f"c{k}") for k, c in enumerate(rows.columns)])
     return numbered.mapInArrow(run, numbered.schema).select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(rows.columns)])
+
+
+#: For the sums by which a task knows the rows that it read before.
+_MODULUS = 1_000_000_007
+PLACE_BITS = 33
+
+
+def numbered(docs: DataFrame, text_col: str) -> DataFrame:
+    """(row, text): row is the reading partition's number above 33 bits of place in it."""
+    return docs.select(F.monotonically_increasing_id().alias("row"), as_text(text_col).alias("text"))
+
+
+def pick_rows(docs: DataFrame, picked: DataFrame, every: DataFrame, text_col: str) -> DataFrame:
+    """docs with the column __row, its numbered() row, for the rows in picked (row). No row of docs is shuffled.
+
+    Each reading partition is told which of its rows are picked. every (row, size) has the octet length of every text as it was
+    read before; a partition that reads otherwise now raises RuntimeError.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    at, part = new_path(spark, "picked"), F.shiftright("row", PLACE_BITS).alias("part")
+    place = F.col("row").bitwiseAND((1 << PLACE_BITS) - 1)
+    check = F.sum(F.pmod((F.col("size") + 1) * (place + 1), F.lit(_MODULUS))).alias("check")
+    sums = every.groupBy(part).agg(F.lit(None).cast("long").alias("row"), F.count("*").alias("n"), check)
+    tell(picked.select(part, "row", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("check")).unionByName(sums), at, "row")
+    text_at = docs.columns.index(text_col) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, want, n, check = None, (0, 0), 0, 0
+        for batch in batches:
+            rows = batch.column(0).to_numpy()
+            if wanted is None and len(rows):
+                table = told(at, int(rows[0]) >> PLACE_BITS, ["row", "n", "check"])
+                own = table.filter(pc.is_null(table["row"])) if table is not None else None
+                want = (own["n"][0].as_py(), own["check"][0].as_py()) if own else want
+                wanted = np.sort(table["row"].drop_null().to_numpy()) if table is not None else np.empty(0, np.int64)
+            sizes = pc.binary_length(batch.column(text_at)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            n, check = n + len(rows), check + int(((sizes + 1) * ((rows & ((1 << PLACE_BITS) - 1)) + 1) % _MODULUS).sum())
+            if len(rows):
+                found = np.minimum(np.searchsorted(wanted, rows), max(0, len(wanted) - 1))
+                yield batch.filter(pa.array(wanted[found] == rows if len(wanted) else np.zeros(len(rows), bool)))
+        if (n, check) != want:
+            raise RuntimeError("the documents read differently than before: pass a table, not a plan whose rows move")
+
+    kept = [quoted(c).alias(f"c{k}") for k, c in enumerate(docs.columns)]
+    kept[text_at - 1] = quoted(text_col).cast("string").alias(f"c{text_at - 1}")
+    with_row = docs.select(F.monotonically_increasing_id().alias("row"), *kept)
+    return with_row.mapInArrow(run, with_row.schema).select(F.col("row").alias("__row"), *[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])

@@ -18,11 +18,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, bounded_batches, quoted, removed, written
+from .common import as_text, bounded_batches, pick_rows, quoted, removed, written
 
 BLOCKS, BLOCK_BITS, DISTANCE = 4, 16, 2
 #: Members up to which a key is joined pair by pair; keys with more are linked through neighbours.
@@ -51,7 +52,7 @@ def fingerprint(text: str, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, id, fp): one row per document. No shuffle; row numbers the rows of docs as they are read."""
+    """(row, id, fp, size): one row per document. No shuffle; row numbers the rows of docs as they are read, size is the text's octets."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), quoted(id_col).alias("id"), as_text(text_col).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
@@ -59,9 +60,9 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = [fingerprint(t, shingle) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.int64())], names=["row", "id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.int64()), pc.binary_length(batch.column(2)).cast(pa.int64())], names=["row", "id", "fp", "size"])
 
-    return rows.mapInArrow(run, f"row long, id {id_type}, fp long")
+    return rows.mapInArrow(run, f"row long, id {id_type}, fp long, size long")
 
 
 def keyed(prints: DataFrame) -> DataFrame:
@@ -114,7 +115,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, id, fp, component, first_row): component is the smallest id reachable, first_row the row that bears it."""
+    """(row, id, fp, size, component, first_row): component is the smallest id reachable, first_row the row that bears it; size is the text's octets."""
     prints, _ = written(fingerprints(docs, shingle, id_col, text_col), "simhash-prints")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))).alias("first")
     distinct, _ = written(prints.groupBy("fp").agg(first), "simhash-distinct")
@@ -124,13 +125,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", t
     named, _ = written(linked.groupBy("label").agg(F.min("first").alias("named")), "simhash-named")
     of_print = distinct.join(linked.join(named, "label").select(F.col("fp"), "named"), "fp", "left").select("fp", F.coalesce("named", "first").alias("c"))
     of_print, _ = written(of_print, "simhash-components")
-    return prints.join(of_print, "fp").select("row", "id", "fp", F.col("c.id").alias("component"), F.col("c.row").alias("first_row"))
+    return prints.join(of_print, "fp").select("row", "id", "fp", "size", F.col("c.id").alias("component"), F.col("c.row").alias("first_row"))
 
 
 def keep_first(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay: of each component the row with the smallest id. docs must read alike each time, as a table does."""
-    stay = near_duplicates(docs, shingle, id_col, text_col).where("row = first_row").select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(stay, "__row", "left_semi").drop("__row")
+    groups, _ = written(near_duplicates(docs, shingle, id_col, text_col).select("row", "size", "first_row"), "simhash-groups")
+    return pick_rows(docs, groups.where("row = first_row").select("row"), groups, text_col).drop("__row")
 
 
 def hex_fingerprint(fp: Column) -> Column:
