@@ -3,10 +3,10 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the columns that docs has; the last
 returns token ids. Each stage works on all documents that the stage before it kept.
 
-Defined results: null texts count as empty. Documents whose quality score is under 0.7 go; of near-duplicates (fingerprints of three-word
-shingles within two bits, or sets of five-word shingles with a similarity of 0.8 or more, linked on and on) the one with the smallest id stays, a row without an id only if its group has none with one; documents of which a
-twentieth or more are benchmark words go; personal data are replaced by their kind in brackets, with n_chars counted anew;
-the rest is encoded. Empty tables pass through. Repeated rows are near-duplicates of each other.
+Defined results: null texts count as empty. Documents whose quality score is under 0.7 go; of near-duplicates (fingerprints
+of three-word shingles within two bits, or sets of five-word shingles with a similarity of 0.8 or more, linked on and on) the
+one with the smallest id stays, a row without an id only if its group has none with one; documents of which a twentieth or
+more are benchmark words go; personal data are replaced by their kind in brackets, with n_chars counted anew; the rest is encoded. Empty tables pass through. Repeated rows are near-duplicates of each other.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxsieve.llm import bpe, decontaminate, pii, quality, resemblance
-from voxsieve.llm.common import fold, read_table, written
+from voxsieve.llm.common import fold, new_path, read_table, scratch
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 KEPT_QUALITY = 0.7
@@ -55,8 +55,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again."""
+    """All stages over documents, each written and read again. What a stage needs besides goes when it is done."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs, _ = written(stage(spark, docs, sf_dir), name)
+        path = new_path(spark, name)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
