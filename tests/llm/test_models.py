@@ -209,3 +209,70 @@ def test_repeated_label_rows_take_no_place_in_the_sample(spark):
         patch.setattr(toxicity, "train", lambda texts, labels: seen.extend(labels))
         toxicity.fit(docs, marks, F.lit(True), rows=5)
     assert sorted(seen) == [0, 0, 0, 1, 1]
+
+
+def test_quality_query_is_the_plain_vote(spark, data_dir):
+    docs, labels = (spark.read.parquet(f"{data_dir}/{t}.parquet") for t in ("documents", "labels"))
+    voters = quality.fit(docs, labels, fold("id", 4) != 2)
+    got = {r.doc_id: r.score for r in queries.op10_quality_votes(spark, data_dir).collect()}
+    for d in docs.collect():
+        own = quality.matrix([d.text or ""])[0] * voters.weights
+        z = own @ voters.projection
+        cosines = [float(z @ v) / max(float(np.linalg.norm(z)), 1e-9) for v in voters.vectors]
+        near = sorted(range(len(cosines)), key=lambda k: (-cosines[k], k))[: quality.NEIGHBOURS]
+        weight = [max(cosines[k], 0.01) ** quality.POWER for k in near]
+        assert got[d.doc_id] == pytest.approx(sum(w * voters.labels[k] for w, k in zip(weight, near, strict=True)) / sum(weight), abs=1e-3)
+
+
+def test_words_and_their_ends_count():
+    same = [quality.terms(t) for t in ("good plain text", "good other text", "good plain text")]
+    assert (same[0] == same[2]).all() and (same[0] != same[1])[quality.LEXICAL :].any()
+    assert same[0][quality.LEXICAL :].sum() == 9
+
+
+def test_leading_vectors_are_those_of_the_decomposition():
+    x = np.random.default_rng(2).normal(size=(60, 200)) * np.linspace(3, 0.1, 200)
+    got = quality.leading(x, 5, rounds=60)
+    want = np.linalg.svd(x)[2][:5].T
+    assert np.allclose(np.abs((got * want).sum(0)), 1, atol=1e-4)
+    assert quality.leading(np.zeros((3, 4)), 2).shape[0] == 4
+
+
+def test_toxicity_query_is_the_plain_kernel(spark, data_dir):
+    docs, labels = (spark.read.parquet(f"{data_dir}/{t}.parquet") for t in ("documents", "labels"))
+    machine = toxicity.fit(docs, labels, fold("id", 5) != 0)
+    got = {r.doc_id: r.score for r in queries.op5_toxicity(spark, data_dir).collect()}
+
+    def value(word):
+        c = [1, *map(toxicity._code, word), 2]
+        spots = [(i, j, k) for i in range(len(c)) for k in range(i + 2, min(len(c), i + toxicity.SPAN)) for j in range(i + 1, k)]
+        norm = sum(toxicity.DECAY ** (2 * (k - i - 2)) for i, _, k in spots) ** 0.5 or 1
+        return machine.bias + sum(machine.weights[(c[i] * 64 + c[j]) * 64 + c[k]] * toxicity.DECAY ** (k - i - 2) for i, j, k in spots) / norm
+
+    for d in docs.orderBy("doc_id").limit(40).collect():
+        values = [max(map(value, toxicity.pieces(w))) for w in toxicity.units(d.text or "")]
+        counts = [min(toxicity.MOST, sum(1 / (1 + np.exp(-10 * (v - level))) for v in values)) for level in toxicity.LEVELS]
+        x = float(np.dot([*counts, np.log1p(max(len(values), toxicity.SHORT)), 1.0], machine.link)) if machine.rate is None else 0
+        assert got[d.doc_id] == pytest.approx(1 / (1 + np.exp(-x)) if machine.rate is None else machine.rate, abs=1e-3)
+
+
+def test_long_and_clashing_rows_score(spark):
+    rows = [(1, "plain words " * 5000, 1), (2, "idiot " + "x" * 60_000, 2), (3, "", 3)]
+    docs = spark.createDataFrame([(*r, "s", 0.5) for r in rows], "doc_id long, text string, id long, word string, score double")
+    labels = spark.createDataFrame([(1, 0, 0), (2, 1, 1)], "doc_id long, toxic int, quality int")
+    for module in (toxicity, quality):
+        got = module.score(docs, module.fit(docs, labels, F.lit(True), chars=100_000)).collect()
+        assert sorted(r.id for r in got) == [1, 2, 3]
+
+
+def test_pii_spans_of_long_texts_and_their_recall(spark, crf):
+    """Added spans on numbers that the training text has no form of, and a long text through the frame."""
+    rng = random.Random(99)
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    texts = [f"reach me on {t} any day" for t in (f"({d(3)}) {d(3)}-{d(4)}" for _ in range(60))]
+    texts += [f"ring {d(3)}-{d(3)}-{d(4)}, ask for Ann" for _ in range(60)]
+    found = sum(any(y == 3 for y, _, _ in pii.added_spans(t, pii.base_spans(t), crf)) for t in texts)
+    assert found >= 0.9 * len(texts)
+    frame = spark.createDataFrame([(1, "word " * 40_000 + "a@b.co and (415) 555-0123 end")], "doc_id long, text string")
+    (row,) = pii.find(frame, crf).collect()
+    assert [(s.kind, s.start) for s in row.spans] == [(0, 200_000), (3, 200_011)]

@@ -100,3 +100,23 @@ def test_packing_is_lossless(spark, tmp_path):
             want.setdefault(None if d is None else str(d), []).append((at, ids[at : at + 64]))
     assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in want.items()}
     assert packing.write_packed(docs.limit(0), RANKS, out + "0").collect() == []
+
+
+def test_packing_query_holds_every_token(spark, data_dir):
+    docs = {str(r.doc_id): packing.rank_coder(RANKS).encode_ordinary(r.text or "") for r in spark.read.parquet(f"{data_dir}/documents.parquet").collect()}
+    seen = {i: 0 for i in docs}
+    for r in queries.op4_pack_tokens(spark, data_dir).collect():
+        ids = []
+        for i, start, a, b in zip(r.doc_ids, r.starts, r.cu_seqlens, r.cu_seqlens[1:], strict=False):
+            ids += docs[str(i)][start : start + b - a]
+            seen[str(i)] += b - a
+        assert r.n_tokens == len(ids) <= packing.ROW_TOKENS and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+    assert seen == {i: len(t) for i, t in docs.items()}
+
+
+def test_packing_of_text_ids_repeats_and_clashing_columns(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "one two", 1), ("a", "one two", 1), (None, "three", 2), ("b", None, 3)], "doc_id string, text string, ids int")
+    out = f"file://{tmp_path}/p"
+    packing.write_packed(docs, RANKS, out, row_tokens=8).collect()
+    held = [i for r in packing.read_packed(spark, out).collect() for i in r.doc_ids]
+    assert sorted(held, key=repr) == ["a", "a", None]

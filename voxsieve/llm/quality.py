@@ -1,7 +1,7 @@
 """Document quality by nearest-neighbour voting over latent-semantic vectors.
 
-A text is described by how its words are formed and repeated: shapes and tails of words, repeats of the last word, of lines
-and of words in all. Term counts, damped and weighted by how rare a term is in the fit sample, are reduced by a truncated
+A text is described by its words, the characters that words begin and end with, and how words are formed and repeated: shapes
+and tails of words, repeats of the last word, of lines and of words in all. Term counts, damped and weighted by how rare a term is in the fit sample, are reduced by a truncated
 singular value decomposition of the labelled sample. The labelled vectors are broadcast (their number is bounded), every
 document's cosines with all of them are computed exactly, block by block, and the nearest ones vote with weights that grow
 with the cosine.
@@ -16,7 +16,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
@@ -28,12 +28,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, bounded_batches, hash_sample, quoted, through
+from .common import as_text, bounded_batches, hash_sample, quoted, released, through
 
 #: Labelled rows that vote, taken by hash, and the characters up to which a text may be one of them.
 FIT_ROWS, FIT_CHARS = 4000, 30_000
 #: Hashed terms, latent dimensions, voting neighbours, and the power of the cosine that is a neighbour's weight.
-TERMS, LATENT, NEIGHBOURS, POWER = 4096, 48, 25, 8
+TERMS, LATENT, NEIGHBOURS, POWER = 8192, 48, 25, 8
+#: From which term on words and characters are hashed; form and words are shares of their own sums.
+LEXICAL = 4096
 #: Characters up to which a word has one shape; longer words have one for every piece of so many.
 PIECE = 64
 
@@ -55,23 +57,30 @@ def shape(word: str) -> str:
 
 @lru_cache(10_000)
 def _term(name: str) -> int:
-    return xxhash.xxh32_intdigest(name.encode("utf-8", "surrogatepass"), 7) % TERMS
+    return xxhash.xxh32_intdigest(name.encode("utf-8", "surrogatepass"), 7) % LEXICAL
 
 
-_WORD_TERMS: dict[str, tuple[int, int, int]] = {}
+def _lexical(name: str) -> int:
+    return LEXICAL + xxhash.xxh32_intdigest(name.encode("utf-8", "surrogatepass"), 11) % (TERMS - LEXICAL)
 
 
-def _of_word(word: str) -> tuple[int, int, int]:
+#: Words whose terms are kept for the rest of a task.
+KNOWN_WORDS = 100_000
+_WORD_TERMS: dict[str, tuple[int, ...]] = {}
+
+
+def _of_word(word: str) -> tuple[int, ...]:
     got = _WORD_TERMS.get(word)
     if got is None:
-        if len(_WORD_TERMS) > 300_000:
+        if len(_WORD_TERMS) > KNOWN_WORDS:
             _WORD_TERMS.clear()
         got = _WORD_TERMS[word] = (_term("shape " + shape(word)), *_ends(word))
     return got
 
 
-def _ends(word: str) -> tuple[int, int]:
-    return _term("tail " + shape(word[-2:])), _term(f"length {min(len(word), 20)}")
+def _ends(word: str) -> tuple[int, ...]:
+    """Terms of a word of any length besides its shape: the word, its first and last characters, its tail's shape and its length."""
+    return _lexical(word), _lexical("<" + word[:3]), _lexical(word[-3:] + ">"), _term("tail " + shape(word[-2:])), _term(f"length {min(len(word), 20)}")
 
 
 def _level(share: float) -> int:
@@ -87,8 +96,8 @@ def terms(text: str) -> np.ndarray:
         return out
     counts = Counter(words)
     short = {w: k for w, k in counts.items() if len(w) <= PIECE} if max(map(len, counts)) > PIECE else counts
-    numbers = np.fromiter(chain.from_iterable(map(_of_word, short)), np.int64, 3 * len(short))
-    out = np.bincount(numbers, np.repeat(np.fromiter(short.values(), float, len(short)), 3), TERMS).astype(float)
+    numbers = np.fromiter(chain.from_iterable(map(_of_word, short)), np.int64, 6 * len(short))
+    out = np.bincount(numbers, np.repeat(np.fromiter(short.values(), float, len(short)), 6), TERMS).astype(float)
     for w in counts.keys() - short.keys() if len(short) < len(counts) else ():
         for at in range(0, len(w), PIECE):
             piece = w[at : at + PIECE]
@@ -110,10 +119,16 @@ def terms(text: str) -> np.ndarray:
     return out
 
 
-def matrix(texts: Iterable[str]) -> np.ndarray:
+def matrix(texts: Sequence[str]) -> np.ndarray:
     """Damped shares of the terms, text by term."""
-    out = np.array([terms(t) for t in texts], np.float32).reshape(-1, TERMS)
-    return np.log1p(100 * out / np.maximum(1, out.sum(1, keepdims=True)))
+    out = np.empty((len(texts), TERMS), np.float32)
+    for k, text in enumerate(texts):
+        out[k] = terms(text)
+    form, words = out[:, :LEXICAL], out[:, LEXICAL:]
+    form *= 100 / np.maximum(1, form.sum(1, keepdims=True))
+    words *= 100 / np.maximum(1, words.sum(1, keepdims=True))
+    np.log1p(out, out=out)
+    return out
 
 
 @dataclass
@@ -129,7 +144,7 @@ class Voters:
         z = (shares * self.weights) @ self.projection
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
 
-    def vote(self, texts: list[str], block: int = 512) -> np.ndarray:
+    def vote(self, texts: list[str], block: int = 256) -> np.ndarray:
         """The similarity-weighted share of label 1 among the nearest labelled vectors."""
         out = np.full(len(texts), 0.5)
         k = min(NEIGHBOURS, len(self.labels))
@@ -154,25 +169,25 @@ class Voters:
         return out
 
 
+def leading(x: np.ndarray, dimensions: int, rounds: int = 8) -> np.ndarray:
+    """The leading right singular vectors of x, by subspace iteration."""
+    q = np.linalg.qr(x.T @ np.random.default_rng(3).normal(size=(len(x), min(dimensions + 16, *x.shape))).astype(x.dtype))[0]
+    for _ in range(rounds):
+        q = np.linalg.qr(x.T @ (x @ q))[0]
+    small = x @ q
+    values, v = np.linalg.eigh((small.T @ small).astype(np.float64))
+    top = v[:, ::-1][:, :dimensions][:, values[::-1][:dimensions] > 1e-9 * max(values[-1], 1e-9)]
+    return q @ top
+
+
 def train(texts: list[str], labels: list[int]) -> Voters:
     shares = matrix(texts)
     present = (shares > 0).sum(0)
     weights = np.log((1 + len(texts)) / (1 + present)).astype(np.float32) + 0.3
-    scaled = shares * weights
-    used = np.flatnonzero(present > 0)
     projection = np.zeros((TERMS, LATENT), np.float32)
-    if len(texts) and len(used):
-        # the leading right singular vectors, through the smaller Gram matrix
-        x = scaled[:, used].astype(np.float64)
-        if len(used) <= len(texts):
-            _, v = np.linalg.eigh(x.T @ x)
-            top = v[:, ::-1][:, :LATENT]
-        else:
-            s, u = np.linalg.eigh(x @ x.T)
-            order = np.argsort(-s)[:LATENT]
-            order = order[s[order] > 1e-9 * max(s.max(), 1e-9)]
-            top = x.T @ u[:, order] / np.sqrt(s[order])
-        projection[np.ix_(used, np.arange(top.shape[1]))] = top
+    if len(texts):
+        top = leading(shares * weights, LATENT)
+        projection[:, : top.shape[1]] = top
     voters = Voters(weights, projection, np.empty((0, LATENT), np.float32), np.array(labels, float))
     voters.vectors = voters.project(shares).astype(np.float32)
     return voters
@@ -202,8 +217,9 @@ def score(docs: DataFrame, voters: Voters, id_col: str = "doc_id", text_col: str
         for batch in batches:
             scores = shared.value.vote(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["id", "score"])
+        _WORD_TERMS.clear()
 
-    return rows.mapInArrow(run, f"id {id_type}, score double")
+    return rows.mapInArrow(released(run), f"id {id_type}, score double")
 
 
 def keep(docs: DataFrame, voters: Voters, least: float, text_col: str = "text") -> DataFrame:
@@ -216,5 +232,6 @@ def keep(docs: DataFrame, voters: Voters, least: float, text_col: str = "text")
         for batch in batches:
             scores = shared.value.vote([t or "" for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array(scores >= least))
+        _WORD_TERMS.clear()
 
     return through(docs, run)
