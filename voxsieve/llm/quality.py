@@ -16,9 +16,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from functools import lru_cache
 from itertools import chain
 from operator import eq
 
@@ -55,32 +54,42 @@ def shape(word: str) -> str:
     return _RUNS.sub(r"\1", "".join(map(_KINDS.__getitem__, word)))
 
 
-@lru_cache(10_000)
 def _term(name: str) -> int:
-    return xxhash.xxh32_intdigest(name.encode("utf-8", "surrogatepass"), 7) % LEXICAL
+    return xxhash.xxh32_intdigest(name, 7) % LEXICAL
 
 
 def _lexical(name: str) -> int:
-    return LEXICAL + xxhash.xxh32_intdigest(name.encode("utf-8", "surrogatepass"), 11) % (TERMS - LEXICAL)
+    return LEXICAL + xxhash.xxh32_intdigest(name, 11) % (TERMS - LEXICAL)
 
 
-#: Words whose terms are kept for the rest of a task.
-KNOWN_WORDS = 100_000
-_WORD_TERMS: dict[str, tuple[int, ...]] = {}
+class _Terms(dict):
+    """Terms by name, worked out once for the rest of a task."""
+
+    def __init__(self, of: Callable[[str], int | tuple[int, ...]]):
+        self.of = of
 
+    def __missing__(self, name: str) -> int | tuple[int, ...]:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        got = self[name] = self.of(name)
+        return got
 
-def _of_word(word: str) -> tuple[int, ...]:
-    got = _WORD_TERMS.get(word)
-    if got is None:
-        if len(_WORD_TERMS) > KNOWN_WORDS:
-            _WORD_TERMS.clear()
-        got = _WORD_TERMS[word] = (_term("shape " + shape(word)), *_ends(word))
-    return got
+
+#: Names of each kind whose terms are kept.
+KNOWN_WORDS = 100_000
+_SHAPES = _Terms(lambda s: _term("shape " + s))
+_HEADS = _Terms(lambda s: _lexical("<" + s))
+_LASTS = _Terms(lambda s: _lexical(s + ">"))
+_TAILS = _Terms(lambda s: _term("tail " + shape(s)))
+_LENGTHS = [_term(f"length {n}") for n in range(21)]
 
 
 def _ends(word: str) -> tuple[int, ...]:
     """Terms of a word of any length besides its shape: the word, its first and last characters, its tail's shape and its length."""
-    return _lexical(word), _lexical("<" + word[:3]), _lexical(word[-3:] + ">"), _term("tail " + shape(word[-2:])), _term(f"length {min(len(word), 20)}")
+    return _lexical(word), _HEADS[word[:3]], _LASTS[word[-3:]], _TAILS[word[-2:]], _LENGTHS[min(len(word), 20)]
+
+
+_WORD_TERMS = _Terms(lambda word: (_SHAPES[shape(word)], *_ends(word)))
 
 
 def _level(share: float) -> int:
@@ -96,7 +105,7 @@ def terms(text: str) -> np.ndarray:
         return out
     counts = Counter(words)
     short = {w: k for w, k in counts.items() if len(w) <= PIECE} if max(map(len, counts)) > PIECE else counts
-    numbers = np.fromiter(chain.from_iterable(map(_of_word, short)), np.int64, 6 * len(short))
+    numbers = np.fromiter(chain.from_iterable(map(_WORD_TERMS.__getitem__, short)), np.int64, 6 * len(short))
     out = np.bincount(numbers, np.repeat(np.fromiter(short.values(), float, len(short)), 6), TERMS).astype(float)
     for w in counts.keys() - short.keys() if len(short) < len(counts) else ():
         for at in range(0, len(w), PIECE):
@@ -140,9 +149,12 @@ class Voters:
     vectors: np.ndarray
     labels: np.ndarray
 
+    @staticmethod
+    def unit(z: np.ndarray) -> np.ndarray:
+        return (z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+
     def project(self, shares: np.ndarray) -> np.ndarray:
-        z = (shares * self.weights) @ self.projection
-        return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
+        return self.unit((shares * self.weights) @ self.projection)
 
     def vote(self, texts: list[str], block: int = 256) -> np.ndarray:
         """The similarity-weighted share of label 1 among the nearest labelled vectors."""
@@ -182,14 +194,14 @@ def leading(x: np.ndarray, dimensions: int, rounds: int = 8) -> np.ndarray:
 
 def train(texts: list[str], labels: list[int]) -> Voters:
     shares = matrix(texts)
-    present = (shares > 0).sum(0)
-    weights = np.log((1 + len(texts)) / (1 + present)).astype(np.float32) + 0.3
+    weights = np.log((1 + len(texts)) / (1 + np.count_nonzero(shares, axis=0))).astype(np.float32) + 0.3
+    shares *= weights
     projection = np.zeros((TERMS, LATENT), np.float32)
     if len(texts):
-        top = leading(shares * weights, LATENT)
+        top = leading(shares, LATENT)
         projection[:, : top.shape[1]] = top
     voters = Voters(weights, projection, np.empty((0, LATENT), np.float32), np.array(labels, float))
-    voters.vectors = voters.project(shares).astype(np.float32)
+    voters.vectors = voters.unit(shares @ projection)
     return voters
 
 
