@@ -21,14 +21,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import as_text, bounded_batches, quoted
+from .common import as_text, bounded_batches, quoted, released
 
 #: Fixed value: the public pattern that splits text before the merges.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Cached chunks per Python worker and generation. A full generation becomes the old one, which the new one refills from as
 #: its entries are used; this changes speed only.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -272,7 +272,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                 [batch.column(0), pa.array(ids, pa.binary()), pa.array([len(b) // 4 for b in ids], pa.int64())], names=["id", "ids", "n_tokens"]
             )
 
-    return rows.mapInArrow(run, f"id {id_type}, ids binary, n_tokens long")
+    return rows.mapInArrow(released(run), f"id {id_type}, ids binary, n_tokens long")
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
@@ -287,4 +287,4 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
             texts = [bpe.decode(np.frombuffer(b, "<u4")) for b in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=["id", "ids", "n_tokens", "text"])
 
-    return rows.mapInArrow(run, f"id {id_type}, ids binary, n_tokens long, text string")
+    return rows.mapInArrow(released(run), f"id {id_type}, ids binary, n_tokens long, text string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes that one Arrow batch may hold, so that a Python worker's memory doesn't follow the text length.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,21 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the Python worker, which goes on to other tasks, gives back the memory that it no longer uses."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return whole
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only for a local master without the setting."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -122,7 +138,7 @@ def hash_sample(rows: DataFrame, keys: list[Column], size: int) -> DataFrame:
 def through(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
     """Rows passed whole through run, which keeps, changes or drops them but not their columns. No shuffle."""
     numbered = rows.select(*[quoted(c).alias(f"c{k}") for k, c in enumerate(rows.columns)])
-    return numbered.mapInArrow(run, numbered.schema).select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(rows.columns)])
+    return numbered.mapInArrow(released(run), numbered.schema).select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(rows.columns)])
 
 
 #: For the sums by which a task knows the rows that it read before.
@@ -170,4 +186,4 @@ def pick_rows(docs: DataFrame, picked: DataFrame, every: DataFrame, text_col: st
     kept = [quoted(c).alias(f"c{k}") for k, c in enumerate(docs.columns)]
     kept[text_at - 1] = quoted(text_col).cast("string").alias(f"c{text_at - 1}")
     with_row = docs.select(F.monotonically_increasing_id().alias("row"), *kept)
-    return with_row.mapInArrow(run, with_row.schema).select(F.col("row").alias("__row"), *[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
+    return with_row.mapInArrow(released(run), with_row.schema).select(F.col("row").alias("__row"), *[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])

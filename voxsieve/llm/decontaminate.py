@@ -28,14 +28,14 @@ import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, bounded_batches, new_path, quoted, through
+from .common import as_text, bounded_batches, new_path, quoted, released, through
 from .words import ALPHANUMERIC, byte_table
 
 WINDOW = 13
 #: Bytes of benchmark text in a slice, but for a single longer item.
 SLICE_BYTES = 8 << 20
 #: Bytes of document text that make a shard, but for a single longer document, and windows searched at once.
-SHARD_BYTES, SEARCHED = 8 << 20, 1 << 15
+SHARD_BYTES, SEARCHED = 4 << 20, 1 << 15
 
 _TABLE = byte_table(ALPHANUMERIC)
 
@@ -276,7 +276,7 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: s
             columns = [table.column(0).combine_chunks(), pa.array(counts), pa.array(n_hit, pa.int64()), pa.array(starts, longs), pa.array(ends, longs), pa.array(names, pa.list_(pa.string())), pa.array(matches, pa.list_(match))]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n_words", "n_hit", "starts", "ends", "items", "matches"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_words long, n_hit long, starts array<long>, ends array<long>, items array<string>, matches array<{MATCH}>")
+    return rows.mapInArrow(released(run), f"id {rows.schema['id'].dataType.simpleString()}, n_words long, n_hit long, starts array<long>, ends array<long>, items array<string>, matches array<{MATCH}>")
 
 
 def contaminated(n_hit: Column, n_words: Column) -> Column:

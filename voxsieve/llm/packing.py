@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_text, bounded_batches, quoted
+from .common import as_text, bounded_batches, quoted, released
 
 ROW_TOKENS, POOL_TOKENS = 2048, 4 << 20
 
@@ -157,7 +157,7 @@ def write_packed(docs: DataFrame, vocabulary: str, out: str, row_tokens: int = R
         if state["of"]:
             yield flush()
 
-    return rows.mapInArrow(run, "file string, n_rows long, n_tokens long")
+    return rows.mapInArrow(released(run), "file string, n_rows long, n_tokens long")
 
 
 def read_packed(spark: SparkSession, out: str) -> DataFrame:
@@ -184,4 +184,4 @@ def read_packed(spark: SparkSession, out: str) -> DataFrame:
                 kinds = [pa.string(), pa.int64(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["file", "row", "ids", "doc_ids", "starts", "cu_seqlens", "resets"])
 
-    return files.mapInArrow(run, shape)
+    return files.mapInArrow(released(run), shape)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, bounded_batches, hash_sample, quoted
+from .common import as_text, bounded_batches, hash_sample, quoted, released
 
 KINDS = ["email", "ip", "card", "phone"]
 #: Documents and characters of each that the field may be fitted on; atoms that a segment may have; characters of context.
@@ -407,7 +407,7 @@ def find(docs: DataFrame, model: SemiCrf, id_col: str = "doc_id", text_col: str
                 texts.append(redacted(text, base + added) if redact else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind), pa.array(texts, pa.string())], names=["id", "spans", "text"])
 
-    return rows.mapInArrow(run, f"id {id_type}, spans {SPANS}, text string")
+    return rows.mapInArrow(released(run), f"id {id_type}, spans {SPANS}, text string")
 
 
 def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -441,7 +441,7 @@ def redact_column(docs: DataFrame, model: SemiCrf, text_col: str = "text", count
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     found = docs.select(*[quoted(c).alias(f"c{k}") for k, c in enumerate(docs.columns)], F.length(quoted(text_col)).alias("before"))
-    kept = found.mapInArrow(run, found.schema)
+    kept = found.mapInArrow(released(run), found.schema)
     names = [F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)]
     if count_col in docs.columns:
         k = docs.columns.index(count_col)

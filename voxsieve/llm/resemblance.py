@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, numbered, pick_rows, written
+from .common import bounded_batches, numbered, pick_rows, released, written
 from .simhash import _LOWER, components, near_duplicates
 from .words import Words, mixed, window_hashes
 
@@ -102,7 +102,7 @@ def fingerprints(docs: DataFrame, text_col: str) -> DataFrame:
             lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pc.binary_length(batch.column(1)).cast(pa.int64()), pa.array(digests, pa.binary()), lists(bits), lists(keys.view(np.int64))], names=["row", "size", "digest", "bits", "blocks"])
 
-    return numbered(docs, text_col).mapInArrow(run, "row long, size long, digest binary, bits array<long>, blocks array<long>")
+    return numbered(docs, text_col).mapInArrow(released(run), "row long, size long, digest binary, bits array<long>, blocks array<long>")
 
 
 def _near(a: Column, b: Column) -> Column:
@@ -129,7 +129,7 @@ def verified(pairs: DataFrame, docs: DataFrame, every: DataFrame, text_col: str)
             kept = [similar(x, y) for x, y in zip(sets, sets, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(released(run), "a long, b long")
 
 
 def links(docs: DataFrame, text_col: str = "text") -> DataFrame:

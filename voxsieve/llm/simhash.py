@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, bounded_batches, pick_rows, quoted, removed, written
+from .common import as_text, bounded_batches, pick_rows, quoted, released, removed, written
 
 BLOCKS, BLOCK_BITS, DISTANCE = 4, 16, 2
 #: Members up to which a key is joined pair by pair; keys with more are linked through neighbours.
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
             prints = [fingerprint(t, shingle) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.int64()), pc.binary_length(batch.column(2)).cast(pa.int64())], names=["row", "id", "fp", "size"])
 
-    return rows.mapInArrow(run, f"row long, id {id_type}, fp long, size long")
+    return rows.mapInArrow(released(run), f"row long, id {id_type}, fp long, size long")
 
 
 def keyed(prints: DataFrame) -> DataFrame:

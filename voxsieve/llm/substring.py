@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_text, bounded_batches, new_path, quoted, removed, tell, told
+from .common import as_text, bounded_batches, new_path, quoted, released, removed, tell, told
 from .words import Words, window_hashes
 
 LENGTH = 50
@@ -189,7 +189,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             yield _batch([h, np.full(len(h), chunk), lo], ["h", "chunk", "id"])
             yield _batch([np.array([_signature(chunk, ids, texts)]), np.array([chunk]), [None]], ["h", "chunk", "id"])
 
-    anchors = rows.mapInArrow(find_anchors, "h long, chunk long, id long")
+    anchors = rows.mapInArrow(released(find_anchors), "h long, chunk long, id long")
     over = W.partitionBy("h")
     anchors = anchors.select("h", "chunk", "id", F.min("id").over(over).alias("lo"), F.max("id").over(over).alias("hi")).where("lo < hi or id is null").select("h", "chunk", "id")
     _by_chunk(anchors, shared_anchors, "h")
@@ -212,7 +212,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             yield _batch([h, v, np.full(len(h), chunk), lo], ["h", "v", "chunk", "id"])
             yield _batch([np.array([_signature(chunk, ids, texts)]), np.array([0]), np.array([chunk]), [None]], ["h", "v", "chunk", "id"])
 
-    windows = rows.mapInArrow(extend, "h long, v long, chunk long, id long")
+    windows = rows.mapInArrow(released(extend), "h long, v long, chunk long, id long")
     over = W.partitionBy("h", "v")
     windows = windows.select("h", "v", "chunk", "id", F.coalesce(F.min("id").over(over), F.lit(0)).alias("lo")).where("lo < id or id is null")
     _by_chunk(windows, shared_windows, "h", "v", "lo")
@@ -243,7 +243,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                     names=["id", "n_words", "n_removed", "kept", "starts", "ends"],
                 )
 
-    return rows.mapInArrow(cut, "id long, n_words long, n_removed long, kept string, starts array<long>, ends array<long>")
+    return rows.mapInArrow(released(cut), "id long, n_words long, n_removed long, kept string, starts array<long>, ends array<long>")
 
 
 def _covered(c: Chunk, length: int, h: np.ndarray, v: np.ndarray, lo: np.ndarray) -> np.ndarray:

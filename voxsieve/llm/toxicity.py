@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, bounded_batches, hash_sample, quoted
+from .common import as_text, bounded_batches, hash_sample, quoted, released
 
 #: Labelled rows that the machine is fitted on, taken by hash, and the characters up to which a text may be one of them.
 FIT_ROWS, FIT_CHARS = 5000, 12_000
@@ -304,7 +304,7 @@ def fit(docs: DataFrame, labels: DataFrame, teaches: Column, id_col: str = "doc_
     return train([r.text for r in got], [int(r.y > 0) for r in got])
 
 
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
 _SCORED: tuple[str, dict[str, float]] = ("", {})
 
 
@@ -337,4 +337,4 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
             words = [max(bag, key=lambda w: (known[w], w)) if bag else None for bag in bags]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(words, pa.string())], names=["id", "score", "word"])
 
-    return rows.mapInArrow(run, f"id {id_type}, score double, word string")
+    return rows.mapInArrow(released(run), f"id {id_type}, score double, word string")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, new_path, quoted, removed, tell, told, written
+from .common import bounded_batches, new_path, quoted, released, removed, tell, told, written
 
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -107,7 +107,7 @@ def with_originals(rows: DataFrame, at: str) -> DataFrame:
         if (n, check) != want:
             raise RuntimeError("the pages read differently than before: pass a table, not a plan whose rows move")
 
-    return rows.withColumn("page", F.col("page").cast("string")).mapInArrow(run, "row long, page string, url string, payload binary, digest string, o_page string, o_row long, o_url string")
+    return rows.withColumn("page", F.col("page").cast("string")).mapInArrow(released(run), "row long, page string, url string, payload binary, digest string, o_page string, o_row long, o_url string")
 
 
 def write_archives(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str | None = None) -> None:
@@ -194,7 +194,7 @@ def read_records(spark: SparkSession, out: str, with_payload: bool = False) -> D
         if rows:
             yield flush()
 
-    return lines.mapInArrow(run, "record_id string, page string, type string, url string, digest string, refers string, payload_bytes long, payload binary")
+    return lines.mapInArrow(released(run), "record_id string, page string, type string, url string, digest string, refers string, payload_bytes long, payload binary")
 
 
 def resolve(records: DataFrame) -> DataFrame:
