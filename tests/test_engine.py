@@ -348,3 +348,18 @@ def test_spacing(spark):
     there = g.physical(at, (0.5, 2.0, 10.0))
     row = spark.range(1).select(*there, *g.logical(there, (0.5, 2.0, 10.0))).first()
     assert tuple(row) == (1.5, 8.0, 50.0, 3, 4, 5)
+
+
+def test_nearest_by_several_lists_of_a_wide_cube(spark, monkeypatch):
+    """Clustered samples with one in a far corner, lists of a few samples each."""
+    cfg = GridConfig((24, 16, 8), (4, 4, 4), ratio=0.05)
+    gids = [x + 24 * y + 384 * z for x in range(4) for y in range(5) for z in range(2)] + [24 * 16 * 8 - 1]
+    samples = spark.createDataFrame([(0, i, float(i)) for i in gids], "t int, gid long, value double")
+    cells = spark.range(cfg.cells).select(F.lit(0).alias("t"), F.col("id").alias("gid"))
+    place = lambda i: (i % 24, i // 24 % 16, i // 384)
+    apart = lambda i, j: sum((a - b) ** 2 for a, b in zip(place(i), place(j), strict=True))
+    for most in (1 << 15, 64):
+        monkeypatch.setattr(recon, "LIST", most)
+        for k in (1, 3):
+            got = {r.gid: [(n.d2, n.s_gid) for n in r.near] for r in recon.nearest(cells, samples, cfg, k).collect()}
+            assert got == {i: sorted((apart(i, j), j) for j in gids)[:k] for i in range(cfg.cells)}

@@ -1,9 +1,10 @@
 """Full fields from samples: nearest neighbour and weighted nearest neighbours.
 
-Samples are put into cubes of cells, each cube gets the list of the samples in it and in the cubes around it, and cells meet
-their cube's list in one equi-join. A result is final if the farthest neighbour wanted is nearer than anything outside the
-lists can be; the few other cells go on to cubes twice as wide, until a cube holds the grid. The list of a cube is bounded by
-its volume, and cells are shuffled by cube, never by timestep.
+Samples are put into cubes of cells, each cube gets lists of the samples in it and in the cubes around it, and cells meet
+their cube's lists in one equi-join. A result is final if the farthest neighbour wanted is nearer than anything outside the
+lists can be; the few other cells go on to cubes twice as wide, until the cubes around hold the grid. Cells are shuffled by
+cube, never by timestep. A list has about LIST samples at most: where cubes are so wide that there may be more, their samples
+are dealt to several lists, each cell keeps the nearest of each, and these are merged.
 """
 
 from __future__ import annotations
@@ -22,20 +23,26 @@ def _cube(at: tuple[Column, Column, Column], edge: int) -> list[Column]:
     return [g.div(c, edge).cast("int") for c in at]
 
 
+#: Samples in a list, about.
+LIST = 1 << 15
+
+
 def _round(cells: DataFrame, samples: DataFrame, cfg: GridConfig, edge: int, k: int, last: bool) -> DataFrame:
     """cells with near, the k nearest of the lists as (d2, s_gid, s_value), and whether that is final."""
     cubes = ["cx", "cy", "cz"]
-    at = lambda df, edge: df.withColumns(dict(zip(cubes, _cube(g.xyz(F.col("gid"), cfg), edge), strict=True)))
-    shifts = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    spread = at(samples.select("t", "gid", "value"), edge)
-    if not last:
-        for c in cubes:
-            spread = spread.withColumn("d", shifts).withColumn(c, F.col(c) + F.col("d")).drop("d")
-    lists = spread.groupBy("t", *cubes).agg(F.collect_list(F.struct("gid", "value")).alias("list"))
+    at = lambda df: df.withColumns(dict(zip(cubes, _cube(g.xyz(F.col("gid"), cfg), edge), strict=True)))
+    parts = -(-math.prod(min(3 * edge, d) for d in cfg.dims) // LIST)
+    around = lambda c, size: F.explode(F.sequence(F.greatest(F.col(c) - 1, F.lit(0)), F.least(F.col(c) + 1, F.lit((size - 1) // edge))))
+    spread = at(samples.select("t", "gid", "value")).withColumn("part", F.pmod(F.xxhash64("gid"), F.lit(parts)).cast("int"))
+    for c, size in zip(cubes, cfg.dims, strict=True):
+        spread = spread.withColumn(c, around(c, size))
+    lists = spread.groupBy("t", *cubes, "part").agg(F.collect_list(F.struct("gid", "value")).alias("list"))
     here = g.xyz(F.col("gid"), cfg)
-    found = at(cells, edge).join(lists, ["t", *cubes], "left")
     scored = F.transform("list", lambda s: F.struct(g.distance2(here, g.xyz(s["gid"], cfg)).alias("d2"), s["gid"].alias("s_gid"), s["value"].alias("s_value")))
-    near = F.array(F.array_min(scored)) if k == 1 else F.slice(F.array_sort(scored), 1, k)
+    best = lambda c: F.array(F.array_min(c)) if k == 1 else F.slice(F.array_sort(c), 1, k)
+    found = at(cells).join(lists, ["t", *cubes], "left").withColumn("near", F.when(F.col("list").isNotNull(), best(scored))).drop("list", "part")
+    if parts > 1:
+        found = found.groupBy(*cells.columns, *cubes).agg(F.flatten(F.collect_list("near")).alias("near")).withColumn("near", F.when(F.size("near") > 0, best(F.col("near"))))
     if last:
         final = F.lit(True)
     else:
@@ -47,8 +54,7 @@ def _round(cells: DataFrame, samples: DataFrame, cfg: GridConfig, edge: int, k:
         outside = F.least(*gaps)
         enough = F.size("near") >= k
         final = enough & (outside.isNull() | (F.element_at("near", -1)["d2"] < outside * outside))
-    found = found.withColumn("near", F.when(F.col("list").isNotNull(), near))
-    return found.withColumn("final", F.coalesce(final, F.lit(False))).drop("list", *cubes)
+    return found.withColumn("final", F.coalesce(final, F.lit(False))).drop(*cubes)
 
 
 def nearest(cells: DataFrame, samples: DataFrame, cfg: GridConfig, k: int = 1) -> DataFrame:
@@ -57,23 +63,20 @@ def nearest(cells: DataFrame, samples: DataFrame, cfg: GridConfig, k: int = 1) -
     Cells of timesteps without a sample are left out.
     """
     edge = max(1, math.ceil((k / max(cfg.ratio, 1e-6)) ** (1 / 3)))
-    done, columns = [], cells.columns
+    columns, done = cells.columns, None
     while True:
-        last = 3 * edge >= 2 * max(cfg.dims)  # three such cubes reach across from anywhere but the corners: take the grid whole
-        step = _round(cells, samples, cfg, max(cfg.dims) if last else edge, k, last)
+        last = 2 * edge >= max(cfg.dims)  # two cubes along each axis: those around hold the grid
+        step = _round(cells, samples, cfg, edge, k, last)
+        if not last:
+            step = written(step, "nearest")
+        found = step.where("near is not null" if last else "final").select(*columns, "near")
+        done = found if done is None else done.unionByName(found)
         if last:
-            done.append(step.where("near is not null").select(*columns, "near"))
-            break
-        step = written(step, "nearest")
-        done.append(step.where("final").select(*columns, "near"))
+            return done
         cells = step.where("not final").select(*columns)
-        if not cells.limit(1).count():
-            break
+        if cells.isEmpty():
+            return done
         edge *= 2
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
 
 
 def nn_reconstruct(cells: DataFrame, samples: DataFrame, cfg: GridConfig) -> DataFrame:

@@ -37,12 +37,14 @@ def reuse_by_histogram(field: DataFrame, cfg: GridConfig) -> DataFrame:
 def block_rmse(cells: DataFrame) -> DataFrame:
     """(t, block_id, n_reference, rmse): how far a region's cells are from the samples taken of them a timestep earlier.
 
-    One shuffle by cell: each cell meets its own previous row. rmse is null where the region had no sample.
+    The samples, shifted by a timestep, meet the field by cell, so the join's small side is a hundredth of it or so and the
+    engine may filter the field by it before any shuffle. rmse is null where the region had no sample.
     """
-    by_cell = W.partitionBy("gid").orderBy("t")
-    before = F.when((F.lag("t").over(by_cell) == F.col("t") - 1) & F.lag("taken").over(by_cell), F.lag("value").over(by_cell))
-    gap = cells.select("t", "block_id", (F.col("value") - before).alias("gap"))
-    return gap.groupBy("t", "block_id").agg(F.count("gap").alias("n_reference"), F.sqrt(F.avg(F.col("gap") * F.col("gap"))).alias("rmse"))
+    before = cells.where("taken").select((F.col("t") + 1).alias("t"), "gid", F.col("value").alias("before"))
+    gap = cells.select("t", "gid", "block_id", "value").join(before, ["t", "gid"]).select("t", "block_id", (F.col("value") - F.col("before")).alias("gap"))
+    found = gap.groupBy("t", "block_id").agg(F.count("gap").alias("n_reference"), F.sqrt(F.avg(F.col("gap") * F.col("gap"))).alias("rmse"))
+    every = cells.select("t", "block_id").distinct()
+    return every.join(found, ["t", "block_id"], "left").select("t", "block_id", F.coalesce("n_reference", F.lit(0)).cast("long").alias("n_reference"), "rmse")
 
 
 def reuse_by_error(cells: DataFrame, cfg: GridConfig) -> DataFrame:

@@ -11,10 +11,10 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import GridConfig
+from ..config import PRESETS, GridConfig
 from ..functions import geometry as g
 from ..operators import autoconf, importance, recon, sampling, stats, temporal
-from ..sources import names, shared, tables
+from ..sources import names, raw, shared, tables
 from ..streaming import reuse
 from . import lifecycle, sql
 
@@ -238,12 +238,75 @@ def stats_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return figures.unionByName(whole).unionByName(spread).select("t", *map(_r, rows.columns[1:]))
 
 
+def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Complete timesteps written as raw float32 files and read back through the folder scan."""
+    field = _field(spark, sf_dir)
+    whole = field.groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") == GRID.cells).select("t")
+    folder = shared.new_path(spark, "raw")
+    raw.write_raw(shared.attach(field, whole, ["t"]), folder, "Pf{t}.bin").agg(F.sum("cells")).collect()
+    return raw.read_raw(spark, folder, r"Pf([0-9]+)\.bin", GRID)
+
+
+def _sample_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    samples, blocks = temporal.temporal_histogram_sample(_field(spark, sf_dir), FINE, with_fill=False)
+    folder = shared.new_path(spark, "sample-files")
+    raw.write_samples(samples, blocks, folder).agg(F.sum("n_samples")).collect()
+    return raw.read_samples(spark, folder, FINE)
+
+
+def sample_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples written as files of ids, values and counts, and read back with their local ids."""
+    return _sample_files(spark, sf_dir)[0].select("t", "gid", "block_id", g.local_id(F.col("gid"), FINE).alias("local_id"), "value")
+
+
+def sample_file_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The regions' counts and reuse flags as the sample files have them."""
+    return _sample_files(spark, sf_dir)[1]
+
+
+def roi_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of interest written as lines of text, one a timestep, and read back."""
+    boxes = _roi(_field(spark, sf_dir)).orderBy("t").coalesce(1)
+    path = shared.new_path(spark, "roi")
+    boxes.select(F.concat(F.lit("box: ["), F.concat_ws(", ", "x0", "x1", "y0", "y1", "z0", "z1"), F.lit("]"))).write.text(path)
+    return raw.read_roi(spark, path)
+
+
+def error_fill_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples by error reuse with fill, timestep after timestep."""
+    return temporal.temporal_error_sample_filled(_field(spark, sf_dir), FINE)[0]
+
+
+def cell_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells in the data's units and back."""
+    at = g.physical(g.xyz(F.col("gid"), GRID), (0.5, 2.0, 1.25))
+    back = g.cell_id(*g.logical(at, (0.5, 2.0, 1.25)), GRID)
+    return _field(spark, sf_dir).select("t", "gid", *[c.cast("double").alias(n) for c, n in zip(at, ("px", "py", "pz"), strict=True)], back.alias("back"))
+
+
+def preset_timesteps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timesteps out of file names as each known data set has them."""
+    times, out = _field(spark, sf_dir).select("t").distinct(), None
+    for name, (_, pattern) in PRESETS.items():
+        path = F.concat(F.lit("/run/" + pattern.split("(")[0]), F.col("t"), F.lit(pattern.split(")")[1]))
+        rows = times.select(F.lit(name).alias("preset"), path.alias("path")).withColumn("timestep", names.timestep_of(F.col("path"), pattern))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def fixed_range_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve bins over 3 to 50 for each timestep, whatever its own range."""
+    whole = replace(GRID, block_dims=GRID.dims, num_bins=12, lifetime=(3.0, 50.0))
+    return stats.block_histogram(_field(spark, sf_dir), whole).select("t", F.posexplode("hist").alias("bin", "n"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         cell_geometry, block_extract, timestep_range, orders_range, histogram, embeddings_histogram, block_histogram, bin_order, acceptance, importance_sample, sample_counts_per_block, block_rmse,
         reuse_histogram, stream_reuse_histogram, reuse_error, temporal_error_samples, fill_samples, coalesced_samples, blocks_reused_stats, nn_reconstruct, knn3_reconstruct, quality_metrics, quality_two_variables, quality_roi,
         range_statistics, error_threshold, bin_widths, bins_sweep, config_bins, snr_report, method_figures, candidate_regions, boundary_corners, filename_timesteps, sample_union_dedup, stats_report,
+        raw_files, sample_files, sample_file_blocks, roi_file, error_fill_samples, cell_positions, preset_timesteps, fixed_range_histogram,
     )
 }
 ORACLES = sql.ORACLES

@@ -160,6 +160,34 @@ def tried(bins_from: str, place: int) -> str:
     return ", ".join((hist, acceptance_of(0.1, name), sample_of(GRID_BLOCK, name), rebuilt_of(f"sample{name}", f"rebuilt{name}").replace("field f", "head f"), f"score{name} AS (SELECT {n} AS num_bins, psnr, {-place} AS place FROM (" + QUALITY.format(pairs=f"rebuilt{name}") + "))"))
 
 
+#: Rows of a timestep's samples, and with gid null its regions with their flags; the next timestep is judged against them.
+ERROR_FILLED = f"""cell AS MATERIALIZED (SELECT t, gid, block_id, value, taken, {uniform('fill')} AS u FROM judged
+), state AS (
+  SELECT t, gid, block_id, value, 'importance' AS kind, false AS reused FROM cell WHERE t = 0 AND taken
+  UNION ALL SELECT DISTINCT 0, NULL::BIGINT, block_id, NULL::DOUBLE, NULL, false FROM cell WHERE t = 0
+  UNION ALL (
+    WITH last AS (SELECT * FROM state
+    ), now AS (SELECT * FROM cell WHERE t = (SELECT max(t) + 1 FROM last)
+    ), gap AS (SELECT now.block_id, sqrt(avg((now.value - last.value) * (now.value - last.value))) AS rmse FROM now JOIN last ON last.gid = now.gid GROUP BY now.block_id
+    ), flag AS (
+      SELECT r.block_id, coalesce(rmse <= 60.0, false) AND NOT coalesce(w.reused, false) AS reused
+      FROM (SELECT DISTINCT block_id FROM now) r LEFT JOIN gap USING (block_id) LEFT JOIN (SELECT block_id, reused FROM last WHERE gid IS NULL) w USING (block_id)
+    ), open AS (SELECT now.* FROM now JOIN flag USING (block_id) WHERE NOT reused
+    ), rate AS (
+      SELECT had, CASE WHEN n_reused > 0 AND had < 300 THEN (300 - had) / n_open::DOUBLE / 10 ELSE 0.0 END AS rate
+      FROM (SELECT count(*) FILTER (NOT reused) AS n_open, count(*) FILTER (reused) AS n_reused FROM flag), (SELECT count(*) FILTER (taken) AS had FROM open)
+    ), drawn AS (SELECT t, gid, block_id, value, had FROM open, rate WHERE NOT taken AND u < rate
+    ), total AS (
+      SELECT block_id, had + sum(n) OVER (ORDER BY block_id) AS s FROM (SELECT block_id, count(*) AS n, min(had) AS had FROM drawn GROUP BY block_id)
+    ), stop AS (SELECT min(block_id) AS stop FROM total WHERE s >= 300)
+    SELECT t, gid, block_id, value, 'importance', false FROM open WHERE taken
+    UNION ALL SELECT t, gid, block_id, value, 'fill', false FROM drawn, stop WHERE stop IS NULL OR block_id < stop
+    UNION ALL SELECT (SELECT max(t) FROM now), NULL, block_id, NULL, NULL, reused FROM flag
+  )
+)"""
+FLAG_COUNTS = "SELECT t, block_id, coalesce(c, 0)::BIGINT AS n_samples, reused FROM flags LEFT JOIN (SELECT t, block_id, count(*) AS c FROM own GROUP BY ALL) USING (t, block_id)"
+
+
 ORACLES = {
     "cell_geometry": start() + f"SELECT t, gid, CAST(gid % 10 AS INTEGER) AS x, CAST((gid // 10) % 10 AS INTEGER) AS y, CAST(gid // 100 AS INTEGER) AS z, {GRID_BLOCK} AS block_id, {local(5, 5, 5)} AS local_id, gid AS back FROM field",
     "block_extract": start() + f"SELECT t, gid, {local(5, 5, 5)} AS local_id, value FROM field WHERE {GRID_BLOCK} = 3",
@@ -224,6 +252,16 @@ SELECT (row_number() OVER (ORDER BY bx, by_, bz) - 1)::INTEGER AS place, bx::INT
   FROM (SELECT DISTINCT CASE WHEN t * 7 % 1000 % 5 = 3 THEN '/run/notes_' || (t * 7 % 1000) ELSE '/run/Pf' || (t * 7 % 1000) || '.bin' END AS path FROM field)
 ) WHERE timestep IS NOT NULL""",
     "sample_union_dedup": start(*SAMPLED, "hist_b AS (SELECT * FROM hist), binned_b AS (SELECT * FROM binned)", acceptance_of(0.2, "_b"), sample_of(GRID_BLOCK, "_b")) + "SELECT t, gid, min(value) AS value, count(*) AS times FROM (SELECT t, gid, value FROM sample UNION ALL SELECT t, gid, value FROM sample_b) GROUP BY t, gid",
+    "raw_files": start() + "SELECT t, gid, value::FLOAT::DOUBLE AS value FROM field WHERE t IN (SELECT t FROM field GROUP BY t HAVING count(*) = 1000)",
+    "sample_files": start(*HISTOGRAM_SAMPLES) + f"SELECT t, gid, block_id, {local(5, 2, 1)} AS local_id, value::FLOAT::DOUBLE AS value FROM own",
+    "sample_file_blocks": start(*HISTOGRAM_SAMPLES) + FLAG_COUNTS,
+    "roi_file": start() + "SELECT (row_number() OVER (ORDER BY t) - 1)::INTEGER AS t, (t % 3)::INTEGER AS x0, (10 - t % 4)::INTEGER AS x1, (t % 2)::INTEGER AS y0, 9::INTEGER AS y1, 1::INTEGER AS z0, (4 + t % 6)::INTEGER AS z1 FROM (SELECT DISTINCT t FROM field)",
+    "error_fill_samples": start(*FINE_SAMPLED, ERROR_FILLED) + "SELECT t, gid, block_id, value, kind FROM state WHERE gid IS NOT NULL",
+    "cell_positions": start() + "SELECT t, gid, (gid % 10) * 0.5::DOUBLE AS px, (gid // 10 % 10) * 2.0::DOUBLE AS py, (gid // 100) * 1.25::DOUBLE AS pz, gid AS back FROM field",
+    "preset_timesteps": start("times AS (SELECT DISTINCT t FROM field)") + """SELECT preset, '/run/' || head || t || tail AS path, t AS timestep FROM times, (VALUES
+  ('exaam', 'plt_temperature_', '.bin'), ('isabel_subsampled', 'Pf', '.binLE.raw_corrected_2_subsampled.vti.bin'), ('isabel', 'Pf', '.bin'), ('asteroid', 'pv_insitu_300x300x300_', '.bin')) AS p(preset, head, tail)""",
+    "fixed_range_histogram": start(f"cell_bin AS (SELECT t, {bins('3.0', '50.0', 12)} AS bin FROM field)")
+    + "SELECT t, bin, coalesce(c, 0)::BIGINT AS n FROM (SELECT DISTINCT t FROM cell_bin) CROSS JOIN (SELECT unnest(range(0, 12))::INTEGER AS bin) LEFT JOIN (SELECT t, bin, count(*) AS c FROM cell_bin GROUP BY ALL) USING (t, bin)",
     "stats_report": start(*HISTOGRAM_SAMPLES, EFFECTIVE, COUNTS, rebuilt_of("effective"), "quality AS (" + QUALITY.format(pairs="rebuilt").replace("round(", "(").replace(", 6)", ")") + "), report AS (SELECT t, blocks_reused, n_samples, max_diff, avg_diff, psnr, snr FROM quality JOIN counts USING (t))")
     + "SELECT t, " + ", ".join(f"round({c}::DOUBLE, 6) AS {c}" for c in ("blocks_reused", "n_samples", "max_diff", "avg_diff", "psnr", "snr")) + " FROM report UNION ALL SELECT -1, " + ", ".join(f"round(avg({c}), 6)" for c in ("blocks_reused", "n_samples", "max_diff", "avg_diff", "psnr", "snr")) + " FROM report UNION ALL SELECT -2, " + ", ".join(f"round(stddev_pop({c}), 6)" for c in ("blocks_reused", "n_samples", "max_diff", "avg_diff", "psnr", "snr")) + " FROM report",
 }

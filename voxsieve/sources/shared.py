@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a small side may pass through the driver and be broadcast.
+#: Rows up to which a small side is broadcast.
 SMALL_ROWS = 100_000
 
 
@@ -33,13 +33,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", limit: int = SMALL_ROWS) -> DataFrame:
     """Join a small table, such as one row per timestep, to a large one without shuffling the large one.
 
-    The small side is computed once and broadcast if it has no more rows than the limit. Beyond that both sides are shuffled,
-    with the keys spread over salts so that one timestep's cells don't meet in one task.
+    The small side is computed and written once, and broadcast if it has no more rows than the limit. Beyond that both sides
+    are shuffled, with the keys spread over salts so that one timestep's cells don't meet in one task.
     """
-    head = small.limit(limit + 1).collect()
-    if len(head) <= limit:
-        local = big.sparkSession.createDataFrame(head, small.schema)
-        return big.join(F.broadcast(local), on, how)
+    small = written(small, "small")
+    if small.count() <= limit:
+        return big.join(F.broadcast(small), on, how)
     salts = 64
     spread = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = big.withColumn("__salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
