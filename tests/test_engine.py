@@ -108,6 +108,25 @@ def test_percentile_by_index(spark):
     assert stats.percentile_by_index(spark.createDataFrame([], "v double"), "v", 0.75).first().value is None
 
 
+def test_quartiles_by_group(spark):
+    rows = [(t, float(k * 7 % n)) for t, n in ((0, 1), (1, 5), (2, 300)) for k in range(n)] + [(2, None), (2, NAN), (3, NAN)]
+    field = spark.createDataFrame(rows, "t int, value double")
+    found = {r.t: (r.n, r.p0, r.p1) for r in stats.percentiles_by_index(field.where("not isnan(value)"), "t", "value", [0.25, 0.75]).collect()}
+    assert found == {0: (1, 0.0, 0.0), 1: (5, 1.0, 3.0), 2: (300, 75.0, 225.0)}
+    widths = {r.t: (r.n, r.iqr, r.bins) for r in autoconf.freedman_bins(field).collect()}
+    assert widths == {0: (1, 0.0, None), 1: (5, 2.0, 3), 2: (300, 150.0, 8)}
+    assert autoconf.freedman_bins(field.limit(0)).collect() == []
+
+
+def test_report_has_settings_and_times(spark):
+    cfg = replace(GRID, ratio=0.4)
+    rows = lifecycle.report(field_of(spark, near_steps(3)), cfg, 4, nearest=3).orderBy("t").collect()
+    assert [r.t for r in rows] == [0, 1, 2]
+    assert all((r.method, r.region_dims, r.num_bins, r.reconstruction) == ("histogram_reuse_filled", "3/2/1", 5, "nearest_3") for r in rows)
+    assert all(r.sampling_s > 0 and r.recons_s > 0 and math.isclose(r.sampling_gb_s * r.sampling_s, r.file_gb) for r in rows)
+    assert lifecycle.report(field_of(spark, []), cfg, 1).collect() == []
+
+
 def test_samples_do_not_depend_on_partitions(spark):
     field = field_of(spark, [values(k) for k in range(3)])
     runs = [sorted(map(tuple, sampling.importance_sample(field.repartition(n), GRID).collect())) for n in (1, 4, 37)]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..config import GridConfig
 from .recon import nn_reconstruct
 from .sampling import importance_sample
-from .stats import paired_quality, percentile_by_index
+from .stats import paired_quality, percentile_by_index, percentiles_by_index
 
 
 def scott(n: Column, sd: Column) -> Column:
@@ -43,6 +43,16 @@ def bin_widths(field: DataFrame, textbook: bool = False) -> DataFrame:
     return widths.select("*", bins("scott").alias("scott_bins"), bins("doane").alias("doane_bins"), bins("sturges").alias("sturges_bins"))
 
 
+def freedman_bins(field: DataFrame) -> DataFrame:
+    """(t, n, iqr, width, bins) by Freedman and Diaconis, with quartiles by index; a width of 0 has no number of bins."""
+    sound = field.where("value is not null and not isnan(value)")
+    quartiles = percentiles_by_index(sound, "t", "value", [0.25, 0.75])
+    spans = sound.groupBy("t").agg((F.max("value") - F.min("value")).alias("span"))
+    found = quartiles.join(spans, "t").select("t", "n", (F.col("p1") - F.col("p0")).alias("iqr"), "span")
+    found = found.withColumn("width", freedman_diaconis(F.col("n").cast("double"), F.col("iqr")))
+    return found.select("t", "n", "iqr", "width", (F.ceil(F.try_divide("span", "width")) + 1).cast("int").alias("bins"))
+
+
 def bins_sweep(field: DataFrame, cfg: GridConfig) -> DataFrame:
     """(num_bins, psnr, place) for Scott's and Doane's numbers of bins: how well each rebuilds the first timestep; Scott's alone,
     untried, for regions of one cell. Each candidate is a whole sampling and reconstruction of that timestep."""

@@ -42,21 +42,28 @@ def block_histogram(field: DataFrame, cfg: GridConfig) -> DataFrame:
     return found.select("t", "block_id", hist.alias("hist"))
 
 
-def percentile_by_index(rows: DataFrame, value: str, share: float) -> DataFrame:
-    """(value): the value at place int(n * share), from 0, in ascending order; null if there is none.
+def percentiles_by_index(rows: DataFrame, by: str, value: str, shares: list[float]) -> DataFrame:
+    """(by, n, p0, p1, ...): for each group and share the value at place int(n * share), from 0, in ascending order.
 
-    Exact without sorting into one task: a count by range-partitioned part places the wanted row in one part, and only that
-    part's row is looked up.
+    Exact without sorting a group into one task: rows are range-partitioned, and a count by part places the wanted rows.
     """
-    ordered = rows.select(F.col(value).alias("v")).where("v is not null").repartitionByRange("v").sortWithinPartitions("v")
+    ordered = rows.select(F.col(by).alias("by"), F.col(value).alias("v")).where("v is not null").repartitionByRange("by", "v").sortWithinPartitions("by", "v")
     numbered = ordered.withColumn("row", F.monotonically_increasing_id())
     part, within = F.shiftright("row", 33).alias("part"), F.col("row").bitwiseAND((1 << 33) - 1).alias("within")
-    numbered = written(numbered.select("v", part, within), "ordered")  # parts may be cut elsewhere when computed again
-    sizes = numbered.groupBy("part").agg(F.count("*").alias("c"))
-    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.withColumn("offset", F.coalesce(F.sum("c").over(before), F.lit(0))).withColumn("n", F.sum("c").over(W.partitionBy()))
-    wanted = F.floor(F.col("n") * F.lit(share)).cast("long")
-    return attach(numbered, offsets, ["part"]).where(F.col("offset") + F.col("within") == wanted).agg(F.max("v").alias("value"))
+    numbered = written(numbered.select("by", "v", part, within), "ordered")  # parts may be cut elsewhere when computed again
+    sizes = numbered.groupBy("part", "by").agg(F.count("*").alias("c"), F.min("within").alias("first"))
+    group = W.partitionBy("by").orderBy("part")
+    before = F.coalesce(F.sum("c").over(group.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("part", "by", (before - F.col("first")).alias("offset"), F.sum("c").over(W.partitionBy("by")).alias("n"))
+    place = F.col("offset") + F.col("within")
+    found = [F.max(F.when(place == F.floor(F.col("n") * F.lit(share)), F.col("v"))).alias(f"p{k}") for k, share in enumerate(shares)]
+    return attach(numbered, offsets, ["part", "by"]).groupBy(F.col("by").alias(by)).agg(F.max("n").alias("n"), *found)
+
+
+def percentile_by_index(rows: DataFrame, value: str, share: float) -> DataFrame:
+    """(value): the value at place int(n * share), from 0, in ascending order; null if there is none."""
+    alone = rows.select(F.lit(0).alias("one"), F.col(value).alias("v"))
+    return percentiles_by_index(alone, "one", "v", [share]).agg(F.max("p0").alias("value"))
 
 
 def paired_quality(pairs: DataFrame, original: Column, rebuilt: Column) -> DataFrame:

@@ -6,15 +6,13 @@ that is every second one, so the recurrence is a window over each region's times
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import GridConfig
 from ..functions import geometry as g
-from ..sources.shared import attach, written
+from ..sources.shared import attach, new_path, written
 from .sampling import fill, judged
 from .stats import block_histogram
 
@@ -78,11 +76,22 @@ def temporal_error_sample_filled(field: DataFrame, cfg: GridConfig) -> tuple[Dat
     """(samples, blocks) by error reuse with fill.
 
     What fill draws depends on how many regions reuse, and the next timestep is compared with all samples, fill included, so
-    timesteps follow one another: each is a distributed job over its own cells and a written table of its samples.
+    timesteps follow one another: each is a distributed job over its own cells, and its samples and flags are a partition of two
+    tables in the shared folder.
     """
     cells = written(judged(field, cfg), "judged")
+    spark = cells.sparkSession
     times = [r.t for r in cells.select("t").distinct().orderBy("t").collect()]
-    samples, blocks, last = [], [], None
+    shapes = {"samples": cells.select("t", "gid", "block_id", "value", F.lit("").alias("kind")).schema, "flags": cells.select("t", "block_id", F.lit(False).alias("reused")).schema}
+    folders = {name: new_path(spark, name) for name in shapes}
+    load = lambda name, path: spark.read.option("basePath", folders[name]).schema(shapes[name]).parquet(path).select(*shapes[name].names)
+
+    def kept(df: DataFrame, name: str, t: int) -> DataFrame:
+        path = f"{folders[name]}/t={t}"
+        df.drop("t").write.parquet(path)
+        return load(name, path)
+
+    last = None
     for t in times:
         now = cells.where(F.col("t") == t)
         every = now.select("t", "block_id").distinct()
@@ -94,17 +103,11 @@ def temporal_error_sample_filled(field: DataFrame, cfg: GridConfig) -> tuple[Dat
             old = last[2].select("block_id", F.col("reused").alias("was"))
             may = (F.col("rmse") <= F.lit(cfg.error_threshold)) & ~F.coalesce("was", F.lit(False))
             flags = every.join(gaps, "block_id", "left").join(old, "block_id", "left").select("t", "block_id", F.coalesce(may, F.lit(False)).alias("reused"))
-        flags = written(flags, "flags")
-        own = written(own_samples(now, flags).unionByName(fill(now, flags, cfg)), "samples")
-        samples.append(own)
-        blocks.append(flags)
+        flags = kept(flags, "flags", t)
+        own = kept(own_samples(now, flags).unionByName(fill(now, flags, cfg)), "samples", t)
         last = (t, own, flags)
-    union = lambda parts: reduce(DataFrame.unionByName, parts)
-    if not times:
-        empty = cells.select("t", "gid", "block_id", "value", F.lit("").alias("kind"))
-        return empty, blocks_of(empty, cells.select("t", "block_id", F.lit(False).alias("reused")))
-    every_sample, every_flag = union(samples), union(blocks)
-    return every_sample, blocks_of(every_sample, every_flag)
+    samples, flags = (load(name, folders[name]) if times else spark.createDataFrame([], shapes[name]) for name in shapes)
+    return samples, blocks_of(samples, flags)
 
 
 def blocks_of(samples: DataFrame, reused: DataFrame) -> DataFrame:

@@ -21,6 +21,8 @@ from . import lifecycle, sql
 #: Large regions for sampling; small ones and few bins where regions shall often be alike.
 GRID = GridConfig((10, 10, 10), (5, 5, 5), ratio=0.1, num_bins=20, lifetime=(0.0, 200.0), portable_hash=True)
 FINE = replace(GRID, block_dims=(5, 2, 1), num_bins=3, ratio=0.3, error_threshold=60.0)
+#: A grid that several region sizes divide.
+WIDE = replace(GRID, dims=(12, 12, 6), block_dims=(3, 3, 3))
 
 
 def _field(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,6 +175,22 @@ def bin_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("t", "n", *map(_r, ("sd", "span", "scott", "doane", "sturges")), "scott_bins", "doane_bins", "sturges_bins")
 
 
+def bin_widths_textbook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Doane's width with the skewness that the other form leaves out."""
+    return autoconf.bin_widths(_field(spark, sf_dir), textbook=True).select("t", "n", _r("doane"), "doane_bins")
+
+
+def freedman_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return autoconf.freedman_bins(_field(spark, sf_dir)).select("t", "n", _r("iqr"), _r("width"), "bins")
+
+
+def auto_configuration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Region size, number of bins and error threshold as chosen from the field, one row."""
+    chosen = autoconf.auto_configure(tables.events_field(spark, sf_dir, WIDE.cells), WIDE)
+    row = (*chosen.block_dims, chosen.num_bins, round(chosen.error_threshold, 6))
+    return spark.createDataFrame([row], "bx int, by int, bz int, num_bins int, error_threshold double")
+
+
 def config_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return autoconf.auto_bins(_field(spark, sf_dir), GRID).select("num_bins", _r("psnr"))
 
@@ -189,10 +207,10 @@ def snr_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def method_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What three of the methods keep and how well they rebuild, by timestep."""
+    """What methods 1, 4 and 7 keep and how well they rebuild, by timestep."""
     field, out = _field(spark, sf_dir), None
-    for method in ("importance", "histogram_reuse", "error_reuse"):
-        rows = lifecycle.assess(field, FINE, method).select("t", F.lit(method).alias("method"), "blocks_reused", "n_samples", *map(_r, ("max_diff", "avg_diff", "psnr")))
+    for number in (1, 4, 7):
+        rows = lifecycle.assess(field, FINE, number).select("t", F.lit(lifecycle.NUMBERED[number]).alias("method"), "blocks_reused", "n_samples", *map(_r, ("max_diff", "avg_diff", "psnr")))
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -210,8 +228,8 @@ def boundary_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filename_timesteps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """File names as a run over the field would write them, back to timesteps in order."""
-    times = _field(spark, sf_dir).select((F.col("t") * 7 % 1000).alias("t")).distinct()
+    """File names as a run over the field would write them, notes among them, back to timesteps in order."""
+    times = _field(spark, sf_dir).select("t").distinct()
     path = F.when(F.col("t") % 5 == 3, F.concat(F.lit("/run/notes_"), F.col("t"))).otherwise(F.concat(F.lit("/run/Pf"), F.col("t"), F.lit(".bin")))
     return names.timestep_index(times.select(path.alias("path")), r"Pf([0-9]+).bin")
 
@@ -225,17 +243,14 @@ def sample_union_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stats_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The report's figures by timestep, with means over all timesteps as t = -1 and deviations as t = -2."""
-    field = _field(spark, sf_dir)
-    samples, blocks = temporal.temporal_histogram_sample(field, FINE, with_fill=False)
-    effective = temporal.coalesced(samples, blocks)
-    pairs = recon.nn_reconstruct(field, effective, FINE)
-    rows = stats.paired_quality(pairs, F.col("value"), F.col("rebuilt")).join(temporal.reuse_counts(blocks), "t").select("t", "blocks_reused", "n_samples", "max_diff", "avg_diff", "psnr", "snr")
-    rows = shared.written(rows, "report")
-    whole = rows.agg(F.lit(-1).alias("t"), *[F.avg(c).alias(c) for c in rows.columns[1:]])
-    spread = rows.agg(F.lit(-2).alias("t"), *[F.stddev_pop(c).alias(c) for c in rows.columns[1:]])
-    figures = rows.select("t", *[F.col(c).cast("double").alias(c) for c in rows.columns[1:]])
-    return figures.unionByName(whole).unionByName(spread).select("t", *map(_r, rows.columns[1:]))
+    """The report of a run of method 4 without its times, with means over all timesteps as t = -1 and deviations as t = -2."""
+    rows = lifecycle.report(_field(spark, sf_dir), FINE, 4)
+    settings = ["method", "file_gb", "ratio", "region_dims", "num_bins", "reconstruction"]
+    names = ["blocks_reused", "n_samples", "max_diff", "avg_diff", "psnr", "snr"]
+    figures = rows.select("t", *settings, *[F.col(c).cast("double").alias(c) for c in names])
+    for t, summary in ((-1, F.avg), (-2, F.stddev_pop)):
+        figures = figures.unionByName(rows.groupBy(*settings).agg(F.lit(t).alias("t"), *[summary(c).alias(c) for c in names]))
+    return figures.select("t", *settings, *map(_r, names))
 
 
 def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -307,6 +322,7 @@ QUERIES = {
         reuse_histogram, stream_reuse_histogram, reuse_error, temporal_error_samples, fill_samples, coalesced_samples, blocks_reused_stats, nn_reconstruct, knn3_reconstruct, quality_metrics, quality_two_variables, quality_roi,
         range_statistics, error_threshold, bin_widths, bins_sweep, config_bins, snr_report, method_figures, candidate_regions, boundary_corners, filename_timesteps, sample_union_dedup, stats_report,
         raw_files, sample_files, sample_file_blocks, roi_file, error_fill_samples, cell_positions, preset_timesteps, fixed_range_histogram,
+        bin_widths_textbook, freedman_bins, auto_configuration,
     )
 }
 ORACLES = sql.ORACLES

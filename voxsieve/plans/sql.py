@@ -87,13 +87,13 @@ ERROR_MAY = """may AS (
 )"""
 
 
-def d2(a: str, b: str) -> str:
-    return f"(({a}.gid % 10 - {b}.gid % 10) ** 2 + (({a}.gid // 10) % 10 - ({b}.gid // 10) % 10) ** 2 + ({a}.gid // 100 - {b}.gid // 100) ** 2)::BIGINT"
+def d2(a: str, b: str, x: int = 10, y: int = 10) -> str:
+    return f"(({a}.gid % {x} - {b}.gid % {x}) ** 2 + (({a}.gid // {x}) % {y} - ({b}.gid // {x}) % {y}) ** 2 + ({a}.gid // {x * y} - {b}.gid // {x * y}) ** 2)::BIGINT"
 
 
-def rebuilt_of(samples: str = "sample", name: str = "rebuilt") -> str:
+def rebuilt_of(samples: str = "sample", name: str = "rebuilt", x: int = 10, y: int = 10) -> str:
     return f"""{name} AS (
-  SELECT f.t, f.gid, any_value(f.value) AS value, arg_min(s.value, ({d2('f', 's')}) * 100000 + s.gid) AS rebuilt
+  SELECT f.t, f.gid, any_value(f.value) AS value, arg_min(s.value, ({d2('f', 's', x, y)}) * 100000 + s.gid) AS rebuilt
   FROM field f JOIN {samples} s ON s.t = f.t GROUP BY f.t, f.gid
 )"""
 
@@ -110,6 +110,16 @@ FROM (
 )
 """
 HISTOGRAM_SAMPLES = (*FINE_SAMPLED, FINE_HIST, PARITY, "own AS (SELECT t, gid, block_id, value FROM sample JOIN flags USING (t, block_id) WHERE NOT reused)")
+FILL = f"""rate AS (
+  SELECT t, had, CASE WHEN n_reused > 0 AND had < 300 THEN (300 - had) / n_open::DOUBLE / 10 ELSE 0.0 END AS rate
+  FROM (SELECT t, count(*) FILTER (NOT reused) AS n_open, count(*) FILTER (reused) AS n_reused FROM flags GROUP BY t)
+  JOIN (SELECT t, count(*) FILTER (taken) AS had FROM judged JOIN flags USING (t, block_id) WHERE NOT reused GROUP BY t) USING (t)
+), drawn AS (
+  SELECT t, gid, block_id, value, had FROM judged JOIN flags USING (t, block_id) JOIN rate USING (t) WHERE NOT reused AND NOT taken AND {uniform('fill')} < rate
+), total AS (
+  SELECT t, block_id, had + sum(n) OVER (PARTITION BY t ORDER BY block_id) AS s FROM (SELECT t, block_id, count(*) AS n, min(had) AS had FROM drawn GROUP BY t, block_id)
+), stop AS (SELECT t, min(block_id) AS stop FROM total WHERE s >= 300 GROUP BY t)"""
+FILLED = "SELECT t, gid, block_id, value FROM drawn LEFT JOIN stop USING (t) WHERE stop IS NULL OR block_id < stop"
 EFFECTIVE = """effective AS (
   SELECT * FROM own UNION ALL
   SELECT o.t + 1 AS t, o.gid, o.block_id, o.value FROM own o JOIN flags f ON f.t = o.t + 1 AND f.block_id = o.block_id AND f.reused
@@ -129,10 +139,10 @@ HEAD = "head AS (SELECT * FROM field WHERE t = 0), choice AS (SELECT (ceil(span
 INSIDE = "inside AS (SELECT * FROM rebuilt WHERE gid % 10 >= t % 3 AND gid % 10 < 10 - t % 4 AND (gid // 10) % 10 >= t % 2 AND (gid // 10) % 10 < 9 AND gid // 100 >= 1 AND gid // 100 < 4 + t % 6)"
 
 
-def method_of(name: str, flags: str) -> tuple[str, ...]:
-    """Own and effective samples, counts and quality of a method, given the table of its reuse flags."""
+def method_of(name: str, flags: str, own: str) -> tuple[str, ...]:
+    """Own and effective samples, counts and quality of a method, given the table of its reuse flags and the query of its samples."""
     return (
-        f"own_{name} AS (SELECT t, gid, block_id, value FROM sample JOIN {flags} USING (t, block_id) WHERE NOT reused)",
+        f"own_{name} AS ({own})",
         EFFECTIVE.replace("effective", f"effective_{name}").replace("own", f"own_{name}").replace("flags", flags),
         COUNTS.replace("counts", f"counts_{name}").replace("FROM own", f"FROM own_{name}").replace("flags", flags),
         rebuilt_of(f"effective_{name}", f"rebuilt_{name}"),
@@ -140,14 +150,10 @@ def method_of(name: str, flags: str) -> tuple[str, ...]:
     )
 
 
-METHOD_PARTS = (
-    ("never AS (SELECT t, block_id, false AS reused FROM flags)", *method_of("importance", "never")),
-    method_of("histogram_reuse", "flags"),
-    (ERRORS, ERROR_MAY.replace("may AS", "may_e AS"), PARITY.replace("flags", "flags_e").replace("FROM may", "FROM may_e").replace("run AS (", "run_e AS (").replace("FROM run", "FROM run_e"), *method_of("error_reuse", "flags_e")),
-)
+WITH_FILL = f"SELECT t, gid, block_id, value FROM sample JOIN flags USING (t, block_id) WHERE NOT reused UNION ALL {FILLED}"
 
 
-def tried(bins_from: str, place: int) -> str:
+def tried(bins_from: str, place: int, x: int = 10, y: int = 10) -> str:
     """Sampling and rebuilding the first timestep with a number of bins that is itself a result."""
     n = f"(SELECT {bins_from} FROM choice)"
     name = f"_{place}"
@@ -157,7 +163,7 @@ def tried(bins_from: str, place: int) -> str:
   SELECT t, bin, coalesce(c, 0)::BIGINT AS n FROM (SELECT DISTINCT t FROM head) CROSS JOIN (SELECT unnest(range(0, {n}))::INTEGER AS bin)
   LEFT JOIN (SELECT t, bin, count(*) AS c FROM binned{name} GROUP BY t, bin) USING (t, bin)
 )"""
-    return ", ".join((hist, acceptance_of(0.1, name), sample_of(GRID_BLOCK, name), rebuilt_of(f"sample{name}", f"rebuilt{name}").replace("field f", "head f"), f"score{name} AS (SELECT {n} AS num_bins, psnr, {-place} AS place FROM (" + QUALITY.format(pairs=f"rebuilt{name}") + "))"))
+    return ", ".join((hist, acceptance_of(0.1, name), sample_of(GRID_BLOCK, name), rebuilt_of(f"sample{name}", f"rebuilt{name}", x, y).replace("field f", "head f"), f"score{name} AS (SELECT {n} AS num_bins, psnr, {-place} AS place FROM (" + QUALITY.format(pairs=f"rebuilt{name}") + "))"))
 
 
 #: Rows of a timestep's samples, and with gid null its regions with their flags; the next timestep is judged against them.
@@ -185,9 +191,30 @@ ERROR_FILLED = f"""cell AS MATERIALIZED (SELECT t, gid, block_id, value, taken,
     UNION ALL SELECT (SELECT max(t) FROM now), NULL, block_id, NULL, NULL, reused FROM flag
   )
 )"""
+METHODS = ("importance", "histogram_reuse_filled", "error_reuse_filled")
+METHOD_PARTS = (
+    ("never AS (SELECT t, block_id, false AS reused FROM flags)", *method_of(METHODS[0], "never", "SELECT * FROM sample")),
+    (FILL, *method_of(METHODS[1], "flags", WITH_FILL)),
+    (ERROR_FILLED, "flags_e AS (SELECT t, block_id, reused FROM state WHERE gid IS NULL)", *method_of(METHODS[2], "flags_e", "SELECT t, gid, block_id, value FROM state WHERE gid IS NOT NULL")),
+)
 FLAG_COUNTS = "SELECT t, block_id, coalesce(c, 0)::BIGINT AS n_samples, reused FROM flags LEFT JOIN (SELECT t, block_id, count(*) AS c FROM own GROUP BY ALL) USING (t, block_id)"
 
 
+def candidates_of(table: str, gid: str, x: int, y: int) -> str:
+    return f"""extent AS (SELECT max({gid} % {x})::INTEGER + 1 AS xd, max({gid} // {x} % {y})::INTEGER + 1 AS yd, max({gid} // {x * y})::INTEGER + 1 AS zd FROM {table}
+), size AS (
+  SELECT bx, by_, bz, (xd::BIGINT * yd * zd) // (bx::BIGINT * by_ * bz) AS regions
+  FROM extent, unnest(range(3, xd)) AS a(bx), unnest(range(3, yd)) AS b(by_), unnest(range(3, zd)) AS c(bz) WHERE xd % bx = 0 AND yd % by_ = 0 AND zd % bz = 0
+), firsts AS (SELECT regions, bx, by_, bz, row_number() OVER (PARTITION BY regions ORDER BY bx, by_, bz) AS r FROM size
+), candidate AS (SELECT (row_number() OVER (ORDER BY bx, by_, bz) - 1)::INTEGER AS place, bx::INTEGER AS bx, by_::INTEGER AS "by", bz::INTEGER AS bz, regions FROM firsts WHERE r = 1
+)"""
+
+
+GAPS = "pair AS (SELECT abs(b.value - a.value) AS gap FROM field a JOIN field b USING (gid) WHERE a.t = 0 AND b.t = 1), ordered AS (SELECT gap, row_number() OVER (ORDER BY gap) - 1 AS r, count(*) OVER () AS n FROM pair), bound AS (SELECT max(gap) AS value FROM ordered WHERE r = trunc(n * 0.75)::BIGINT)"
+BEST = "best AS (SELECT num_bins, psnr FROM (SELECT * FROM score_0 UNION ALL SELECT * FROM score_1) ORDER BY psnr DESC, place DESC LIMIT 1)"
+FIGURES = ("blocks_reused", "n_samples", "max_diff", "avg_diff", "psnr", "snr")
+
+
 ORACLES = {
     "cell_geometry": start() + f"SELECT t, gid, CAST(gid % 10 AS INTEGER) AS x, CAST((gid // 10) % 10 AS INTEGER) AS y, CAST(gid // 100 AS INTEGER) AS z, {GRID_BLOCK} AS block_id, {local(5, 5, 5)} AS local_id, gid AS back FROM field",
     "block_extract": start() + f"SELECT t, gid, {local(5, 5, 5)} AS local_id, value FROM field WHERE {GRID_BLOCK} = 3",
@@ -207,19 +234,7 @@ ORACLES = {
     "stream_reuse_histogram": start(FINE_HIST, PARITY) + "SELECT t, block_id, reused FROM flags",
     "reuse_error": start(*FINE_SAMPLED, ERRORS, ERROR_MAY, PARITY) + "SELECT t, block_id, reused FROM flags",
     "temporal_error_samples": start(*FINE_SAMPLED, ERRORS, ERROR_MAY, PARITY) + "SELECT t, gid, block_id, value FROM sample JOIN flags USING (t, block_id) WHERE NOT reused",
-    "fill_samples": start(
-        *HISTOGRAM_SAMPLES,
-        f"""rate AS (
-  SELECT t, had, CASE WHEN n_reused > 0 AND had < 300 THEN (300 - had) / n_open::DOUBLE / 10 ELSE 0.0 END AS rate
-  FROM (SELECT t, count(*) FILTER (NOT reused) AS n_open, count(*) FILTER (reused) AS n_reused FROM flags GROUP BY t)
-  JOIN (SELECT t, count(*) FILTER (taken) AS had FROM judged JOIN flags USING (t, block_id) WHERE NOT reused GROUP BY t) USING (t)
-), drawn AS (
-  SELECT t, gid, block_id, value, had FROM judged JOIN flags USING (t, block_id) JOIN rate USING (t) WHERE NOT reused AND NOT taken AND {uniform('fill')} < rate
-), total AS (
-  SELECT t, block_id, had + sum(n) OVER (PARTITION BY t ORDER BY block_id) AS s FROM (SELECT t, block_id, count(*) AS n, min(had) AS had FROM drawn GROUP BY t, block_id)
-), stop AS (SELECT t, min(block_id) AS stop FROM total WHERE s >= 300 GROUP BY t)""",
-    )
-    + "SELECT t, gid, block_id, value, 'importance' AS kind FROM own UNION ALL SELECT t, gid, block_id, value, 'fill' FROM drawn LEFT JOIN stop USING (t) WHERE stop IS NULL OR block_id < stop",
+    "fill_samples": start(*HISTOGRAM_SAMPLES, FILL) + f"SELECT t, gid, block_id, value, 'importance' AS kind FROM own UNION ALL SELECT t, gid, block_id, value, 'fill' FROM ({FILLED})",
     "coalesced_samples": start(*HISTOGRAM_SAMPLES, EFFECTIVE) + "SELECT t, gid, block_id, value FROM effective",
     "blocks_reused_stats": start(*HISTOGRAM_SAMPLES, COUNTS) + "SELECT * FROM counts",
     "nn_reconstruct": start(*SAMPLED, rebuilt_of()) + "SELECT t, gid, rebuilt FROM rebuilt",
@@ -232,24 +247,23 @@ ORACLES = {
     "quality_two_variables": start("pair AS (SELECT t, gid, value, o_totalprice AS rebuilt FROM field JOIN orders ON t = o_orderkey // 1000 AND gid = o_orderkey % 1000)") + QUALITY.format(pairs="pair"),
     "quality_roi": start(*SAMPLED, rebuilt_of(), INSIDE) + QUALITY.format(pairs="inside"),
     "range_statistics": start(*SAMPLED, rebuilt_of()) + "SELECT t, " + ", ".join(f"round({f}({c}), 6) AS {name}_{n}" for name, c in (("raw", "value"), ("sampled", "rebuilt")) for n, f in (("min", "min"), ("max", "max"), ("mean", "avg"), ("sd", "stddev_pop"))) + " FROM rebuilt GROUP BY t",
-    "error_threshold": start("pair AS (SELECT abs(b.value - a.value) AS gap FROM field a JOIN field b USING (gid) WHERE a.t = 0 AND b.t = 1), ordered AS (SELECT gap, row_number() OVER (ORDER BY gap) - 1 AS r, count(*) OVER () AS n FROM pair)") + "SELECT max(gap) AS value FROM ordered WHERE r = trunc(n * 0.75)::BIGINT",
+    "error_threshold": start(GAPS) + "SELECT value FROM bound",
     "bin_widths": start(WIDTHS) + "SELECT t, n, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("sd", "span", "scott", "doane", "sturges")) + ", " + ", ".join(f"(ceil(span / {c}) + 1)::INTEGER AS {c}_bins" for c in ("scott", "doane", "sturges")) + " FROM width",
-    "config_bins": start(WIDTHS, HEAD, tried("s", 0), tried("d", 1)) + "SELECT num_bins, psnr FROM (SELECT * FROM score_0 UNION ALL SELECT * FROM score_1) ORDER BY psnr DESC, place DESC LIMIT 1",
+    "config_bins": start(WIDTHS, HEAD, tried("s", 0), tried("d", 1), BEST) + "SELECT * FROM best",
+    "bin_widths_textbook": start(WIDTHS, "skewed AS (SELECT f.t, avg(((value - m) / s) ** 3) AS skew FROM field f JOIN (SELECT t, avg(value) AS m, stddev_pop(value) AS s FROM field GROUP BY t) USING (t) GROUP BY f.t), full_width AS (SELECT t, n, span, span / (1 + log2(n) + log2(1 + abs(skew) / sqrt(6.0::DOUBLE * (n - 2) / ((n + 1.0::DOUBLE) * (n + 3))))) AS doane FROM moment JOIN skewed USING (t))")
+    + "SELECT t, n, round(doane, 6) AS doane, (ceil(span / doane) + 1)::INTEGER AS doane_bins FROM full_width",
+    "freedman_bins": start("ranked AS (SELECT t, value, row_number() OVER (PARTITION BY t ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY t) AS n FROM field), quartile AS (SELECT t, any_value(n) AS n, max(value) - min(value) AS span, max(value) FILTER (r = 3 * n // 4) - max(value) FILTER (r = n // 4) AS iqr FROM ranked GROUP BY t), wide AS (SELECT *, 2 * iqr / pow(n, 1 / 3.0::DOUBLE) AS width FROM quartile)")
+    + "SELECT t, n, round(iqr, 6) AS iqr, round(width, 6) AS width, (ceil(span / width) + 1)::INTEGER AS bins FROM wide",
+    "auto_configuration": start(candidates_of("field", "gid", 12, 12), GAPS, WIDTHS, HEAD, tried("s", 0, 12, 12), tried("d", 1, 12, 12), BEST).replace(FIELD, FIELD.replace("1000", "864"))
+    + 'SELECT bx, "by", bz, num_bins, round(value, 6) AS error_threshold FROM candidate, best, bound WHERE place = 3',
     "bins_sweep": start(WIDTHS, HEAD, tried("s", 0), tried("d", 1)) + "SELECT num_bins, psnr, (-place)::INTEGER AS place FROM (SELECT * FROM score_0 UNION ALL SELECT * FROM score_1)",
     "snr_report": start(*SAMPLED, rebuilt_of(), INSIDE, "a AS (" + QUALITY.format(pairs="rebuilt") + "), b AS (" + QUALITY.format(pairs="inside") + ")") + "SELECT t, 'Pf' || t || '.bin' AS filename, a.snr, b.snr AS snr_roi FROM a LEFT JOIN b USING (t)",
-    "method_figures": start(*FINE_SAMPLED, FINE_HIST, PARITY, *[part for m in METHOD_PARTS for part in m]) + " UNION ALL ".join(f"SELECT t, '{m}' AS method, blocks_reused, n_samples, max_diff, avg_diff, psnr FROM quality_{m} JOIN counts_{m} USING (t)" for m in ("importance", "histogram_reuse", "error_reuse")),
-    "candidate_regions": """
-WITH extent AS (SELECT max(o_orderkey % 10)::INTEGER + 1 AS xd, max(o_orderkey // 10 % 20)::INTEGER + 1 AS yd, max(o_orderkey // 200)::INTEGER + 1 AS zd FROM orders
-), size AS (
-  SELECT bx, by_, bz, (xd::BIGINT * yd * zd) // (bx::BIGINT * by_ * bz) AS regions
-  FROM extent, unnest(range(3, xd)) AS a(bx), unnest(range(3, yd)) AS b(by_), unnest(range(3, zd)) AS c(bz) WHERE xd % bx = 0 AND yd % by_ = 0 AND zd % bz = 0
-), firsts AS (SELECT regions, bx, by_, bz, row_number() OVER (PARTITION BY regions ORDER BY bx, by_, bz) AS r FROM size)
-SELECT (row_number() OVER (ORDER BY bx, by_, bz) - 1)::INTEGER AS place, bx::INTEGER AS bx, by_::INTEGER AS "by", bz::INTEGER AS bz, regions FROM firsts WHERE r = 1
-""",
+    "method_figures": start(*FINE_SAMPLED, FINE_HIST, PARITY, *[part for m in METHOD_PARTS for part in m]) + " UNION ALL ".join(f"SELECT t, '{m}' AS method, blocks_reused, n_samples, max_diff, avg_diff, psnr FROM quality_{m} JOIN counts_{m} USING (t)" for m in METHODS),
+    "candidate_regions": f"WITH {candidates_of('orders', 'o_orderkey', 10, 20)} SELECT * FROM candidate",
     "boundary_corners": start(*SAMPLED) + "SELECT t, gid, min(value) AS value FROM (SELECT t, gid, value FROM sample UNION ALL SELECT t, gid, value FROM field WHERE gid % 10 IN (0, 9) AND (gid // 10) % 10 IN (0, 9) AND gid // 100 IN (0, 9)) GROUP BY t, gid",
     "filename_timesteps": start() + """SELECT path, timestep, (dense_rank() OVER (ORDER BY timestep) - 1)::INTEGER AS "index" FROM (
   SELECT path, try_cast(regexp_extract(path, 'Pf([0-9]+).bin', 1) AS INTEGER) AS timestep
-  FROM (SELECT DISTINCT CASE WHEN t * 7 % 1000 % 5 = 3 THEN '/run/notes_' || (t * 7 % 1000) ELSE '/run/Pf' || (t * 7 % 1000) || '.bin' END AS path FROM field)
+  FROM (SELECT DISTINCT CASE WHEN t % 5 = 3 THEN '/run/notes_' || t ELSE '/run/Pf' || t || '.bin' END AS path FROM field)
 ) WHERE timestep IS NOT NULL""",
     "sample_union_dedup": start(*SAMPLED, "hist_b AS (SELECT * FROM hist), binned_b AS (SELECT * FROM binned)", acceptance_of(0.2, "_b"), sample_of(GRID_BLOCK, "_b")) + "SELECT t, gid, min(value) AS value, count(*) AS times FROM (SELECT t, gid, value FROM sample UNION ALL SELECT t, gid, value FROM sample_b) GROUP BY t, gid",
     "raw_files": start() + "SELECT t, gid, value::FLOAT::DOUBLE AS value FROM field WHERE t IN (SELECT t FROM field GROUP BY t HAVING count(*) = 1000)",
@@ -262,6 +276,7 @@ SELECT (row_number() OVER (ORDER BY bx, by_, bz) - 1)::INTEGER AS place, bx::INT
   ('exaam', 'plt_temperature_', '.bin'), ('isabel_subsampled', 'Pf', '.binLE.raw_corrected_2_subsampled.vti.bin'), ('isabel', 'Pf', '.bin'), ('asteroid', 'pv_insitu_300x300x300_', '.bin')) AS p(preset, head, tail)""",
     "fixed_range_histogram": start(f"cell_bin AS (SELECT t, {bins('3.0', '50.0', 12)} AS bin FROM field)")
     + "SELECT t, bin, coalesce(c, 0)::BIGINT AS n FROM (SELECT DISTINCT t FROM cell_bin) CROSS JOIN (SELECT unnest(range(0, 12))::INTEGER AS bin) LEFT JOIN (SELECT t, bin, count(*) AS c FROM cell_bin GROUP BY ALL) USING (t, bin)",
-    "stats_report": start(*HISTOGRAM_SAMPLES, EFFECTIVE, COUNTS, rebuilt_of("effective"), "quality AS (" + QUALITY.format(pairs="rebuilt").replace("round(", "(").replace(", 6)", ")") + "), report AS (SELECT t, blocks_reused, n_samples, max_diff, avg_diff, psnr, snr FROM quality JOIN counts USING (t))")
-    + "SELECT t, " + ", ".join(f"round({c}::DOUBLE, 6) AS {c}" for c in ("blocks_reused", "n_samples", "max_diff", "avg_diff", "psnr", "snr")) + " FROM report UNION ALL SELECT -1, " + ", ".join(f"round(avg({c}), 6)" for c in ("blocks_reused", "n_samples", "max_diff", "avg_diff", "psnr", "snr")) + " FROM report UNION ALL SELECT -2, " + ", ".join(f"round(stddev_pop({c}), 6)" for c in ("blocks_reused", "n_samples", "max_diff", "avg_diff", "psnr", "snr")) + " FROM report",
+    "stats_report": start(*FINE_SAMPLED, FINE_HIST, PARITY, FILL, f"own AS ({WITH_FILL})", EFFECTIVE, COUNTS, rebuilt_of("effective"), "quality AS (" + QUALITY.format(pairs="rebuilt").replace("round(", "(").replace(", 6)", ")") + "), report AS (SELECT t, " + ", ".join(FIGURES) + " FROM quality JOIN counts USING (t))")
+    + "SELECT t, 'histogram_reuse_filled' AS method, 4e-6::DOUBLE AS file_gb, 0.3::DOUBLE AS ratio, '5/2/1' AS region_dims, 3::INTEGER AS num_bins, 'nearest' AS reconstruction, " + ", ".join(f"round({c}, 6) AS {c}" for c in FIGURES) + " FROM ("
+    + "SELECT t, " + ", ".join(f"{c}::DOUBLE AS {c}" for c in FIGURES) + " FROM report" + "".join(f" UNION ALL SELECT {t}, " + ", ".join(f"{f}({c})" for c in FIGURES) + " FROM report" for t, f in ((-1, "avg"), (-2, "stddev_pop"))) + ")",
 }
