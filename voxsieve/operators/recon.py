@@ -27,8 +27,12 @@ def _cube(at: tuple[Column, Column, Column], edge: int) -> list[Column]:
 LIST = 1 << 15
 
 
-def _round(cells: DataFrame, samples: DataFrame, cfg: GridConfig, edge: int, k: int, last: bool) -> DataFrame:
-    """cells with near, the k nearest of the lists as (d2, s_gid, s_value), and whether that is final."""
+def _round(cells: DataFrame, samples: DataFrame, cfg: GridConfig, edge: int, k: int, first: bool, last: bool) -> DataFrame:
+    """cells with near, the k nearest of the lists as (d2, s_gid, s_value), and whether that is final.
+
+    The first round has all cells in small cubes of much work and few bytes: its partitions stay as they are, where the engine
+    would merge them by their bytes. Later rounds are left to it, since the few cells in wide cubes may be skewed.
+    """
     cubes = ["cx", "cy", "cz"]
     at = lambda df: df.withColumns(dict(zip(cubes, _cube(g.xyz(F.col("gid"), cfg), edge), strict=True)))
     parts = -(-math.prod(min(3 * edge, d) for d in cfg.dims) // LIST)
@@ -40,7 +44,10 @@ def _round(cells: DataFrame, samples: DataFrame, cfg: GridConfig, edge: int, k:
     here = g.xyz(F.col("gid"), cfg)
     scored = F.transform("list", lambda s: F.struct(g.distance2(here, g.xyz(s["gid"], cfg)).alias("d2"), s["gid"].alias("s_gid"), s["value"].alias("s_value")))
     best = lambda c: F.array(F.array_min(c)) if k == 1 else F.slice(F.array_sort(c), 1, k)
-    found = at(cells).join(lists, ["t", *cubes], "left").withColumn("near", F.when(F.col("list").isNotNull(), best(scored))).drop("list", "part")
+    placed = at(cells)
+    if first:
+        placed = placed.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), "t", *cubes)
+    found = placed.join(lists, ["t", *cubes], "left").withColumn("near", F.when(F.col("list").isNotNull(), best(scored))).drop("list", "part")
     if parts > 1:
         found = found.groupBy(*cells.columns, *cubes).agg(F.flatten(F.collect_list("near")).alias("near")).withColumn("near", F.when(F.size("near") > 0, best(F.col("near"))))
     if last:
@@ -63,10 +70,11 @@ def nearest(cells: DataFrame, samples: DataFrame, cfg: GridConfig, k: int = 1) -
     Cells of timesteps without a sample are left out.
     """
     edge = max(1, math.ceil((k / max(cfg.ratio, 1e-6)) ** (1 / 3)))
-    columns, done = cells.columns, None
+    columns, done, first = cells.columns, None, True
+    samples = written(samples.select("t", "gid", "value"), "near-samples")  # every round reads them
     while True:
         last = 2 * edge >= max(cfg.dims)  # two cubes along each axis: those around hold the grid
-        step = _round(cells, samples, cfg, edge, k, last)
+        step = _round(cells, samples, cfg, edge, k, first, last)
         if not last:
             step = written(step, "nearest")
         found = step.where("near is not null" if last else "final").select(*columns, "near")
@@ -76,7 +84,7 @@ def nearest(cells: DataFrame, samples: DataFrame, cfg: GridConfig, k: int = 1) -
         cells = step.where("not final").select(*columns)
         if cells.isEmpty():
             return done
-        edge *= 2
+        edge, first = 2 * edge, False
 
 
 def nn_reconstruct(cells: DataFrame, samples: DataFrame, cfg: GridConfig) -> DataFrame:
