@@ -90,6 +90,37 @@ def test_many_slices_read_documents_once(spark):
     assert sorted((r.id, r.n_words, r.n_hit, r["items"]) for r in found.collect()) == brute(docs, items)
 
 
+def test_tiny_shards_equal_brute_force():
+    """Shards of 0 to 20 words against vocabularies from one word to thousands."""
+    rng = random.Random(3)
+    for v in (1, 2, 3, 30, 300, 5000):
+        items = [(str(k), " ".join(f"w{x}" for x in rng.choices(range(v), k=n))) for k, n in enumerate((1, 2, 5, 13, 14, 40, v))]
+        bench = decontaminate.Benchmark(*map(list, zip(*items, strict=True)), 13)
+        for n in range(21):
+            for texts in ([" ".join(f"w{x}" for x in rng.choices(range(v + 2), k=n))], [items[k % 7][1].rsplit(" ", 40 - n)[0] for k in range(n % 4)] + [""] * (n % 3)):
+                shard = decontaminate.Shard([t.encode() for t in texts], bench)
+                at, windows = decontaminate.occurrences(shard, bench)
+                hit = decontaminate.hit_places(shard, bench, at, windows)
+                named = [set() for _ in texts]
+                for d, p in decontaminate.texts_found(shard, bench, at, windows).tolist():
+                    named[d].update(bench.items_of[p])
+                got = [(k, int(c), int(hit[a : a + c].sum()), sorted(i)) for k, (a, c, i) in enumerate(zip(shard.first, shard.counts, named, strict=True))]
+                assert got == brute(list(enumerate(texts)), items)
+
+
+def test_a_document_a_partition(spark):
+    texts = ["x y", "", None, "x", "q " * 20, "a b c d e f g h i j k l m n", "...", "e d c b a"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartitionByRange(8, "doc_id")
+    for items in ([(1, "v w x y z")], [(1, "x")], [(1, "a b c d e f g h i j k l m"), (2, "q")], [(1, " ".join(f"w{k}" for k in range(9000)) + " x y")]):
+        bench = spark.createDataFrame(items, "item_id long, text string")
+        want = brute(list(enumerate(texts)), items)
+        for matches in (True, False):
+            rows = decontaminate.find_hits(docs, bench, with_matches=matches).collect()
+            assert sorted((r.id, r.n_words, r.n_hit, r["items"]) for r in rows) == want
+            assert all((r.matches is None) != matches for r in rows)
+        assert sorted(r.doc_id for r in decontaminate.remove_contaminated(docs, bench).collect()) == [k for k, n, hit, _ in want if not (hit and 20 * hit >= n)]
+
+
 class _Row:
     """items is also a method of rows."""
 

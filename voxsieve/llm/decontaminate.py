@@ -11,9 +11,11 @@ inside an occurrence of a window are hit. The benchmark lies in the shared folde
 split), of which a task holds one at a time and goes through all for each of its shards, so documents are read once whatever
 the benchmark's size. Windows are searched in blocks.
 
-Defined results: null and empty texts have no words; a document without words is never contaminated. Repeated documents are
+Defined results: texts are read whole, a text longer than a shard's bound being a shard of its own. Null and empty texts have no
+words; a document without words is never contaminated. Repeated documents are
 judged alike and kept apart; repeated items count once by their id; items without an id hit words but aren't listed. With no
-benchmark nothing is hit. Columns besides id and text aren't read.
+benchmark nothing is hit; tables without rows give none. Every occurrence counts, so there are no ties. Columns besides id and text
+aren't read by find_hits and pass through remove_contaminated unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -99,8 +101,8 @@ class Shard:
         # the words from each place on, so many in a key
         self.key = np.zeros(len(text), np.int64)
         for k in range(bench.packed):
-            self.key <<= bench.bits
-            self.key[: len(text) - k] |= text[k:]
+            self.key <<= bench.bits  # beyond the end stand zeros
+            self.key[: max(0, len(text) - k)] |= text[k:]
         self.order = suffix_array(self.key, bench.packed, bench.deepest)
         self.sorted = self.key[self.order]
 
@@ -182,6 +184,13 @@ def longest_matches(shard: Shard, bench: Benchmark, at: np.ndarray, window: np.n
     return np.stack([document, at[first] - shard.first[document], part[first], offset[first], length], 1)
 
 
+def texts_found(shard: Shard, bench: Benchmark, at: np.ndarray, window: np.ndarray) -> np.ndarray:
+    """Distinct rows (document, benchmark text) of the occurrences."""
+    document = np.searchsorted(shard.first, at, "right") - 1
+    both = np.unique(document * len(bench.items_of) + bench.part[window])
+    return np.stack(np.divmod(both, max(1, len(bench.items_of))), 1)
+
+
 def hit_places(shard: Shard, bench: Benchmark, at: np.ndarray, window: np.ndarray) -> np.ndarray:
     """Which places of the shard lie in an occurrence."""
     n = len(shard.key) + 1
@@ -242,11 +251,12 @@ def _slices(items: DataFrame, window: int, item_id_col: str, item_text_col: str,
 MATCH = "struct<item:string,item_word:bigint,word:bigint,n_words:bigint>"
 
 
-def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
+def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", slice_bytes: int = SLICE_BYTES, with_matches: bool = True) -> DataFrame:
     """(id, n_words, n_hit, starts, ends, items, matches) for every document.
 
     starts and ends are the merged stretches of hit words, items the ids whose windows occur, matches the longest verbatim
-    matches with their places in item and document.
+    matches with their places in item and document; without matches they are null. Where text repeats itself, matches are as
+    many as the pairs of equal stretches; everything else is linear.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(quoted(id_col).alias("id"), as_text(text_col).alias("text"))
@@ -258,20 +268,23 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: s
         for table, texts in _shards(batches, 1):
             hit = counts = None
             found: list[dict[tuple, None]] = [{} for _ in texts]
+            named: list[set[str | None]] = [set() for _ in texts]
             for bench in slices.each():
                 shard = Shard(texts, bench)
                 at, windows = occurrences(shard, bench)
-                for d, word, text, item_word, length in longest_matches(shard, bench, at, windows).tolist():
+                for d, text in texts_found(shard, bench, at, windows).tolist():
+                    named[d].update(bench.items_of[text])
+                for d, word, text, item_word, length in longest_matches(shard, bench, at, windows).tolist() if with_matches else ():
                     found[d].update(dict.fromkeys((name, item_word, word, length) for name in bench.items_of[text]))
                 own = hit_places(shard, bench, at, windows)
                 hit, counts, first = own if hit is None else hit | own, shard.counts, shard.first
             starts, ends, names, matches = [], [], [], []
             for k, rows_of in enumerate(found):
-                edge = np.diff(hit[first[k] : first[k] + counts[k]].astype(np.int8), prepend=0, append=0) if rows_of else np.empty(0, np.int8)
+                edge = np.diff(hit[first[k] : first[k] + counts[k]].astype(np.int8), prepend=0, append=0) if named[k] else np.empty(0, np.int8)
                 starts.append(np.flatnonzero(edge == 1))
                 ends.append(np.flatnonzero(edge == -1))
-                names.append(sorted({m[0] for m in rows_of if m[0] is not None}))
-                matches.append([dict(zip(("item", "item_word", "word", "n_words"), m, strict=True)) for m in sorted(rows_of, key=lambda m: (m[0] is None, m[0] or "", m[1:]))])
+                names.append(sorted(i for i in named[k] if i is not None))
+                matches.append(None if not with_matches else [dict(zip(("item", "item_word", "word", "n_words"), m, strict=True)) for m in sorted(rows_of, key=lambda m: (m[0] is None, m[0] or "", m[1:]))])
             n_hit = np.diff(np.concatenate([[0], np.cumsum(hit)])[np.append(first, len(hit))])
             columns = [table.column(0).combine_chunks(), pa.array(counts), pa.array(n_hit, pa.int64()), pa.array(starts, longs), pa.array(ends, longs), pa.array(names, pa.list_(pa.string())), pa.array(matches, pa.list_(match))]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n_words", "n_hit", "starts", "ends", "items", "matches"])

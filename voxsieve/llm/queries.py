@@ -93,7 +93,7 @@ def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark words in every document."""
-    found = decontaminate.find_hits(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    found = decontaminate.find_hits(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), with_matches=False)
     return found.select(
         F.col("id").alias("doc_id"),
         "n_words",
