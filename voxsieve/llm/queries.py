@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, packing, pii, quality, simhash, sql, substring, topk, toxicity, warc
+from . import bpe, decontaminate, packing, pii, quality, simhash, sql, substring, topk, toxicity, trie, warc
 from .common import fold, new_path, read_table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -117,5 +117,10 @@ def op10_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("id").alias("doc_id"), (fold("id", 4) == 2).alias("held_out"), "score", (F.col("score") >= KEPT_QUALITY).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_simhash": op2_simhash, "op3_substring_dedup": op3_substring_dedup, "op4_pack_tokens": op4_pack_tokens, "op5_toxicity": op5_toxicity, "op6_byte_bpe": op6_byte_bpe, "op7_warc_revisits": op7_warc_revisits, "op8_decontaminate": op8_decontaminate, "op9_exact_top_k": op9_exact_top_k, "op10_quality_votes": op10_quality_votes}
-ORACLES: dict[str, str] = {"op3_substring_dedup": sql.OP3, "op7_warc_revisits": sql.OP7, "op8_decontaminate": sql.OP8, "op9_exact_top_k": sql.OP9}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the trie of all rebuilt conversations."""
+    return trie.build(read_table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {"op1_pii": op1_pii, "op2_simhash": op2_simhash, "op3_substring_dedup": op3_substring_dedup, "op4_pack_tokens": op4_pack_tokens, "op5_toxicity": op5_toxicity, "op6_byte_bpe": op6_byte_bpe, "op7_warc_revisits": op7_warc_revisits, "op8_decontaminate": op8_decontaminate, "op9_exact_top_k": op9_exact_top_k, "op10_quality_votes": op10_quality_votes, "op11_prefix_trie": op11_prefix_trie}
+ORACLES: dict[str, str] = {"op3_substring_dedup": sql.OP3, "op7_warc_revisits": sql.OP7, "op8_decontaminate": sql.OP8, "op9_exact_top_k": sql.OP9, "op11_prefix_trie": sql.OP11}

@@ -72,3 +72,36 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 10
 """
+
+OP11 = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id,
+         xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+           lambda a, b: list_reduce(list_concat([xor(a, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda u, v: xor(u >> 1, 3988292384::BIGINT * (u & 1)))), 4294967295::BIGINT) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)
+), r AS (
+  SELECT c.conv_id, d.pos, d.role, d.text FROM c JOIN t d ON d.conv_id = c.conv_id - c.conv_id % 100 AND d.pos < c.h
+  UNION ALL SELECT c.conv_id, t.pos, t.role, t.text FROM c JOIN t USING (conv_id) WHERE t.pos >= c.h
+), s AS (
+  SELECT conv_id, coalesce(list({'r': role, 't': text} ORDER BY pos) FILTER (pos IS NOT NULL), []) AS turns FROM c LEFT JOIN r USING (conv_id) GROUP BY conv_id
+), p AS (
+  SELECT conv_id, d, turns[1 : d] AS path, len(turns) = d AS ended FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM s)
+), n AS (
+  SELECT min(conv_id) AS id, d, path, count(*) AS n_convs, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ended), '') AS ends,
+         CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * length(path[d].t) END AS saved
+  FROM p GROUP BY d, path
+), k AS (
+  SELECT n.id, n.d, n.path, n.n_convs, n.ends, n.saved, up.id AS parent, count(down.id) AS n_children
+  FROM n LEFT JOIN n up ON up.d = n.d - 1 AND up.path = n.path[1 : n.d - 1] LEFT JOIN n down ON down.d = n.d + 1 AND down.path[1 : n.d] = n.path
+  GROUP BY ALL
+), over AS (
+  SELECT e AS d, path[1 : e] AS path, sum((n_children = 0)::INT) AS n_leaves, sum(saved) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM k) GROUP BY ALL
+)
+SELECT k.id::BIGINT AS conv_id, k.d::BIGINT AS depth, k.parent::BIGINT AS parent_conv_id, k.n_convs::BIGINT AS n_convs, k.n_children::BIGINT AS n_children,
+       over.n_leaves::BIGINT AS n_leaves, over.saved::BIGINT AS saved_tokens, sha256(k.ends) AS ends_sha256
+FROM k JOIN over USING (d, path)
+"""
