@@ -105,3 +105,18 @@ SELECT k.id::BIGINT AS conv_id, k.d::BIGINT AS depth, k.parent::BIGINT AS parent
        over.n_leaves::BIGINT AS n_leaves, over.saved::BIGINT AS saved_tokens, sha256(k.ends) AS ends_sha256
 FROM k JOIN over USING (d, path)
 """
+
+OP12 = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings
+), sound AS (
+  SELECT r, vec_id, e, sqrt(list_inner_product(e, e)) AS size FROM v
+  WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), link AS (
+  SELECT a.r AS a, b.r AS b FROM sound a JOIN sound b ON a.r <> b.r AND len(a.e) = len(b.e) AND list_inner_product(a.e, b.e) / (a.size * b.size) >= 0.9
+), reach AS (
+  SELECT r AS a, r AS b FROM v UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b
+), named AS (SELECT reach.a AS r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.b GROUP BY reach.a
+), n AS (SELECT a AS r, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept FROM v JOIN named USING (r) LEFT JOIN n USING (r)
+"""
