@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, forest, packing, pii, quality, simhash, sql, substring, topk, toxicity, trie, warc
+from . import bpe, decontaminate, forest, packing, pii, quality, search, simhash, sql, substring, topk, toxicity, trie, warc
 from .common import fold, new_path, read_table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -128,5 +128,11 @@ def op12_vector_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_simhash": op2_simhash, "op3_substring_dedup": op3_substring_dedup, "op4_pack_tokens": op4_pack_tokens, "op5_toxicity": op5_toxicity, "op6_byte_bpe": op6_byte_bpe, "op7_warc_revisits": op7_warc_revisits, "op8_decontaminate": op8_decontaminate, "op9_exact_top_k": op9_exact_top_k, "op10_quality_votes": op10_quality_votes, "op11_prefix_trie": op11_prefix_trie, "op12_vector_forest": op12_vector_forest}
-ORACLES: dict[str, str] = {"op3_substring_dedup": sql.OP3, "op7_warc_revisits": sql.OP7, "op8_decontaminate": sql.OP8, "op9_exact_top_k": sql.OP9, "op11_prefix_trie": sql.OP11, "op12_vector_forest": sql.OP12}
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    found = search.top_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=10)
+    return found.select(F.col("item").alias("item_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("doc_id"), "score")
+
+
+QUERIES = {"op1_pii": op1_pii, "op2_simhash": op2_simhash, "op3_substring_dedup": op3_substring_dedup, "op4_pack_tokens": op4_pack_tokens, "op5_toxicity": op5_toxicity, "op6_byte_bpe": op6_byte_bpe, "op7_warc_revisits": op7_warc_revisits, "op8_decontaminate": op8_decontaminate, "op9_exact_top_k": op9_exact_top_k, "op10_quality_votes": op10_quality_votes, "op11_prefix_trie": op11_prefix_trie, "op12_vector_forest": op12_vector_forest, "op13_ranked_search": op13_ranked_search}
+ORACLES: dict[str, str] = {"op3_substring_dedup": sql.OP3, "op7_warc_revisits": sql.OP7, "op8_decontaminate": sql.OP8, "op9_exact_top_k": sql.OP9, "op11_prefix_trie": sql.OP11, "op12_vector_forest": sql.OP12, "op13_ranked_search": sql.OP13}

@@ -120,3 +120,27 @@ WITH RECURSIVE v AS (
 ), n AS (SELECT a AS r, count(*) AS n FROM link GROUP BY a)
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept FROM v JOIN named USING (r) LEFT JOIN n USING (r)
 """
+
+OP13 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), b AS (
+  SELECT q, item_id, unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term
+  FROM (SELECT row_number() OVER () AS q, * FROM benchmark)
+), total AS (SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0
+), tf AS (
+  SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS term FROM d) SEMI JOIN b USING (term) GROUP BY r, term
+), weight AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), total
+), impact AS (
+  SELECT tf.r, doc_id, term, weight.w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(d.w)::BIGINT * n_docs) // n_terms))) AS s
+  FROM tf JOIN weight USING (term) JOIN d USING (r), total
+), scored AS (
+  SELECT q, item_id, r, any_value(doc_id) AS doc_id, sum(s)::BIGINT AS score FROM b JOIN impact USING (term) GROUP BY q, item_id, r
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
