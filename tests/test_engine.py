@@ -1,6 +1,7 @@
 """Hand-checked figures, properties and edge cases of the engine's operators."""
 
 import math
+import random
 from dataclasses import replace
 
 import pytest
@@ -12,7 +13,7 @@ from voxsieve.config import PRESETS, GridConfig
 from voxsieve.functions import geometry as g
 from voxsieve.operators import autoconf, importance, recon, sampling, stats, temporal
 from voxsieve.plans import lifecycle
-from voxsieve.sources import names, raw, shared, tables
+from voxsieve.sources import names, ranges, raw, shared, tables
 from voxsieve.streaming import reuse
 
 NAN = float("nan")
@@ -294,28 +295,81 @@ def test_file_names(spark):
     assert sorted((r.path, r.timestep, r["index"]) for r in rows) == [("/a/Pf10.bin", 10, 1), ("/a/Pf9.bin", 9, 0), ("/b/Pf10.bin", 10, 1)]
 
 
-def test_raw_files(spark, tmp_path, monkeypatch):
-    field = field_of(spark, [values(k) for k in range(3)]).withColumn("value", F.col("value").cast("float").cast("double")).repartition(5)
-    folder = f"file://{tmp_path}/raw"
-    wrote = raw.write_raw(field, folder, "plt_temperature_{t}.bin").collect()
-    assert sorted((r.file, r.cells) for r in wrote) == [(f"plt_temperature_{t}.bin", GRID.cells) for t in range(3)]
-    monkeypatch.setattr(raw, "CELLS_PER_TASK", 20)
-    again = raw.read_raw(spark, folder, r"plt_temperature_([0-9]+).bin", GRID)
-    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, field.collect()))
-    with pytest.raises(Exception, match="bytes"):
-        raw.read_raw(spark, folder, r"plt_temperature_([0-9]+).bin", GridConfig((7, 4, 2), (7, 2, 1))).collect()
+@pytest.fixture
+def many_tasks(spark):
+    """Shuffles keep their partitions, however small they are."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
-def test_sample_files(spark, tmp_path):
+def test_raw_files(spark, tmp_path, monkeypatch, many_tasks):
+    field = field_of(spark, [values(k) for k in range(3)]).withColumn("value", F.col("value").cast("float").cast("double")).repartition(5)
+    for layout in ("files", "parts"):
+        folder = f"file://{tmp_path}/{layout}"
+        raw.write_raw(field, folder, GRID, "plt_temperature_{t}.bin", per_task=10, layout=layout)
+        assert sorted(p.name for p in tmp_path.iterdir()) == sorted({"files", layout})
+        assert {p.name for p in (tmp_path / layout).iterdir()} == {f"plt_temperature_{t}.bin" for t in range(3)}
+        parts = len(list((tmp_path / layout).rglob("part-*")))
+        assert parts == 0 if layout == "files" else parts > 3
+        monkeypatch.setattr(raw, "CELLS_PER_TASK", 20)
+        again = raw.read_raw(spark, folder, r"plt_temperature_([0-9]+).bin", GRID)
+        assert sorted(map(tuple, again.collect())) == sorted(map(tuple, field.collect()))
+        some = again.where("t between 1 and 2 and gid >= 7 and gid < 30 and t <> 2")
+        assert sorted(map(tuple, some.collect())) == sorted(tuple(r) for r in field.collect() if r.t == 1 and 7 <= r.gid < 30)
+        with pytest.raises(Exception, match="bytes"):
+            raw.read_raw(spark, folder, r"plt_temperature_([0-9]+).bin", GridConfig((7, 4, 2), (7, 2, 1))).collect()
+
+
+@pytest.mark.parametrize("bad", ["gid <> 3", "gid < 30", "gid > 0"])
+def test_a_writer_that_fails_leaves_nothing(spark, tmp_path, bad, many_tasks):
+    field = field_of(spark, [values(k) for k in range(2)])
+    folder = f"file://{tmp_path}/raw"
+    for rows in (field.where(f"t = 0 or ({bad})"), field.unionByName(field.where("t = 1 and gid = 5")), field.withColumn("value", F.when(F.col("gid") == 39, F.raise_error(F.lit("lost"))).otherwise(F.col("value")))):
+        with pytest.raises(Exception, match="missing|repeated|lost"):
+            raw.write_raw(rows, folder, GRID, per_task=10)
+        assert list(tmp_path.iterdir()) == []
+    raw.write_raw(field, folder, GRID)
+    raw.write_raw(field.withColumn("value", F.col("value") + 1), folder, GRID, per_task=7)  # takes the place of the first
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["raw"]
+    assert raw.read_raw(spark, folder, r"field_([0-9]+).bin", GRID).agg(F.sum("value")).first()[0] == pytest.approx(field.agg(F.sum(F.col("value") + 1)).first()[0], rel=1e-5)
+
+
+def test_slices_by_filters():
+    """What pushed filters leave to be read."""
+    from pyspark.sql import datasource as d
+
+    reader = ranges.Pruning()
+    assert reader.cells(100) == (0, 100) and reader.wanted(5)
+    own = [d.GreaterThan(("gid",), 10), d.LessThanOrEqual(("gid",), 20), d.In(("t",), (3, 4)), d.EqualTo(("value",), 1.0), d.GreaterThanOrEqual(("t",), 4)]
+    assert list(reader.pushFilters(own)) == own
+    assert reader.cells(100) == (11, 21) and [t for t in range(9) if reader.wanted(t)] == [4]
+    reader.pushFilters([d.In(("gid",), (15, 17, 90))])
+    assert reader.cells(100) == (15, 21)
+    reader.pushFilters([d.EqualTo(("gid",), 99)])
+    assert reader.cells(100)[0] >= reader.cells(100)[1]
+
+
+def test_offsets_of_variable_parts(spark):
+    rng = random.Random(2)
+    rows = [(t, k, rng.randint(0, 9)) for t in range(3) for k in range(0, 40, t + 1)]
+    got = ranges.offsets(spark.createDataFrame(rows, "t int, k int, n long"), "t", "k", "n", chunk=7).collect()
+    assert sorted((r.t, r.k, r.offset) for r in got) == sorted((t, k, sum(n for u, j, n in rows if u == t and j < k)) for t, k, _ in rows)
+
+
+def test_sample_files(spark, tmp_path, many_tasks):
     field = field_of(spark, [[round(v, 1) for v in values(1)]] * 3).withColumn("value", F.col("value").cast("float").cast("double"))
     samples, blocks = temporal.temporal_histogram_sample(field, GRID)
     samples, blocks = shared.written(samples, "s"), shared.written(blocks, "b")
-    folder = f"file://{tmp_path}/samples"
-    wrote = raw.write_samples(samples, blocks, folder).collect()
-    assert sum(r.n_samples for r in wrote) == samples.count()
-    back, flags = raw.read_samples(spark, folder, GRID)
-    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, samples.select("t", "gid", "block_id", "value").collect()))
-    assert sorted(map(tuple, flags.collect())) == sorted(map(tuple, blocks.collect()))
+    for layout, some in (("files", samples), ("parts", samples), ("none", samples.where("t <> 1"))):
+        folder = f"file://{tmp_path}/{layout}"
+        raw.write_samples(some, blocks, folder, per_task=5, layout=layout)
+        assert {p.name for p in (tmp_path / layout).iterdir()} == {f"sampled_{k}_{t}.bin" for k in ("id", "data", "total") for t in range(3)}
+        back, flags = raw.read_samples(spark, folder, GRID)
+        assert sorted(map(tuple, back.collect())) == sorted(map(tuple, some.select("t", "gid", "block_id", "value").collect()))
+        assert sorted(map(tuple, flags.collect())) == sorted(map(tuple, blocks.collect()))
+        ids = back.where("t = 2").collect()
+        assert {r.t for r in ids} == {2} and len(ids) == some.where("t = 2").count()
 
 
 def test_roi_and_report(spark, tmp_path):

@@ -254,18 +254,21 @@ def stats_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Complete timesteps written as raw float32 files and read back through the folder scan."""
+    """Complete timesteps written as raw float32 files, each by several tasks, and read back through the folder scan.
+
+    The format holds whole timesteps only, so the last one is left out where the table ends within it.
+    """
     field = _field(spark, sf_dir)
     whole = field.groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") == GRID.cells).select("t")
     folder = shared.new_path(spark, "raw")
-    raw.write_raw(shared.attach(field, whole, ["t"]), folder, "Pf{t}.bin").agg(F.sum("cells")).collect()
+    raw.write_raw(shared.attach(field, whole, ["t"]), folder, GRID, "Pf{t}.bin", per_task=GRID.cells // 4)
     return raw.read_raw(spark, folder, r"Pf([0-9]+)\.bin", GRID)
 
 
 def _sample_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     samples, blocks = temporal.temporal_histogram_sample(_field(spark, sf_dir), FINE, with_fill=False)
     folder = shared.new_path(spark, "sample-files")
-    raw.write_samples(samples, blocks, folder).agg(F.sum("n_samples")).collect()
+    raw.write_samples(samples, blocks, folder, per_task=64)
     return raw.read_samples(spark, folder, FINE)
 
 

@@ -1,4 +1,4 @@
-"""Raw float32 files and sample files: readers that split files by ranges of cells, and writers.
+"""Raw float32 files and sample files: readers that split files by ranges of cells, and writers whose tasks write such ranges.
 
 A timestep's file is headerless little-endian float32, x fastest. Samples of a timestep are three files: ids (int32), values
 (float32) and for each region the number of its samples or -1 where it reuses the timestep before.
@@ -11,20 +11,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..config import GridConfig
-
-#: Cells that one task reads at most.
-CELLS_PER_TASK = 4 << 20
-
-
-def _listing(folder: str) -> tuple[pafs.FileSystem, list[pafs.FileInfo]]:
-    store, base = pafs.FileSystem.from_uri(folder)
-    return store, [f for f in store.get_file_info(pafs.FileSelector(base, recursive=True)) if f.type == pafs.FileType.File]
+from ..functions.geometry import block_id
+from .ranges import BATCH, CELLS_PER_TASK, Pruning, Slice, Stored, file_name, offsets, pushing, stored, write_ranges
+from .shared import written
 
 
 class RawGrid(DataSource):
@@ -41,111 +37,73 @@ class RawGrid(DataSource):
         return RawGridReader(self.options["path"], self.options["pattern"], int(self.options["cells"]))
 
 
-class Cells(InputPartition):
-    def __init__(self, path: str, t: int, start: int, count: int):
-        self.path, self.t, self.start, self.count = path, t, start, count
-
-
-class RawGridReader(DataSourceReader):
+class RawGridReader(Pruning, DataSourceReader):
     def __init__(self, folder: str, pattern: str, cells: int):
-        self.folder, self.pattern, self.cells = folder, re.compile(pattern), cells
+        super().__init__()
+        self.folder, self.pattern, self.n = folder, re.compile(pattern), cells
 
     def partitions(self) -> list[InputPartition]:
-        parts = []
-        for f in _listing(self.folder)[1]:
-            if m := self.pattern.search(f.base_name):
-                if f.size != 4 * self.cells:
-                    raise ValueError(f"{f.path} has {f.size} bytes, {4 * self.cells} are expected")
-                parts += [Cells(f.path, int(m[1]), at, min(CELLS_PER_TASK, self.cells - at)) for at in range(0, self.cells, CELLS_PER_TASK)]
-        return parts or [Cells("", 0, 0, 0)]
-
-    def read(self, part: Cells) -> Iterator[pa.RecordBatch]:
-        if not part.count:
-            return
-        store, _ = pafs.FileSystem.from_uri(self.folder)
-        with store.open_input_file(part.path) as f:
-            for at in range(part.start, part.start + part.count, 1 << 18):
-                n = min(1 << 18, part.start + part.count - at)
-                values = np.frombuffer(f.read_at(4 * n, 4 * at), "<f4").astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part.t, np.int32)), pa.array(np.arange(at, at + n)), pa.array(values)], names=["t", "gid", "value"])
+        parts, (first, end) = [], self.cells(self.n)
+        for f in stored(self.folder)[1]:
+            if m := self.pattern.search(f.name):
+                if f.size != 4 * self.n:
+                    raise ValueError(f"{f.name} has {f.size} bytes, {4 * self.n} are expected")
+                if self.wanted(int(m[1])):
+                    parts += [Slice(f, int(m[1]), at, min(at + CELLS_PER_TASK, end)) for at in range(first, end, CELLS_PER_TASK)]
+        return parts or [Slice(None, 0, 0, 0)]
+
+    def read(self, part: Slice) -> Iterator[pa.RecordBatch]:
+        store = stored_in(self.folder)
+        for at in range(part.start, part.end, BATCH):
+            n = min(BATCH, part.end - at)
+            yield cells_batch(part.t, at, np.frombuffer(part.file.read(store, 4 * at, 4 * n), "<f4"))
+
+
+def stored_in(folder: str) -> pa.fs.FileSystem:
+    return pa.fs.FileSystem.from_uri(folder)[0]
+
+
+def cells_batch(t: int, first: int, values: np.ndarray) -> pa.RecordBatch:
+    """Rows (t, gid, value) of successive cells."""
+    n = len(values)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(np.arange(first, first + n)), pa.array(values.astype(np.float64))], names=["t", "gid", "value"])
 
 
 def read_raw(spark: SparkSession, folder: str, pattern: str, cfg: GridConfig) -> DataFrame:
-    """The field (t, gid, value) of a folder's raw files."""
-    spark.dataSource.register(RawGrid)
+    """The field (t, gid, value) of a folder's raw files. Filters on t and gid keep files and ranges from being read."""
+    pushing(spark).dataSource.register(RawGrid)
     return spark.read.format("rawgrid").options(path=folder, pattern=pattern, cells=str(cfg.cells)).load()
 
 
-def write_raw(field: DataFrame, folder: str, name: str = "field_{t}.bin", value: str = "value") -> DataFrame:
-    """One raw file for each timestep; returns (file, cells), to be counted once. A timestep's rows stream through one task."""
-    rows = field.select("t", "gid", F.col(value).cast("float").alias("v")).repartition("t").sortWithinPartitions("t", "gid")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = pafs.FileSystem.from_uri(folder)
-        store.create_dir(base, recursive=True)
-        out, t, n, files, counts = None, None, 0, [], []
-        for batch in batches:
-            times, gids, values = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            for a, b in _runs(times):
-                if times[a] != t:
-                    if out:
-                        out.close()
-                        files.append(name.format(t=t))
-                        counts.append(n)
-                    t, n = int(times[a]), 0
-                    out = store.open_output_stream(f"{base}/{name.format(t=t)}")
-                if not np.array_equal(gids[a:b], np.arange(n, n + b - a)):
-                    raise ValueError(f"timestep {t} lacks cells or repeats some near cell {n}")
-                out.write(values[a:b].astype("<f4").tobytes())
-                n += b - a
-        if out:
-            out.close()
-            files.append(name.format(t=t))
-            counts.append(n)
-        yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(counts, pa.int64())], names=["file", "cells"])
-
-    return rows.mapInArrow(run, "file string, cells long")
-
-
-def _runs(values: np.ndarray) -> list[tuple[int, int]]:
-    edges = np.flatnonzero(np.diff(values)) + 1
-    return [(int(a), int(b)) for a, b in zip([0, *edges], [*edges, len(values)], strict=True) if b > a]
-
-
-def write_samples(samples: DataFrame, blocks: DataFrame, folder: str) -> DataFrame:
-    """The three files of each timestep, samples in order of region and id; returns (t, n_samples), to be counted once."""
-    rows = samples.select("t", F.col("block_id").alias("block"), F.col("gid").cast("int").alias("gid"), F.col("value").cast("float").alias("value"), F.lit(None).cast("int").alias("total"))
-    totals = blocks.select("t", F.col("block_id").alias("block"), F.lit(-1).alias("gid"), F.lit(0.0).cast("float").alias("value"), F.when(F.col("reused"), -1).otherwise(F.col("n_samples").cast("int")).alias("total"))
-    ordered = rows.unionByName(totals).repartition("t").sortWithinPartitions("t", "block", "gid")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = pafs.FileSystem.from_uri(folder)
-        store.create_dir(base, recursive=True)
-        open_files, t, n, times, counts = [], None, 0, [], []
-
-        def close() -> None:
-            for f in open_files:
-                f.close()
-            if open_files:
-                times.append(t)
-                counts.append(n)
-
-        for batch in batches:
-            ts, _, gids, values, totals = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            for a, b in _runs(ts):
-                if ts[a] != t:
-                    close()
-                    t, n = int(ts[a]), 0
-                    open_files = [store.open_output_stream(f"{base}/sampled_{kind}_{t}.bin") for kind in ("id", "data", "total")]
-                own = gids[a:b] >= 0
-                n += int(own.sum())
-                open_files[0].write(gids[a:b][own].astype("<i4").tobytes())
-                open_files[1].write(values[a:b][own].astype("<f4").tobytes())
-                open_files[2].write(totals[a:b][~own].astype("<i4").tobytes())
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array(times, pa.int32()), pa.array(counts, pa.int64())], names=["t", "n_samples"])
-
-    return ordered.mapInArrow(run, "t int, n_samples long")
+def write_raw(field: DataFrame, folder: str, cfg: GridConfig, name: str = "field_{t}.bin", value: str = "value", per_task: int = CELLS_PER_TASK, layout: str = "files") -> None:
+    """One raw file for each timestep, which tasks write by ranges of cells. A timestep that lacks cells or repeats some is an error, and then no file appears."""
+    rows = field.select(file_name(name, F.col("t")).alias("file"), (4 * F.col("gid")).alias("at"), F.col(value).cast("double").alias("value"))
+    # a null is a number that isn't there
+    write_ranges(rows.withColumn("value", F.coalesce("value", F.lit(float("nan")))), folder, "<f4", layout=layout, per_task=per_task, size=4 * cfg.cells)
+
+
+def write_samples(samples: DataFrame, blocks: DataFrame, folder: str, per_task: int = CELLS_PER_TASK, layout: str = "files") -> None:
+    """The three files of each timestep, samples in order of region and id. A prefix sum over the regions' counts places the samples, so tasks write ranges of a file."""
+    placed = written(place_samples(samples), "placed")
+    times = written(blocks.select("t").distinct(), "times")
+
+    def write(rows: DataFrame, kind: str, dtype: str) -> None:
+        named = rows.unionByName(times.select("t", F.lit(0).cast("long").alias("at"), F.lit(None).cast("double").alias("value")))
+        write_ranges(named.withColumn("file", file_name(f"sampled_{kind}_{{t}}.bin", F.col("t"))), folder, dtype, layout=layout, per_task=per_task)
+
+    at = (4 * F.col("place")).alias("at")
+    write(placed.select("t", at, F.col("gid").cast("double").alias("value")), "id", "<i4")
+    write(placed.select("t", at, F.coalesce("value", F.lit(float("nan"))).alias("value")), "data", "<f4")
+    total = F.when(F.col("reused"), -1).otherwise(F.col("n_samples")).cast("double").alias("value")
+    write(blocks.select("t", (4 * F.col("block_id").cast("long")).alias("at"), total), "total", "<i4")
+
+
+def place_samples(samples: DataFrame) -> DataFrame:
+    """samples with place: their number in order of region and id within the timestep, from 0."""
+    sizes = samples.groupBy("t", "block_id").agg(F.count("*").alias("n"))
+    inside = F.row_number().over(W.partitionBy("t", "block_id").orderBy("gid")) - 1
+    firsts = offsets(sizes, "t", "block_id", "n").select("t", "block_id", "offset")
+    return samples.withColumn("__inside", inside).join(firsts, ["t", "block_id"]).withColumn("place", F.col("offset") + F.col("__inside")).drop("__inside", "offset")
 
 
 class SampleFiles(DataSource):
@@ -162,35 +120,37 @@ class SampleFiles(DataSource):
         return SampleFilesReader(self.options["path"], self.options.get("what") == "blocks")
 
 
-class SampleFilesReader(DataSourceReader):
+class SampleFilesReader(Pruning, DataSourceReader):
     def __init__(self, folder: str, blocks: bool):
+        super().__init__()
         self.folder, self.blocks = folder, blocks
 
     def partitions(self) -> list[InputPartition]:
+        files = {f.name: f for f in stored(self.folder)[1]}
         parts = []
-        for f in _listing(self.folder)[1]:
-            if m := re.fullmatch(rf"sampled_{'total' if self.blocks else 'id'}_([0-9]+)\.bin", f.base_name):
-                parts += [Cells(f.path, int(m[1]), at, min(CELLS_PER_TASK, f.size // 4 - at)) for at in range(0, f.size // 4, CELLS_PER_TASK)]
-        return parts or [Cells("", 0, 0, 0)]
-
-    def read(self, part: Cells) -> Iterator[pa.RecordBatch]:
-        if not part.count:
-            return
-        store, _ = pafs.FileSystem.from_uri(self.folder)
-        load = lambda path, kind: np.frombuffer(store.open_input_file(path).read_at(4 * part.count, 4 * part.start), kind)
-        times, numbers = pa.array(np.full(part.count, part.t, np.int32)), load(part.path, "<i4")
-        if self.blocks:
-            yield pa.RecordBatch.from_arrays([times, pa.array(np.arange(part.start, part.start + part.count, dtype=np.int32)), pa.array(numbers)], names=["t", "block_id", "total"])
-        else:
-            values = load(part.path.replace("sampled_id_", "sampled_data_"), "<f4").astype(np.float64)
-            yield pa.RecordBatch.from_arrays([times, pa.array(numbers.astype(np.int64)), pa.array(values)], names=["t", "gid", "value"])
+        for name, f in files.items():
+            m = re.fullmatch(rf"sampled_{'total' if self.blocks else 'id'}_([0-9]+)\.bin", name)
+            if m and self.wanted(int(m[1])):
+                other: Stored | None = None if self.blocks else files[f"sampled_data_{m[1]}.bin"]
+                n = f.size // 4
+                parts += [Slice(f, int(m[1]), at, min(at + CELLS_PER_TASK, n), (other,)) for at in range(0, n, CELLS_PER_TASK)]
+        return parts or [Slice(None, 0, 0, 0)]
+
+    def read(self, part: Slice) -> Iterator[pa.RecordBatch]:
+        store = stored_in(self.folder)
+        for at in range(part.start, part.end, BATCH):
+            n = min(BATCH, part.end - at)
+            load = lambda file, kind, at=at, n=n: np.frombuffer(file.read(store, 4 * at, 4 * n), kind)
+            times, numbers = pa.array(np.full(n, part.t, np.int32)), load(part.file, "<i4")
+            if self.blocks:
+                yield pa.RecordBatch.from_arrays([times, pa.array(np.arange(at, at + n, dtype=np.int32)), pa.array(numbers)], names=["t", "block_id", "total"])
+            else:
+                yield pa.RecordBatch.from_arrays([times, pa.array(numbers.astype(np.int64)), pa.array(load(part.where[0], "<f4").astype(np.float64))], names=["t", "gid", "value"])
 
 
 def read_samples(spark: SparkSession, folder: str, cfg: GridConfig) -> tuple[DataFrame, DataFrame]:
-    """(samples, blocks) from a folder of sample files."""
-    from ..functions.geometry import block_id
-
-    spark.dataSource.register(SampleFiles)
+    """(samples, blocks) from a folder of sample files. Filters on t keep files from being read."""
+    pushing(spark).dataSource.register(SampleFiles)
     load = lambda what: spark.read.format("samplefiles").options(path=folder, what=what).load()
     samples = load("samples").select("t", "gid", block_id(F.col("gid"), cfg).alias("block_id"), "value")
     blocks = load("blocks").select("t", "block_id", F.greatest("total", F.lit(0)).cast("long").alias("n_samples"), (F.col("total") < 0).alias("reused"))
