@@ -315,7 +315,7 @@ def test_raw_files(spark, tmp_path, monkeypatch, many_tasks):
         monkeypatch.setattr(raw, "CELLS_PER_TASK", 20)
         again = raw.read_raw(spark, folder, r"plt_temperature_([0-9]+).bin", GRID)
         assert sorted(map(tuple, again.collect())) == sorted(map(tuple, field.collect()))
-        some = again.where("t between 1 and 2 and gid >= 7 and gid < 30 and t <> 2")
+        some = raw.read_raw(spark, folder, r"plt_temperature_([0-9]+).bin", GRID, times=(1, 1), cells=(7, 29))
         assert sorted(map(tuple, some.collect())) == sorted(tuple(r) for r in field.collect() if r.t == 1 and 7 <= r.gid < 30)
         with pytest.raises(Exception, match="bytes"):
             raw.read_raw(spark, folder, r"plt_temperature_([0-9]+).bin", GridConfig((7, 4, 2), (7, 2, 1))).collect()
@@ -335,21 +335,6 @@ def test_a_writer_that_fails_leaves_nothing(spark, tmp_path, bad, many_tasks):
     assert raw.read_raw(spark, folder, r"field_([0-9]+).bin", GRID).agg(F.sum("value")).first()[0] == pytest.approx(field.agg(F.sum(F.col("value") + 1)).first()[0], rel=1e-5)
 
 
-def test_slices_by_filters():
-    """What pushed filters leave to be read."""
-    from pyspark.sql import datasource as d
-
-    reader = ranges.Pruning()
-    assert reader.cells(100) == (0, 100) and reader.wanted(5)
-    own = [d.GreaterThan(("gid",), 10), d.LessThanOrEqual(("gid",), 20), d.In(("t",), (3, 4)), d.EqualTo(("value",), 1.0), d.GreaterThanOrEqual(("t",), 4)]
-    assert list(reader.pushFilters(own)) == own
-    assert reader.cells(100) == (11, 21) and [t for t in range(9) if reader.wanted(t)] == [4]
-    reader.pushFilters([d.In(("gid",), (15, 17, 90))])
-    assert reader.cells(100) == (15, 21)
-    reader.pushFilters([d.EqualTo(("gid",), 99)])
-    assert reader.cells(100)[0] >= reader.cells(100)[1]
-
-
 def test_offsets_of_variable_parts(spark):
     rng = random.Random(2)
     rows = [(t, k, rng.randint(0, 9)) for t in range(3) for k in range(0, 40, t + 1)]
@@ -368,7 +353,7 @@ def test_sample_files(spark, tmp_path, many_tasks):
         back, flags = raw.read_samples(spark, folder, GRID)
         assert sorted(map(tuple, back.collect())) == sorted(map(tuple, some.select("t", "gid", "block_id", "value").collect()))
         assert sorted(map(tuple, flags.collect())) == sorted(map(tuple, blocks.collect()))
-        ids = back.where("t = 2").collect()
+        ids = raw.read_samples(spark, folder, GRID, times=(2, 5))[0].collect()
         assert {r.t for r in ids} == {2} and len(ids) == some.where("t = 2").count()
 
 

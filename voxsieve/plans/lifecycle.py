@@ -6,11 +6,14 @@ import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import GridConfig
+from ..functions import geometry as g
 from ..operators import recon, sampling, stats, temporal
-from ..sources.shared import written
+from ..sources import raw
+from ..sources.shared import attach, written
 
 
 def _importance(field: DataFrame, cfg: GridConfig) -> tuple[DataFrame, DataFrame]:
@@ -79,6 +82,24 @@ def report(field: DataFrame, cfg: GridConfig, method: str | int, nearest: int =
     return rows.select("t", *[F.lit(v).alias(k) for k, v in settings.items()], *figures, F.lit(spark.sparkContext.defaultParallelism).alias("threads"))
 
 
+def sample_cloud(field: DataFrame, samples: DataFrame, blocks: DataFrame, cfg: GridConfig) -> DataFrame:
+    """(t, place, x, y, z, value): every timestep's effective samples in order of region and cell, then the grid's corners out of the field.
+
+    Regions that reuse show the samples of the timestep before. Corners keep the hull of the cloud whole; they follow in order of
+    x, y and z, and stand there whether they were sampled or not.
+    """
+    points = raw.place_samples(temporal.coalesced(samples, blocks)).select("t", "place", "gid", "value")
+    counts = points.groupBy("t").agg(F.count("*").alias("n"))
+    at = [(x, y, z) for x in (0, cfg.dims[0] - 1) for y in (0, cfg.dims[1] - 1) for z in (0, cfg.dims[2] - 1)]
+    cells = [(k, x + cfg.dims[0] * (y + cfg.dims[1] * z)) for k, (x, y, z) in enumerate(at)]
+    corner = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(c).cast("long").alias("c")) for k, c in cells]))
+    found = field.where(F.col("gid").isin([c for _, c in cells])).withColumn("corner", corner).where("corner.c = gid")
+    nth = F.row_number().over(W.partitionBy("t").orderBy("corner.k")) - 1  # eight rows a timestep
+    corners = attach(found.withColumn("nth", nth), counts, ["t"], "left").select("t", (F.coalesce("n", F.lit(0)) + F.col("nth")).alias("place"), "gid", "value")
+    x, y, z = g.xyz(F.col("gid"), cfg)
+    return points.unionByName(corners).select("t", "place", x.cast("double").alias("x"), y.cast("double").alias("y"), z.cast("double").alias("z"), "value")
+
+
 def snr_report(pairs: DataFrame, roi: DataFrame, cfg: GridConfig, filename: str) -> DataFrame:
     """(t, filename, snr, snr_roi) of rebuilt cells; filename holds {t}. snr_roi is null where no cell is of interest."""
     pairs = written(pairs.select("t", "gid", "value", "rebuilt"), "pairs")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..config import PRESETS, GridConfig
 from ..functions import geometry as g
 from ..operators import autoconf, importance, recon, sampling, stats, temporal
-from ..sources import names, raw, shared, tables
+from ..sources import names, raw, shared, tables, vtk
 from ..streaming import reuse
 from . import lifecycle, sql
 
@@ -258,13 +258,48 @@ def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The format holds whole timesteps only, so the last one is left out where the table ends within it.
     """
-    field = _field(spark, sf_dir)
-    whole = field.groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") == GRID.cells).select("t")
     folder = shared.new_path(spark, "raw")
-    raw.write_raw(shared.attach(field, whole, ["t"]), folder, GRID, "Pf{t}.bin", per_task=GRID.cells // 4)
+    raw.write_raw(_complete(_field(spark, sf_dir)), folder, GRID, "Pf{t}.bin", per_task=GRID.cells // 4)
     return raw.read_raw(spark, folder, r"Pf([0-9]+)\.bin", GRID)
 
 
+def _complete(field: DataFrame) -> DataFrame:
+    """The timesteps that the table fills."""
+    return shared.attach(field, field.groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") == GRID.cells).select("t"), ["t"])
+
+
+def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Complete timesteps written as image files, each by several tasks, and read back."""
+    folder = shared.new_path(spark, "images")
+    vtk.write_vti(_complete(_field(spark, sf_dir)), folder, GRID, "Pf{t}.vti", per_task=GRID.cells // 4)
+    return vtk.read_vti(spark, folder, r"Pf([0-9]+)\.vti")
+
+
+def images_to_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Image files turned into raw files, with the extents that their headers state."""
+    images, folder = shared.new_path(spark, "images"), shared.new_path(spark, "raw")
+    vtk.write_vti(_complete(_field(spark, sf_dir)), images, GRID, "Pf{t}.vti", dtype="<f4", spacing=(0.5, 2.0, 1.25))
+    raw.write_raw(vtk.read_vti(spark, images, r"Pf([0-9]+)\.vti"), folder, GRID, "Pf{t}.bin", per_task=GRID.cells // 4)
+    info = vtk.vti_info(spark, images, r"Pf([0-9]+)\.vti").select("t", "x_dim", "y_dim", "z_dim", F.element_at("spacing", 2).alias("y_spacing"), F.element_at("arrays", 1).alias("array"))
+    return shared.attach(raw.read_raw(spark, folder, r"Pf([0-9]+)\.bin", GRID), info, ["t"])
+
+
+def rebuilt_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rebuilt timesteps written as image files and read back."""
+    folder = shared.new_path(spark, "images")
+    vtk.write_vti(_complete(_rebuilt(spark, sf_dir).select("t", "gid", "rebuilt")), folder, GRID, "recons_{t}.vti", value="rebuilt", per_task=GRID.cells // 4)
+    return vtk.read_vti(spark, folder, r"recons_([0-9]+)\.vti").withColumnRenamed("value", "rebuilt")
+
+
+def sample_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Effective samples and corners written as point files, each by several tasks, and read back."""
+    field = _field(spark, sf_dir)
+    samples, blocks = temporal.temporal_histogram_sample(field, FINE, with_fill=False)
+    samples, blocks, folder = shared.written(samples, "samples"), shared.written(blocks, "blocks"), shared.new_path(spark, "cloud")
+    vtk.write_vtp(lifecycle.sample_cloud(field, samples, blocks, FINE), folder, per_task=64)
+    return vtk.read_vtp(spark, folder, r"cloud_([0-9]+)\.vtp")
+
+
 def _sample_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     samples, blocks = temporal.temporal_histogram_sample(_field(spark, sf_dir), FINE, with_fill=False)
     folder = shared.new_path(spark, "sample-files")
@@ -325,7 +360,7 @@ QUERIES = {
         reuse_histogram, stream_reuse_histogram, reuse_error, temporal_error_samples, fill_samples, coalesced_samples, blocks_reused_stats, nn_reconstruct, knn3_reconstruct, quality_metrics, quality_two_variables, quality_roi,
         range_statistics, error_threshold, bin_widths, bins_sweep, config_bins, snr_report, method_figures, candidate_regions, boundary_corners, filename_timesteps, sample_union_dedup, stats_report,
         raw_files, sample_files, sample_file_blocks, roi_file, error_fill_samples, cell_positions, preset_timesteps, fixed_range_histogram,
-        bin_widths_textbook, freedman_bins, auto_configuration,
+        bin_widths_textbook, freedman_bins, auto_configuration, image_files, images_to_raw, rebuilt_images, sample_cloud,
     )
 }
 ORACLES = sql.ORACLES

@@ -212,6 +212,7 @@ def candidates_of(table: str, gid: str, x: int, y: int) -> str:
 
 GAPS = "pair AS (SELECT abs(b.value - a.value) AS gap FROM field a JOIN field b USING (gid) WHERE a.t = 0 AND b.t = 1), ordered AS (SELECT gap, row_number() OVER (ORDER BY gap) - 1 AS r, count(*) OVER () AS n FROM pair), bound AS (SELECT max(gap) AS value FROM ordered WHERE r = trunc(n * 0.75)::BIGINT)"
 BEST = "best AS (SELECT num_bins, psnr FROM (SELECT * FROM score_0 UNION ALL SELECT * FROM score_1) ORDER BY psnr DESC, place DESC LIMIT 1)"
+COMPLETE = "t IN (SELECT t FROM field GROUP BY t HAVING count(*) = 1000)"
 FIGURES = ("blocks_reused", "n_samples", "max_diff", "avg_diff", "psnr", "snr")
 
 
@@ -266,7 +267,14 @@ ORACLES = {
   FROM (SELECT DISTINCT CASE WHEN t % 5 = 3 THEN '/run/notes_' || t ELSE '/run/Pf' || t || '.bin' END AS path FROM field)
 ) WHERE timestep IS NOT NULL""",
     "sample_union_dedup": start(*SAMPLED, "hist_b AS (SELECT * FROM hist), binned_b AS (SELECT * FROM binned)", acceptance_of(0.2, "_b"), sample_of(GRID_BLOCK, "_b")) + "SELECT t, gid, min(value) AS value, count(*) AS times FROM (SELECT t, gid, value FROM sample UNION ALL SELECT t, gid, value FROM sample_b) GROUP BY t, gid",
-    "raw_files": start() + "SELECT t, gid, value::FLOAT::DOUBLE AS value FROM field WHERE t IN (SELECT t FROM field GROUP BY t HAVING count(*) = 1000)",
+    "raw_files": start() + f"SELECT t, gid, value::FLOAT::DOUBLE AS value FROM field WHERE {COMPLETE}",
+    "image_files": start() + f"SELECT t, gid, value FROM field WHERE {COMPLETE}",
+    "images_to_raw": start() + f"SELECT t, gid, value::FLOAT::DOUBLE AS value, 10::INTEGER AS x_dim, 10::INTEGER AS y_dim, 10::INTEGER AS z_dim, 2.0::DOUBLE AS y_spacing, 'values' AS \"array\" FROM field WHERE {COMPLETE}",
+    "rebuilt_images": start(*SAMPLED, rebuilt_of()) + f"SELECT t, gid, rebuilt FROM rebuilt WHERE {COMPLETE}",
+    "sample_cloud": start(*HISTOGRAM_SAMPLES, EFFECTIVE, f"""cloud AS (
+  SELECT t, 0 AS part, block_id AS k, gid, value FROM effective
+  UNION ALL SELECT t, 1, gid % 10 // 9 * 4 + gid // 10 % 10 // 9 * 2 + gid // 100 // 9, gid, value FROM field WHERE gid % 10 IN (0, 9) AND gid // 10 % 10 IN (0, 9) AND gid // 100 IN (0, 9)
+)""") + "SELECT t, row_number() OVER (PARTITION BY t ORDER BY part, k, gid) - 1 AS place, (gid % 10)::DOUBLE AS x, (gid // 10 % 10)::DOUBLE AS y, (gid // 100)::DOUBLE AS z, value::FLOAT::DOUBLE AS value FROM cloud",
     "sample_files": start(*HISTOGRAM_SAMPLES) + f"SELECT t, gid, block_id, {local(5, 2, 1)} AS local_id, value::FLOAT::DOUBLE AS value FROM own",
     "sample_file_blocks": start(*HISTOGRAM_SAMPLES) + FLAG_COUNTS,
     "roi_file": start() + "SELECT (row_number() OVER (ORDER BY t) - 1)::INTEGER AS t, (t % 3)::INTEGER AS x0, (10 - t % 4)::INTEGER AS x1, (t % 2)::INTEGER AS y0, 9::INTEGER AS y1, 1::INTEGER AS z0, (4 + t % 6)::INTEGER AS z1 FROM (SELECT DISTINCT t FROM field)",

@@ -7,7 +7,7 @@ stands before and after the numbers, where a format has that), and moves the fil
 nothing there; one that runs twice writes the same bytes twice. Where a store allows writes at a place in a file (a mounted
 folder), a file is one file; elsewhere, or with option layout=parts, a folder of parts named by the byte at which they begin.
 
-Reading: files and folders of parts look alike to the readers; timesteps and cells that filters rule out aren't read.
+Reading: files and folders of parts look alike to the readers; timesteps and cells that aren't asked for aren't read.
 """
 
 from __future__ import annotations
@@ -16,17 +16,17 @@ import os
 import re
 import struct
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, InputPartition, WriterCommitMessage
 
 from ..functions.geometry import div
 
@@ -83,43 +83,27 @@ class Slice(InputPartition):
 
 
 class Pruning:
-    """What filters say of t and gid, kept by a reader of (t, gid, ...) for its partitions."""
-
-    def __init__(self) -> None:
-        self.low: dict[str, int] = {}
-        self.high: dict[str, int] = {}
-        self.among: dict[str, frozenset] = {}
-
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        """Bounds of t and gid. All filters are left to Spark as well, since a slice may hold more than was asked for."""
-        for f in filters:
-            name = f.attribute[0] if isinstance(f, EqualTo | GreaterThan | GreaterThanOrEqual | LessThan | LessThanOrEqual | In) and len(f.attribute) == 1 else ""
-            if name in ("t", "gid"):
-                if isinstance(f, In):
-                    self.among[name] = frozenset(f.value) & self.among.get(name, frozenset(f.value))
-                    continue
-                if isinstance(f, EqualTo | GreaterThan | GreaterThanOrEqual):
-                    self.low[name] = max(self.low.get(name, f.value), f.value + isinstance(f, GreaterThan))
-                if isinstance(f, EqualTo | LessThan | LessThanOrEqual):
-                    self.high[name] = min(self.high.get(name, f.value), f.value - isinstance(f, LessThan))
-        return filters
+    """The timesteps and cells that a reader is asked for, as options times and cells: first and last of each.
+
+    They are options and not filters that Spark pushes down, as Spark 4.1 keeps what was pushed with the source and not with the
+    scan: two scans of one DataFrame, such as of a self-join, would both read what the last one's filters left.
+    """
+
+    def __init__(self, options: dict[str, str]):
+        bounds = lambda name: tuple(int(x) for x in options[name].split(",")) if options.get(name) else None
+        self.times, self.only = bounds("times"), bounds("cells_from_to")
 
     def wanted(self, t: int) -> bool:
-        return self.low.get("t", t) <= t <= self.high.get("t", t) and t in self.among.get("t", (t,))
+        return self.times is None or self.times[0] <= t <= self.times[1]
 
     def cells(self, n: int) -> tuple[int, int]:
-        """First cell and the one after the last that can pass, of n."""
-        ids = self.among.get("gid")
-        low, high = self.low.get("gid", 0), self.high.get("gid", n - 1)
-        if ids is not None:
-            low, high = max([low, min(ids, default=n)]), min([high, max(ids, default=-1)])
-        return max(0, low), min(n, high + 1)
-
-
-def pushing(spark: SparkSession) -> SparkSession:
-    """The session, with filters handed to Python data sources: a reader that takes them needs the setting."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return spark
+        """First cell and the one after the last, of n."""
+        return (max(0, self.only[0]), min(n, self.only[1] + 1)) if self.only else (0, n)
+
+
+def asked(times: tuple[int, int] | None, cells: tuple[int, int] | None = None) -> dict[str, str]:
+    """The options for first and last timestep and cell."""
+    return {name: f"{own[0]},{own[1]}" for name, own in (("times", times), ("cells_from_to", cells)) if own}
 
 
 class Frame:

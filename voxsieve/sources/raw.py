@@ -19,7 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..config import GridConfig
 from ..functions.geometry import block_id
-from .ranges import BATCH, CELLS_PER_TASK, Pruning, Slice, Stored, file_name, offsets, pushing, stored, write_ranges
+from .ranges import BATCH, CELLS_PER_TASK, Pruning, Slice, Stored, asked, file_name, offsets, stored, write_ranges
 from .shared import written
 
 
@@ -34,12 +34,12 @@ class RawGrid(DataSource):
         return "t int, gid bigint, value double"
 
     def reader(self, schema) -> DataSourceReader:
-        return RawGridReader(self.options["path"], self.options["pattern"], int(self.options["cells"]))
+        return RawGridReader(self.options["path"], self.options["pattern"], int(self.options["cells"]), self.options)
 
 
 class RawGridReader(Pruning, DataSourceReader):
-    def __init__(self, folder: str, pattern: str, cells: int):
-        super().__init__()
+    def __init__(self, folder: str, pattern: str, cells: int, options: dict[str, str]):
+        super().__init__(options)
         self.folder, self.pattern, self.n = folder, re.compile(pattern), cells
 
     def partitions(self) -> list[InputPartition]:
@@ -69,10 +69,10 @@ def cells_batch(t: int, first: int, values: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(np.arange(first, first + n)), pa.array(values.astype(np.float64))], names=["t", "gid", "value"])
 
 
-def read_raw(spark: SparkSession, folder: str, pattern: str, cfg: GridConfig) -> DataFrame:
-    """The field (t, gid, value) of a folder's raw files. Filters on t and gid keep files and ranges from being read."""
-    pushing(spark).dataSource.register(RawGrid)
-    return spark.read.format("rawgrid").options(path=folder, pattern=pattern, cells=str(cfg.cells)).load()
+def read_raw(spark: SparkSession, folder: str, pattern: str, cfg: GridConfig, times: tuple[int, int] | None = None, cells: tuple[int, int] | None = None) -> DataFrame:
+    """The field (t, gid, value) of a folder's raw files; of these timesteps and cells only, first and last, if that is asked."""
+    spark.dataSource.register(RawGrid)
+    return spark.read.format("rawgrid").options(path=folder, pattern=pattern, cells=str(cfg.cells), **asked(times, cells)).load()
 
 
 def write_raw(field: DataFrame, folder: str, cfg: GridConfig, name: str = "field_{t}.bin", value: str = "value", per_task: int = CELLS_PER_TASK, layout: str = "files") -> None:
@@ -117,12 +117,12 @@ class SampleFiles(DataSource):
         return "t int, block_id int, total int" if self.options.get("what") == "blocks" else "t int, gid bigint, value double"
 
     def reader(self, schema) -> DataSourceReader:
-        return SampleFilesReader(self.options["path"], self.options.get("what") == "blocks")
+        return SampleFilesReader(self.options["path"], self.options.get("what") == "blocks", self.options)
 
 
 class SampleFilesReader(Pruning, DataSourceReader):
-    def __init__(self, folder: str, blocks: bool):
-        super().__init__()
+    def __init__(self, folder: str, blocks: bool, options: dict[str, str]):
+        super().__init__(options)
         self.folder, self.blocks = folder, blocks
 
     def partitions(self) -> list[InputPartition]:
@@ -148,10 +148,10 @@ class SampleFilesReader(Pruning, DataSourceReader):
                 yield pa.RecordBatch.from_arrays([times, pa.array(numbers.astype(np.int64)), pa.array(load(part.where[0], "<f4").astype(np.float64))], names=["t", "gid", "value"])
 
 
-def read_samples(spark: SparkSession, folder: str, cfg: GridConfig) -> tuple[DataFrame, DataFrame]:
-    """(samples, blocks) from a folder of sample files. Filters on t keep files from being read."""
-    pushing(spark).dataSource.register(SampleFiles)
-    load = lambda what: spark.read.format("samplefiles").options(path=folder, what=what).load()
+def read_samples(spark: SparkSession, folder: str, cfg: GridConfig, times: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(samples, blocks) from a folder of sample files; of these timesteps only, first and last, if that is asked."""
+    spark.dataSource.register(SampleFiles)
+    load = lambda what: spark.read.format("samplefiles").options(path=folder, what=what, **asked(times)).load()
     samples = load("samples").select("t", "gid", block_id(F.col("gid"), cfg).alias("block_id"), "value")
     blocks = load("blocks").select("t", "block_id", F.greatest("total", F.lit(0)).cast("long").alias("n_samples"), (F.col("total") < 0).alias("reused"))
     return samples, blocks

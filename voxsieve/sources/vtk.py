@@ -1,6 +1,6 @@
 """Image and point files of the XML kind with appended data: .vti for fields, .vtp for clouds of samples.
 
-Nothing is read but what filters leave: a file's header says where its arrays begin, and slices are cut from ranges of cells. In
+Nothing is read but the timesteps and cells that are asked for: a file's header says where its arrays begin, and slices are cut from ranges of cells. In
 a compressed array the table of its blocks says which bytes hold which cells, so a slice inflates its own blocks only. Files are
 written by ranges (sources/ranges.py), each by as many tasks as it has ranges.
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..config import GridConfig
-from .ranges import BATCH, CELLS_PER_TASK, Frame, Pruning, Slice, Stored, file_name, pushing, stored, u64, write_ranges
+from .ranges import BATCH, CELLS_PER_TASK, Frame, Pruning, Slice, Stored, asked, file_name, stored, u64, write_ranges
 from .raw import cells_batch, stored_in
 from .shared import attach
 
@@ -172,12 +172,12 @@ class ImageFiles(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         o = self.options
-        return ImageReader(o["path"], o["pattern"], o.get("array", ""), o.get("what") == "info")
+        return ImageReader(o["path"], o["pattern"], o.get("array", ""), o.get("what") == "info", o)
 
 
 class ImageReader(Pruning, DataSourceReader):
-    def __init__(self, folder: str, pattern: str, array: str, info: bool):
-        super().__init__()
+    def __init__(self, folder: str, pattern: str, array: str, info: bool, options: dict[str, str]):
+        super().__init__(options)
         self.folder, self.pattern, self.array, self.info = folder, re.compile(pattern), array, info
 
     def partitions(self) -> list[InputPartition]:
@@ -223,12 +223,12 @@ class PointFiles(DataSource):
         return "t int, place bigint, x double, y double, z double, value double"
 
     def reader(self, schema) -> DataSourceReader:
-        return PointReader(self.options["path"], self.options["pattern"], self.options.get("array", ""))
+        return PointReader(self.options["path"], self.options["pattern"], self.options.get("array", ""), self.options)
 
 
 class PointReader(Pruning, DataSourceReader):
-    def __init__(self, folder: str, pattern: str, array: str):
-        super().__init__()
+    def __init__(self, folder: str, pattern: str, array: str, options: dict[str, str]):
+        super().__init__(options)
         self.folder, self.pattern, self.array = folder, re.compile(pattern), array
 
     def partitions(self) -> list[InputPartition]:
@@ -257,22 +257,22 @@ class PointReader(Pruning, DataSourceReader):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["t", "place", "x", "y", "z", "value"])
 
 
-def read_vti(spark: SparkSession, folder: str, pattern: str, array: str | int = "") -> DataFrame:
-    """The field (t, gid, value) of a folder's image files. Filters on t and gid keep files and ranges from being read."""
-    pushing(spark).dataSource.register(ImageFiles)
-    return spark.read.format("vti").options(path=folder, pattern=pattern, array=str(array)).load()
+def read_vti(spark: SparkSession, folder: str, pattern: str, array: str | int = "", times: tuple[int, int] | None = None, cells: tuple[int, int] | None = None) -> DataFrame:
+    """The field (t, gid, value) of a folder's image files; of these timesteps and cells only, first and last, if that is asked."""
+    spark.dataSource.register(ImageFiles)
+    return spark.read.format("vti").options(path=folder, pattern=pattern, array=str(array), **asked(times, cells)).load()
 
 
-def vti_info(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+def vti_info(spark: SparkSession, folder: str, pattern: str, times: tuple[int, int] | None = None) -> DataFrame:
     """(t, file, x_dim, y_dim, z_dim, spacing, origin, extent, arrays) of each image file, from the headers alone."""
-    pushing(spark).dataSource.register(ImageFiles)
-    return spark.read.format("vti").options(path=folder, pattern=pattern, what="info").load()
+    spark.dataSource.register(ImageFiles)
+    return spark.read.format("vti").options(path=folder, pattern=pattern, what="info", **asked(times)).load()
 
 
-def read_vtp(spark: SparkSession, folder: str, pattern: str, array: str | int = "") -> DataFrame:
-    """(t, place, x, y, z, value) of a folder's point files. Filters on t keep files from being read."""
-    pushing(spark).dataSource.register(PointFiles)
-    return spark.read.format("vtp").options(path=folder, pattern=pattern, array=str(array)).load()
+def read_vtp(spark: SparkSession, folder: str, pattern: str, array: str | int = "", times: tuple[int, int] | None = None) -> DataFrame:
+    """(t, place, x, y, z, value) of a folder's point files; of these timesteps only, first and last, if that is asked."""
+    spark.dataSource.register(PointFiles)
+    return spark.read.format("vtp").options(path=folder, pattern=pattern, array=str(array), **asked(times)).load()
 
 
 _FOOT = b"\n</AppendedData>\n</VTKFile>\n"
