@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -11,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tests.conftest import ROOT
 from voxsieve.llm import pii, quality, queries, toxicity
 from voxsieve.llm.common import fold
 
@@ -78,7 +81,8 @@ def test_best_segmentation_is_the_best_of_all(crf):
                         ways += [crf.follows[last, y] + score[c, y] + best.get((t + int(lat.sizes[c]), y), 0) for y in range(4)]
                     best[t, last] = max(ways)
             got, t, last = 0.0, 0, 4
-            for y, i, j in [*crf.decode(lat), (4, n, n)]:
+            place = {o: k for k, o in enumerate(lat.offsets)}
+            for y, i, j in [*[(y, place[i], place[j]) for y, i, j in crf.entities(text, a, b)], (4, n, n)]:
                 while t < i:
                     got, t, last = got + crf.follows[last, 4], t + 1, 4
                 if y < 4:
@@ -87,6 +91,84 @@ def test_best_segmentation_is_the_best_of_all(crf):
             assert got == pytest.approx(best[0, 4])
 
 
+def plain_candidates(text, a, b):
+    """Segments and features from the words of each segment, one by one."""
+    words = [m[0] for m in pii._ATOM.finditer(text, a, b)]
+    kinds = [pii._atom_kind(w) for w in words]
+    out = []
+    for i in range(len(words)):
+        for j in range(i + 1, min(len(words), i + pii.MAX_ATOMS) + 1):
+            own, of = words[i:j], kinds[i:j]
+            runs = [w for w, k in zip(own, of) if k == 1]
+            total, at_signs = sum(map(len, runs)), of.count(5)
+            if of[0] not in (1, 2, 8, 9) or of[-1] not in (1, 2) or 4 in of or not (runs or at_signs) or not (total >= 4 or at_signs):
+                continue
+            longest, letters, groups = min(7, max(map(len, runs), default=0)), min(3, of.count(2)), min(7, len(runs))
+            check = 1 + pii.luhn("".join(runs)) if 16 <= total <= 19 and not letters else 0
+            quads = 1 + all(len(r) < 4 and int(r) <= 255 for r in runs) if len(runs) == 4 else 0
+            signs = [str(min(9, len(w))) if k == 1 else "a" if k == 2 else w[0] for w, k in zip(own, of)]
+            digest = sum(ord(c) * 131**p for p, c in enumerate(signs)) % 2048
+            values = [
+                min(total, 23), groups, min(at_signs, 3), min(5, of.count(6)), min(5, of.count(7)), min(5, of.count(3)), letters, min(3, of.count(15)) + (of[0] == 8), of[0] * 16 + of[-1],
+                kinds[i - 1] if i else 0, kinds[j] if j < len(words) else 0, check, quads, longest, digest, (min(total, 23) * 37 + groups * 5 + longest) % 1024,
+            ]
+            out.append((i, j - i, [min(v, n - 1) + int(s) for v, n, s in zip(values, pii.SIZES, pii.STARTS)]))
+    return out
+
+
+ODD_TEXT = st.lists(st.sampled_from(["4111", "1111", "12", "7", "255", "4111111111111111", "00000000000000000000000000", " ", " ", "-", ".", "+", "(", ")", "@", "a", "net", "\n", "²³½", "é", "/", "٣"]), max_size=60).map("".join)
+
+
+@settings(max_examples=150, deadline=None)
+@given(ODD_TEXT)
+def test_features_are_those_of_the_words(text):
+    for a, b in pii.zones(text):
+        lat = pii.lattice(text, a, b)
+        got = [] if lat is None else list(zip(lat.starts.tolist(), lat.sizes.tolist(), lat.features.tolist()))
+        assert got == plain_candidates(text, a, b)
+
+
+@settings(max_examples=60, deadline=None)
+@given(ODD_TEXT)
+def test_blocks_make_no_difference(crf, text):
+    whole = [crf.entities(text, *z) for z in pii.zones(text)]
+    held = pii.BLOCK_ATOMS
+    try:
+        for pii.BLOCK_ATOMS in (1, 3, 17):
+            assert [crf.entities(text, *z) for z in pii.zones(text)] == whole
+    finally:
+        pii.BLOCK_ATOMS = held
+
+
+LONG = """
+import random, resource, sys, time
+from voxsieve.llm import pii
+rng, kind, size = random.Random(3), sys.argv[1], int(sys.argv[2])
+crf = pii.train([], made=60, epochs=2)
+text, parts, n = "", [], 0
+while n < size:
+    parts.append(f"mail u{rng.randint(0, 10**6)}@host{rng.randint(0, 99)}.org or " if kind == "addresses" else f"{rng.randint(0, 10 ** rng.randint(1, 9))} ")
+    n += len(parts[-1])
+text = "".join(parts)
+before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.process_time()
+base = pii.base_spans(text)
+found = pii.added_spans(text, base, crf)
+print(len(base), len(found), time.process_time() - began, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)
+"""
+
+
+@pytest.mark.parametrize("kind", ["numbers", "addresses"])
+def test_long_texts_take_linear_time_and_little_memory(kind):
+    def run(size):
+        out = subprocess.run([sys.executable, "-c", LONG, kind, str(size)], cwd=ROOT, check=True, capture_output=True, text=True).stdout
+        return [float(x) for x in out.split()]
+
+    short, long_ = run(250_000), run(1_000_000)
+    assert long_[2] < 6 * short[2] + 2  # seconds of four times the text
+    assert long_[3] < 150  # MB; in proportion, under 500 for 3 million characters
+    assert long_[0] == pytest.approx(4 * short[0], rel=0.2, abs=4)
+
+
 def test_gradient_is_the_slope():
     rng = random.Random(8)
     text, spans = next((t, s) for t, s in pii.made_up(rng, 50) if s and len(pii.zones(t)) == 1 and (lat := pii.lattice(t, *pii.zones(t)[0])) and pii._gold(lat, s))

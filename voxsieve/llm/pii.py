@@ -8,16 +8,18 @@ boundaries and kinds together, a label depending on the label before. It is trai
 stretches of a bounded sample of documents, labelled by the patterns, and on made-up numbers of both sorts. Segments that
 overlap a base span give way to it.
 
-Defined results: a null text is empty and has no spans. Offsets are code points, ends exclusive. Texts are read whole.
+Defined results: a null text is empty and has no spans. Offsets are code points, ends exclusive. Texts are read whole; a very
+long one is worked on in blocks of atoms, in time that grows with its length, and holds some 50 bytes for each atom of a zone.
 Repeated rows get the same spans. With no document to learn from, the made-up numbers alone are learnt. Columns besides id
 and text aren't read.
 """
 
 from __future__ import annotations
 
-import math
 import random
 import re
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,6 +33,8 @@ from .common import as_text, bounded_batches, hash_sample, quoted, released
 KINDS = ["email", "ip", "card", "phone"]
 #: Documents and characters of each that the field may be fitted on; atoms that a segment may have; characters of context.
 FIT_ROWS, FIT_CHARS, MAX_ATOMS, CONTEXT = 300, 8000, 16, 40
+#: Atoms that are worked on at once.
+BLOCK_ATOMS = 2048
 
 # The four patterns of the base, with possessive repeats where that cannot change a match.
 _AT_HOST = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -134,51 +138,65 @@ STARTS = np.concatenate([[0], np.cumsum(SIZES)])
 N_FEATURES = int(STARTS[-1])
 
 
-def lattice(text: str, begin: int, end: int) -> Lattice | None:
-    atoms = [m.span() for m in _ATOM.finditer(text, begin, end)]
-    words = [text[a:b] for a, b in atoms]
-    kinds = np.array([_atom_kind(w) for w in words], np.int64)
+def candidates(words: list[str], first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, sizes, features) of the candidate segments that begin with one of the atoms from first to last, in their order.
+
+    words are successive atoms. The atom before first and MAX_ATOMS after last must be among them, but at a zone's ends. All
+    features come from running sums over the atoms, so the work is the same whatever the segments hold.
+    """
+    kinds = np.fromiter(map(_atom_kind, words), np.int64, len(words))
     n = len(words)
     sums = lambda flags: np.concatenate([[0], np.cumsum(flags)])
-    length = np.array([len(w) for w in words], np.int64)
-    digits = sums(np.where(kinds == 1, length, 0))
-    signal = sums((kinds == 1) | (kinds == 5))
-    bars = sums(kinds == 4)
+    length = np.fromiter(map(len, words), np.int64, n)
+    is_digit = kinds == 1
+    counts = {k: sums(kinds == k) for k in (1, 2, 3, 4, 5, 6, 7, OTHER)}
+    digits = sums(np.where(is_digit, length, 0))
     opening, closing = np.isin(kinds, [1, 2, 8, 9]), np.isin(kinds, [1, 2])
-    i, s = np.meshgrid(np.arange(n), np.arange(1, MAX_ATOMS + 1), indexing="ij")
+    i, s = np.meshgrid(np.arange(first, last), np.arange(1, MAX_ATOMS + 1), indexing="ij")
     i, s = i.ravel(), s.ravel()
-    fits = i + s <= n
+    fits = (i + s <= n) & opening[i] & closing[np.minimum(i + s, n) - 1]
     i, s = i[fits], s[fits]
     j = i + s
+    inside = lambda k: counts[k][j] - counts[k][i]
     total = digits[j] - digits[i]
-    at_signs = sums(kinds == 5)
-    ok = opening[i] & closing[j - 1] & (signal[j] > signal[i]) & (bars[j] == bars[i]) & ((total >= 4) | (at_signs[j] > at_signs[i]))
+    ok = (inside(1) + inside(5) > 0) & (inside(4) == 0) & ((total >= 4) | (inside(5) > 0))
     i, s, j, total = i[ok], s[ok], j[ok], total[ok]
-    if not len(i):
-        return None
-    span = lambda flags, cap: np.minimum(cap, (c := sums(flags))[j] - c[i])
-    groups = span(kinds == 1, 7)
+    groups, letters = inside(1), np.minimum(inside(2), 3)
     before = np.where(i > 0, kinds[np.maximum(i - 1, 0)], 0)
     after = np.where(j < n, kinds[np.minimum(j, n - 1)], 0)
-    check, quads, digest = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)
-    letters, spaces, others = span(kinds == 2, 3), span(kinds == 3, 5), span(kinds == OTHER, 3)
-    longest = np.zeros(len(i), np.int64)
-    for k in range(len(i)):
-        own = words[i[k] : j[k]]
-        runs = [w for w, kind in zip(own, kinds[i[k] : j[k]], strict=True) if kind == 1]
-        longest[k] = min(7, max(map(len, runs), default=0))
-        if 16 <= total[k] <= 19 and not letters[k]:
-            check[k] = 1 + luhn("".join(runs))
-        if len(runs) == 4:
-            quads[k] = 1 + all(len(r) < 4 and int(r) <= 255 for r in runs)
-        layout = "".join(str(min(9, len(w))) if kind == 1 else "a" if kind == 2 else w for w, kind in zip(own, kinds[i[k] : j[k]], strict=True))
-        digest[k] = sum(ord(c) * 131**p for p, c in enumerate(layout)) % 2048
+    # the digits that a segment holds are a stretch of all the digits; every second one, from its end, counts double in the check
+    own = np.frombuffer("".join(w for w, d in zip(words, is_digit.tolist(), strict=True) if d).encode(), np.uint8).astype(np.int64) - 48
+    odd = np.arange(len(own)) % 2 == 1
+    doubled = 2 * own - 9 * (own > 4)
+    by_end = [sums(np.where(odd, own, doubled)), sums(np.where(odd, doubled, own))]  # for an even end, for an odd one
+    a, b = digits[i], digits[j]
+    luhn_sum = np.where(b % 2 == 0, by_end[0][b] - by_end[0][a], by_end[1][b] - by_end[1][a])
+    check = np.where((total >= 16) & (total <= 19) & (letters == 0), 1 + (luhn_sum % 10 == 0), 0)
+    small = sums(np.fromiter((d and k < 4 and int(w) <= 255 for w, d, k in zip(words, is_digit.tolist(), length.tolist(), strict=True)), bool, n))
+    quads = np.where(groups == 4, 1 + (small[j] - small[i] == 4), 0)
+    # an atom's sign in the layout: its digits' number, a for letters, itself otherwise
+    code = np.fromiter((ord(w[0]) if k not in (1, 2) else 97 if k == 2 else 48 + min(9, len(w)) for w, k in zip(words, kinds.tolist(), strict=True)), np.int64, n)
+    wide = np.concatenate([np.stack([code, np.where(is_digit, length, 0)]), np.zeros((2, MAX_ATOMS), np.int64)], 1)
+    windows = np.lib.stride_tricks.sliding_window_view(wide, MAX_ATOMS, 1)[:, first:last]
+    powers = np.array([131**p % 2048 for p in range(MAX_ATOMS)], np.int64)
+    digest = (np.cumsum(windows[0] * powers, 1) % 2048)[i - first, s - 1]
+    longest = np.minimum(7, np.maximum.accumulate(windows[1], 1)[i - first, s - 1])
+    groups = np.minimum(groups, 7)
     values = [
-        np.minimum(total, 23), groups, np.minimum(at_signs[j] - at_signs[i], 3), span(kinds == 6, 5), span(kinds == 7, 5), spaces, letters, others + (kinds[i] == 8),
+        np.minimum(total, 23), groups, np.minimum(inside(5), 3), np.minimum(inside(6), 5), np.minimum(inside(7), 5), np.minimum(inside(3), 5), letters, np.minimum(inside(OTHER), 3) + (kinds[i] == 8),
         kinds[i] * N_ATOM_KINDS + kinds[j - 1], before, after, check, quads, longest, digest, (np.minimum(total, 23) * 37 + groups * 5 + longest) % 1024,
     ]
     values = [np.minimum(v, size - 1) + start for v, size, start in zip(values, SIZES, STARTS, strict=False)]
-    return Lattice([a for a, _ in atoms] + [end], i, s, np.stack(values, 1))
+    return i, s, np.stack(values, 1)
+
+
+def lattice(text: str, begin: int, end: int) -> Lattice | None:
+    """All candidates of a zone at once, for fitting."""
+    atoms = [m.span() for m in _ATOM.finditer(text, begin, end)]
+    if not atoms:
+        return None
+    starts, sizes, features = candidates([text[a:b] for a, b in atoms], 0, len(atoms))
+    return Lattice([a for a, _ in atoms] + [end], starts, sizes, features) if len(starts) else None
 
 
 @dataclass
@@ -191,38 +209,79 @@ class SemiCrf:
     def scores(self, lat: Lattice) -> np.ndarray:
         return self.weights[lat.features].sum(1)
 
-    def decode(self, lat: Lattice) -> list[tuple[int, int, int]]:
-        """The best segmentation: (kind, start, end) of its entities, in atoms."""
-        n, score = len(lat.offsets) - 1, self.scores(lat)
+    def entities(self, text: str, begin: int, end: int) -> list[tuple[int, int, int]]:
+        """(kind, start, end) of the entities of a zone's best segmentation, in characters.
+
+        The zone goes by in blocks of atoms, each with the candidates that begin in it. What stays of an atom is its place, and
+        for each label the length of the segment that ends there and the label before: some 20 bytes.
+        """
         none = len(KINDS)
-        by_end: dict[int, list[int]] = {}
-        for c, e in enumerate((lat.starts + lat.sizes).tolist()):
-            by_end.setdefault(e, []).append(c)
-        best = np.full((n + 1, none + 1), -np.inf)
-        best[0, none] = 0
-        enter = np.empty((n + 1, none + 1))  # the best way to be at a place and go on with each label
-        came = np.empty((n + 1, none + 1), np.int64)
-        back: dict[tuple[int, int], tuple[int, int]] = {}
-        for t in range(n + 1):
-            if t:
-                best[t, none] = enter[t - 1, none]
-                for c in by_end.get(t, ()):
-                    a = int(lat.starts[c])
-                    offer = enter[a, :none] + score[c]
-                    for y in np.flatnonzero(offer > best[t, :none]):
-                        best[t, y] = offer[y]
-                        back[t, int(y)] = (a, int(came[a, y]))
-            ways = best[t][:, None] + self.follows
-            came[t] = ways.argmax(0)
-            enter[t] = ways.max(0)
-        t, y, out = n, int(best[n].argmax()), []
+        offsets, came, sizes = array("q"), bytearray(), bytearray()
+        atoms = _ATOM.finditer(text, begin, end)
+        words: list[str] = []  # of the block, one before it, and those ahead
+        at, ahead, over = 0, 0, False  # atoms done, and of words those before the block
+        best = np.full(none + 1, -np.inf)
+        best[none] = 0.0
+        ways = best[:, None] + self.follows
+        came += ways.argmax(0).astype(np.uint8).tobytes()
+        sizes += bytes(none)
+        enter = np.full((MAX_ATOMS + BLOCK_ATOMS + 1, none + 1), -np.inf)  # row MAX_ATOMS is that of the block's begin
+        enter[MAX_ATOMS] = ways.max(0)
+        held = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, none)))
+        alone = [self.follows[none], np.full(none + 1, none, np.uint8).tobytes(), bytes(none)]
+        while True:
+            while not over and len(words) < ahead + BLOCK_ATOMS + MAX_ATOMS + 1:
+                m = next(atoms, None)
+                over = m is None
+                if m:
+                    words.append(m[0])
+                    offsets.append(m.start())
+            n = min(BLOCK_ATOMS, len(words) - ahead)
+            if n <= 0:
+                break
+            i, s, features = candidates(words, ahead, ahead + n)
+            start = np.concatenate([held[0], i - ahead])
+            size = np.concatenate([held[1], s])
+            score = np.concatenate([held[2], self.weights[features].sum(1)])
+            ends = start + size
+            order = np.argsort(ends, kind="stable")
+            start, size, score, ends = start[order], size[order], score[order], ends[order]
+            first = np.searchsorted(ends, np.arange(1, n + 2)).tolist()
+            rows = start + MAX_ATOMS
+            for t in range(1, n + 1):
+                a, b = first[t - 1], first[t]
+                stay = enter[MAX_ATOMS + t - 1, none]
+                if a == b:
+                    enter[MAX_ATOMS + t] = stay + alone[0]
+                    came += alone[1]
+                    sizes += alone[2]
+                    continue
+                offers = enter[rows[a:b], :none] + score[a:b]
+                which = offers.argmax(0)
+                best[:none] = offers.max(0)
+                best[none] = stay
+                ways = best[:, None] + self.follows
+                came += ways.argmax(0).astype(np.uint8).tobytes()
+                enter[MAX_ATOMS + t] = ways.max(0)
+                sizes += size[a:b][which].astype(np.uint8).tobytes()
+            rest = ends > n
+            held = (start[rest] - n, size[rest], score[rest])
+            enter[: MAX_ATOMS + 1] = enter[n : n + MAX_ATOMS + 1].copy()
+            at += n
+            drop = ahead + n - 1
+            words, ahead = words[drop:], 1
+        offsets.append(end)
+        # where no segment ends at the last atom, no entity does
+        t, y, out = at, int(best.argmax()) if at and a < b else none, []
         while t > 0:
             if y == none:
-                t, y = t - 1, int(came[t - 1, none])
+                t -= 1
+                y = came[t * (none + 1) + none]
             else:
-                a, before = back[t, y]
-                out.append((y, a, t))
-                t, y = a, before
+                k = sizes[t * none + y]
+                out.append((y, offsets[t - k], offsets[t]))
+                t -= k
+                y = came[t * (none + 1) + y]
         return out[::-1]
 
     def gradient(self, lat: Lattice, into: np.ndarray, after: np.ndarray) -> float:
@@ -357,25 +416,27 @@ def train(texts: list[str], seed: int = 5, made: int = 500, epochs: int = 12) ->
 def added_spans(text: str, base: list[tuple[int, int, int]], model: SemiCrf) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the field's entities that touch no base span."""
     out = []
+    starts, ends = _covered(base)
     for a, b in zones(text):
-        inside = [s for s in base if s[1] < b and s[2] > a]
-        if inside and not _SIGNAL.search("".join(_outside(text, a, b, inside))):
+        k, last = bisect_right(ends, a), bisect_left(starts, b)
+        if k < last and not any(_SIGNAL.search(text, *gap) for gap in zip([a, *ends[k:last]], [*starts[k:last], b], strict=True) if gap[0] < gap[1]):
             continue  # all that could be an entity is one already
-        lat = lattice(text, a, b)
-        if lat is None:
-            continue
-        for y, i, j in model.decode(lat):
-            start, end = lat.offsets[i], lat.offsets[j]
-            if not any(s < end and start < e for _, s, e in inside):
+        for y, start, end in model.entities(text, a, b):
+            if bisect_right(ends, start) >= bisect_left(starts, end):
                 out.append((y, start, end))
     return out
 
 
-def _outside(text: str, a: int, b: int, spans: list[tuple[int, int, int]]) -> Iterator[str]:
-    for _, s, e in sorted(spans, key=lambda x: x[1]):
-        yield text[a:s] if s > a else ""
-        a = max(a, e)
-    yield text[a:b]
+def _covered(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """The starts and ends of the stretches that spans cover."""
+    starts, ends = [], []
+    for _, a, b in sorted(spans, key=lambda s: s[1]):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> SemiCrf:
