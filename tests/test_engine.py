@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from dataclasses import replace
 
 import pytest
@@ -120,14 +121,43 @@ def test_quartiles_by_group(spark):
 
 
 def test_report_has_settings_and_times(spark):
-    cfg = replace(GRID, ratio=0.4)
-    rows = lifecycle.report(field_of(spark, near_steps(3)), cfg, 4, nearest=3).orderBy("t").collect()
-    assert [r.t for r in rows] == [0, 1, 2]
-    assert all((r.method, r.region_dims, r.num_bins, r.reconstruction) == ("histogram_reuse_filled", "3/2/1", 5, "nearest_3") for r in rows)
-    assert all(r.sampling_s > 0 and r.recons_s > 0 and math.isclose(r.sampling_gb_s * r.sampling_s, r.file_gb) for r in rows)
+    cfg = replace(GRID, ratio=0.4, error_threshold=0.6)
+    field = field_of(spark, near_steps(3))
+    has = {
+        1: {"histogram", "sort", "acceptance", "stencil", "gather"},
+        4: set(lifecycle.STEPS),
+        7: {"histogram", "sort", "acceptance", "stencil", "comparison", "fill", "gather"},
+        "error_reuse": {"histogram", "sort", "acceptance", "stencil", "comparison", "gather"},
+    }
+    for method, nearest in ((4, 3), (1, 0), (7, 1), ("error_reuse", 1)):
+        clock, began = lifecycle.Clock(), time.monotonic()
+        found = lifecycle.report(field, cfg, method, nearest, clock)
+        whole = time.monotonic() - began
+        assert len(found.columns) == 26 and len(lifecycle.short_report(found).columns) == 19
+        rows = found.orderBy("t").collect()
+        assert [r.t for r in rows] == [0, 1, 2]
+        assert all((r.region_dims, r.num_bins, r.reconstruction) == ("3/2/1", 5, {0: None, 1: "nearest", 3: "nearest_3"}[nearest]) for r in rows)
+        assert all(r.sampling_s > 0 and math.isclose(r.sampling_gb_s * r.sampling_s, r.file_gb) and (r.recons_s is None) == (not nearest) for r in rows)
+        # the steps make up the sampling, and with the rebuilding nearly all of the run
+        assert {s for s in lifecycle.STEPS if rows[0][f"{s}_gb_s"] is not None} == has[method]
+        assert math.isclose(sum(r.sampling_s for r in rows), clock.total(*lifecycle.STEPS)) and clock.total(*lifecycle.STEPS) > 0.5 * (whole - clock.total("recons")) > 0
+        assert clock.total(*lifecycle.STEPS, "recons") <= whole
+        samples, blocks = lifecycle.sample(field, cfg, method)
+        assert sorted(map(tuple, lifecycle.timed_sample(field, cfg, method, lifecycle.Clock())[0].collect())) == sorted(map(tuple, samples.collect()))
+        assert {(r.t, r.blocks_reused, r.n_samples) for r in rows} == set(map(tuple, temporal.reuse_counts(blocks).collect()))
+    short = lifecycle.short_report(lifecycle.report(field, cfg, 1)).first()
+    assert short.histogram_us > 0 and short.sample_us > 0 and short.histogram_us + short.sample_us < short.total_us
     assert lifecycle.report(field_of(spark, []), cfg, 1).collect() == []
 
 
+def test_summaries_leave_the_first_timestep_out_of_reuse(spark):
+    rows = spark.createDataFrame([(3, "m", 0, 10), (4, "m", 6, 20), (5, "m", 2, 30)], "t int, method string, blocks_reused long, n_samples long")
+    got = {r.t: (r.blocks_reused, r.n_samples) for r in lifecycle.summaries(rows, ["method"], ["blocks_reused", "n_samples"]).collect()}
+    assert got[-1] == (4.0, 20.0) and got[-2][0] == 2.0 and got[-2][1] == pytest.approx((200 / 3) ** 0.5)
+    alone = lifecycle.summaries(rows.where("t = 3"), ["method"], ["blocks_reused", "n_samples"]).where("t = -1").first()
+    assert alone.blocks_reused is None and alone.n_samples == 10.0
+
+
 def test_samples_do_not_depend_on_partitions(spark):
     field = field_of(spark, [values(k) for k in range(3)])
     runs = [sorted(map(tuple, sampling.importance_sample(field.repartition(n), GRID).collect())) for n in (1, 4, 37)]
@@ -138,8 +168,12 @@ def test_samples_do_not_depend_on_partitions(spark):
 
 def test_attach_beyond_the_limit(spark):
     big, small = spark.range(200).select((F.col("id") % 20).alias("k"), "id"), spark.range(20).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    rows = [sorted(map(tuple, shared.attach(big, small, ["k"], limit=n).collect())) for n in (5, 100)]
+    rows = [sorted(map(tuple, shared.attach(big, small, ["k"], limit=n).collect())) for n in (5, 10_000)]
     assert rows[0] == rows[1] and len(rows[0]) == 200
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    salted, plain = shared.attach(big, small, ["k"], limit=5), shared.attach(big.withColumnRenamed("k", "block_id"), small.withColumnRenamed("k", "block_id"), ["block_id"], limit=5)
+    # a region has a bounded number of cells, so its key isn't copied
+    assert "explode" in plan(salted) and "explode" not in plan(plain) and plain.count() == 200
 
 
 def decisions(flags):

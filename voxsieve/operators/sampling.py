@@ -13,13 +13,13 @@ from .importance import acceptance
 from .stats import binned, histogram
 
 
-def judged(field: DataFrame, cfg: GridConfig) -> DataFrame:
+def judged(field: DataFrame, cfg: GridConfig, odds: DataFrame | None = None) -> DataFrame:
     """(t, gid, block_id, value, p, taken) for every cell: taken where the cell's random number is under p.
 
-    One pass over the cells; the ranges and probabilities by timestep are broadcast.
+    One pass over the cells; the ranges and probabilities by timestep are broadcast. odds is acceptance(), if it is there already.
     """
-    odds = acceptance(histogram(field, cfg), cfg).select("t", "bin", "p")
-    cells = attach(binned(field, cfg), odds, ["t", "bin"])
+    odds = acceptance(histogram(field, cfg), cfg) if odds is None else odds
+    cells = attach(binned(field, cfg), odds.select("t", "bin", "p"), ["t", "bin"])
     taken = g.uniform("importance", F.col("t"), F.col("gid"), cfg) < F.col("p")
     return cells.select("t", "gid", g.block_id(F.col("gid"), cfg).alias("block_id"), "value", "p", taken.alias("taken"))
 

@@ -6,7 +6,10 @@ that is every second one, so the recurrence is a window over each region's times
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from contextlib import AbstractContextManager, nullcontext
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -26,10 +29,10 @@ def alternating(rows: DataFrame, may_reuse: Column) -> DataFrame:
     return runs.withColumn("reused", place % 2 == 1).drop("__may", "__run")
 
 
-def reuse_by_histogram(field: DataFrame, cfg: GridConfig) -> DataFrame:
-    """(t, block_id, hist, reused): a region may reuse if its histogram equals the last one."""
+def reuse_by_histogram(field: DataFrame, cfg: GridConfig, shapes: DataFrame | None = None) -> DataFrame:
+    """(t, block_id, hist, reused): a region may reuse if its histogram equals the last one. shapes is block_histogram(), if it is there already."""
     by_block = W.partitionBy("block_id").orderBy("t")
-    return alternating(block_histogram(field, cfg), F.col("hist") == F.lag("hist").over(by_block))
+    return alternating(block_histogram(field, cfg) if shapes is None else shapes, F.col("hist") == F.lag("hist").over(by_block))
 
 
 def block_rmse(cells: DataFrame) -> DataFrame:
@@ -58,6 +61,8 @@ def own_samples(cells: DataFrame, reused: DataFrame) -> DataFrame:
 def temporal_histogram_sample(field: DataFrame, cfg: GridConfig, with_fill: bool = True) -> tuple[DataFrame, DataFrame]:
     """(samples, blocks): samples by histogram reuse, with fill or without; blocks are (t, block_id, n_samples, reused)."""
     cells, reused = judged(field, cfg), reuse_by_histogram(field, cfg).select("t", "block_id", "reused")
+    if with_fill:
+        cells, reused = written(cells, "judged"), written(reused, "reused")  # what fills up reads them several times
     samples = own_samples(cells, reused)
     if with_fill:
         samples = samples.unionByName(fill(cells, reused, cfg))
@@ -72,41 +77,70 @@ def temporal_error_sample(field: DataFrame, cfg: GridConfig) -> tuple[DataFrame,
     return samples, blocks_of(samples, reused)
 
 
-def temporal_error_sample_filled(field: DataFrame, cfg: GridConfig) -> tuple[DataFrame, DataFrame]:
+def error_step(now: DataFrame, before: DataFrame | None, flags_before: DataFrame | None, cfg: GridConfig) -> DataFrame:
+    """(t, block_id, reused) of one timestep's judged cells, given the samples and flags of the timestep before, or none of them."""
+    every = now.select("t", "block_id").distinct()
+    if before is None:
+        return every.withColumn("reused", F.lit(False))
+    gap = F.col("value") - F.col("before")
+    gaps = now.join(before.select("gid", F.col("value").alias("before")), "gid").groupBy("block_id").agg(F.sqrt(F.avg(gap * gap)).alias("rmse"))
+    old = flags_before.select("block_id", F.col("reused").alias("was"))
+    may = (F.col("rmse") <= F.lit(cfg.error_threshold)) & ~F.coalesce("was", F.lit(False))
+    return every.join(gaps, "block_id", "left").join(old, "block_id", "left").select("t", "block_id", F.coalesce(may, F.lit(False)).alias("reused"))
+
+
+class StepTables:
+    """Samples and flags of successive timesteps, each a partition of two tables in the shared folder."""
+
+    SHAPES = {"samples": "gid long, block_id int, value double, kind string", "flags": "block_id int, reused boolean"}
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def keep(self, rows: DataFrame, name: str, t: int) -> DataFrame:
+        """Write a timestep's rows, in place of what may be there, and return them."""
+        rows.drop("t").write.mode("overwrite").parquet(f"{self.folder}/{name}/t={t}")
+        return self.load(name, t)
+
+    def load(self, name: str, t: int) -> DataFrame:
+        return self.spark.read.schema(self.SHAPES[name]).parquet(f"{self.folder}/{name}/t={t}").withColumn("t", F.lit(t))
+
+    def whole(self, name: str) -> DataFrame:
+        """(t, ...) of all timesteps kept."""
+        shape = f"t int, {self.SHAPES[name]}"
+        found = self.spark.read.schema(shape).parquet(f"{self.folder}/{name}") if self.times() else self.spark.createDataFrame([], shape)
+        return found.select("t", *[c for c in found.columns if c != "t"])
+
+    def times(self) -> list[int]:
+        """The timesteps that both tables have, in order."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/samples")
+        store = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return sorted(int(f.getPath().getName()[2:]) for f in (store.listStatus(at) if store.exists(at) else ()) if f.getPath().getName().startswith("t="))
+
+
+def temporal_error_sample_filled(field: DataFrame, cfg: GridConfig, cells: DataFrame | None = None, clock: Callable[[str, int], AbstractContextManager] = lambda step, t: nullcontext()) -> tuple[DataFrame, DataFrame]:
     """(samples, blocks) by error reuse with fill.
 
     What fill draws depends on how many regions reuse, and the next timestep is compared with all samples, fill included, so
-    timesteps follow one another: each is a distributed job over its own cells, and its samples and flags are a partition of two
-    tables in the shared folder.
+    timesteps follow one another: each is a distributed job over its own cells, a partition of their table, and its samples and
+    flags are partitions of two tables in the shared folder. cells is judged(), if it is there already; clock(step, t) surrounds
+    the parts of a timestep.
     """
-    cells = written(judged(field, cfg), "judged")
-    spark = cells.sparkSession
-    times = [r.t for r in cells.select("t").distinct().orderBy("t").collect()]
-    shapes = {"samples": cells.select("t", "gid", "block_id", "value", F.lit("").alias("kind")).schema, "flags": cells.select("t", "block_id", F.lit(False).alias("reused")).schema}
-    folders = {name: new_path(spark, name) for name in shapes}
-    load = lambda name, path: spark.read.option("basePath", folders[name]).schema(shapes[name]).parquet(path).select(*shapes[name].names)
-
-    def kept(df: DataFrame, name: str, t: int) -> DataFrame:
-        path = f"{folders[name]}/t={t}"
-        df.drop("t").write.parquet(path)
-        return load(name, path)
-
-    last = None
-    for t in times:
+    spark = field.sparkSession
+    cells, path = judged(field, cfg) if cells is None else cells, new_path(spark, "judged")
+    schema = cells.schema
+    cells.write.partitionBy("t").parquet(path)
+    cells = spark.read.schema(schema).parquet(path)
+    tables, last = StepTables(spark, new_path(spark, "steps")), None
+    for t in [r.t for r in cells.select("t").distinct().orderBy("t").collect()]:
         now = cells.where(F.col("t") == t)
-        every = now.select("t", "block_id").distinct()
-        if last is None or last[0] != t - 1:
-            flags = every.withColumn("reused", F.lit(False))
-        else:
-            before = last[1].select("gid", F.col("value").alias("before"))
-            gaps = now.join(before, "gid").groupBy("block_id").agg(F.sqrt(F.avg((F.col("value") - F.col("before")) ** 2)).alias("rmse"))
-            old = last[2].select("block_id", F.col("reused").alias("was"))
-            may = (F.col("rmse") <= F.lit(cfg.error_threshold)) & ~F.coalesce("was", F.lit(False))
-            flags = every.join(gaps, "block_id", "left").join(old, "block_id", "left").select("t", "block_id", F.coalesce(may, F.lit(False)).alias("reused"))
-        flags = kept(flags, "flags", t)
-        own = kept(own_samples(now, flags).unionByName(fill(now, flags, cfg)), "samples", t)
+        follows = last is not None and last[0] == t - 1
+        with clock("comparison", t):
+            flags = tables.keep(error_step(now, last[1] if follows else None, last[2] if follows else None, cfg), "flags", t)
+        with clock("fill", t):
+            own = tables.keep(own_samples(now, flags).unionByName(fill(now, flags, cfg)), "samples", t)
         last = (t, own, flags)
-    samples, flags = (load(name, folders[name]) if times else spark.createDataFrame([], shapes[name]) for name in shapes)
+    samples, flags = tables.whole("samples"), tables.whole("flags")
     return samples, blocks_of(samples, flags)
 
 

@@ -246,11 +246,8 @@ def stats_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report of a run of method 4 without its times, with means over all timesteps as t = -1 and deviations as t = -2."""
     rows = lifecycle.report(_field(spark, sf_dir), FINE, 4)
     settings = ["method", "file_gb", "ratio", "region_dims", "num_bins", "reconstruction"]
-    names = ["blocks_reused", "n_samples", "max_diff", "avg_diff", "psnr", "snr"]
-    figures = rows.select("t", *settings, *[F.col(c).cast("double").alias(c) for c in names])
-    for t, summary in ((-1, F.avg), (-2, F.stddev_pop)):
-        figures = figures.unionByName(rows.groupBy(*settings).agg(F.lit(t).alias("t"), *[summary(c).alias(c) for c in names]))
-    return figures.select("t", *settings, *map(_r, names))
+    figures = ["blocks_reused", "n_samples", "max_diff", "avg_diff", "psnr", "snr"]
+    return lifecycle.summaries(rows, settings, figures).select("t", *settings, *map(_r, figures))
 
 
 def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -286,5 +286,5 @@ ORACLES = {
     + "SELECT t, bin, coalesce(c, 0)::BIGINT AS n FROM (SELECT DISTINCT t FROM cell_bin) CROSS JOIN (SELECT unnest(range(0, 12))::INTEGER AS bin) LEFT JOIN (SELECT t, bin, count(*) AS c FROM cell_bin GROUP BY ALL) USING (t, bin)",
     "stats_report": start(*FINE_SAMPLED, FINE_HIST, PARITY, FILL, f"own AS ({WITH_FILL})", EFFECTIVE, COUNTS, rebuilt_of("effective"), "quality AS (" + QUALITY.format(pairs="rebuilt").replace("round(", "(").replace(", 6)", ")") + "), report AS (SELECT t, " + ", ".join(FIGURES) + " FROM quality JOIN counts USING (t))")
     + "SELECT t, 'histogram_reuse_filled' AS method, 4e-6::DOUBLE AS file_gb, 0.3::DOUBLE AS ratio, '5/2/1' AS region_dims, 3::INTEGER AS num_bins, 'nearest' AS reconstruction, " + ", ".join(f"round({c}, 6) AS {c}" for c in FIGURES) + " FROM ("
-    + "SELECT t, " + ", ".join(f"{c}::DOUBLE AS {c}" for c in FIGURES) + " FROM report" + "".join(f" UNION ALL SELECT {t}, " + ", ".join(f"{f}({c})" for c in FIGURES) + " FROM report" for t, f in ((-1, "avg"), (-2, "stddev_pop"))) + ")",
+    + "SELECT t, " + ", ".join(f"{c}::DOUBLE AS {c}" for c in FIGURES) + " FROM report" + "".join(f" UNION ALL SELECT {t}, " + ", ".join(f"{f}({c})" + (" FILTER (t > (SELECT min(t) FROM report))" if c == "blocks_reused" else "") for c in FIGURES) + " FROM report" for t, f in ((-1, "avg"), (-2, "stddev_pop"))) + ")",
 }

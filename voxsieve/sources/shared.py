@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a small side is broadcast.
-SMALL_ROWS = 100_000
+#: Bytes up to which a small side is broadcast, and copies of it beyond that where its keys may be hot.
+SMALL_BYTES, SALTS = 8 << 20, 64
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -30,16 +30,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
-def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", limit: int = SMALL_ROWS) -> DataFrame:
+def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", limit: int = SMALL_BYTES) -> DataFrame:
     """Join a small table, such as one row per timestep, to a large one without shuffling the large one.
 
-    The small side is computed and written once, and broadcast if it has no more rows than the limit. Beyond that both sides
-    are shuffled, with the keys spread over salts so that one timestep's cells don't meet in one task.
+    The small side is computed and written once, and broadcast if its rows take no more bytes than the limit. Beyond that both
+    sides are shuffled on the keys. A region of a timestep has a bounded number of cells, so keys with block_id in them are joined
+    as they are; others, such as a timestep alone or a timestep's bin, may each hold any number of cells, which are spread over
+    salts.
     """
     small = written(small, "small")
-    if small.count() <= limit:
+    if small.count() * row_bytes(small) <= limit:
         return big.join(F.broadcast(small), on, how)
-    salts = 64
-    spread = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = big.withColumn("__salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
+    if "block_id" in on:
+        return big.join(small, on, how)
+    spread = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = big.withColumn("__salt", F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)).cast("int"))
     return salted.join(spread, [*on, "__salt"], how).drop("__salt")
+
+
+def row_bytes(df: DataFrame) -> int:
+    """What a row takes in memory, about: the columns' default sizes and what a hash table adds."""
+    return df._jdf.schema().defaultSize() + 32
