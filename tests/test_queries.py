@@ -7,7 +7,7 @@ from voxsieve.plans.registry import ORACLES, QUERIES
 
 MIDDLE = "/root/testdata/sf0.01"
 #: Queries that compare timesteps need the table with ten of them.
-OVER_TIME = ["reuse_histogram", "stream_reuse_histogram", "reuse_error", "coalesced_samples", "fill_samples", "error_threshold", "stats_report", "block_rmse", "sample_files", "sample_file_blocks", "error_fill_samples", "method_figures", "sample_cloud", "image_files"]
+OVER_TIME = ["reuse_histogram", "stream_reuse_histogram", "reuse_error", "coalesced_samples", "fill_samples", "error_threshold", "stats_report", "block_rmse", "sample_files", "sample_file_blocks", "error_fill_samples", "method_figures", "sample_cloud", "image_files", "stream_reuse_error", "stream_error_fill"]
 
 
 def test_every_query_has_sql():

@@ -15,7 +15,7 @@ from ..config import PRESETS, GridConfig
 from ..functions import geometry as g
 from ..operators import autoconf, importance, recon, sampling, stats, temporal
 from ..sources import names, raw, shared, tables, vtk
-from ..streaming import reuse
+from ..streaming import error, fill, reuse
 from . import lifecycle, sql
 
 #: Large regions for sampling; small ones and few bins where regions shall often be alike.
@@ -91,11 +91,35 @@ def reuse_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_reuse_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same decisions from a stream over the events file."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    events = reuse.field_stream(spark, sf_dir, "events.parquet", schema)
-    field = tables.numbered_rows(events, "event_id", "value", GRID.cells)
-    return reuse.run_available(reuse.reuse_stream(field, FINE), "reuse").select("t", "block_id", "reused")
+    """The same decisions from a stream over the events table, a file of timesteps a batch."""
+    field = reuse.in_files(_field(spark, sf_dir), "cells", 4)
+    return reuse.run_available(reuse.reuse_stream(field, FINE, first=0), "reuse").select("t", "block_id", "reused")
+
+
+def stream_reuse_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error decisions from a stream of judged cells, a file of timesteps a batch."""
+    error.stateful(spark)
+    judged = reuse.in_files(sampling.judged(_field(spark, sf_dir), FINE), "judged", 4)
+    found = reuse.run_available(error.error_stream(judged, FINE, first=0), "error")
+    return found.where("complete").select("t", "block_id", "n_reference", F.when(F.col("n_reference") > 0, F.round("rmse", 6)).alias("rmse"), "reused")
+
+
+def stream_error_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples by error reuse with fill from a stream of timesteps."""
+    folder = shared.new_path(spark, "cells")
+    for k, part in enumerate(_thirds(_field(spark, sf_dir))):
+        part.coalesce(1).write.parquet(f"{folder}/{k}")
+    cells = spark.readStream.schema("t int, gid long, value double").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(folder)
+    out = shared.new_path(spark, "steps")
+    fill.fill_stream(cells, FINE, out, shared.new_path(spark, "steps-progress"))
+    return fill.results(spark, out)[0]
+
+
+def _thirds(field: DataFrame) -> list[DataFrame]:
+    """The field in three parts of successive timesteps."""
+    low, high = field.agg(F.min("t"), F.max("t")).first()
+    edges = [low + (high + 1 - low) * k // 3 for k in range(4)]
+    return [field.where((F.col("t") >= a) & (F.col("t") < b)) for a, b in zip(edges, edges[1:], strict=False) if a < b]
 
 
 def reuse_error(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -357,7 +381,7 @@ QUERIES = {
         reuse_histogram, stream_reuse_histogram, reuse_error, temporal_error_samples, fill_samples, coalesced_samples, blocks_reused_stats, nn_reconstruct, knn3_reconstruct, quality_metrics, quality_two_variables, quality_roi,
         range_statistics, error_threshold, bin_widths, bins_sweep, config_bins, snr_report, method_figures, candidate_regions, boundary_corners, filename_timesteps, sample_union_dedup, stats_report,
         raw_files, sample_files, sample_file_blocks, roi_file, error_fill_samples, cell_positions, preset_timesteps, fixed_range_histogram,
-        bin_widths_textbook, freedman_bins, auto_configuration, image_files, images_to_raw, rebuilt_images, sample_cloud,
+        bin_widths_textbook, freedman_bins, auto_configuration, image_files, images_to_raw, rebuilt_images, sample_cloud, stream_reuse_error, stream_error_fill,
     )
 }
 ORACLES = sql.ORACLES

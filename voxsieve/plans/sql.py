@@ -233,6 +233,8 @@ ORACLES = {
     "block_rmse": start(*FINE_SAMPLED, ERRORS) + "SELECT t, block_id, n_reference, round(rmse, 6) AS rmse FROM error",
     "reuse_histogram": start(FINE_HIST, PARITY) + "SELECT t, block_id, reused FROM flags",
     "stream_reuse_histogram": start(FINE_HIST, PARITY) + "SELECT t, block_id, reused FROM flags",
+    "stream_reuse_error": start(*FINE_SAMPLED, ERRORS, ERROR_MAY, PARITY) + "SELECT t, block_id, n_reference, round(rmse, 6) AS rmse, reused FROM flags JOIN error USING (t, block_id)",
+    "stream_error_fill": start(*FINE_SAMPLED, ERROR_FILLED) + "SELECT t, gid, block_id, value, kind FROM state WHERE gid IS NOT NULL",
     "reuse_error": start(*FINE_SAMPLED, ERRORS, ERROR_MAY, PARITY) + "SELECT t, block_id, reused FROM flags",
     "temporal_error_samples": start(*FINE_SAMPLED, ERRORS, ERROR_MAY, PARITY) + "SELECT t, gid, block_id, value FROM sample JOIN flags USING (t, block_id) WHERE NOT reused",
     "fill_samples": start(*HISTOGRAM_SAMPLES, FILL) + f"SELECT t, gid, block_id, value, 'importance' AS kind FROM own UNION ALL SELECT t, gid, block_id, value, 'fill' FROM ({FILLED})",
