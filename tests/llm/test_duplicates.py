@@ -186,3 +186,16 @@ def test_rows_that_move_are_an_error(spark, tmp_path):
     rows = spark.range(400, numPartitions=2).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("same words "), 40), F.udf(lambda: uuid.uuid4().hex).asNondeterministic()()).alias("text"))
     with pytest.raises(Exception, match="read differently"):
         substring.remove_repeats(rows).collect()
+
+
+def test_components_of_paths_stars_and_cliques(spark):
+    rng = random.Random(6)
+    path = list(range(200))
+    edges = list(zip(path, path[1:], strict=False))  # the worst order for hooking
+    mixed = rng.sample(range(1000, 1120), 120)
+    edges += [tuple(sorted(e)) for e in zip(mixed, mixed[1:], strict=False)]
+    edges += [(2000, k) for k in range(2001, 2060)] + [(a, b) for a in range(3000, 3020) for b in range(a + 1, 3020)] + [(3000, 3019)] * 3 + [(-5, 4000)]
+    got = dict(simhash.components(spark.createDataFrame(edges, "a long, b long")).collect())
+    want = {k: 0 for k in path} | {k: 1000 for k in mixed} | {k: 2000 for k in range(2000, 2060)} | {k: 3000 for k in range(3000, 3020)} | {-5: -5, 4000: -5}
+    assert got == want
+    assert simhash.components(spark.createDataFrame([], "a long, b long")).collect() == []

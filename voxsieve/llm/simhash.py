@@ -91,27 +91,43 @@ def links(prints: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of an edge: the smallest node of its component.
 
-    Each round every node and its present label take the smallest label next to them, then labels are followed once. Rounds
-    grow with the logarithm of the longest path. Every round is a written table, so its lineage is short.
+    Each round every node hooks on to the smallest node next to it, labels are followed to their end, and the edges are drawn
+    between labels, each once and none within a label, so that a group linked many times over is gone after the first round. At
+    least half of the linked labels go each time. Every round is a written table, so its lineage is short.
     """
     spark = edges.sparkSession
-    both, edges_at = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "simhash-edges")
-    labels, at = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "simhash-labels")
-    while True:
-        mine, theirs = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-        seen = both.join(mine, "a").join(theirs, "b").where("lb < la")
-        offers = seen.select(F.explode(F.array("a", "la")).alias("node"), "lb").groupBy("node").agg(F.min("lb").alias("offer"))
-        hooked, hooked_at = written(labels.join(offers, "node", "left").select("node", F.least("label", "offer").alias("label")), "simhash-labels")
-        up = hooked.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        jumped, jumped_at = written(hooked.join(up, "label").select("node", F.col("above").alias("label"), (F.col("above") < F.col("label")).alias("moved")), "simhash-labels")
-        before = labels.select("node", F.col("label").alias("old"))
-        changed = jumped.where("moved").limit(1).count() or hooked.join(before, "node").where("label < old").limit(1).count()
-        for p in (at, hooked_at):
+    live, live_at = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "simhash-edges")
+    labels = at = None
+    while labels is None or not live.isEmpty():
+        up, up_at = _rooted(live)
+        low, high = (up.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
+        between = live.join(low, "a").join(high, "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+        drawn, drawn_at = written(between, "simhash-edges")
+        removed(spark, live_at)
+        live, live_at = drawn, drawn_at
+        if labels is None:
+            labels, at = up, up_at
+            continue
+        # a label that meets no other any more stays
+        above = up.select(F.col("node").alias("label"), F.col("label").alias("above"))
+        moved, moved_at = written(labels.join(above, "label", "left").select("node", F.coalesce("above", "label").alias("label")), "simhash-labels")
+        for p in (at, up_at):
             removed(spark, p)
+        labels, at = moved, moved_at
+    removed(spark, live_at)
+    return labels
+
+
+def _rooted(live: DataFrame) -> tuple[DataFrame, str]:
+    """(node, label) and its path: where one comes to from a node by going on to the smallest neighbour, as long as that is smaller."""
+    labels, at = written(live.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "simhash-labels")
+    while True:
+        up = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
+        jumped, jumped_at = written(labels.join(up, "label").select("node", F.col("above").alias("label"), (F.col("above") < F.col("label")).alias("moved")), "simhash-labels")
+        removed(live.sparkSession, at)
         labels, at = jumped.drop("moved"), jumped_at
-        if not changed:
-            removed(spark, edges_at)
-            return labels
+        if not jumped.where("moved").limit(1).count():
+            return labels, at
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
