@@ -160,8 +160,3 @@ def coalesced(samples: DataFrame, blocks: DataFrame) -> DataFrame:
 def reuse_counts(blocks: DataFrame) -> DataFrame:
     """(t, blocks_reused, n_samples)."""
     return blocks.groupBy("t").agg(F.count_if("reused").alias("blocks_reused"), F.sum("n_samples").alias("n_samples"))
-
-
-def in_block(cells: DataFrame, block: int, cfg: GridConfig) -> DataFrame:
-    """The cells or samples of one region."""
-    return cells.where(g.block_id(F.col("gid"), cfg) == block)

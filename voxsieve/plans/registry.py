@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import PRESETS, GridConfig
 from ..functions import geometry as g
-from ..operators import autoconf, importance, recon, sampling, stats, temporal
+from ..operators import autoconf, boxes, importance, recon, sampling, sketches, stats, temporal
 from ..sources import names, raw, shared, tables, vtk
 from ..streaming import error, fill, reuse
 from . import lifecycle, sql
@@ -41,7 +41,8 @@ def cell_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def block_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return temporal.in_block(_field(spark, sf_dir), 3, GRID).select("t", "gid", g.local_id(F.col("gid"), GRID).alias("local_id"), "value")
+    """One region out of a table that is laid out by regions."""
+    return boxes.in_block(boxes.by_region(_field(spark, sf_dir), GRID), 3, GRID).select("t", "gid", g.local_id(F.col("gid"), GRID).alias("local_id"), "value")
 
 
 def timestep_range(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,7 +183,35 @@ def _roi(field: DataFrame) -> DataFrame:
 
 
 def quality_roi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _quality(stats.roi_cells(_rebuilt(spark, sf_dir), _roi(_field(spark, sf_dir)), GRID))
+    """Only the cells of interest are rebuilt."""
+    field = _field(spark, sf_dir)
+    samples = sampling.importance_sample(field, GRID)
+    return _quality(recon.nn_reconstruct(stats.roi_cells(field, _roi(field), GRID), samples, GRID))
+
+
+def box_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several boxes a timestep, of many sizes, some beyond the grid: how many cells lie in each, and what they add up to."""
+    field, t, k = _field(spark, sf_dir), F.col("t"), F.col("box")
+    times = field.select("t").distinct().withColumn("box", F.explode(F.sequence(F.lit(0), F.lit(11))))
+    edges = {"x0": (t + k) % 7 - 1, "x1": (t + k) % 7 + k % 4, "y0": k % 5, "y1": k % 5 + 1 + t % 9, "z0": t % 3, "z1": t % 3 + k}
+    cut = boxes.in_boxes(field, times.select("t", "box", *[c.cast("int").alias(n) for n, c in edges.items()]), GRID)
+    return cut.groupBy("t", "box").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+
+
+def sketch_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles from sketches of each timestep, of five together and of all: whether the place of each is where it is said to be."""
+    field, out = _field(spark, sf_dir).where("value is not null and not isnan(value)"), None
+    kept = shared.written(sketches.sketches(field, "t", "value"), "sketches")
+    for width in (1, 5, None):
+        found = shared.written(sketches.quantiles(sketches.merged(kept, width), [0.05, 0.25, 0.5, 0.75, 0.99]), "quantiles")
+        first = F.lit(0).cast("int") if width is None else (g.div(F.col("t"), width) * width).cast("int")
+        met = shared.attach(field.select(first.alias("first"), "value"), found, ["first"])
+        places = met.groupBy("first", "share", "n", "q").agg(F.count_if(F.col("value") < F.col("q")).alias("below"), F.count_if(F.col("value") <= F.col("q")).alias("upto"))
+        off = F.lit(2 * sketches.rank_error()) * F.col("n")
+        within = (F.col("below") <= F.col("share") * F.col("n") + off) & (F.col("upto") >= F.col("share") * F.col("n") - off)
+        rows = places.select(F.lit(width or 0).alias("width"), "first", "share", "n", within.alias("within"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def range_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -381,7 +410,7 @@ QUERIES = {
         reuse_histogram, stream_reuse_histogram, reuse_error, temporal_error_samples, fill_samples, coalesced_samples, blocks_reused_stats, nn_reconstruct, knn3_reconstruct, quality_metrics, quality_two_variables, quality_roi,
         range_statistics, error_threshold, bin_widths, bins_sweep, config_bins, snr_report, method_figures, candidate_regions, boundary_corners, filename_timesteps, sample_union_dedup, stats_report,
         raw_files, sample_files, sample_file_blocks, roi_file, error_fill_samples, cell_positions, preset_timesteps, fixed_range_histogram,
-        bin_widths_textbook, freedman_bins, auto_configuration, image_files, images_to_raw, rebuilt_images, sample_cloud, stream_reuse_error, stream_error_fill,
+        bin_widths_textbook, freedman_bins, auto_configuration, image_files, images_to_raw, rebuilt_images, sample_cloud, stream_reuse_error, stream_error_fill, box_statistics, sketch_quantiles,
     )
 }
 ORACLES = sql.ORACLES
