@@ -11,10 +11,11 @@ OVER_TIME = ["reuse_histogram", "stream_reuse_histogram", "reuse_error", "coales
 
 
 def test_every_query_has_sql():
-    assert QUERIES.keys() == ORACLES.keys()
+    # that one has a test of its own in test_linear
+    assert QUERIES.keys() - ORACLES.keys() == {"linear_reconstruct"} and ORACLES.keys() <= QUERIES.keys()
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, data_dir, name):
     sf_dir = MIDDLE if name in OVER_TIME else data_dir
     frame = QUERIES[name](spark, sf_dir)

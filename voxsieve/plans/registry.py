@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import PRESETS, GridConfig
 from ..functions import geometry as g
-from ..operators import autoconf, boxes, importance, recon, sampling, sketches, stats, temporal
+from ..operators import autoconf, boxes, importance, linear, recon, sampling, sketches, stats, temporal
 from ..sources import names, raw, shared, tables, vtk
 from ..streaming import error, fill, reuse
 from . import lifecycle, sql
@@ -158,6 +158,24 @@ def knn3_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rebuilt(spark, sf_dir, 3).select("t", "gid", _r("rebuilt"))
 
 
+def _hull(spark: SparkSession, field: DataFrame) -> DataFrame:
+    """Samples with the grid's corners."""
+    return recon.with_corners(sampling.importance_sample(field, GRID), field, GRID)
+
+
+def linear_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linear interpolation of samples and corners. SQL would go through all sets of four samples, so there is none."""
+    field = _complete(_field(spark, sf_dir))
+    return linear.linear_reconstruct(field, _hull(spark, field), GRID).select("t", "gid", _r("rebuilt"))
+
+
+def linear_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field that is a plane in each timestep comes back whole from the samples that its own values get."""
+    x, y, z = g.xyz(F.col("gid"), GRID)
+    field = _complete(_field(spark, sf_dir)).withColumn("value", 3.0 * x - 2.0 * y + 0.5 * z + F.col("t"))
+    return linear.linear_reconstruct(field, _hull(spark, field), GRID).select("t", "gid", _r("rebuilt"))
+
+
 def _quality(pairs: DataFrame) -> DataFrame:
     found = stats.paired_quality(pairs, F.col("value"), F.col("rebuilt"))
     return found.select("t", "n", *map(_r, ("max_diff", "avg_diff", "rmse", "psnr", "snr")))
@@ -410,7 +428,7 @@ QUERIES = {
         reuse_histogram, stream_reuse_histogram, reuse_error, temporal_error_samples, fill_samples, coalesced_samples, blocks_reused_stats, nn_reconstruct, knn3_reconstruct, quality_metrics, quality_two_variables, quality_roi,
         range_statistics, error_threshold, bin_widths, bins_sweep, config_bins, snr_report, method_figures, candidate_regions, boundary_corners, filename_timesteps, sample_union_dedup, stats_report,
         raw_files, sample_files, sample_file_blocks, roi_file, error_fill_samples, cell_positions, preset_timesteps, fixed_range_histogram,
-        bin_widths_textbook, freedman_bins, auto_configuration, image_files, images_to_raw, rebuilt_images, sample_cloud, stream_reuse_error, stream_error_fill, box_statistics, sketch_quantiles,
+        bin_widths_textbook, freedman_bins, auto_configuration, image_files, images_to_raw, rebuilt_images, sample_cloud, stream_reuse_error, stream_error_fill, box_statistics, sketch_quantiles, linear_reconstruct, linear_planes,
     )
 }
 ORACLES = sql.ORACLES

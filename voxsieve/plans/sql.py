@@ -249,6 +249,7 @@ ORACLES = {
     "quality_metrics": start(*SAMPLED, rebuilt_of()) + QUALITY.format(pairs="rebuilt"),
     "quality_two_variables": start("pair AS (SELECT t, gid, value, o_totalprice AS rebuilt FROM field JOIN orders ON t = o_orderkey // 1000 AND gid = o_orderkey % 1000)") + QUALITY.format(pairs="pair"),
     "quality_roi": start(*SAMPLED, rebuilt_of(), INSIDE) + QUALITY.format(pairs="inside"),
+    "linear_planes": start() + f"SELECT t, gid, round(3.0::DOUBLE * (gid % 10) - 2.0::DOUBLE * (gid // 10 % 10) + 0.5::DOUBLE * (gid // 100) + t, 6) AS rebuilt FROM field WHERE {COMPLETE}",
     "box_statistics": start("box AS (SELECT t, k AS box, (t + k) % 7 - 1 AS x0, (t + k) % 7 + k % 4 AS x1, k % 5 AS y0, k % 5 + 1 + t % 9 AS y1, t % 3 AS z0, t % 3 + k AS z1 FROM (SELECT DISTINCT t FROM field), (SELECT unnest(range(0, 12))::INTEGER AS k))")
     + "SELECT t, box, count(*) AS n, round(sum(value), 6) AS total FROM field JOIN box USING (t) WHERE gid % 10 >= x0 AND gid % 10 < x1 AND gid // 10 % 10 >= y0 AND gid // 10 % 10 < y1 AND gid // 100 >= z0 AND gid // 100 < z1 GROUP BY t, box",
     "sketch_quantiles": start() + " UNION ALL ".join(f"SELECT {w}::INTEGER AS width, {'0' if not w else f't // {w} * {w}'}::INTEGER AS first, share, count(*) AS n, true AS within FROM field, (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.99])::DOUBLE AS share) GROUP BY ALL" for w in (1, 5, 0)),
