@@ -286,6 +286,23 @@ def method_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def _growing(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, GridConfig]:
+    """Ten timesteps that the whole table is dealt to, and the grid of layers of 10 x 10 cells that they fill."""
+    field = tables.dealt_rows(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_id", "value", 10)
+    last = field.agg(F.max("gid")).first()[0] or 0
+    return field, replace(GRID, dims=(10, 10, last // 100 + 1), block_dims=(10, 10, 1))
+
+
+def growing_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The error threshold where the first two timesteps are a fifth of the table."""
+    return autoconf.error_threshold(_growing(spark, sf_dir)[0])
+
+
+def growing_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sweep of numbers of bins where the first timestep is a tenth of the table."""
+    return autoconf.bins_sweep(*_growing(spark, sf_dir)).select("num_bins", _r("psnr"), "place")
+
+
 def candidate_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over the grid that orders fill: ten by twenty by as far as they go."""
     wide = GridConfig((10, 20, 1), (1, 1, 1))
@@ -428,7 +445,7 @@ QUERIES = {
         reuse_histogram, stream_reuse_histogram, reuse_error, temporal_error_samples, fill_samples, coalesced_samples, blocks_reused_stats, nn_reconstruct, knn3_reconstruct, quality_metrics, quality_two_variables, quality_roi,
         range_statistics, error_threshold, bin_widths, bins_sweep, config_bins, snr_report, method_figures, candidate_regions, boundary_corners, filename_timesteps, sample_union_dedup, stats_report,
         raw_files, sample_files, sample_file_blocks, roi_file, error_fill_samples, cell_positions, preset_timesteps, fixed_range_histogram,
-        bin_widths_textbook, freedman_bins, auto_configuration, image_files, images_to_raw, rebuilt_images, sample_cloud, stream_reuse_error, stream_error_fill, box_statistics, sketch_quantiles, linear_reconstruct, linear_planes,
+        bin_widths_textbook, freedman_bins, auto_configuration, image_files, images_to_raw, rebuilt_images, sample_cloud, stream_reuse_error, stream_error_fill, box_statistics, sketch_quantiles, linear_reconstruct, linear_planes, growing_threshold, growing_bins,
     )
 }
 ORACLES = sql.ORACLES

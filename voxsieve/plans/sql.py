@@ -212,6 +212,7 @@ def candidates_of(table: str, gid: str, x: int, y: int) -> str:
 
 GAPS = "pair AS (SELECT abs(b.value - a.value) AS gap FROM field a JOIN field b USING (gid) WHERE a.t = 0 AND b.t = 1), ordered AS (SELECT gap, row_number() OVER (ORDER BY gap) - 1 AS r, count(*) OVER () AS n FROM pair), bound AS (SELECT max(gap) AS value FROM ordered WHERE r = trunc(n * 0.75)::BIGINT)"
 BEST = "best AS (SELECT num_bins, psnr FROM (SELECT * FROM score_0 UNION ALL SELECT * FROM score_1) ORDER BY psnr DESC, place DESC LIMIT 1)"
+GROWING = FIELD.replace("event_id // 1000", "event_id % 10").replace("event_id % 1000 AS gid", "event_id // 10 AS gid")
 COMPLETE = "t IN (SELECT t FROM field GROUP BY t HAVING count(*) = 1000)"
 FIGURES = ("blocks_reused", "n_samples", "max_diff", "avg_diff", "psnr", "snr")
 
@@ -266,6 +267,8 @@ ORACLES = {
     "bins_sweep": start(WIDTHS, HEAD, tried("s", 0), tried("d", 1)) + "SELECT num_bins, psnr, (-place)::INTEGER AS place FROM (SELECT * FROM score_0 UNION ALL SELECT * FROM score_1)",
     "snr_report": start(*SAMPLED, rebuilt_of(), INSIDE, "a AS (" + QUALITY.format(pairs="rebuilt") + "), b AS (" + QUALITY.format(pairs="inside") + ")") + "SELECT t, 'Pf' || t || '.bin' AS filename, a.snr, b.snr AS snr_roi FROM a LEFT JOIN b USING (t)",
     "method_figures": start(*FINE_SAMPLED, FINE_HIST, PARITY, *[part for m in METHOD_PARTS for part in m]) + " UNION ALL ".join(f"SELECT t, '{m}' AS method, blocks_reused, n_samples, max_diff, avg_diff, psnr FROM quality_{m} JOIN counts_{m} USING (t)" for m in METHODS),
+    "growing_threshold": (start(GAPS) + "SELECT value FROM bound").replace(FIELD, GROWING),
+    "growing_bins": (start(WIDTHS, HEAD, tried("s", 0), tried("d", 1)) + "SELECT num_bins, psnr, (-place)::INTEGER AS place FROM (SELECT * FROM score_0 UNION ALL SELECT * FROM score_1)").replace(FIELD, GROWING),
     "candidate_regions": f"WITH {candidates_of('orders', 'o_orderkey', 10, 20)} SELECT * FROM candidate",
     "boundary_corners": start(*SAMPLED) + "SELECT t, gid, min(value) AS value FROM (SELECT t, gid, value FROM sample UNION ALL SELECT t, gid, value FROM field WHERE gid % 10 IN (0, 9) AND (gid // 10) % 10 IN (0, 9) AND gid // 100 IN (0, 9)) GROUP BY t, gid",
     "filename_timesteps": start() + """SELECT path, timestep, (dense_rank() OVER (ORDER BY timestep) - 1)::INTEGER AS "index" FROM (

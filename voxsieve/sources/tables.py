@@ -14,6 +14,12 @@ def numbered_rows(rows: DataFrame, number: str, value: str, cells: int) -> DataF
     return rows.select(div(n, cells).cast("int").alias("t"), (n % cells).cast("long").alias("gid"), F.col(value).cast("double").alias("value"))
 
 
+def dealt_rows(rows: DataFrame, number: str, value: str, times: int) -> DataFrame:
+    """Row n is cell n div times of timestep n % times: so many timesteps, which grow with the table."""
+    n = F.col(number)
+    return rows.select((n % times).cast("int").alias("t"), div(n, times).cast("long").alias("gid"), F.col(value).cast("double").alias("value"))
+
+
 def events_field(spark: SparkSession, sf_dir: str, cells: int) -> DataFrame:
     return numbered_rows(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_id", "value", cells)
 
