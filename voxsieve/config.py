@@ -45,7 +45,7 @@ class GridConfig:
         return self.cells // self.block_volume
 
 
-#: Known data sets: dims, region dims, bins, lifetime range, and the pattern whose first group is a file's timestep.
+#: Known data sets with dims, region dims, bins, lifetime range, and the pattern whose first group is a file's timestep.
 PRESETS = {
     "exaam": (GridConfig((20, 200, 50), (4, 20, 10), num_bins=20, lifetime=(300.271, 927.426)), r"plt_temperature_([0-9]+).bin"),
     "isabel_subsampled": (GridConfig((250, 250, 50), (25, 25, 25), num_bins=29, lifetime=(-5471.85791, 3225.42578)), r"Pf([0-9]+).binLE.raw_corrected_2_subsampled.vti.bin"),

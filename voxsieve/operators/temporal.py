@@ -14,7 +14,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import GridConfig
-from ..functions import geometry as g
 from ..sources.shared import attach, new_path, written
 from .sampling import fill, judged
 from .stats import block_histogram
