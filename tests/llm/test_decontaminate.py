@@ -98,7 +98,7 @@ def test_tiny_shards_equal_brute_force():
         bench = decontaminate.Benchmark(*map(list, zip(*items, strict=True)), 13)
         for n in range(21):
             for texts in ([" ".join(f"w{x}" for x in rng.choices(range(v + 2), k=n))], [items[k % 7][1].rsplit(" ", 40 - n)[0] for k in range(n % 4)] + [""] * (n % 3)):
-                shard = decontaminate.Shard([t.encode() for t in texts], bench)
+                shard = decontaminate.Shard([t.encode() for t in texts], 13)
                 at, windows = decontaminate.occurrences(shard, bench)
                 hit = decontaminate.hit_places(shard, bench, at, windows)
                 named = [set() for _ in texts]
@@ -108,6 +108,30 @@ def test_tiny_shards_equal_brute_force():
                 assert got == brute(list(enumerate(texts)), items)
 
 
+def test_short_items_after_many_words():
+    """An item of one word at the end of a slice, where a key holds few words."""
+    long = " ".join(f"w{k}" for k in range(9000))
+    items = [("a", long), ("b", "x")]
+    docs = [(0, long + " x"), (1, "x w1"), (2, "w5 w6"), (3, " ".join(long.split()[20:40]))]
+    bench = decontaminate.Benchmark(*map(list, zip(*items, strict=True)), 13)
+    read = decontaminate.Benchmark.read(bench.row(), 13)
+    assert read.row() == bench.row() and read.begin.tolist() == bench.begin.tolist() and read.size.tolist() == bench.size.tolist()
+    shard = decontaminate.Shard([t.encode() for _, t in docs], 13)
+    hit = decontaminate.hit_places(shard, read, *decontaminate.occurrences(shard, read))
+    assert [int(hit[a : a + c].sum()) for a, c in zip(shard.first, shard.counts, strict=True)] == [n for _, _, n, _ in brute(docs, items)]
+
+
+def test_each_slice_is_loaded_once_a_shard(spark, monkeypatch):
+    """Shards begin with the slice that the last one ended with."""
+    items = [(k, " ".join(f"w{k * 40 + j}" for j in range(40))) for k in range(30)]
+    slices = decontaminate._slices(spark.createDataFrame(items, "item_id long, text string"), 13, "item_id", "text", 2000)
+    loads, load = [], slices._load
+    monkeypatch.setattr(slices, "_load", lambda k: loads.append(k) or load(k))
+    assert slices.parts > 3
+    seen = [sum(len(b.items_of) for b in slices.each()) for _ in range(3)]
+    assert seen == [30] * 3 and len(loads) == 3 * slices.parts - 2
+
+
 def test_a_document_a_partition(spark):
     texts = ["x y", "", None, "x", "q " * 20, "a b c d e f g h i j k l m n", "...", "e d c b a"]
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartitionByRange(8, "doc_id")

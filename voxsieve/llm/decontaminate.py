@@ -1,27 +1,28 @@
 """Benchmark decontamination with suffix arrays over the training text.
 
 The documents of a batch form a shard, whose words make one text; the suffix array is over all of it, in order of the words
-from each place on, as deep as a window reaches. Words are numbered by the benchmark's vocabulary (0 for all others, which
-match nothing), so words are compared as they are, not by hashes. The window from every word of every benchmark item is
-searched by bisection, which gives all its occurrences; occurrences of successive windows at successive words make up the
-longest verbatim matches. Shards are independent, so nothing is shuffled.
+from each place on, as deep as a window reaches. Words are numbered by the shard's vocabulary, so words are compared as they
+are, not by hashes, and a shard is sorted once. The window from every word of every benchmark item, but for those with words that
+the shard hasn't, is searched by bisection, which gives all its occurrences; occurrences of successive windows at successive
+words make up the longest verbatim matches. Shards are independent, so nothing of the documents is shuffled.
 
 A window is so many consecutive words of an item; an item with fewer words, but not none, is one window. Words of a document
-inside an occurrence of a window are hit. The benchmark lies in the shared folder in slices of bounded text (an item is never
-split), of which a task holds one at a time and goes through all for each of its shards, so documents are read once whatever
-the benchmark's size. Windows are searched in blocks.
+inside an occurrence of a window are hit. The benchmark lies in the shared folder in slices of bounded text, already as words (an
+item is never divided). A task holds one slice at a time and goes through all for each of its shards, so documents are read once
+whatever the benchmark's size. Windows are searched in blocks.
 
 Defined results: texts are read whole, a text longer than a shard's bound being a shard of its own. Null and empty texts have no
-words; a document without words is never contaminated. Repeated documents are
-judged alike and kept apart; repeated items count once by their id; items without an id hit words but aren't listed. With no
-benchmark nothing is hit; tables without rows give none. Every occurrence counts, so there are no ties. Columns besides id and text
-aren't read by find_hits and pass through remove_contaminated unchanged, whatever their names.
+words; a document without words is never contaminated. Repeated documents are judged alike and kept apart; repeated items count
+once by their id; items without an id hit words but aren't listed. With no benchmark nothing is hit; tables without rows give
+none. Every occurrence counts, so there are no ties. Columns besides id and text aren't read by find_hits and pass through
+remove_contaminated unchanged, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +39,14 @@ WINDOW = 13
 SLICE_BYTES = 8 << 20
 #: Bytes of document text that make a shard, but for a single longer document, and windows searched at once.
 SHARD_BYTES, SEARCHED = 4 << 20, 1 << 15
+#: Times that much make a shard at most, where the benchmark has several slices.
+SHARDS_MOST = 4
 
 _TABLE = byte_table(ALPHANUMERIC)
 
 
 class Benchmark:
-    """One slice of the benchmark: its vocabulary, its words as numbers, and its windows.
+    """One slice of the benchmark: its distinct words, its words as places among them, and its windows.
 
     Windows are numbered over all distinct texts; begin, size, offset and part are a window's first word, number of words, place in
     its text and text; items_of has the names of the items with each text, None for those without.
@@ -54,69 +57,84 @@ class Benchmark:
         for i, t in zip(ids, texts, strict=True):
             named.setdefault(b" ".join(t.encode().translate(_TABLE).split()), set()).add(i)
         named.pop(b"", None)
-        self.items_of = [sorted(n, key=lambda i: (i is None, i or "")) for n in named.values()]
-        self.vocabulary: dict[bytes, int] = {}
-        number, words = self.vocabulary.setdefault, []
-        for t in named:
-            words.append(np.array([number(w, len(self.vocabulary) + 1) for w in t.split()], np.int32))
-        self.bits = max(1, (len(self.vocabulary)).bit_length())
-        #: Words that one 64-bit key holds.
-        self.packed = min(63 // self.bits, window)
-        counts = np.array([len(w) for w in words], np.int64)
+        place = defaultdict(count().__next__)
+        words = [_numbers(t.split(), place) for t in named]
+        items_of = [sorted(n, key=lambda i: (i is None, i or "")) for n in named.values()]
+        self._lay_out(list(place), np.concatenate([*words, np.empty(0, np.int32)]), np.array([len(w) for w in words], np.int64), items_of, window)
+
+    def _lay_out(self, vocabulary: list[bytes], numbers: np.ndarray, counts: np.ndarray, items_of: list[list[str | None]], window: int) -> None:
+        self.vocabulary, self.numbers, self.counts, self.items_of = vocabulary, numbers, counts, items_of
         sizes = np.minimum(window, counts)
         n = counts - sizes + 1
-        self.part = np.repeat(np.arange(len(words)), n)
+        self.part = np.repeat(np.arange(len(counts)), n)
         self.offset = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         self.size = sizes[self.part]
         self.begin = (np.cumsum(counts) - counts)[self.part] + self.offset
-        self.numbers = np.concatenate([*words, np.zeros(window, np.int32)])
-        self.deepest = int(sizes.max(initial=0))
 
-    def keys(self, which: slice, group: int) -> tuple[np.ndarray, np.ndarray]:
-        """The least and greatest key that the group-th so many words of each of these windows can stand for."""
-        low = np.zeros(len(self.begin[which]), np.int64)
-        high = low.copy()
-        for k in range(group * self.packed, (group + 1) * self.packed):
-            inside = k < self.size[which]
-            word = np.where(inside, self.numbers[self.begin[which] + k], 0)
-            low = (low << self.bits) | word
-            high = (high << self.bits) | np.where(inside, word, (1 << self.bits) - 1)
-        return low, high
+    def row(self) -> dict:
+        """What read() makes the slice from: no text is split again."""
+        return {"vocabulary": b" ".join(self.vocabulary), "numbers": self.numbers.tobytes(), "counts": self.counts.tobytes(), "items": self.items_of}
+
+    @classmethod
+    def read(cls, row: dict, window: int) -> Benchmark:
+        own = cls.__new__(cls)
+        own._lay_out(row["vocabulary"].split(), np.frombuffer(row["numbers"], np.int32), np.frombuffer(row["counts"], np.int64), row["items"], window)
+        return own
 
 
 class Shard:
-    """A shard's words as numbers with their suffix array. first: for each text its first word's place; a 0 closes each text."""
+    """A shard's words as numbers with their suffix array. first: for each text its first word's place; a 0 closes each text.
+
+    Words are numbered from 1 by the shard's own vocabulary, so that one sorting serves all slices of the benchmark.
+    """
 
-    def __init__(self, texts: list[bytes], bench: Benchmark):
-        number = bench.vocabulary.get
-        found, end = [], np.zeros(1, np.int32)
-        counts = np.empty(len(texts), np.int64)
+    def __init__(self, texts: list[bytes], depth: int):
+        number, end = defaultdict(count(1).__next__), np.zeros(1, np.int32)
+        found, counts = [], np.empty(len(texts), np.int64)
         for k, t in enumerate(texts):
-            words = t.translate(_TABLE).split()
+            words = _numbers(t.translate(_TABLE).split(), number)
             counts[k] = len(words)
-            found += [np.fromiter(map(number, words, repeat(0)), np.int32, len(words)), end]
-        self.counts = counts
+            found += [words, end]
+        self.vocabulary, self.counts, self.depth = dict(number), counts, depth
         self.first = np.cumsum(counts + 1) - (counts + 1)
         text = np.concatenate(found) if found else end
+        self.bits = max(1, len(number).bit_length())
+        #: Words that one 64-bit key holds.
+        self.packed = min(63 // self.bits, depth)
         # the words from each place on, so many in a key
         self.key = np.zeros(len(text), np.int64)
-        for k in range(bench.packed):
-            self.key <<= bench.bits  # beyond the end stand zeros
+        for k in range(self.packed):
+            self.key <<= self.bits  # beyond the end stand zeros
             self.key[: max(0, len(text) - k)] |= text[k:]
-        self.order = suffix_array(self.key, bench.packed, bench.deepest)
+        self.order = suffix_array(self.key, self.packed, depth)
         self.sorted = self.key[self.order]
 
-    def search(self, bench: Benchmark, which: slice) -> tuple[np.ndarray, np.ndarray]:
-        """Where in the suffix array each of these windows begins and ends to be what suffixes begin with."""
-        least, most = bench.keys(which, 0)
+    def words(self, bench: Benchmark) -> np.ndarray:
+        """The slice's words as the shard numbers them, 0 for those that it hasn't."""
+        return np.fromiter(map(self.vocabulary.get, bench.vocabulary, repeat(0)), np.int32, len(bench.vocabulary))[bench.numbers]
+
+    def _keys(self, words: np.ndarray, begin: np.ndarray, size: np.ndarray, group: int) -> tuple[np.ndarray, np.ndarray]:
+        """The least and greatest key that the group-th so many words of each of these windows can stand for."""
+        low = np.zeros(len(begin), np.int64)
+        high = low.copy()
+        for k in range(group * self.packed, (group + 1) * self.packed):
+            inside = k < size
+            word = np.where(inside, words[np.minimum(begin + k, len(words) - 1)], 0)
+            low = (low << self.bits) | word
+            high = (high << self.bits) | np.where(inside, word, (1 << self.bits) - 1)
+        return low, high
+
+    def search(self, words: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in the suffix array each of these windows of words begins and ends to be what suffixes begin with."""
+        least, most = self._keys(words, begin, size, 0)
         low, high = np.searchsorted(self.sorted, least, "left"), np.searchsorted(self.sorted, most, "right")
-        for group in range(1, -(-bench.deepest // bench.packed)):
-            k = np.flatnonzero((low < high) & (bench.size[which] > group * bench.packed))
+        for group in range(1, -(-self.depth // self.packed)):
+            k = np.flatnonzero((low < high) & (size > group * self.packed))
             if not len(k):
                 break
-            least, most = bench.keys(which, group)
-            first = self._bisect(low[k], high[k], least[k], group * bench.packed, False)
-            low[k], high[k] = first, self._bisect(first, high[k], most[k], group * bench.packed, True)
+            least, most = self._keys(words, begin[k], size[k], group)
+            first = self._bisect(low[k], high[k], least, group * self.packed, False)
+            low[k], high[k] = first, self._bisect(first, high[k], most, group * self.packed, True)
         return low, high
 
     def _bisect(self, low: np.ndarray, high: np.ndarray, sought: np.ndarray, ahead: int, beyond: bool) -> np.ndarray:
@@ -132,6 +150,11 @@ class Shard:
         return low
 
 
+def _numbers(words: list[bytes], number: defaultdict) -> np.ndarray:
+    """Words as numbers; number gives each new word the next one."""
+    return np.fromiter(map(number.__getitem__, words), np.int32, len(words))
+
+
 def suffix_array(key: np.ndarray, span: int, depth: int) -> np.ndarray:
     """Places in order of the words from there on, so many deep at least. key has the order of the first span words.
 
@@ -153,16 +176,18 @@ def suffix_array(key: np.ndarray, span: int, depth: int) -> np.ndarray:
 
 
 def occurrences(shard: Shard, bench: Benchmark) -> tuple[np.ndarray, np.ndarray]:
-    """(place, window) of every occurrence of every window in a shard."""
-    places, windows = [], []
-    for at in range(0, len(bench.begin), SEARCHED):
-        low, high = shard.search(bench, slice(at, at + SEARCHED))
+    """(place, window) of every occurrence of every window in a shard. Windows with words that the shard hasn't need no search."""
+    words, places, windows = shard.words(bench), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    lacking = np.append(0, np.cumsum(words == 0))
+    able = np.flatnonzero(lacking[bench.begin + bench.size] == lacking[bench.begin])
+    for at in range(0, len(able), SEARCHED):
+        which = able[at : at + SEARCHED]
+        low, high = shard.search(words, bench.begin[which], bench.size[which])
         n = np.maximum(high - low, 0)
         nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         places.append(shard.order[np.repeat(low, n) + nth])
-        windows.append(at + np.repeat(np.arange(len(n)), n))
-    flat = lambda parts: np.concatenate(parts).astype(np.int64) if parts else np.empty(0, np.int64)
-    return flat(places), flat(windows)
+        windows.append(np.repeat(which, n))
+    return np.concatenate(places), np.concatenate(windows)
 
 
 def longest_matches(shard: Shard, bench: Benchmark, at: np.ndarray, window: np.ndarray) -> np.ndarray:
@@ -198,7 +223,7 @@ def hit_places(shard: Shard, bench: Benchmark, at: np.ndarray, window: np.ndarra
     return np.cumsum(cover)[:-1] > 0
 
 
-def _shards(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[pa.Table, list[bytes]]]:
+def _shards(batches: Iterator[pa.RecordBatch], text_at: int, shard_bytes: int) -> Iterator[tuple[pa.Table, list[bytes]]]:
     """One shard after another: its rows, and their texts as bytes."""
     held, texts, size = [], [], 0
     for batch in batches:
@@ -207,7 +232,7 @@ def _shards(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[p
             raw = (text or "").encode()
             texts.append(raw)
             size += len(raw)
-            if size >= SHARD_BYTES:
+            if size >= shard_bytes:
                 held.append(batch.slice(begin, k + 1 - begin))
                 yield pa.Table.from_batches(held), texts
                 held, texts, size, begin = [], [], 0, k + 1
@@ -218,16 +243,29 @@ def _shards(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[p
 
 
 class Slices:
-    """The benchmark's slices in the shared folder. A Python worker keeps the one that it read last."""
+    """The benchmark's slices in the shared folder, split into words once. A Python worker keeps the one that it read last.
+
+    Shards are larger where there are several slices, within a bound, so that each is read for more text.
+    """
 
     def __init__(self, items: DataFrame, window: int, slice_bytes: int):
+        items = items.distinct()
         size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         self.at, self.parts, self.window = new_path(items.sparkSession, "benchmark"), max(1, -(-size // slice_bytes)), window
+        self.shard_bytes = SHARD_BYTES * min(self.parts, SHARDS_MOST)
         dealt = items.withColumn("slice", F.pmod(F.xxhash64("text"), F.lit(self.parts)))
-        dealt.repartition(self.parts, "slice").write.partitionBy("slice").parquet(self.at)
+
+        def split(key: tuple, rows: pa.Table) -> pa.Table:
+            own = Benchmark(rows["id"].to_pylist(), rows["text"].to_pylist(), window).row()
+            return pa.Table.from_pylist([{"slice": key[0].as_py(), **own}], schema=_ROW)
+
+        dealt.groupBy("slice").applyInArrow(split, "slice long, vocabulary binary, numbers binary, counts binary, items array<array<string>>").write.partitionBy("slice").parquet(self.at)
 
     def each(self) -> Iterator[Benchmark]:
-        for k in range(self.parts):
+        """All slices, from the one at hand on."""
+        first = _LAST["slice"][1] if _LAST.get("slice", ("",))[0] == self.at else 0
+        for k in range(first, first + self.parts):
+            k %= self.parts
             if _LAST.get("slice") != (self.at, k):
                 _LAST.clear()
                 _LAST.update(slice=(self.at, k), bench=self._load(k))
@@ -236,12 +274,14 @@ class Slices:
     def _load(self, k: int) -> Benchmark:
         store, base = pafs.FileSystem.from_uri(f"{self.at}/slice={k}")
         found = store.get_file_info(pafs.FileSelector(base, allow_not_found=True))
-        tables = [pq.read_table(f.path, filesystem=store, columns=["id", "text"], partitioning=None) for f in found if f.path.endswith(".parquet")]
-        rows = pa.concat_tables(tables).to_pydict() if tables else {"id": [], "text": []}
-        return Benchmark(rows["id"], rows["text"], self.window)
+        for f in found:
+            if f.path.endswith(".parquet"):
+                return Benchmark.read(pq.read_table(f.path, filesystem=store, partitioning=None).to_pylist()[0], self.window)
+        return Benchmark([], [], self.window)
 
 
 _LAST: dict = {}
+_ROW = pa.schema([("slice", pa.int64()), ("vocabulary", pa.binary()), ("numbers", pa.binary()), ("counts", pa.binary()), ("items", pa.list_(pa.list_(pa.string())))])
 
 
 def _slices(items: DataFrame, window: int, item_id_col: str, item_text_col: str, slice_bytes: int) -> Slices:
@@ -265,19 +305,18 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longs = pa.list_(pa.int64())
-        for table, texts in _shards(batches, 1):
-            hit = counts = None
+        for table, texts in _shards(batches, 1, slices.shard_bytes):
+            shard = Shard(texts, window)
+            counts, first, hit = shard.counts, shard.first, np.zeros(len(shard.key), bool)
             found: list[dict[tuple, None]] = [{} for _ in texts]
             named: list[set[str | None]] = [set() for _ in texts]
             for bench in slices.each():
-                shard = Shard(texts, bench)
                 at, windows = occurrences(shard, bench)
                 for d, text in texts_found(shard, bench, at, windows).tolist():
                     named[d].update(bench.items_of[text])
                 for d, word, text, item_word, length in longest_matches(shard, bench, at, windows).tolist() if with_matches else ():
                     found[d].update(dict.fromkeys((name, item_word, word, length) for name in bench.items_of[text]))
-                own = hit_places(shard, bench, at, windows)
-                hit, counts, first = own if hit is None else hit | own, shard.counts, shard.first
+                hit |= hit_places(shard, bench, at, windows)
             starts, ends, names, matches = [], [], [], []
             for k, rows_of in enumerate(found):
                 edge = np.diff(hit[first[k] : first[k] + counts[k]].astype(np.int8), prepend=0, append=0) if named[k] else np.empty(0, np.int8)
@@ -304,14 +343,13 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     text_at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, texts in _shards(batches, text_at):
-            hit = None
+        for table, texts in _shards(batches, text_at, slices.shard_bytes):
+            shard = Shard(texts, window)
+            hit = np.zeros(len(shard.key), bool)
             for bench in slices.each():
-                shard = Shard(texts, bench)
-                own = hit_places(shard, bench, *occurrences(shard, bench))
-                hit, counts, first = own if hit is None else hit | own, shard.counts, shard.first
-            n_hit = np.diff(np.concatenate([[0], np.cumsum(hit)])[np.append(first, len(hit))])
-            bad = (n_hit > 0) & (20 * n_hit >= counts)
+                hit |= hit_places(shard, bench, *occurrences(shard, bench))
+            n_hit = np.diff(np.concatenate([[0], np.cumsum(hit)])[np.append(shard.first, len(hit))])
+            bad = (n_hit > 0) & (20 * n_hit >= shard.counts)
             yield from table.filter(pa.array(~bad)).to_batches(max_chunksize=1000)
 
     return through(docs, run)
