@@ -98,14 +98,15 @@ def test_tiny_shards_equal_brute_force():
         bench = decontaminate.Benchmark(*map(list, zip(*items, strict=True)), 13)
         for n in range(21):
             for texts in ([" ".join(f"w{x}" for x in rng.choices(range(v + 2), k=n))], [items[k % 7][1].rsplit(" ", 40 - n)[0] for k in range(n % 4)] + [""] * (n % 3)):
-                shard = decontaminate.Shard([t.encode() for t in texts], 13)
-                at, windows = decontaminate.occurrences(shard, bench)
-                hit = decontaminate.hit_places(shard, bench, at, windows)
-                named = [set() for _ in texts]
-                for d, p in decontaminate.texts_found(shard, bench, at, windows).tolist():
-                    named[d].update(bench.items_of[p])
-                got = [(k, int(c), int(hit[a : a + c].sum()), sorted(i)) for k, (a, c, i) in enumerate(zip(shard.first, shard.counts, named, strict=True))]
-                assert got == brute(list(enumerate(texts)), items)
+                for known in (None, bench.vocabulary):
+                    shard = decontaminate.Shard([t.encode() for t in texts], 13, known)
+                    at, windows = decontaminate.occurrences(shard, bench)
+                    hit = decontaminate.hit_places(shard, bench, at, windows)
+                    named = [set() for _ in texts]
+                    for d, p in decontaminate.texts_found(shard, bench, at, windows).tolist():
+                        named[d].update(bench.items_of[p])
+                    got = [(k, int(c), int(hit[a : a + c].sum()), sorted(i)) for k, (a, c, i) in enumerate(zip(shard.first, shard.counts, named, strict=True))]
+                    assert got == brute(list(enumerate(texts)), items)
 
 
 def test_short_items_after_many_words():

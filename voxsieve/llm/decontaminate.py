@@ -21,7 +21,7 @@ remove_contaminated unchanged, whatever their names.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import count, repeat
 
 import numpy as np
@@ -85,16 +85,19 @@ class Benchmark:
 class Shard:
     """A shard's words as numbers with their suffix array. first: for each text its first word's place; a 0 closes each text.
 
-    Words are numbered from 1 by the shard's own vocabulary, so that one sorting serves all slices of the benchmark.
+    Words are numbered from 1 by the shard's own vocabulary, so that one sorting serves all slices of the benchmark. Where known
+    has all words of the benchmark, others are 0 and match nothing, which is less to number and to sort.
     """
 
-    def __init__(self, texts: list[bytes], depth: int):
+    def __init__(self, texts: list[bytes], depth: int, known: Iterable[bytes] | None = None):
         number, end = defaultdict(count(1).__next__), np.zeros(1, np.int32)
         found, counts = [], np.empty(len(texts), np.int64)
+        if known is not None:
+            number = dict(zip(known, count(1)))
         for k, t in enumerate(texts):
-            words = _numbers(t.translate(_TABLE).split(), number)
+            words = t.translate(_TABLE).split()
             counts[k] = len(words)
-            found += [words, end]
+            found += [_numbers(words, number) if known is None else np.fromiter(map(number.get, words, repeat(0)), np.int32, len(words)), end]
         self.vocabulary, self.counts, self.depth = dict(number), counts, depth
         self.first = np.cumsum(counts + 1) - (counts + 1)
         text = np.concatenate(found) if found else end
@@ -261,6 +264,9 @@ class Slices:
 
         dealt.groupBy("slice").applyInArrow(split, "slice long, vocabulary binary, numbers binary, counts binary, items array<array<string>>").write.partitionBy("slice").parquet(self.at)
 
+    def shard(self, texts: list[bytes]) -> Shard:
+        return Shard(texts, self.window, next(self.each()).vocabulary if self.parts == 1 else None)
+
     def each(self) -> Iterator[Benchmark]:
         """All slices, from the one at hand on."""
         first = _LAST["slice"][1] if _LAST.get("slice", ("",))[0] == self.at else 0
@@ -306,7 +312,7 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longs = pa.list_(pa.int64())
         for table, texts in _shards(batches, 1, slices.shard_bytes):
-            shard = Shard(texts, window)
+            shard = slices.shard(texts)
             counts, first, hit = shard.counts, shard.first, np.zeros(len(shard.key), bool)
             found: list[dict[tuple, None]] = [{} for _ in texts]
             named: list[set[str | None]] = [set() for _ in texts]
@@ -344,7 +350,7 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, texts in _shards(batches, text_at, slices.shard_bytes):
-            shard = Shard(texts, window)
+            shard = slices.shard(texts)
             hit = np.zeros(len(shard.key), bool)
             for bench in slices.each():
                 hit |= hit_places(shard, bench, *occurrences(shard, bench))
