@@ -201,6 +201,46 @@ def test_pii_query_and_redaction(spark, data_dir):
         assert set(told) <= set(filter(None, r.spans.split(",")))
 
 
+def plain_entities(text, model):
+    """All ways to cut each zone into segments, scored one by one from the zone's end; (kind, start, end) of the best."""
+    out = []
+    for a, b in pii.zones(text):
+        atoms = [m.span() for m in pii._ATOM.finditer(text, a, b)]
+        by_start = {}
+        for i, size, features in plain_candidates(text, a, b):
+            by_start.setdefault(i, []).append((size, [sum(model.weights[f, y] for f in features) for y in range(4)]))
+        best = {(len(atoms), last): (0.0, None) for last in range(5)}
+        for t in range(len(atoms) - 1, -1, -1):
+            ways = [(best[t + 1, 4][0], 4, 1)] + [(w[y] + best[t + size, y][0], y, size) for size, w in by_start.get(t, ()) for y in range(4)]
+            for last in range(5):
+                best[t, last] = max(((model.follows[last, y] + w, (y, size)) for w, y, size in ways), key=lambda x: x[0])
+        t, last = 0, 4
+        while t < len(atoms):
+            y, size = best[t, last][1]
+            if y < 4:
+                out.append((y, atoms[t][0], atoms[t + size - 1][1]))
+            t, last = t + size, y
+    return out
+
+
+def test_pii_query_adds_what_the_exhaustive_segmentation_adds(spark, data_dir, tmp_path):
+    """Over the given documents, and some with entities that the base patterns miss or meet."""
+    rng = random.Random(8)
+    own = ["call (415) 555-0123 now", "card 4111.1111.1111.1111 ok, or 4111 1111 1111 1111", "a@b.co or x @ y . zz", "(415) 555-0123 and +1 (415) 555-0123\n10.0.0.1 is 10 . 0 . 0 . 1", *[t for t, _ in pii.made_up(rng, 60)]]
+    given = spark.read.parquet(f"{data_dir}/documents.parquet").select("doc_id", "text")
+    given.unionByName(spark.createDataFrame([(10**9 + k, t) for k, t in enumerate(own)], "doc_id long, text string")).write.parquet(f"{tmp_path}/documents.parquet")
+    frame = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    model = pii.fit(frame)
+    got = {r.doc_id: r.spans for r in queries.op1_pii(spark, str(tmp_path)).collect()}
+    added = 0
+    for r in frame.collect():
+        base = plain_base(r.text or "")
+        more = [(y, a, b) for y, a, b in plain_entities(r.text or "", model) if all(b <= c or d <= a for _, c, d in base)]
+        assert got[r.doc_id] == ",".join(f"{pii.KINDS[y]}:{a}:{b}" for y, a, b in sorted([*base, *more]))
+        added += len(more)
+    assert added
+
+
 def test_pii_of_odd_rows(spark, crf):
     frame = spark.createDataFrame([(1, None, "k"), (None, "a@b.co 1.2.3.4", None), (2, "", "k"), (2, "é+1 (555) 555-0100", "k")], "doc_id long, text string, spans string")
     rows = pii.find(frame, crf, redact=True).collect()

@@ -50,3 +50,24 @@ def test_stages_keep_columns_and_take_odd_rows(spark, data_dir, tmp_path):
             assert name == "bpe" or out.schema == docs.schema
             docs = out
         assert docs.count() <= len(own)
+
+
+def test_which_odd_rows_stay(spark, data_dir):
+    """Every stage on rows of its own: nulls, empty and very long texts, repeated rows and ids, one short document."""
+    rows = [(1, None), (None, ""), (None, None), (3, "a b c d e f g"), (3, "a b c d e f g"), (4, "call +1 (555) 555-0100 or x@y.zz"), (5, "w " * 30_000), (None, "x y"), (None, "x y")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 7) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").checkpoint()
+    stages = dict(corpus_pipeline.STAGES)
+    order = lambda x: (x[0] is None, x[0] or 0, x[1] or "")
+    found = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=order)
+    voters = quality.fit(docs, spark.read.parquet(f"{data_dir}/labels.parquet"), fold("id", 4) != 2)
+    scores = voters.vote([t or "" for _, t in rows])
+    assert found(stages["quality"](spark, docs, data_dir)) == sorted((r for r, s in zip(rows, scores, strict=True) if s >= 0.7), key=order)
+    assert found(stages["near_dedup"](spark, docs, data_dir)) == sorted([rows[0], rows[3], rows[5], rows[6], rows[7]], key=order)
+    assert found(stages["decontaminate"](spark, docs, data_dir)) == sorted(rows, key=order)
+    assert found(stages["pii"](spark, docs, data_dir)) == sorted([r if r[0] != 4 else (4, "call [PHONE] or [EMAIL]") for r in rows], key=order)
+    ids = {(r.doc_id, r.n_tokens, len(r.ids)) for r in stages["bpe"](spark, docs, data_dir).collect()}
+    assert {(i, n) for i, n, _ in ids if n == 0} == {(1, 0), (None, 0)} and all(size == 4 * n for _, n, size in ids) and {i for i, _, _ in ids} == {None, 1, 3, 4, 5}
+    for text in ("x y", "", None):
+        one = spark.createDataFrame([(6, text, "en", "s", 3)], docs.schema)
+        for name in ("near_dedup", "decontaminate", "pii"):
+            assert found(stages[name](spark, one, data_dir)) == [(6, text)]
