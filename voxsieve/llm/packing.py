@@ -9,7 +9,8 @@ cumulative segment lengths of each row and the places where positions start anew
 partition and is moved into place when complete, so a task that runs again after a loss replaces it by an equal one.
 
 Defined results: a null or empty text has no ids and no piece; repeated rows are packed as often as they occur; an empty
-table gives no file. Ties among pieces of equal length keep the order of the rows. Other columns aren't read.
+table gives no file. Ties among pieces of equal length keep the order of the rows. A text of any length is read whole and split
+into as many pieces as it needs. Other columns aren't read, so their names clash with nothing.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ by tile of bounded size, by an index of the tile's shingles. So a large group of
 
 Defined results: words as in simhash (white space of ASCII, its capitals as small letters); a text of fewer words than a shingle
 is one shingle, a text without words resembles only others without. Null texts count as empty. Shingles are 64-bit hashes of
-words' 128-bit hashes, sets are taken for equal by 128 bits. Columns besides the text aren't read.
+words' 128-bit hashes, sets are taken for equal by 128 bits. Texts of any length are read whole. Repeated rows resemble each
+other and one of them stays; of a component the row with the smallest id does, one without an id only where none has one, and of
+rows that tie the one that is read first. Empty tables give empty ones. Columns besides id and text aren't read, but pass through.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ some value is within one bit of both) and linear. Links then grow together to co
 
 Defined results: null and empty texts have the fingerprint zero and link like any other. Exact copies share one fingerprint
 and are never paired. A component is named by its smallest id; null ids are named too but never name one, unless no row of the
-component has an id. Repeated rows are rows of their own. Columns besides id and text aren't read.
+component has an id. Repeated rows are rows of their own. Texts of any length are read whole; an empty table gives no rows.
+Columns besides id and text aren't read, so their names clash with nothing.
 """
 
 from __future__ import annotations
