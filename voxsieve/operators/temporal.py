@@ -9,11 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from contextlib import AbstractContextManager, nullcontext
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import GridConfig
+from ..functions.geometry import uniform
 from ..sources.shared import attach, new_path, written
 from .sampling import fill, judged
 from .stats import block_histogram
@@ -89,45 +92,153 @@ def error_step(now: DataFrame, before: DataFrame | None, flags_before: DataFrame
 
 
 class StepTables:
-    """Samples and flags of successive timesteps, each a partition of two tables in the shared folder."""
+    """Samples and flags of successive timesteps in two tables in the shared folder, written piece by piece.
 
-    SHAPES = {"samples": "gid long, block_id int, value double, kind string", "flags": "block_id int, reused boolean"}
+    A piece is a timestep or a run of them, named by its first one and by the batch that brought it. It counts once its samples
+    are there, which are written last.
+    """
+
+    SHAPES = {"samples": "t int, gid long, block_id int, value double, kind string", "flags": "t int, block_id int, reused boolean"}
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
-    def keep(self, rows: DataFrame, name: str, t: int) -> DataFrame:
-        """Write a timestep's rows, in place of what may be there, and return them."""
-        rows.drop("t").write.mode("overwrite").parquet(f"{self.folder}/{name}/t={t}")
-        return self.load(name, t)
+    def keep(self, rows: DataFrame, name: str, first: int, batch: int = 0) -> DataFrame:
+        """Write a piece, in place of what may be there, and return it."""
+        path, columns = f"{self.folder}/{name}/batch={batch}/piece={first}", [c.split()[0] for c in self.SHAPES[name].split(", ")]
+        rows.select(*columns).write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(self.SHAPES[name]).parquet(path)
 
-    def load(self, name: str, t: int) -> DataFrame:
-        return self.spark.read.schema(self.SHAPES[name]).parquet(f"{self.folder}/{name}/t={t}").withColumn("t", F.lit(t))
+    def pieces(self) -> list[tuple[int, int]]:
+        """(batch, first timestep) of the pieces that count."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/samples")
+        store = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = store.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(at, "batch=*/piece=*/_SUCCESS")) if store.exists(at) else None
+        names = [(f.getPath().getParent().getParent().getName(), f.getPath().getParent().getName()) for f in found or ()]
+        return sorted((int(b.partition("=")[2]), int(p.partition("=")[2])) for b, p in names)
 
     def whole(self, name: str) -> DataFrame:
-        """(t, ...) of all timesteps kept."""
-        shape = f"t int, {self.SHAPES[name]}"
-        found = self.spark.read.schema(shape).parquet(f"{self.folder}/{name}") if self.times() else self.spark.createDataFrame([], shape)
-        return found.select("t", *[c for c in found.columns if c != "t"])
+        """(t, ...) of all pieces that count, with their batch."""
+        kept, shape = self.pieces(), f"{self.SHAPES[name]}, batch int, piece int"
+        if not kept:
+            return self.spark.createDataFrame([], shape).drop("piece")
+        found = self.spark.read.schema(shape).parquet(f"{self.folder}/{name}")
+        return found.join(F.broadcast(self.spark.createDataFrame(kept, "batch int, piece int")), ["batch", "piece"]).drop("piece").select(*[c for c in found.columns if c != "piece"])
 
-    def times(self) -> list[int]:
-        """The timesteps that both tables have, in order."""
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/samples")
-        store = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return sorted(int(f.getPath().getName()[2:]) for f in (store.listStatus(at) if store.exists(at) else ()) if f.getPath().getName().startswith("t="))
+
+#: Cells that one task decides timestep after timestep, and up to how many timesteps are decided by a job each all the same.
+RUN_CELLS, FEW = 1 << 18, 8
 
 
-def temporal_error_sample_filled(field: DataFrame, cfg: GridConfig, cells: DataFrame | None = None, clock: Callable[[str, int], AbstractContextManager] = lambda step, t: nullcontext()) -> tuple[DataFrame, DataFrame]:
+def by_runs(times: int, cfg: GridConfig) -> bool:
+    """Whether so many timesteps are decided by runs. Large timesteps are not: each is a job over many tasks, of which there are then no more than the cells make up for."""
+    return times > FEW and 2 * cfg.cells <= RUN_CELLS
+
+
+_START = "run long, t int, block_id int, reused boolean, sampled boolean, gid long, value double"
+
+
+def _decided(cells: pd.DataFrame, start: pd.DataFrame, cfg: GridConfig) -> pd.DataFrame:
+    """Flags of a run's timesteps, and the samples of its last one, given those rows of the timestep before the run (or none).
+
+    A sample without a value takes no part in errors and is left out. Rows are put in order, so that sums are the same each time.
+    """
+    cells = cells.sort_values(["t", "block_id", "gid", "value", "u"], ignore_index=True)
+    start = start.sort_values(["sampled", "block_id", "gid", "value"], ignore_index=True)
+    columns = {c: cells[c].to_numpy() for c in ("block_id", "gid", "value", "known", "taken", "u")}
+    edges = np.flatnonzero(np.diff(cells["t"].to_numpy(), prepend=np.int64(-1) << 40)).tolist() + [len(cells)]
+    sampled, budget, out, t_before = start["sampled"].to_numpy(bool), int(cfg.ratio * cfg.cells), [], None
+    if len(start):
+        t_before, regions, was = int(start["t"][0]), start["block_id"].to_numpy()[~sampled], start["reused"].to_numpy(bool)[~sampled]
+        gids, values = start["gid"].to_numpy()[sampled], start["value"].to_numpy()[sampled]
+    for a, b in zip(edges, edges[1:], strict=False):
+        t, (block, gid, value, known, taken, u) = int(cells["t"].iat[a]), (c[a:b] for c in columns.values())
+        blocks, at = np.unique(block, return_inverse=True)
+        reused = np.zeros(len(blocks), bool)
+        if t_before == t - 1:
+            order = np.argsort(gids, kind="stable")
+            gids, values = gids[order], values[order]
+            low = np.searchsorted(gids, gid, "left")
+            n = np.where(known, np.searchsorted(gids, gid, "right") - low, 0)
+            cell = np.repeat(np.arange(b - a), n)
+            gap = value[cell] - values[np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)]
+            met = np.bincount(at[cell], minlength=len(blocks))
+            sums = np.bincount(at[cell], gap * gap, len(blocks))
+            may = np.zeros(len(blocks), bool)
+            may[met > 0] = np.sqrt(sums[met > 0] / met[met > 0]) <= cfg.error_threshold
+            reused = may & ~np.isin(blocks, regions[was])
+        free = ~reused[at]
+        had, n_open = int((taken & free).sum()), int((~reused).sum())
+        rate = (budget - had) / n_open / cfg.block_volume if reused.any() and n_open and had < budget else 0.0
+        drawn = free & ~taken & (u < rate)
+        added = np.bincount(at[drawn], minlength=len(blocks))
+        stops = np.flatnonzero((added > 0) & (had + np.cumsum(added) >= budget))
+        own = (free & taken) | (drawn & (at < stops[0]) if len(stops) else drawn)
+        out.append((np.full(len(blocks), t), blocks, reused))
+        own &= known
+        t_before, regions, was, gids, values = t, blocks, reused, gid[own], value[own]
+    if not out:
+        return pd.DataFrame(columns=["t", "block_id", "reused", "sampled", "gid", "value"])
+    flags = pd.DataFrame({k: np.concatenate(c) for k, c in zip(("t", "block_id", "reused"), zip(*out, strict=True), strict=True)})
+    ends = pd.DataFrame({"t": t_before, "block_id": block[own], "reused": False, "sampled": True, "gid": gids, "value": values})
+    return pd.concat([flags.assign(sampled=False, gid=0, value=0.0), ends], ignore_index=True)
+
+
+def flags_by_runs(cells: DataFrame, cfg: GridConfig, before: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(t, block_id, reused) of error reuse with fill for many small timesteps of judged cells; before has samples and flags of earlier ones.
+
+    A timestep's flags follow from the samples and flags of the one before it. Timesteps are cut into runs of RUN_CELLS cells or
+    so, and each run is one task's work. All runs are decided at once, as if nothing came before them; then those whose start was
+    another than assumed are decided again, until none is. So the first run is right at once and each round makes one more right
+    at least. Mostly two or three rounds do, as flags depend little on what was long ago.
+    """
+    spark, steps = cells.sparkSession, max(1, RUN_CELLS // cfg.cells)
+    run, path = F.floor(F.col("t") / F.lit(steps)).cast("long").alias("run"), new_path(cells.sparkSession, "runs")
+    rows = cells.select(run, "t", "gid", "block_id", F.coalesce("value", F.lit(0.0)).alias("value"), F.col("value").isNotNull().alias("known"), "taken", uniform("fill", F.col("t"), F.col("gid"), cfg).alias("u"))
+    rows.repartition("run").write.partitionBy("run").parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path)
+    given = spark.createDataFrame([], _START)
+    if before is not None:
+        first = rows.agg(F.min("t")).first()[0]
+        last, at = F.col("t") == first - 1, F.lit(first // steps).cast("long").alias("run")
+        none = (F.lit(False).alias("sampled"), F.lit(0).cast("long").alias("gid"), F.lit(0.0).alias("value"))
+        samples = before[0].where(last & F.col("value").isNotNull()).select(at, "t", "block_id", F.lit(False).alias("reused"), F.lit(True).alias("sampled"), "gid", "value")
+        given = written(samples.unionByName(before[1].where(last).select(at, "t", "block_id", "reused", *none)), "starts")
+
+    def decide(rows: DataFrame, starts: DataFrame) -> DataFrame:
+        work = lambda key, cells, start: _decided(cells, start, cfg).assign(run=key[0])[[c.split()[0] for c in _START.split(", ")]]
+        return rows.groupBy("run").cogroup(starts.groupBy("run")).applyInPandas(work, _START)
+
+    assumed, found = given, written(decide(rows, given), "decided")
+    while True:
+        lasts = found.groupBy("run").agg(F.max("t").alias("t"))
+        ends = attach(found, lasts, ["run", "t"]).select((F.col("run") + 1).alias("run"), "t", "block_id", "reused", "sampled", "gid", "value")
+        starts = written(ends.unionByName(given), "starts")
+        changed = [r.run for r in starts.exceptAll(assumed).unionByName(assumed.exceptAll(starts)).select("run").distinct().collect()]
+        if not changed:
+            return found.where("not sampled").select("t", "block_id", "reused")
+        of = F.col("run").isin(changed)
+        found, assumed = written(found.where(~of).unionByName(decide(rows.where(of), starts.where(of))), "decided"), starts
+
+
+def temporal_error_sample_filled(field: DataFrame, cfg: GridConfig, cells: DataFrame | None = None, clock: Callable[[str, int | None], AbstractContextManager] = lambda step, t: nullcontext()) -> tuple[DataFrame, DataFrame]:
     """(samples, blocks) by error reuse with fill.
 
     What fill draws depends on how many regions reuse, and the next timestep is compared with all samples, fill included, so
-    timesteps follow one another: each is a distributed job over its own cells, a partition of their table, and its samples and
-    flags are partitions of two tables in the shared folder. cells is judged(), if it is there already; clock(step, t) surrounds
-    the parts of a timestep.
+    timesteps follow one another. Many small ones are decided by runs (flags_by_runs), and then filled all at once. Few or large
+    ones are a distributed job each over its own cells, a partition of their table, and its samples and flags are pieces of two
+    tables in the shared folder. cells is judged(), if it is there already; clock(step, t) surrounds the parts of a timestep, or
+    of all timesteps together where t is None.
     """
     spark = field.sparkSession
-    cells, path = judged(field, cfg) if cells is None else cells, new_path(spark, "judged")
-    schema = cells.schema
+    cells = written(judged(field, cfg), "judged") if cells is None else cells
+    if by_runs(cells.agg(F.count_distinct("t")).first()[0], cfg):
+        with clock("comparison", None):
+            flags = written(flags_by_runs(cells, cfg), "flags")
+        with clock("fill", None):
+            samples = written(own_samples(cells, flags).unionByName(fill(cells, flags, cfg)), "samples")
+        return samples, blocks_of(samples, flags)
+    path, schema = new_path(spark, "judged"), cells.schema
     cells.write.partitionBy("t").parquet(path)
     cells = spark.read.schema(schema).parquet(path)
     tables, last = StepTables(spark, new_path(spark, "steps")), None
@@ -139,7 +250,7 @@ def temporal_error_sample_filled(field: DataFrame, cfg: GridConfig, cells: DataF
         with clock("fill", t):
             own = tables.keep(own_samples(now, flags).unionByName(fill(now, flags, cfg)), "samples", t)
         last = (t, own, flags)
-    samples, flags = tables.whole("samples"), tables.whole("flags")
+    samples, flags = tables.whole("samples").drop("batch"), tables.whole("flags").drop("batch")
     return samples, blocks_of(samples, flags)
 
 

@@ -1,8 +1,8 @@
 """Error reuse with fill as a stream: each batch brings timesteps, which are judged, decided and filled up one after another.
 
-What a timestep keeps are partitions of the two tables that the batch form writes too (temporal.StepTables), and the timestep
+What a timestep keeps is in pieces of the two tables that the batch form writes too (temporal.StepTables), and the timestep
 after it reads them from there, so nothing else has to be remembered. A batch is made idempotent by its number: what it wrote
-carries the number, a batch that comes again after a failure writes the same partitions anew, and a stream that is started
+carries the number, a batch that comes again after a failure writes the same pieces anew, and a stream that is started
 again with its checkpoint goes on at its last timestep. A timestep has to come whole in one batch, and batches in ascending
 order; one that comes in another batch than before, or after a later one, is an error.
 """
@@ -24,30 +24,32 @@ def fill_stream(field: DataFrame, cfg: GridConfig, folder: str, marks: str) -> N
 
 
 def take(rows: DataFrame, number: int, cfg: GridConfig, folder: str) -> None:
-    """One batch: its timesteps in order."""
+    """One batch: its timesteps in order, by runs where they are many."""
     spark = rows.sparkSession
     tables = temporal.StepTables(spark, folder)
     cells = written(sampling.judged(rows, cfg), "judged")
-    times, kept = [r.t for r in cells.select("t").distinct().orderBy("t").collect()], tables.times()
-    of = {t: _batch_of(spark, folder, t) for t in kept}
-    if any(of.get(t, number) != number for t in times) or (times and any(t > times[0] and of[t] != number for t in kept)):
-        raise ValueError(f"timesteps {times} of batch {number} came before, or after a later one")
-    for t in times:
+    first, count = cells.agg(F.min("t"), F.count_distinct("t")).first()
+    if not count:
+        return
+    samples, flags = tables.whole("samples"), tables.whole("flags")
+    others = flags.where(F.col("batch") != number)
+    if (last := others.agg(F.max("t")).first()[0]) is not None and last >= first:
+        raise ValueError(f"timesteps from {first} of batch {number} came before, or after a later one")
+    before = [written(kept.where((F.col("batch") != number) & (F.col("t") == first - 1)).drop("batch"), "before") for kept in (samples, flags)]
+    if temporal.by_runs(count, cfg):
+        flags = tables.keep(temporal.flags_by_runs(cells, cfg, tuple(before)), "flags", first, number)
+        tables.keep(temporal.own_samples(cells, flags).unionByName(sampling.fill(cells, flags, cfg)), "samples", first, number)
+        return
+    at = last
+    for t in [r.t for r in cells.select("t").distinct().orderBy("t").collect()]:
         now = cells.where(F.col("t") == t)
-        follows = t - 1 in times or t - 1 in kept
-        before = (tables.load("samples", t - 1), tables.load("flags", t - 1)) if follows else (None, None)
-        flags = tables.keep(temporal.error_step(now, *before, cfg), "flags", t)
-        # the mark goes first: a batch that stops between it and the samples writes both again
-        spark.range(1).select(F.lit(number).cast("long").alias("batch")).write.mode("overwrite").parquet(f"{folder}/batches/t={t}")
-        tables.keep(temporal.own_samples(now, flags).unionByName(sampling.fill(now, flags, cfg)), "samples", t)
-
-
-def _batch_of(spark: SparkSession, folder: str, t: int) -> int:
-    return spark.read.schema("batch long").parquet(f"{folder}/batches/t={t}").first()[0]
+        flags = tables.keep(temporal.error_step(now, *(before if at == t - 1 else (None, None)), cfg), "flags", t, number)
+        before = [tables.keep(temporal.own_samples(now, flags).unionByName(sampling.fill(now, flags, cfg)), "samples", t, number), flags]
+        at = t
 
 
 def results(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(samples, blocks) of the timesteps that a stream has kept so far."""
     tables = temporal.StepTables(spark, folder)
-    samples = tables.whole("samples")
-    return samples, temporal.blocks_of(samples, tables.whole("flags"))
+    samples, flags = tables.whole("samples").drop("batch"), tables.whole("flags").drop("batch")
+    return samples, temporal.blocks_of(samples, flags)
