@@ -47,7 +47,8 @@ def _round(cells: DataFrame, samples: DataFrame, cfg: GridConfig, edge: int, k:
     placed = at(cells)
     if first:
         placed = placed.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), "t", *cubes)
-    found = placed.join(lists, ["t", *cubes], "left").withColumn("near", F.when(F.col("list").isNotNull(), best(scored))).drop("list", "part")
+    # each sample is in up to 27 lists, which the engine's estimate from the samples' file doesn't see: without the hint it broadcasts them
+    found = placed.join(lists.hint("merge"), ["t", *cubes], "left").withColumn("near", F.when(F.col("list").isNotNull(), best(scored))).drop("list", "part")
     if parts > 1:
         found = found.groupBy(*cells.columns, *cubes).agg(F.flatten(F.collect_list("near")).alias("near")).withColumn("near", F.when(F.size("near") > 0, best(F.col("near"))))
     if last:
