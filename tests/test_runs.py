@@ -2,12 +2,13 @@
 
 from dataclasses import replace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.test_engine import GRID, field_of, near_steps
-from voxsieve.operators import temporal
-from voxsieve.sources import shared
+from voxsieve.operators import recon, temporal
+from voxsieve.sources import raw, shared
 from voxsieve.streaming import fill
 
 CFG = replace(GRID, error_threshold=0.6, ratio=0.5)
@@ -65,3 +66,19 @@ def test_stream_goes_on_by_runs(spark, odd_field):
     assert rows_of(fill.results(spark, steps)) == want
     with pytest.raises(ValueError, match="came before"):
         fill.take(odd_field.where("t = 9"), 2, CFG, steps)
+
+
+def test_lists_of_samples_are_not_broadcast(spark):
+    field = field_of(spark, near_steps(3))
+    step = recon._round(field, shared.written(field.where("gid % 3 = 0"), "samples"), CFG, 2, 1, True, False)
+    plan = step._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    cfg, n = replace(GRID, dims=(2, 2, 1), block_dims=(1, 1, 1)), 300
+    for t in range(n):
+        np.arange(t, t + 4, dtype="<f4").tofile(tmp_path / f"x{t}.bin")
+    found = raw.read_raw(spark, f"file://{tmp_path}", r"x([0-9]+)\.bin", cfg)
+    assert 60 <= found.rdd.getNumPartitions() <= 75
+    assert sorted(map(tuple, found.collect())) == [(t, k, float(t + k)) for t in range(n) for k in range(4)]

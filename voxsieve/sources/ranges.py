@@ -35,6 +35,9 @@ CELLS_PER_TASK = 4 << 20
 #: Numbers in one batch of rows.
 BATCH = 1 << 18
 
+#: Tasks that slices of small files are put together for, and cells that opening such a file is worth.
+PACKS, FILE_COST = 64, 1 << 13
+
 _PART = re.compile(r"part-([0-9]{16})")
 
 
@@ -82,6 +85,26 @@ class Slice(InputPartition):
         self.file, self.t, self.start, self.end, self.where = file, t, start, end, where
 
 
+@dataclass
+class Pack(InputPartition):
+    """Slices that one task reads."""
+
+    slices: list[Slice]
+
+
+def packed(slices: list[Slice]) -> list[InputPartition]:
+    """Successive slices put together for about PACKS tasks, or more where these would have over CELLS_PER_TASK cells. Each slice counts for FILE_COST cells more than it has."""
+    sizes = [s.end - s.start + FILE_COST for s in slices]
+    limit, out, held = min(CELLS_PER_TASK, sum(sizes) / PACKS), [Pack([])], 0
+    for s, size in zip(slices, sizes, strict=True):
+        if held and held + size > limit:
+            out.append(Pack([]))
+            held = 0
+        out[-1].slices.append(s)
+        held += size
+    return out
+
+
 class Pruning:
     """The timesteps and cells that a reader is asked for, as options times and cells: first and last of each.
 

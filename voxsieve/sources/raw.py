@@ -19,7 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..config import GridConfig
 from ..functions.geometry import block_id
-from .ranges import BATCH, CELLS_PER_TASK, Pruning, Slice, Stored, asked, file_name, offsets, stored, write_ranges
+from .ranges import BATCH, CELLS_PER_TASK, Pack, Pruning, Slice, Stored, asked, file_name, offsets, packed, stored, write_ranges
 from .shared import written
 
 
@@ -50,10 +50,13 @@ class RawGridReader(Pruning, DataSourceReader):
                     raise ValueError(f"{f.name} has {f.size} bytes, {4 * self.n} are expected")
                 if self.wanted(int(m[1])):
                     parts += [Slice(f, int(m[1]), at, min(at + CELLS_PER_TASK, end)) for at in range(first, end, CELLS_PER_TASK)]
-        return parts or [Slice(None, 0, 0, 0)]
+        return packed(parts)
 
-    def read(self, part: Slice) -> Iterator[pa.RecordBatch]:
+    def read(self, pack: Pack) -> Iterator[pa.RecordBatch]:
         store = stored_in(self.folder)
+        yield from joined(b for part in pack.slices for b in self.batches(store, part))
+
+    def batches(self, store: pa.fs.FileSystem, part: Slice) -> Iterator[pa.RecordBatch]:
         for at in range(part.start, part.end, BATCH):
             n = min(BATCH, part.end - at)
             yield cells_batch(part.t, at, np.frombuffer(part.file.read(store, 4 * at, 4 * n), "<f4"))
@@ -63,6 +66,19 @@ def stored_in(folder: str) -> pa.fs.FileSystem:
     return pa.fs.FileSystem.from_uri(folder)[0]
 
 
+def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Small batches put together to about BATCH rows."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= BATCH:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, rows = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def cells_batch(t: int, first: int, values: np.ndarray) -> pa.RecordBatch:
     """Rows (t, gid, value) of successive cells."""
     n = len(values)
@@ -134,10 +150,13 @@ class SampleFilesReader(Pruning, DataSourceReader):
                 other: Stored | None = None if self.blocks else files[f"sampled_data_{m[1]}.bin"]
                 n = f.size // 4
                 parts += [Slice(f, int(m[1]), at, min(at + CELLS_PER_TASK, n), (other,)) for at in range(0, n, CELLS_PER_TASK)]
-        return parts or [Slice(None, 0, 0, 0)]
+        return packed(parts)
 
-    def read(self, part: Slice) -> Iterator[pa.RecordBatch]:
+    def read(self, pack: Pack) -> Iterator[pa.RecordBatch]:
         store = stored_in(self.folder)
+        yield from joined(b for part in pack.slices for b in self.batches(store, part))
+
+    def batches(self, store: pa.fs.FileSystem, part: Slice) -> Iterator[pa.RecordBatch]:
         for at in range(part.start, part.end, BATCH):
             n = min(BATCH, part.end - at)
             load = lambda file, kind, at=at, n=n: np.frombuffer(file.read(store, 4 * at, 4 * n), kind)
