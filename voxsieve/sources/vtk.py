@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..config import GridConfig
-from .ranges import BATCH, CELLS_PER_TASK, Frame, Pruning, Slice, Stored, asked, file_name, stored, u64, write_ranges
-from .raw import cells_batch, stored_in
+from .ranges import BATCH, CELLS_PER_TASK, Frame, Pack, Pruning, Slice, Stored, asked, file_name, packed, stored, u64, write_ranges
+from .raw import cells_batch, joined, stored_in
 from .shared import attach
 
 #: Number types by their names in these files.
@@ -195,11 +195,13 @@ class ImageReader(Pruning, DataSourceReader):
                 continue
             first, end = self.cells(int(np.prod(head.dims)))
             parts += slices(store, f, int(m[1]), head, [head.array(self.array)], first, end)
-        return parts or [Slice(None, 0, 0, 0)]
+        return packed(parts)
 
-    def read(self, part: Slice) -> Iterator[pa.RecordBatch]:
-        if part.file is None:
-            return
+    def read(self, pack: Pack) -> Iterator[pa.RecordBatch]:
+        store = stored_in(self.folder)
+        yield from joined(b for part in pack.slices for b in self.batches(store, part))
+
+    def batches(self, store: pafs.FileSystem, part: Slice) -> Iterator[pa.RecordBatch]:
         if self.info:
             h = part.where[0]
             x, y, z = h.dims
@@ -208,7 +210,7 @@ class ImageReader(Pruning, DataSourceReader):
             types = [ints, pa.string(), ints, ints, ints, doubles, doubles, pa.list_(ints), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), types, strict=True)], names=list(row))
             return
-        for at, values in numbers(stored_in(self.folder), part, 0):
+        for at, values in numbers(store, part, 0):
             yield cells_batch(part.t, at, values)
 
 
@@ -241,12 +243,13 @@ class PointReader(Pruning, DataSourceReader):
                 if head.kind != "PolyData":
                     raise ValueError(f"{f.name} holds {head.kind}, not PolyData")
                 parts += slices(store, f, int(m[1]), head, [head.arrays["Points"][0], head.array(self.array)], 0, head.points)
-        return parts or [Slice(None, 0, 0, 0)]
+        return packed(parts)
 
-    def read(self, part: Slice) -> Iterator[pa.RecordBatch]:
-        if part.file is None:
-            return
+    def read(self, pack: Pack) -> Iterator[pa.RecordBatch]:
         store = stored_in(self.folder)
+        yield from joined(b for part in pack.slices for b in self.batches(store, part))
+
+    def batches(self, store: pafs.FileSystem, part: Slice) -> Iterator[pa.RecordBatch]:
         # points and values may be cut elsewhere where they are compressed
         at = np.concatenate([v for _, v in numbers(store, part, 0, 3)]).reshape(-1, 3).astype(np.float64)
         values = np.concatenate([v for _, v in numbers(store, part, 1)]).astype(np.float64)
