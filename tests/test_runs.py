@@ -1,15 +1,17 @@
 """Many small timesteps: decided by runs, with as many jobs however many there are."""
 
 from dataclasses import replace
+from unittest import mock
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tests.test_engine import GRID, field_of, near_steps
 from voxsieve.operators import recon, temporal
 from voxsieve.sources import raw, shared
-from voxsieve.streaming import fill
+from voxsieve.streaming import error, fill
 
 CFG = replace(GRID, error_threshold=0.6, ratio=0.5)
 
@@ -82,3 +84,16 @@ def test_small_files_share_tasks(spark, tmp_path):
     found = raw.read_raw(spark, f"file://{tmp_path}", r"x([0-9]+)\.bin", cfg)
     assert 60 <= found.rdd.getNumPartitions() <= 75
     assert sorted(map(tuple, found.collect())) == [(t, k, float(t + k)) for t in range(n) for k in range(4)]
+
+
+def test_what_is_complete_at_once_stays_out_of_the_state():
+    last, opened, calls = mock.Mock(), mock.Mock(), []
+    last.exists.return_value = False
+    opened.keys.return_value = iter(())
+    opened.updateValue.side_effect = lambda k, v: calls.append(k)
+    decisions = error.ErrorDecisions(2, 1.0, None, 0)
+    decisions.last, decisions.open = last, opened
+    cells = pd.DataFrame({"t": [0, 0, 1, 1, 2], "gid": [0, 1, 1, 0, 0], "value": [1.0, 2.0, 2.5, 1.0, 0.0], "taken": [True] * 5})
+    (got,) = decisions.handleInputRows((7,), iter([cells[:3], cells[3:]]), None)
+    assert got[["t", "block_id", "n_reference", "reused"]].values.tolist() == [[0, 7, 0, False], [1, 7, 2, True]]
+    assert calls == [(2,)]  # the one that is still arriving

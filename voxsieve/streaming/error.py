@@ -42,34 +42,43 @@ class ErrorDecisions(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         done, reused, gids, vals, late = self._last()
-        fresh: dict[int, list[pd.DataFrame]] = {}
-        for part in rows:
-            for t, own in part.groupby("t"):
-                if done is not None and t <= done:
-                    late += len(own)
-                else:
-                    fresh.setdefault(int(t), []).append(own)
-        for t, parts in fresh.items():
-            own = pd.concat(parts)
-            if self.open.containsKey((t,)):
-                *held, until = self.open.getValue((t,))
+        cells = pd.concat(list(rows)).sort_values("t", kind="stable")
+        if done is not None:
+            late += int((cells["t"] <= done).sum())
+            cells = cells[cells["t"] > done]
+        t, columns = cells["t"].to_numpy(), [cells[c].to_numpy() for c in ("gid", "value", "taken")]
+        edges = [0, *(np.flatnonzero(np.diff(t)) + 1).tolist(), len(t)] if len(t) else [0]
+        held, fresh = {k[0] for k in self.open.keys()}, {}
+        for a, b in zip(edges, edges[1:], strict=False):
+            own = [c[a:b] for c in columns]
+            if (at := int(t[a])) in held:
+                *old, until = self.open.getValue((at,))
+                own = [np.concatenate([np.array(o, n.dtype), n]) for o, n in zip(old, own, strict=True)]
             else:
-                held, until = ([], [], []), 0
-                if self.limit_ms is not None:
-                    until = timerValues.getCurrentProcessingTimeInMs() + self.limit_ms
-                    self.handle.registerTimer(until)
-            self.open.updateValue((t,), (*([*old, *new.tolist()] for old, new in zip(held, (own["gid"], own["value"], own["taken"]), strict=True)), until))
-        yield self._decided(key, (done, reused, gids, vals, late), 0)
+                until = 0 if self.limit_ms is None else timerValues.getCurrentProcessingTimeInMs() + self.limit_ms
+            fresh[at] = (*own, until)
+        frame = self._decided(key, (done, reused, gids, vals, late), 0, held, fresh)
+        # what is decided at once never goes into the state
+        for at, (*own, until) in fresh.items():
+            if until and at not in held:
+                self.handle.registerTimer(until)
+            self.open.updateValue((at,), (*(c.tolist() for c in own), until))
+        yield frame
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._decided(key, self._last(), expiredTimerInfo.getExpiryTimeInMs())
+        yield self._decided(key, self._last(), expiredTimerInfo.getExpiryTimeInMs(), {k[0] for k in self.open.keys()}, {})
 
-    def _decided(self, key: tuple, state: tuple, now: int) -> pd.DataFrame:
-        """What is complete or given up by now, in order, up to the first timestep that is still waited for."""
+    def _decided(self, key: tuple, state: tuple, now: int, held: set[int], fresh: dict[int, tuple]) -> pd.DataFrame:
+        """What is complete or given up by now, in order, up to the first timestep that is still waited for; that is taken out of fresh and of the state.
+
+        held are the timesteps in the state; those in fresh are as they are there. The others are read all at once, if one is needed.
+        """
         done, reused, gids, vals, late = state
-        out = []
-        for t in sorted(k[0] for k in self.open.keys()):
-            *columns, until = self.open.getValue((t,))
+        out, stored = [], None
+        for t in sorted(held | fresh.keys()):
+            if t not in fresh and stored is None:
+                stored = {k[0]: value for k, value in self.open.iterator()}
+            *columns, until = fresh[t] if t in fresh else stored[t]
             own_gids, own_vals, taken = (np.array(x) for x in columns)
             complete = len(own_gids) >= self.volume
             awaited = not complete or (self.first is not None and t > done + 1)
@@ -83,7 +92,13 @@ class ErrorDecisions(StatefulProcessor):
             reused = complete and rmse is not None and rmse <= self.threshold and not reused
             out.append((t, key[0], n, rmse, reused, complete, late))
             done, gids, vals = t, own_gids[taken].tolist() if complete else [], own_vals[taken].tolist() if complete else []
-            self.open.removeKey((t,))
+            fresh.pop(t, None)
+        gone = held & {row[0] for row in out}
+        if gone and gone == held:
+            self.open.clear()
+        else:
+            for t in gone:
+                self.open.removeKey((t,))
         self.last.update((done, reused, list(gids), list(vals), late))
         frame = pd.DataFrame(out, columns=["t", "block_id", "n_reference", "rmse", "reused", "complete", "late"])
         return frame.astype({"t": "int32", "block_id": "int32", "n_reference": "int64", "rmse": "float64", "reused": "bool", "complete": "bool", "late": "int64"})
