@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_engine import GRID, field_of, near_steps
-from voxsieve.operators import recon, temporal
+from voxsieve.operators import recon, sampling, temporal
 from voxsieve.sources import raw, shared
 from voxsieve.streaming import error, fill
 
@@ -70,6 +70,11 @@ def test_stream_goes_on_by_runs(spark, odd_field):
         fill.take(odd_field.where("t = 9"), 2, CFG, steps)
 
 
+def test_a_single_run_takes_few_jobs(spark):
+    cells = shared.written(sampling.judged(field_of(spark, near_steps(12)), CFG), "judged")
+    assert 0 < jobs_of(spark, lambda: temporal.temporal_error_sample_filled(cells, CFG, cells)) < 30
+
+
 def test_lists_of_samples_are_not_broadcast(spark):
     field = field_of(spark, near_steps(3))
     step = recon._round(field, shared.written(field.where("gid % 3 = 0"), "samples"), CFG, 2, 1, True, False)

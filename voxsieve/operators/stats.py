@@ -26,9 +26,9 @@ def every_bin(keys: DataFrame, bins: int) -> DataFrame:
     return keys.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
 
 
-def histogram(field: DataFrame, cfg: GridConfig) -> DataFrame:
-    """(t, bin, n) with every bin present."""
-    counts = binned(field, cfg).groupBy("t", "bin").agg(F.count("*").alias("n"))
+def histogram(field: DataFrame, cfg: GridConfig, cells: DataFrame | None = None) -> DataFrame:
+    """(t, bin, n) with every bin present. cells is binned(), if it is there already."""
+    counts = (binned(field, cfg) if cells is None else cells).groupBy("t", "bin").agg(F.count("*").alias("n"))
     return every_bin(counts.select("t").distinct(), cfg.num_bins).join(counts, ["t", "bin"], "left").select("t", "bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 

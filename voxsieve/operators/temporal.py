@@ -60,20 +60,31 @@ def own_samples(cells: DataFrame, reused: DataFrame) -> DataFrame:
     return attach(cells.where("taken"), reused.select("t", "block_id", "reused"), ["t", "block_id"]).where("not reused").select("t", "gid", "block_id", "value", F.lit("importance").alias("kind"))
 
 
-def temporal_histogram_sample(field: DataFrame, cfg: GridConfig, with_fill: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(samples, blocks): samples by histogram reuse, with fill or without; blocks are (t, block_id, n_samples, reused)."""
-    cells, reused = judged(field, cfg), reuse_by_histogram(field, cfg).select("t", "block_id", "reused")
-    if with_fill:
-        cells, reused = written(cells, "judged"), written(reused, "reused")  # what fills up reads them several times
-    samples = own_samples(cells, reused)
+def filled_samples(cells: DataFrame, reused: DataFrame, cfg: GridConfig) -> DataFrame:
+    """own_samples() and what fills up, which share the cells of the regions that don't reuse."""
+    open_cells = attach(cells, reused.select("t", "block_id", "reused"), ["t", "block_id"]).where("not reused")
+    own = open_cells.where("taken").select("t", "gid", "block_id", "value", F.lit("importance").alias("kind"))
+    return own.unionByName(fill(cells, reused, cfg, open_cells))
+
+
+def temporal_histogram_sample(field: DataFrame, cfg: GridConfig, with_fill: bool = True, cells: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(samples, blocks): samples by histogram reuse, with fill or without; blocks are (t, block_id, n_samples, reused).
+
+    cells is judged(), if it is there already as a table.
+    """
+    reused = reuse_by_histogram(field, cfg).select("t", "block_id", "reused")
     if with_fill:
-        samples = samples.unionByName(fill(cells, reused, cfg))
+        cells = written(judged(field, cfg), "judged") if cells is None else cells
+        reused = written(reused, "reused")  # what fills up reads them several times
+        samples = filled_samples(cells, reused, cfg)
+    else:
+        samples = own_samples(judged(field, cfg) if cells is None else cells, reused)
     return samples, blocks_of(samples, reused)
 
 
-def temporal_error_sample(field: DataFrame, cfg: GridConfig) -> tuple[DataFrame, DataFrame]:
-    """(samples, blocks) by error reuse without fill: all timesteps at once."""
-    cells = judged(field, cfg)
+def temporal_error_sample(field: DataFrame, cfg: GridConfig, cells: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(samples, blocks) by error reuse without fill: all timesteps at once. cells is judged(), if it is there already."""
+    cells = judged(field, cfg) if cells is None else cells
     reused = reuse_by_error(cells, cfg).select("t", "block_id", "reused")
     samples = own_samples(cells, reused)
     return samples, blocks_of(samples, reused)
@@ -136,12 +147,13 @@ def by_runs(times: int, cfg: GridConfig) -> bool:
 
 
 _START = "run long, t int, block_id int, reused boolean, sampled boolean, gid long, value double"
+_DECIDED = f"{_START}, rate double"
 
 
 def _decided(cells: pd.DataFrame, start: pd.DataFrame, cfg: GridConfig) -> pd.DataFrame:
-    """Flags of a run's timesteps, and the samples of its last one, given those rows of the timestep before the run (or none).
+    """Flags and fill rates of a run's timesteps, and the samples of its last one, given those rows of the timestep before the run (or none).
 
-    A sample without a value takes no part in errors and is left out. Rows are put in order, so that sums are the same each time.
+    A region's rate is 0 from the first one on that would reach the budget, so its cells under the rate are those that fill adds. A sample without a value takes no part in errors and is left out. Rows are put in order, so that sums are the same each time.
     """
     cells = cells.sort_values(["t", "block_id", "gid", "value", "u"], ignore_index=True)
     start = start.sort_values(["sampled", "block_id", "gid", "value"], ignore_index=True)
@@ -173,19 +185,20 @@ def _decided(cells: pd.DataFrame, start: pd.DataFrame, cfg: GridConfig) -> pd.Da
         drawn = free & ~taken & (u < rate)
         added = np.bincount(at[drawn], minlength=len(blocks))
         stops = np.flatnonzero((added > 0) & (had + np.cumsum(added) >= budget))
-        own = (free & taken) | (drawn & (at < stops[0]) if len(stops) else drawn)
-        out.append((np.full(len(blocks), t), blocks, reused))
+        rates = np.where(np.arange(len(blocks)) < (stops[0] if len(stops) else len(blocks)), rate, 0.0)
+        own = free & (taken | (u < rates[at]))
+        out.append((np.full(len(blocks), t), blocks, reused, rates))
         own &= known
         t_before, regions, was, gids, values = t, blocks, reused, gid[own], value[own]
     if not out:
-        return pd.DataFrame(columns=["t", "block_id", "reused", "sampled", "gid", "value"])
-    flags = pd.DataFrame({k: np.concatenate(c) for k, c in zip(("t", "block_id", "reused"), zip(*out, strict=True), strict=True)})
-    ends = pd.DataFrame({"t": t_before, "block_id": block[own], "reused": False, "sampled": True, "gid": gids, "value": values})
+        return pd.DataFrame(columns=["t", "block_id", "reused", "sampled", "gid", "value", "rate"])
+    flags = pd.DataFrame({k: np.concatenate(c) for k, c in zip(("t", "block_id", "reused", "rate"), zip(*out, strict=True), strict=True)})
+    ends = pd.DataFrame({"t": t_before, "block_id": block[own], "reused": False, "sampled": True, "gid": gids, "value": values, "rate": 0.0})
     return pd.concat([flags.assign(sampled=False, gid=0, value=0.0), ends], ignore_index=True)
 
 
-def flags_by_runs(cells: DataFrame, cfg: GridConfig, before: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """(t, block_id, reused) of error reuse with fill for many small timesteps of judged cells; before has samples and flags of earlier ones.
+def flags_by_runs(cells: DataFrame, cfg: GridConfig, first: int, last: int, before: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(t, block_id, reused, rate) of error reuse with fill for many small timesteps of judged cells, from first to last; before has samples and flags of earlier ones.
 
     A timestep's flags follow from the samples and flags of the one before it. Timesteps are cut into runs of RUN_CELLS cells or
     so, and each run is one task's work. All runs are decided at once, as if nothing came before them; then those whose start was
@@ -199,45 +212,53 @@ def flags_by_runs(cells: DataFrame, cfg: GridConfig, before: tuple[DataFrame, Da
     rows = spark.read.schema(rows.schema).parquet(path)
     given = spark.createDataFrame([], _START)
     if before is not None:
-        first = rows.agg(F.min("t")).first()[0]
-        last, at = F.col("t") == first - 1, F.lit(first // steps).cast("long").alias("run")
+        just, at = F.col("t") == first - 1, F.lit(first // steps).cast("long").alias("run")
         none = (F.lit(False).alias("sampled"), F.lit(0).cast("long").alias("gid"), F.lit(0.0).alias("value"))
-        samples = before[0].where(last & F.col("value").isNotNull()).select(at, "t", "block_id", F.lit(False).alias("reused"), F.lit(True).alias("sampled"), "gid", "value")
-        given = written(samples.unionByName(before[1].where(last).select(at, "t", "block_id", "reused", *none)), "starts")
+        samples = before[0].where(just & F.col("value").isNotNull()).select(at, "t", "block_id", F.lit(False).alias("reused"), F.lit(True).alias("sampled"), "gid", "value")
+        given = written(samples.unionByName(before[1].where(just).select(at, "t", "block_id", "reused", *none)), "starts")
 
     def decide(rows: DataFrame, starts: DataFrame) -> DataFrame:
-        work = lambda key, cells, start: _decided(cells, start, cfg).assign(run=key[0])[[c.split()[0] for c in _START.split(", ")]]
-        return rows.groupBy("run").cogroup(starts.groupBy("run")).applyInPandas(work, _START)
+        work = lambda key, cells, start: _decided(cells, start, cfg).assign(run=key[0])[[c.split()[0] for c in _DECIDED.split(", ")]]
+        return rows.groupBy("run").cogroup(starts.groupBy("run")).applyInPandas(work, _DECIDED)
 
     assumed, found = given, written(decide(rows, given), "decided")
-    while True:
+    while first // steps < last // steps:  # a single run has its start at once
         lasts = found.groupBy("run").agg(F.max("t").alias("t"))
         ends = attach(found, lasts, ["run", "t"]).select((F.col("run") + 1).alias("run"), "t", "block_id", "reused", "sampled", "gid", "value")
         starts = written(ends.unionByName(given), "starts")
         changed = [r.run for r in starts.exceptAll(assumed).unionByName(assumed.exceptAll(starts)).select("run").distinct().collect()]
         if not changed:
-            return found.where("not sampled").select("t", "block_id", "reused")
+            break
         of = F.col("run").isin(changed)
         found, assumed = written(found.where(~of).unionByName(decide(rows.where(of), starts.where(of))), "decided"), starts
+    return found.where("not sampled").select("t", "block_id", "reused", "rate")
+
+
+def samples_by_runs(cells: DataFrame, flags: DataFrame, cfg: GridConfig) -> DataFrame:
+    """The samples of judged cells by the flags and rates of flags_by_runs: the same as filled_samples() has, in one join."""
+    drawn = uniform("fill", F.col("t"), F.col("gid"), cfg) < F.col("rate")
+    free = attach(cells, flags.where("not reused").select("t", "block_id", "rate"), ["t", "block_id"]).where(F.col("taken") | drawn)
+    return free.select("t", "gid", "block_id", "value", F.when(F.col("taken"), "importance").otherwise("fill").alias("kind"))
 
 
 def temporal_error_sample_filled(field: DataFrame, cfg: GridConfig, cells: DataFrame | None = None, clock: Callable[[str, int | None], AbstractContextManager] = lambda step, t: nullcontext()) -> tuple[DataFrame, DataFrame]:
     """(samples, blocks) by error reuse with fill.
 
     What fill draws depends on how many regions reuse, and the next timestep is compared with all samples, fill included, so
-    timesteps follow one another. Many small ones are decided by runs (flags_by_runs), and then filled all at once. Few or large
+    timesteps follow one another. Many small ones are decided by runs (flags_by_runs), and their samples then taken all at once. Few or large
     ones are a distributed job each over its own cells, a partition of their table, and its samples and flags are pieces of two
     tables in the shared folder. cells is judged(), if it is there already; clock(step, t) surrounds the parts of a timestep, or
     of all timesteps together where t is None.
     """
     spark = field.sparkSession
     cells = written(judged(field, cfg), "judged") if cells is None else cells
-    if by_runs(cells.agg(F.count_distinct("t")).first()[0], cfg):
+    count, first, last = cells.agg(F.count_distinct("t"), F.min("t"), F.max("t")).first()
+    if by_runs(count, cfg):
         with clock("comparison", None):
-            flags = written(flags_by_runs(cells, cfg), "flags")
+            flags = flags_by_runs(cells, cfg, first, last)
         with clock("fill", None):
-            samples = written(own_samples(cells, flags).unionByName(fill(cells, flags, cfg)), "samples")
-        return samples, blocks_of(samples, flags)
+            samples = written(samples_by_runs(cells, flags, cfg), "samples")
+        return samples, blocks_of(samples, flags.drop("rate"))
     path, schema = new_path(spark, "judged"), cells.schema
     cells.write.partitionBy("t").parquet(path)
     cells = spark.read.schema(schema).parquet(path)
@@ -248,7 +269,7 @@ def temporal_error_sample_filled(field: DataFrame, cfg: GridConfig, cells: DataF
         with clock("comparison", t):
             flags = tables.keep(error_step(now, last[1] if follows else None, last[2] if follows else None, cfg), "flags", t)
         with clock("fill", t):
-            own = tables.keep(own_samples(now, flags).unionByName(fill(now, flags, cfg)), "samples", t)
+            own = tables.keep(filled_samples(now, flags, cfg), "samples", t)
         last = (t, own, flags)
     samples, flags = tables.whole("samples").drop("batch"), tables.whole("flags").drop("batch")
     return samples, blocks_of(samples, flags)

@@ -28,7 +28,7 @@ def take(rows: DataFrame, number: int, cfg: GridConfig, folder: str) -> None:
     spark = rows.sparkSession
     tables = temporal.StepTables(spark, folder)
     cells = written(sampling.judged(rows, cfg), "judged")
-    first, count = cells.agg(F.min("t"), F.count_distinct("t")).first()
+    first, end, count = cells.agg(F.min("t"), F.max("t"), F.count_distinct("t")).first()
     if not count:
         return
     samples, flags = tables.whole("samples"), tables.whole("flags")
@@ -37,8 +37,9 @@ def take(rows: DataFrame, number: int, cfg: GridConfig, folder: str) -> None:
         raise ValueError(f"timesteps from {first} of batch {number} came before, or after a later one")
     before = [written(kept.where((F.col("batch") != number) & (F.col("t") == first - 1)).drop("batch"), "before") for kept in (samples, flags)]
     if temporal.by_runs(count, cfg):
-        flags = tables.keep(temporal.flags_by_runs(cells, cfg, tuple(before)), "flags", first, number)
-        tables.keep(temporal.own_samples(cells, flags).unionByName(sampling.fill(cells, flags, cfg)), "samples", first, number)
+        flags = temporal.flags_by_runs(cells, cfg, first, end, tuple(before))
+        tables.keep(flags, "flags", first, number)
+        tables.keep(temporal.samples_by_runs(cells, flags, cfg), "samples", first, number)
         return
     at = last
     for t in [r.t for r in cells.select("t").distinct().orderBy("t").collect()]:
