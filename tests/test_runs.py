@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tests.test_engine import GRID, field_of, near_steps
 from voxsieve.operators import recon, sampling, temporal
+from voxsieve.plans import lifecycle
 from voxsieve.sources import raw, shared
 from voxsieve.streaming import error, fill
 
@@ -75,6 +76,13 @@ def test_a_single_run_takes_few_jobs(spark):
     assert 0 < jobs_of(spark, lambda: temporal.temporal_error_sample_filled(cells, CFG, cells)) < 30
 
 
+def test_methods_share_judged_cells(spark, monkeypatch):
+    field = field_of(spark, near_steps(3))
+    want = rows_of([lifecycle.assess(field, CFG, m) for m in (1, 4)])
+    monkeypatch.setattr(temporal, "judged", None)
+    assert rows_of(lifecycle.assess_each(field, CFG, [1, 4])) == want
+
+
 def test_lists_of_samples_are_not_broadcast(spark):
     field = field_of(spark, near_steps(3))
     step = recon._round(field, shared.written(field.where("gid % 3 = 0"), "samples"), CFG, 2, 1, True, False)

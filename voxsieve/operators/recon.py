@@ -27,28 +27,31 @@ def _cube(at: tuple[Column, Column, Column], edge: int) -> list[Column]:
 LIST = 1 << 15
 
 
-def _round(cells: DataFrame, samples: DataFrame, cfg: GridConfig, edge: int, k: int, first: bool, last: bool) -> DataFrame:
+def _round(cells: DataFrame, samples: DataFrame, cfg: GridConfig, edge: int, k: int, first: bool, last: bool, tasks: int | None = None) -> DataFrame:
     """cells with near, the k nearest of the lists as (d2, s_gid, s_value), and whether that is final.
 
-    The first round has all cells in small cubes of much work and few bytes: its partitions stay as they are, where the engine
-    would merge them by their bytes. Later rounds are left to it, since the few cells in wide cubes may be skewed.
+    The first round has all cells in small cubes of much work and few bytes: its partitions, so many as the session's or tasks, if
+    these are fewer, stay as they are, where the engine would merge them by their bytes. Later rounds are left to it, since the few cells in wide cubes may be skewed.
     """
-    cubes = ["cx", "cy", "cz"]
+    cubes, axes = ["cx", "cy", "cz"], ["__x", "__y", "__z"]
     at = lambda df: df.withColumns(dict(zip(cubes, _cube(g.xyz(F.col("gid"), cfg), edge), strict=True)))
     parts = -(-math.prod(min(3 * edge, d) for d in cfg.dims) // LIST)
     around = lambda c, size: F.explode(F.sequence(F.greatest(F.col(c) - 1, F.lit(0)), F.least(F.col(c) + 1, F.lit((size - 1) // edge))))
-    spread = at(samples.select("t", "gid", "value")).withColumn("part", F.pmod(F.xxhash64("gid"), F.lit(parts)).cast("int"))
+    spread = at(samples.select("t", "gid", "value", *[c.cast("int").alias(a) for c, a in zip(g.xyz(F.col("gid"), cfg), axes, strict=True)])).withColumn("part", F.pmod(F.xxhash64("gid"), F.lit(parts)).cast("int"))
     for c, size in zip(cubes, cfg.dims, strict=True):
         spread = spread.withColumn(c, around(c, size))
-    lists = spread.groupBy("t", *cubes, "part").agg(F.collect_list(F.struct("gid", "value")).alias("list"))
+    lists = spread.groupBy("t", *cubes, "part").agg(F.collect_list(F.struct("gid", "value", *axes)).alias("list"))
     here = g.xyz(F.col("gid"), cfg)
-    scored = F.transform("list", lambda s: F.struct(g.distance2(here, g.xyz(s["gid"], cfg)).alias("d2"), s["gid"].alias("s_gid"), s["value"].alias("s_value")))
+    # coordinates are columns on both sides, so that a pair costs a few sums and products
+    scored = F.transform("list", lambda s: F.struct(g.distance2(tuple(F.col(a) for a in axes), tuple(s[a] for a in axes)).alias("d2"), s["gid"].alias("s_gid"), s["value"].alias("s_value")))
     best = lambda c: F.array(F.array_min(c)) if k == 1 else F.slice(F.array_sort(c), 1, k)
     placed = at(cells)
     if first:
-        placed = placed.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), "t", *cubes)
+        parallel = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        placed = placed.repartition(min(parallel, tasks or parallel), "t", *cubes)
+    placed = placed.withColumns({a: c.cast("long") for a, c in zip(axes, here, strict=True)})
     # each sample is in up to 27 lists, which the engine's estimate from the samples' file doesn't see: without the hint it broadcasts them
-    found = placed.join(lists.hint("merge"), ["t", *cubes], "left").withColumn("near", F.when(F.col("list").isNotNull(), best(scored))).drop("list", "part")
+    found = placed.join(lists.hint("merge"), ["t", *cubes], "left").withColumn("near", F.when(F.col("list").isNotNull(), best(scored))).drop("list", "part", *axes)
     if parts > 1:
         found = found.groupBy(*cells.columns, *cubes).agg(F.flatten(F.collect_list("near")).alias("near")).withColumn("near", F.when(F.size("near") > 0, best(F.col("near"))))
     if last:
@@ -73,9 +76,11 @@ def nearest(cells: DataFrame, samples: DataFrame, cfg: GridConfig, k: int = 1) -
     edge = max(1, math.ceil((k / max(cfg.ratio, 1e-6)) ** (1 / 3)))
     columns, done, first = cells.columns, None, True
     samples = written(samples.select("t", "gid", "value"), "near-samples")  # every round reads them
+    # a task for every 1000 samples, whose cells are some 1000 / ratio, and no fewer than can run at once
+    tasks = max(cells.sparkSession.sparkContext.defaultParallelism, samples.count() // 1000)
     while True:
         last = 2 * edge >= max(cfg.dims)  # two cubes along each axis: those around hold the grid
-        step = _round(cells, samples, cfg, edge, k, first, last)
+        step = _round(cells, samples, cfg, edge, k, first, last, tasks)
         if not last:
             step = written(step, "nearest")
         found = step.where("near is not null" if last else "final").select(*columns, "near")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
-from functools import reduce
+from functools import partial, reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,15 +20,15 @@ from ..sources import raw
 from ..sources.shared import attach, written
 
 
-def _importance(field: DataFrame, cfg: GridConfig) -> tuple[DataFrame, DataFrame]:
-    samples = sampling.importance_sample(field, cfg)
+def _importance(field: DataFrame, cfg: GridConfig, cells: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    samples = sampling.importance_sample(field, cfg, cells)
     return samples, sampling.samples_per_block(field, samples, cfg).withColumn("reused", F.lit(False))
 
 
-#: Sampling methods: each takes a field and settings and returns (samples, blocks).
-METHODS: dict[str, Callable[[DataFrame, GridConfig], tuple[DataFrame, DataFrame]]] = {
+#: Sampling methods: each takes a field, settings and the judged cells, if these are there already as a table, and returns (samples, blocks).
+METHODS: dict[str, Callable[..., tuple[DataFrame, DataFrame]]] = {
     "importance": _importance,
-    "histogram_reuse": lambda field, cfg: temporal.temporal_histogram_sample(field, cfg, with_fill=False),
+    "histogram_reuse": partial(temporal.temporal_histogram_sample, with_fill=False),
     "histogram_reuse_filled": temporal.temporal_histogram_sample,
     "error_reuse": temporal.temporal_error_sample,
     "error_reuse_filled": temporal.temporal_error_sample_filled,
@@ -35,8 +37,8 @@ METHODS: dict[str, Callable[[DataFrame, GridConfig], tuple[DataFrame, DataFrame]
 NUMBERED = {n: ("importance", "histogram_reuse_filled", "error_reuse_filled")[(n - 1) // 3] for n in range(1, 10)}
 
 
-def sample(field: DataFrame, cfg: GridConfig, method: str | int) -> tuple[DataFrame, DataFrame]:
-    return METHODS[NUMBERED[method] if isinstance(method, int) else method](field, cfg)
+def sample(field: DataFrame, cfg: GridConfig, method: str | int, cells: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    return METHODS[NUMBERED[method] if isinstance(method, int) else method](field, cfg, cells=cells)
 
 
 def rebuild(field: DataFrame, samples: DataFrame, blocks: DataFrame, cfg: GridConfig, nearest: int = 1) -> DataFrame:
@@ -45,14 +47,21 @@ def rebuild(field: DataFrame, samples: DataFrame, blocks: DataFrame, cfg: GridCo
     return (recon.nn_reconstruct if nearest == 1 else recon.knn_reconstruct)(field, effective, cfg)
 
 
-def assess(field: DataFrame, cfg: GridConfig, method: str | int, nearest: int = 1) -> DataFrame:
-    """(t, n, max_diff, avg_diff, rmse, psnr, snr, blocks_reused, n_samples) of a method."""
-    samples, blocks = sample(field, cfg, method)
+def assess(field: DataFrame, cfg: GridConfig, method: str | int, nearest: int = 1, cells: DataFrame | None = None) -> DataFrame:
+    """(t, n, max_diff, avg_diff, rmse, psnr, snr, blocks_reused, n_samples) of a method. cells is judged(), if it is there already as a table."""
+    samples, blocks = sample(field, cfg, method, cells)
     samples, blocks = written(samples, "samples"), written(blocks, "blocks")
     pairs = rebuild(field, samples, blocks, cfg, nearest)
     return stats.paired_quality(pairs, F.col("value"), F.col("rebuilt")).join(temporal.reuse_counts(blocks), "t")
 
 
+def assess_each(field: DataFrame, cfg: GridConfig, methods: list[str | int], nearest: int = 1) -> list[DataFrame]:
+    """assess() of several methods over cells judged once. Each method is a chain of jobs, many of them short; the chains run beside one another."""
+    cells, spark = written(sampling.judged(field, cfg), "judged"), field.sparkSession
+    with ThreadPoolExecutor(len(methods)) as pool:
+        return [one.result() for one in [pool.submit(inheritable_thread_target(spark)(assess), field, cfg, m, nearest, cells) for m in methods]]
+
+
 #: The parts of sampling, in their order. Which of them a method has depends on it.
 STEPS = ("histogram", "sort", "acceptance", "block_histogram", "comparison", "stencil", "fill", "gather")
 

@@ -279,9 +279,9 @@ def snr_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def method_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What methods 1, 4 and 7 keep and how well they rebuild, by timestep."""
-    field, out = _field(spark, sf_dir), None
-    for number in (1, 4, 7):
-        rows = lifecycle.assess(field, FINE, number).select("t", F.lit(lifecycle.NUMBERED[number]).alias("method"), "blocks_reused", "n_samples", *map(_r, ("max_diff", "avg_diff", "psnr")))
+    numbers, out = (1, 4, 7), None
+    for number, found in zip(numbers, lifecycle.assess_each(_field(spark, sf_dir), FINE, numbers), strict=True):
+        rows = found.select("t", F.lit(lifecycle.NUMBERED[number]).alias("method"), "blocks_reused", "n_samples", *map(_r, ("max_diff", "avg_diff", "psnr")))
         out = rows if out is None else out.unionByName(rows)
     return out
 
