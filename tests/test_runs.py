@@ -83,6 +83,13 @@ def test_methods_share_judged_cells(spark, monkeypatch):
     assert rows_of(lifecycle.assess_each(field, CFG, [1, 4])) == want
 
 
+def test_beyond_the_limit_nothing_is_broadcast(spark):
+    big, small = spark.range(200).select((F.col("id") % 20).alias("t"), (F.col("id") % 7).alias("block_id")), spark.range(20).select(F.col("id").alias("t"))
+    for on, part in ((["t"], small), (["t", "block_id"], small.withColumn("block_id", F.lit(3).cast("long")))):
+        plan = shared.attach(big, part, on, limit=5)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_lists_of_samples_are_not_broadcast(spark):
     field = field_of(spark, near_steps(3))
     step = recon._round(field, shared.written(field.where("gid % 3 = 0"), "samples"), CFG, 2, 1, True, False)

@@ -34,7 +34,7 @@ def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
     """Join a small table, such as one row per timestep, to a large one without shuffling the large one.
 
     The small side is computed and written once, and broadcast if its rows take no more bytes than the limit. Beyond that both
-    sides are shuffled on the keys. A region of a timestep has a bounded number of cells, so keys with block_id in them are joined
+    sides are shuffled on the keys; the hint keeps the engine, which sees the file's bytes and not the copies, from broadcasting it. A region of a timestep has a bounded number of cells, so keys with block_id in them are joined
     as they are; others, such as a timestep alone or a timestep's bin, may each hold any number of cells, which are spread over
     salts.
     """
@@ -42,10 +42,10 @@ def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
     if small.count() * row_bytes(small) <= limit:
         return big.join(F.broadcast(small), on, how)
     if "block_id" in on:
-        return big.join(small, on, how)
+        return big.join(small.hint("merge"), on, how)
     spread = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = big.withColumn("__salt", F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)).cast("int"))
-    return salted.join(spread, [*on, "__salt"], how).drop("__salt")
+    return salted.join(spread.hint("merge"), [*on, "__salt"], how).drop("__salt")
 
 
 def row_bytes(df: DataFrame) -> int:
